@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.byte_bpe import op9_tree_bpe
+from tidelog.llm.html_text import op7_block_rules
 from tidelog.llm.media import op1_media_sniffing
 from tidelog.llm.quality import op5_repetition_coverage
+from tidelog.llm.token_counts import op8_token_counts
 from tidelog.llm.warc import OP6_SQL, op6_warc_archives
 
 
@@ -17,6 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_sniffing": op1_media_sniffing,
         "op5_repetition_coverage": op5_repetition_coverage,
         "op6_warc_archives": op6_warc_archives,
+        "op7_block_rules": op7_block_rules,
+        "op8_token_counts": op8_token_counts,
+        "op9_tree_bpe": op9_tree_bpe,
     }
 
 
