@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.byte_bpe import op9_tree_bpe
 from tidelog.llm.html_text import op7_block_rules
 from tidelog.llm.media import op1_media_sniffing
+from tidelog.llm.mixing import OP2_SQL, op2_low_discrepancy_mix
+from tidelog.llm.pii import op3_pii_sanitisation
 from tidelog.llm.quality import op5_repetition_coverage
 from tidelog.llm.token_counts import op8_token_counts
 from tidelog.llm.warc import OP6_SQL, op6_warc_archives
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query; each runs over its whole table."""
     return {
         "op1_media_sniffing": op1_media_sniffing,
+        "op2_low_discrepancy_mix": op2_low_discrepancy_mix,
+        "op3_pii_sanitisation": op3_pii_sanitisation,
         "op5_repetition_coverage": op5_repetition_coverage,
         "op6_warc_archives": op6_warc_archives,
         "op7_block_rules": op7_block_rules,
@@ -28,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op6_warc_archives": OP6_SQL}
+    return {"op2_low_discrepancy_mix": OP2_SQL, "op6_warc_archives": OP6_SQL}
