@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.byte_bpe import op9_tree_bpe
 from tidelog.llm.html_text import op7_block_rules
+from tidelog.llm.licenses import op10_license_scan
 from tidelog.llm.media import op1_media_sniffing
 from tidelog.llm.mixing import OP2_SQL, op2_low_discrepancy_mix
 from tidelog.llm.pii import op3_pii_sanitisation
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_block_rules": op7_block_rules,
         "op8_token_counts": op8_token_counts,
         "op9_tree_bpe": op9_tree_bpe,
+        "op10_license_scan": op10_license_scan,
     }
 
 
