@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidelog.llm.byte_bpe import op9_tree_bpe
 from tidelog.llm.html_text import op7_block_rules
+from tidelog.llm.jaccard import op4_ngram_jaccard_join
 from tidelog.llm.licenses import op10_license_scan
 from tidelog.llm.media import op1_media_sniffing
 from tidelog.llm.mixing import OP2_SQL, op2_low_discrepancy_mix
@@ -23,12 +25,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_sniffing": op1_media_sniffing,
         "op2_low_discrepancy_mix": op2_low_discrepancy_mix,
         "op3_pii_sanitisation": op3_pii_sanitisation,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_repetition_coverage": op5_repetition_coverage,
         "op6_warc_archives": op6_warc_archives,
         "op7_block_rules": op7_block_rules,
         "op8_token_counts": op8_token_counts,
         "op9_tree_bpe": op9_tree_bpe,
         "op10_license_scan": op10_license_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
