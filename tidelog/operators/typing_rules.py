@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.functions.ranges import running_before
 from tidelog.spec import TableSpec
 
 #: More distinct values make a number numeric, or a category hashed; a category
@@ -67,18 +68,9 @@ def hash_category(value: Column) -> Column:
 
 
 def entity_index(frame: DataFrame, pkey: str) -> DataFrame:
-    """`pkey, row_index`: 0, 1, ... in key order.
-
-    Rows are ranked inside ranges of the key and ranges summed up, so the whole
-    table doesn't pass through one task.
-    """
+    """`pkey, row_index`: 0, 1, ... in the order of a numeric key."""
     keys = frame.select(pkey).distinct()
-    n = max(1, keys.sparkSession.sparkContext.defaultParallelism)
-    dealt = keys.repartitionByRange(n, pkey).withColumn("part", F.spark_partition_id())
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("part").orderBy(pkey)) - 1
-    return dealt.withColumn("inside", inside).join(F.broadcast(starts), "part").select(pkey, (F.col("start") + F.col("inside")).alias("row_index"))
+    return running_before(keys, pkey, F.lit(1).cast("long"), "row_index")
 
 
 def vocab_drift(old: DataFrame, new: DataFrame) -> DataFrame:
