@@ -183,7 +183,7 @@ def l10_refit_combination(spark: SparkSession, sf: str) -> DataFrame:
     wide = pairs.pair_features(candidates, fq._activity(spark, sf), pairs.pair_history(past, candidates), scores, fq.WEIGHTS)
     frame = wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).withColumn("key", F.xxhash64("query_id", "candidate"))
     features = ["total", "recent", "staleness", "times", "cooc"]
-    best, coefficients = probe.refit_combination(frame, features, "label", "key")
+    best, coefficients = probe.refit_combination(frame, features, "label", "key", folds=2)
     rows = [("C", float(best)), *coefficients.items()]
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("value")) for n, v in rows])))
 
