@@ -9,13 +9,15 @@ the similarity needs. Pairs that survive are verified on the full sets.
 
 One tree over all documents would not spread over a cluster, so trees are
 built per block. Two sets of similarity 3/4 share one of the first quarter of
-their shingles in any fixed order; documents that share such a shingle form a
-block. Rare shingles come first, so widely shared passages make few blocks.
+their shingles in any fixed order. The least node with such a shingle is its
+centre, and a block is a centre with all nodes that share one of its shingles.
+Rare shingles come first, so widely shared passages make few blocks.
 
 Work stays near linear in groups of copies. Equal sets are one node from the
-start. Then each node is verified against one centre, the least node of its
-blocks; only blocks that still hold different components are searched with
-trees, and only for pairs between components, until no link can be missing.
+start. Then each node is verified against the likeliest of its centres; blocks
+that still hold different components are searched with trees,
+first for each point's nearest one in another component, and when those are
+joined for all pairs that are left, so that no link can be missing.
 """
 
 from __future__ import annotations
@@ -35,16 +37,17 @@ from tidelog.llm.components import components
 WORDS = 5
 #: Linked if 4 * intersection >= 3 * union.
 NUMERATOR, DENOMINATOR = 3, 4
-#: A shingle is common from this part of the documents on; there are at most
-#: mean length / COMMON_PART of them, and MOST_COMMON are told apart. They
-#: only order the shingles: results don't depend on them.
-COMMON_PART, MOST_COMMON = 0.0005, 1_000_000
+#: A shingle is common if it is in so many sets; the MOST_COMMON most frequent
+#: ones are told apart. They only order the shingles: results don't depend on them.
+COMMON_LEAST, MOST_COMMON = 8, 1_000_000
 #: So many shingles are counted together when a task looks for common ones.
 COUNTED = 4_000_000
-#: Points have a coordinate for about eight shingles, a power of two of them.
-PER_GROUP, FEWEST_GROUPS, MOST_GROUPS = 8, 16, 4096
-#: Points in a leaf of a tree, boxes in an inner node, and points of a block that meet in one tree.
-FAN, TILE = 16, 512
+#: Points have a coordinate for one or two shingles, a power of two of them.
+PER_GROUP, FEWEST_GROUPS, MOST_GROUPS = 2, 16, 1 << 16
+#: Points or boxes in a box of a tree, and points of a block that meet in one tree.
+FAN, TILE = 32, 512
+#: Rounds in which a node passes on its nearest point only, before all that are left.
+NEAREST_ROUNDS = 1
 #: Bits of the filter that spares fetching texts without a candidate.
 FILTER_BITS = 1 << 24
 
@@ -57,11 +60,19 @@ def _mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class Words(dict):
+    """Hashes of words, filled as words are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Shingle sets of texts, with the hashes of recent words kept."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Words()
 
     def __call__(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes of a text's shingles; A-Z count as a-z."""
@@ -70,10 +81,9 @@ class Shingler:
             return np.empty(0, dtype=np.uint64)
         if len(words) < WORDS:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-        known, hashed = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > 200_000:
-            known.clear()
-        own = np.fromiter((known[w] if w in known else known.setdefault(w, hashed(w)) for w in words), dtype=np.uint64, count=len(words))
+        if len(self.known) > 200_000:
+            self.known.clear()
+        own = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
         count = len(words) - WORDS + 1
         rolled = own[:count] * _POWERS[0]
         for k in range(1, WORDS):
@@ -95,9 +105,20 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes of its coordinates, as narrow as they allow, after their width."""
+    width = 1 if p.max() < 1 << 8 else 2 if p.max() < 1 << 16 else 4
+    return bytes((width,)) + p.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """A point from its bytes."""
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
     """A point, or an upper corner, on fewer groups."""
-    return p if len(p) == groups else p.reshape(-1, groups).sum(axis=0)
+    return p if len(p) == groups else p.reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -114,39 +135,46 @@ def needed(m: int, n: int) -> int:
 class RTree:
     """A packed R-tree over count vectors, points in order of set size.
 
-    A box keeps its upper corner and its range of sizes. Corners of unlike
-    lengths meet on the coarser groups, on which the bound still holds.
+    A box holds its children's upper corners as the rows of a matrix, and
+    their least and largest sizes, so a query is held against all children at
+    once. Corners of unlike lengths meet on the coarser groups, on which the
+    bound still holds.
     """
 
     def __init__(self, points: list[np.ndarray]) -> None:
-        self.points = points
-        self.sizes = [int(p.sum()) for p in points]
-        order = sorted(range(len(points)), key=lambda i: self.sizes[i])
-        level = [(points[i], self.sizes[i], self.sizes[i], i, ()) for i in order]
-        while len(level) > 1:
-            boxes = []
-            for at in range(0, len(level), FAN):
-                inside = level[at : at + FAN]
-                groups = min(len(x[0]) for x in inside)
-                corner = np.max([folded(x[0], groups) for x in inside], axis=0)
-                boxes.append((corner, inside[0][1], max(x[2] for x in inside), -1, tuple(inside)))
+        sizes = [int(p.sum()) for p in points]
+        level = [(points[i], sizes[i], sizes[i], i) for i in sorted(range(len(points)), key=sizes.__getitem__)]
+        while True:
+            boxes = [self._box(level[at : at + FAN]) for at in range(0, len(level), FAN)]
+            if len(boxes) < 2:
+                break
             level = boxes
-        self.root = level[0] if level else None
+        self.root = boxes[0] if boxes else None
+
+    @staticmethod
+    def _box(inside: list[tuple]) -> tuple:
+        groups = min(len(x[0]) for x in inside)
+        corners = np.stack([folded(x[0], groups) for x in inside])
+        least, most = np.array([x[1] for x in inside]), np.array([x[2] for x in inside])
+        return corners.max(axis=0), int(least.min()), int(most.max()), (corners, least, most, [x[3] for x in inside])
 
-    def search(self, q: np.ndarray) -> Iterator[int]:
-        """Places of the points that may be linked to q."""
+    def search(self, q: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Place and bound of each point that may be linked to q."""
         size = int(q.sum())
-        waiting = [self.root] if self.root else []
+        fits = -(-NUMERATOR * size // DENOMINATOR)
+        waiting = [self.root[3]] if self.root else []
         while waiting:
-            corner, least, most, place, inside = waiting.pop()
-            if DENOMINATOR * most < NUMERATOR * size or NUMERATOR * least > DENOMINATOR * size:
-                continue
-            if bound(corner, q) < needed(size, max(least, -(-NUMERATOR * size // DENOMINATOR))):
-                continue
-            if place >= 0:
-                yield place
-            else:
-                waiting.extend(inside)
+            corners, least, most, children = waiting.pop()
+            groups = min(len(q), corners.shape[1])
+            if corners.shape[1] > groups:
+                corners = corners.reshape(len(corners), -1, groups).sum(axis=1, dtype=np.int64)
+            most_shared = np.minimum(corners, folded(q, groups)).sum(axis=1, dtype=np.int64)
+            need = -(-NUMERATOR * (size + np.maximum(least, fits)) // (NUMERATOR + DENOMINATOR))
+            for i in np.flatnonzero((most >= fits) & (NUMERATOR * least <= DENOMINATOR * size) & (most_shared >= need)):
+                if isinstance(children[i], int):
+                    yield children[i], int(most_shared[i])
+                else:
+                    waiting.append(children[i])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -163,34 +191,39 @@ SETS = "kind int, id long, node long, other long, n long, text_hash long, point
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of kind 0: a document's set. Rows of kind 1: a shingle (`node`) common in a task, with its count (`n`).
+    """Rows of kind 0: a document's set. Rows of kind 1: a shingle (`node`) repeated in a task, with its count (`n`).
 
-    A shingle in COMMON_PART of all documents is in as large a part of some
-    task's documents, so none goes unseen.
+    Sets are counted once a task. A shingle that no task sees twice isn't
+    widely shared, and goes with the rare ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, names = Shingler(), ["kind", "id", "node", "other", "n", "text_hash", "point"]
         held: list[np.ndarray] = []
+        names_held: set[int] = set()
         counted = 0
 
         def common() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, int(np.ceil(COMMON_PART * len(held))))
+            often = counts > 1
             values, counts = values[often].view(np.int64), counts[often]
             held.clear()
+            names_held.clear()
             none = pa.nulls(len(values), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), none, _long(values), none, _long(counts), none, pa.nulls(len(values), pa.binary())], names)
 
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             both = [digests(s) for s in sets]
-            points = [point(s).astype("<u4").tobytes() for s in sets]
+            points = [packed(point(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(sets), np.int32)), batch.column(0), _long([d[0] for d in both]), _long([d[1] for d in both]), _long([len(s) for s in sets]), batch.column(2), pa.array(points, pa.binary())],
                 names,
             )
-            for s in sets:
+            for s, (name, _) in zip(sets, both, strict=True):
+                if name in names_held:
+                    continue
+                names_held.add(name)
                 held.append(s)
                 counted += len(s)
                 if counted >= COUNTED:
@@ -260,6 +293,21 @@ def fetch_texts(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
     return own.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
+def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs `a, b, n` whose sizes and points leave a link possible."""
+    own = nodes.select("node", "n_shingles", "point")
+    left, right = (own.withColumnsRenamed({"node": x, "n_shingles": f"size_{x}", "point": f"point_{x}"}) for x in "ab")
+    sized = pairs.join(left, "a").join(right, "b").filter(DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True)
+            near = [bound(unpacked(p), unpacked(q)) >= needed(m, n) for m, n, p, q in rows]
+            yield batch.select(["a", "b", "n"]).filter(pa.array(near, pa.bool_()))
+
+    return sized.select("a", "b", "n", "size_a", "size_b", "point_a", "point_b").mapInArrow(run, "a long, b long, n long")
+
+
 #: Members of a group that are verified against its centre in one run.
 MEMBERS = 1000
 
@@ -291,27 +339,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(blocks: DataFrame) -> DataFrame:
+def tree_pairs(blocks: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     """Candidate pairs `a, b` between components, from a tree per block.
 
-    `blocks` has `key, node, root, point`. A block of over TILE points is dealt
-    into tiles, and every two tiles meet in a task of their own.
+    All of them, or for each point only the one nearest to the similarity.
+
+    `blocks` has `centre, node, root`; blocks of one component are left out. A
+    block of over TILE points is dealt into tiles, and every two tiles meet in a
+    task of their own.
     """
-    tiles = blocks.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sizes = blocks.groupBy("centre").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("root").alias("low"), F.max("root").alias("high"))
+    tiles = sizes.filter("low <> high").select("centre", "tiles")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = blocks.join(tiles, "key").withColumn("tile", tile).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "node", "root", "point")
-    met = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    dealt = blocks.join(tiles, "centre").withColumn("tile", tile).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("centre", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "node", "root").join(nodes.select("node", "point"), "node").select("centre", "low", "high", "node", "root", "point")
+    met = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high", "node")
 
     def pairs(nodes: list[int], roots: list[int], points: list[bytes]) -> Iterator[tuple[int, int]]:
         if len(set(roots)) < 2:
             return
-        vectors = [np.frombuffer(p, "<u4") for p in points]
+        vectors = [unpacked(p) for p in points]
+        sizes = [int(v.sum()) for v in vectors]
         tree = RTree(vectors)
         for i, q in enumerate(vectors):
-            for j in tree.search(q):
-                if nodes[j] < nodes[i] and roots[j] != roots[i]:
-                    yield nodes[j], nodes[i]
+            other = ((j, most) for j, most in tree.search(q) if roots[j] != roots[i])
+            if nearest:
+                best = max(((most / (sizes[i] + sizes[j]), nodes[j]) for j, most in other), default=None)
+                if best:
+                    yield min(best[1], nodes[i]), max(best[1], nodes[i])
+            else:
+                yield from ((nodes[j], nodes[i]) for j, _ in other if nodes[j] < nodes[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, ([], [], []), set()
@@ -331,6 +388,11 @@ def tree_pairs(blocks: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that are in a pair."""
+    return nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+
+
 def _rooted(frame: DataFrame, rooted: DataFrame, node: str, name: str) -> DataFrame:
     """The frame with the root of a node column; nodes without links are their own."""
     own = rooted.select(F.col("node").alias(node), F.col("root").alias(name))
@@ -348,8 +410,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     seen = cut(shingle_sets(df, id_col, text_col), "jaccard-sets")
     sets = seen.filter("kind = 0").select("id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"), "other", "point")
-    documents = sets.count()
-    frequent = seen.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_PART * documents)
+    frequent = seen.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_LEAST)
     top = frequent.orderBy(F.desc("n"), "node").limit(MOST_COMMON).toPandas()
     values = top["node"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
@@ -358,7 +419,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = cut(
         sets.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("other").alias("other"), F.max("other").alias("last"), F.min("text_hash").alias("text_hash"), F.first("point").alias("point"))
+        .agg(F.min("other").alias("other"), F.max("other").alias("last"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
         .withColumn("point", F.when(F.col("other") == F.col("last"), F.col("point")).otherwise(F.raise_error(F.lit("two shingle sets share a 64-bit name")).cast("binary")))
         .drop("other", "last"),
         "jaccard-nodes",
@@ -366,21 +427,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the least node of each block, as the block streams by in order
     running = W.partitionBy("key").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
     listed = prefixes(df, common, id_col, text_col).withColumn("centre", F.first("node").over(running))
-    shared = cut(listed.filter("centre <> node"), "jaccard-shared")
-    starred = cut(shared.groupBy("centre", "node").agg(F.count("*").alias("n")), "jaccard-starred")
-    involved = starred.select("node").unionByName(starred.select(F.col("centre").alias("node"))).distinct()
-    texts = cut(fetch_texts(df, nodes.join(involved, "node", "left_semi"), id_col, text_col), "jaccard-texts")
-
-    nearest = starred.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("a")).select("a", F.col("node").alias("b"))
-    links = cut(verified(nearest, texts), "jaccard-links")
-    rooted = components(links)
-    apart = _rooted(_rooted(starred, rooted, "node", "root"), rooted, "centre", "centre_root").filter("root <> centre_root").select("centre", "node")
-    open_keys = cut(shared.join(apart, ["centre", "node"], "left_semi").select("key").distinct(), "jaccard-open")
-    open_rows = shared.join(open_keys, "key", "left_semi")
-    blocks = open_rows.select("key", "node").unionByName(open_rows.select("key", F.col("centre").alias("node")).distinct())
-    candidates = cut(tree_pairs(_rooted(blocks, rooted, "node", "root").join(nodes.select("node", "point"), "node").select("key", "node", "root", "point")), "jaccard-candidates")
-    more = verified(candidates, texts)
-    final = components(links.unionByName(more))
+    starred = cut(listed.filter("centre <> node").groupBy("centre", "node").agg(F.count("*").alias("n")), "jaccard-starred")
+    hopeful = cut(within_bound(starred.withColumnsRenamed({"centre": "a", "node": "b"}), nodes), "jaccard-hopeful")
+    nearest = hopeful.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links = cut(verified(nearest, fetch_texts(df, _of(nodes, nearest), id_col, text_col)), "jaccard-links")
+    for step in range(NEAREST_ROUNDS + 1):
+        rooted = components(links)
+        blocks = starred.select("centre", "node").unionByName(starred.select("centre", F.col("centre").alias("node")).distinct())
+        candidates = cut(tree_pairs(_rooted(blocks, rooted, "node", "root"), nodes, step < NEAREST_ROUNDS), "jaccard-candidates")
+        more = verified(candidates, fetch_texts(df, _of(nodes, candidates), id_col, text_col))
+        links = cut(links.unionByName(more), "jaccard-links")
+    final = components(links)
     return _rooted(sets.select("id", "text_hash", "n_shingles", "node"), final, "node", "root")
 
 
