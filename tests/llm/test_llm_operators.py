@@ -372,6 +372,28 @@ def test_license_scan(spark):
     assert licenses.scan(frame).count() == len(files) and licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_full_license_texts_speak_for_their_directory(spark):
+    full = dict(licenses.full_texts())
+    holder = "Copyright (c) 2026 Some Body\n\n"
+    names = [n for n in full if n != "AGPL-3.0"]
+    files = [(i, f"r{i}/LICENSE", holder + full[n]) for i, n in enumerate(names)]
+    files += [(100 + i, f"r{i}/src/code.py", "x = 1") for i in range(len(names))]
+    notice = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    files += [(200, "p/a.txt", "The river runs past the old mill and on to the sea. " * 9 + notice + " The mill has been shut for years." * 9)]
+    files += [(201, "q/a.txt", "Some words on the licence of a work. " + "The river runs past the old mill. " * 40)]
+    frame = spark.createDataFrame(files, "id long, path string, text string")
+    got = {r["id"]: (r["license"], r["evidence"], r["from_directory"]) for r in licenses.scan(frame).collect()}
+    for i, name in enumerate(names):
+        assert got[i] == (name, "file", None) and got[100 + i] == (name, "inherited", f"r{i}")
+    assert got[200] == ("Apache-2.0", "header", None) and got[201] == (None, "none", None)
+
+
+def test_one_full_license_among_code(spark):
+    files = [(1, "a/LICENSE", "Copyright (c) 2026 A\n\n" + dict(licenses.full_texts())["MIT"]), (2, "a/b/code.py", "x = 1")]
+    got = {r["id"]: (r["license"], r["evidence"]) for r in licenses.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited")}
+
+
 # pipeline
 
 

@@ -1,14 +1,17 @@
 """License scans: sparse TF-IDF cosine, then inheritance down directories.
 
-Each text's header (its lines that speak of a licence, or all of it for a file
-that holds little else) becomes a sparse TF-IDF vector, with document
-frequencies from the whole corpus, and is held against the templates by cosine.
+Each text's header (its lines that speak of a licence, or sentences where a
+line is long) becomes a sparse TF-IDF vector, with document frequencies from
+the whole corpus, and is held against the notices by cosine. Every text that
+speaks of a licence at all is also held, whole, against full licence texts.
 Licence files speak for their directory: a file without a header of its own
 takes the licence of the nearest directory above it that has one.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,20 +40,29 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Least cosine of a match.
-LEAST_COSINE = 0.6
+#: Full licence texts, by the names of their files.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Least cosine of a header to a notice, and of a whole text to a full licence.
+LEAST_COSINE, LEAST_WHOLE = 0.6, 0.8
 #: A file whose header holds at least this part of its words is a licence file.
 FILE_PART = 0.5
 #: A header line names a licence in one of these ways, in small letters.
 SPEAKS = r"licen[cs]e|copyright|spdx-|public domain|\bcc0\b|\bcc[ -]by\b|creative commons"
+#: Longer lines are cut into sentences, of which those that grant rights count, too.
+LONG_LINE, SENTENCE, GRANTS = 200, r"(?<=[.!?])\s+(?=\p{Lu})", r"permission is hereby granted|permission to use, copy|redistribution and use"
 #: A term is a run of letters, or of digits with points between.
 TERM = r"\p{L}+|\d+(?:\.\d+)*+"
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """`fid, path, header, is_file` of `path, text` rows; null header if none speaks."""
-    spoken = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda line: F.lower(line).rlike(SPEAKS))
-    header = F.array_join(spoken, "\n")
+    """Adds `header, is_file` to `path, text` rows; null header if none speaks."""
+
+    def spoken(line: Column) -> Column:
+        sentences = F.filter(F.split(line, SENTENCE), lambda s: F.lower(s).rlike(f"{SPEAKS}|{GRANTS}"))
+        return F.when(F.length(line) > LONG_LINE, sentences).otherwise(F.array(line))
+
+    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda line: F.lower(line).rlike(SPEAKS))
+    header = F.array_join(F.flatten(F.transform(lines, spoken)), "\n")
     return files.withColumn("header", F.when(F.lower("text").rlike(SPEAKS), header)).withColumn("is_file", F.coalesce(word_count(F.col("header")) >= FILE_PART * word_count(F.col("text")), F.lit(False)))
 
 
@@ -59,32 +71,54 @@ def terms(column: str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(TERM), 0)
 
 
-def match_headers(found: DataFrame) -> DataFrame:
-    """`fid, license, cosine`: the closest template of each header, if close enough.
+def full_texts() -> list[tuple[str, str]]:
+    """Names and full texts of the licences that come with the library.
+
+    The AGPL 3 differs from the GPL 3 by its name, parts of its preamble and
+    section 13; the GPL's text under the other name stands for it.
+    """
+    found = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    gpl = dict(found)["GPL-3.0"]
+    renamed = gpl.replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+    return [*found, ("AGPL-3.0", renamed)]
+
+
+def closest(found: DataFrame, column: str, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """`fid, license, cosine`: the closest template of each text of the column, if close enough.
 
     Weights are tf * ln((1 + N) / (1 + df)), plus tf so that no term weighs
-    nothing; N and df count headers. The templates are a fixed list of a few
-    hundred terms, so the join is against a table of bounded size.
+    nothing; N and df count the column's texts. The templates are a fixed list
+    of a few thousand terms, so the join is against a table of bounded size.
     """
     spark = found.sparkSession
-    headed = found.filter("header is not null")
-    tf = headed.select("fid", F.explode(terms("header")).alias("term")).groupBy("fid", "term").agg(F.count("*").alias("tf"))
-    tf = cut(tf, "license-terms")
+    tf = found.filter(F.col(column).isNotNull()).select("fid", F.explode(terms(column)).alias("term")).groupBy("fid", "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf, f"license-terms-{column}")
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
-    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(notice).alias("notice")) for name, notice in TEMPLATES])
-    known = spark.range(1).select(F.inline(listed)).select("license", "notice", F.explode(terms("notice")).alias("term")).groupBy("license", "notice", "term").agg(F.count("*").alias("tf"))
-    headed_count = tf.select(F.count_distinct("fid").alias("n"))
+    listed = F.array(*[F.struct(F.lit(number).alias("number"), F.lit(name).alias("license"), F.lit(text).alias("text")) for number, (name, text) in enumerate(templates)])
+    known = spark.range(1).select(F.inline(listed)).select("number", "license", F.explode(terms("text")).alias("term")).groupBy("number", "license", "term").agg(F.count("*").alias("tf"))
+    known = cut(known, f"license-templates-{column}")  # plans from here on don't carry the texts
+    texts = tf.select(F.count_distinct("fid").alias("n"))
     weight = F.col("tf") * (1 + F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))))
-    template = known.join(frequency, "term", "left").crossJoin(headed_count).withColumn("weight", weight)
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("notice")))
-    template = template.select("license", "notice", "term", (F.col("weight") / length).alias("template_weight"))
-    # a header's own terms join their frequency; both sides are one row per term at most on the right
-    own = tf.join(frequency, "term").crossJoin(headed_count).withColumn("weight", weight)
+    template = known.join(frequency, "term", "left").crossJoin(texts).withColumn("weight", weight)
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("number")))
+    template = template.select("number", "license", "term", (F.col("weight") / length).alias("template_weight"))
+    # a text's own terms join their frequency; both sides are one row per term at most on the right
+    own = tf.join(frequency, "term").crossJoin(texts).withColumn("weight", weight)
     sizes = own.groupBy("fid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
-    dots = own.join(F.broadcast(template), "term").groupBy("fid", "license", "notice").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"))
+    dots = own.join(F.broadcast(template), "term").groupBy("fid", "license", "number").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"))
     cosines = dots.join(sizes, "fid").select("fid", "license", F.round(F.col("dot") / F.col("size"), 9).alias("cosine"))
     best = cosines.groupBy("fid").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("best"))
-    return best.select("fid", "best.*").filter(F.col("cosine") >= LEAST_COSINE)
+    return best.select("fid", "best.*").filter(F.col("cosine") >= least)
+
+
+def match_headers(found: DataFrame) -> DataFrame:
+    """`fid, license, cosine`: the closest notice of each header."""
+    return closest(found, "header", TEMPLATES, LEAST_COSINE)
+
+
+def match_files(found: DataFrame) -> DataFrame:
+    """`fid, whole_license, whole_cosine`: the licence that a text holds in full."""
+    return closest(found, "whole", full_texts(), LEAST_WHOLE).withColumnsRenamed({"license": "whole_license", "cosine": "whole_cosine"})
 
 
 def inherit(files: DataFrame) -> DataFrame:
@@ -106,15 +140,17 @@ def inherit(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame) -> DataFrame:
     """`files` (`id, path, text`) with `license, cosine, evidence, from_directory`.
 
-    A file's own header comes first ("header", or "file" for a licence file),
-    then the nearest directory above ("inherited"), else "none". Null and empty
+    A full licence text ("file") comes first, then a file's own header
+    ("header", or "file" for a licence file), then the nearest directory above ("inherited"), else "none". Null and empty
     texts have no header; a null path is the root. Repeated rows are treated
     each by itself and other columns ignored. Headers are read whole.
     """
     own = files.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
-    found = headers(own).select(F.monotonically_increasing_id().alias("fid"), "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "header", "is_file")
+    found = headers(own).select(F.monotonically_increasing_id().alias("fid"), "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "header", "is_file", F.when(F.col("header").isNotNull(), F.col("text")).alias("whole"))
     found = cut(found, "license-headers")
-    matched = cut(found.drop("header").join(match_headers(found), "fid", "left"), "license-matched")
+    both = found.drop("header", "whole").join(match_headers(found), "fid", "left").join(match_files(found), "fid", "left")
+    both = both.withColumn("is_file", F.col("is_file") | F.col("whole_license").isNotNull()).withColumn("license", F.coalesce("whole_license", "license")).withColumn("cosine", F.coalesce("whole_cosine", "cosine"))
+    matched = cut(both.drop("whole_license", "whole_cosine"), "license-matched")
     joined = matched.join(inherit(matched), "directory", "left")
     own_one = F.col("license").isNotNull()
     return joined.select(
