@@ -154,6 +154,18 @@ def test_revealing_terms(spark):
     assert "Mirabel" not in {texts[34][s["start"] : s["end"]] for s in done[34]["terms"]}
 
 
+def test_revealing_terms_of_whole_documents(spark):
+    far = " one two three four five six seven eight "
+    texts = ["Quillon" + far + "mail q@corp.example.com" + far + "then Quillon, again"] * 2  # two documents, far off
+    texts += ["ask Orsina at o@corp.example.com" + far + "about Orsina"] * 12  # near in one place, far in another
+    texts += ["plain Quillons" + far] * 30 + ["Quillon1 stays", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise_documents(docs.withColumn("n_chars", F.length("text").cast("long"))).collect()}
+    assert out[0] == out[1] == "[TERM]" + far + "[TERM] [EMAIL]" + far + "[TERM] [TERM], [TERM]"
+    assert all("Orsina" not in out[i] and "[EMAIL]" in out[i] for i in range(2, 14))
+    assert all(out[i] == texts[i] for i in range(14, len(texts)))
+
+
 def test_sanitised_texts(spark):
     docs = documents(spark)
     out = pii.sanitise_documents(docs)

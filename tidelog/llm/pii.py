@@ -1,12 +1,13 @@
 """PII: information-theoretic sanitisation.
 
 Base detectors find e-mail addresses, IP addresses, card and telephone
-numbers. The words near such an entity may give it away too: the corpus says
-how strongly. With n(t, e) documents in which term t stands near entity e, and
-n(t) documents with t at all, the term leaves -log2(n(t, e) / n(t)) bits of the
+numbers. The words of documents that hold such an entity may give it away too:
+the corpus says how strongly. With n(t, e) documents that hold both term t and
+entity e, and n(t) documents with t at all, the term leaves -log2(p) bits of the
 entity open, which is the entity's information content less its pointwise
-mutual information with the term. Terms that leave little open are generalised
-in that entity's surroundings, and removed where they leave next to nothing.
+mutual information with the term; p is n(t, e) / n(t), smoothed towards one half.
+Terms that leave little open are generalised wherever they stand in documents
+that hold the entity, and removed where they leave next to nothing.
 
 All of it is DataFrame work. Positions count code points; matches are found by
 putting marks around them and cutting the text at the marks.
@@ -36,11 +37,13 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 MARK, INSTEAD = "\ue000", "\ufffd"
 #: A term is a word of at least three letters but for punctuation around it.
 TERM = rf"(?<![^{SPACE}])(\p{{Punct}}*+)(\p{{L}}{{3,}}+)(\p{{Punct}}*+)(?![^{SPACE}])"
-#: So many words on either side of an entity are its surroundings.
-NEAR_WORDS = 5
-#: A term counts from so many documents near one entity; terms that leave at
-#: most so many bits open are generalised, or removed.
-LEAST_DOCUMENTS, GENERALISE_BITS, REMOVE_BITS = 3, 1.0, 0.15
+#: A term counts from so many documents that hold it and one entity; terms that
+#: leave at most so many bits open are generalised, or removed.
+LEAST_DOCUMENTS, GENERALISE_BITS, REMOVE_BITS = 2, 1.0, 0.15
+#: Half a document counts for and half against each term and entity.
+SMOOTHING = 0.5
+#: Rows of one entity or term are dealt over so many parts where they are joined.
+SALTS = 16
 
 #: Parts of a text that are looked at with one running array.
 CHUNK = 256
@@ -107,28 +110,23 @@ def _matches(parts: Column, passes: Callable[[Column], Column]) -> Column:
     return F.when(F.size(parts) > 1, found).otherwise(none)
 
 
-def _terms(near: Column, begin: Column) -> Column:
-    """Terms of a stretch of text with their positions, which begin at `begin`."""
-    found = _matches(_cut_at(near, TERM, f"$1{MARK}$2{MARK}$3"), lambda _: F.lit(True))
-    return F.transform(found, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + begin).alias("start"), (m["end"] + begin).alias("end")))
+def _terms(text: Column) -> Column:
+    """Terms of a text with their positions."""
+    found = _matches(_cut_at(text, TERM, f"$1{MARK}$2{MARK}$3"), lambda _: F.lit(True))
+    return F.transform(found, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
 
 
-def _mentions(kind: str, parts: Column, found: Column) -> Column:
-    """Entities with the terms around them; surroundings end at the next match of the kind."""
-    words = rf"^[^{SPACE}]*+(?:[{SPACE}]++[^{SPACE}]++){{0,{NEAR_WORDS}}}"
-    # where a gap meets a match, one more character keeps a word that touches it from being a term
-    pad = INSTEAD
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 2), F.lower))
 
-    def mention(m: Column) -> Column:
-        before = F.concat(F.when(m["i"] > 1, F.lit(pad)).otherwise(""), F.get(parts, m["i"] - 1), F.lit(pad))
-        after = F.concat(F.lit(pad), F.get(parts, m["i"] + 1), F.when(m["i"] + 2 < F.size(parts), F.lit(pad)).otherwise(""))
-        left = F.reverse(F.regexp_extract(F.reverse(before), words, 0))
-        right = F.regexp_extract(after, words, 0)
-        terms = F.concat(_terms(left, m["start"] + 1 - F.length(left)), _terms(right, m["end"] - 1))
+
+def _entities(kind: str, found: Column) -> Column:
+    def named(m: Column) -> Column:
         value = F.lower(m["value"]) if kind == "email" else m["value"] if kind == "ip" else _digits(m["value"])
-        return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), terms.alias("terms"))
+        return F.concat(F.lit(f"{kind}:"), value)
 
-    return F.transform(found, mention)
+    return F.transform(found, named)
 
 
 def _listed(kind: str, found: Column) -> Column:
@@ -140,9 +138,10 @@ def _tagged(kind: str, found: Column) -> Column:
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
-    """Base spans of every row: `rid, id, n_<kind>..., base, spans, mentions`.
+    """Base spans of every row: `rid, id, n_<kind>..., base, spans, entities, held_text`.
 
-    `base` lists kind:start:end; `spans` holds the same as structs. With
+    `base` lists kind:start:end; `spans` holds the same as structs. Rows without
+    an entity have a null `held_text`. With
     `with_rows` the input's own columns come along in the struct `row`.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -159,34 +158,51 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         cut_up = cut_up.withColumn(f"found_{kind}", _matches(F.col(f"parts_{kind}"), PASSES[kind]))
     listed = F.concat(*[_listed(k, F.col(f"found_{k}")) for k in PATTERNS])
     spans = F.concat(*[_tagged(k, F.col(f"found_{k}")) for k in PATTERNS])
-    mentions = F.concat(*[_mentions(k, F.col(f"parts_{k}"), F.col(f"found_{k}")) for k in PATTERNS])
+    entities = F.array_distinct(F.concat(*[_entities(k, F.col(f"found_{k}")) for k in PATTERNS]))
+    any_found = sum((F.size(f"found_{k}") for k in PATTERNS), F.lit(0)) > 0
     return cut_up.select(
         F.monotonically_increasing_id().alias("rid"),
         "id",
         *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS],
         F.array_join(listed, ",").alias("base"),
         spans.alias("spans"),
-        mentions.alias("mentions"),
+        entities.alias("entities"),
+        F.when(any_found, F.col("text")).alias("held_text"),
         *(["row"] if with_rows else []),
     )
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+def _salted(frame: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+
+
+def repeated_entities(found: DataFrame) -> DataFrame:
+    """`rid, entities, terms` of rows that hold an entity of LEAST_DOCUMENTS rows: those, and all terms."""
+    held = found.filter("held_text is not null")
+    one = held.select("rid", F.explode("entities").alias("entity")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
+    repeated = one.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS).select("entity")
+    by_row = one.join(_salted(repeated), ["entity", "salt"]).groupBy("rid").agg(F.collect_list("entity").alias("entities"))
+    return held.select("rid", _words(F.col("held_text")).alias("terms")).join(by_row, "rid").select("rid", "entities", "terms")
+
+
+def revealing_terms(docs: DataFrame, held: DataFrame, text_col: str = "text") -> DataFrame:
     """`term, entity, bits`: terms that leave at most GENERALISE_BITS of an entity open.
 
-    Counts are of rows, over the whole corpus. Terms are judged first by their
-    strongest entity, one row a term, so that words near thousands of entities
-    are gone before entities are joined.
+    Counts are of whole rows, over the whole corpus. Pairs are summed before
+    they meet the terms' own counts. Terms are judged first by their strongest
+    entity, one row a term, so that words that stand with thousands of entities
+    are gone before entities are joined. As the estimate is smoothed towards one
+    half, n(t, e) / n(t) is at least one half wherever it is.
     """
-    both = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.concat(t["term"], F.lit(MARK), m["entity"])))))
-    near = found.filter(F.size("mentions") > 0).select(F.explode(both).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= LEAST_DOCUMENTS)
-    pairs = cut(near.select(F.substring_index("pair", MARK, 1).alias("term"), F.substring_index("pair", MARK, -1).alias("entity"), "n_near"), "pii-pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), 2))
-    everywhere = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    near = held.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_both"))
+    pairs = cut(near.filter(F.col("n_both") >= LEAST_DOCUMENTS), "pii-pairs")
+    everywhere = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    share = lambda n: (F.col(n) + SMOOTHING) / (F.col("n_term") + 2 * SMOOTHING)
     least = 2.0**-GENERALISE_BITS
-    strongest = pairs.groupBy("term").agg(F.max("n_near").alias("most"))
-    telling = strongest.join(everywhere, "term").filter(F.col("most") >= F.col("n_term") * least).select("term", "n_term")
-    return pairs.join(telling, "term").filter(F.col("n_near") >= F.col("n_term") * least).select("term", "entity", (-F.log2(F.col("n_near") / F.col("n_term"))).alias("bits"))
+    strongest = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
+    telling = strongest.join(everywhere, "term").filter(share("most") >= least).select("term", "n_term")
+    return pairs.join(telling, "term").filter(share("n_both") >= least).select("term", "entity", (-F.log2(share("n_both"))).alias("bits"))
 
 
 def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
@@ -197,12 +213,14 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is treated as any other character that no pattern matches.
     """
     found = cut(find_base(docs, id_col, text_col, with_rows), "pii-found")
-    telling = cut(revealing_terms(docs, found, text_col), "pii-terms")
-    near = found.filter(F.size("mentions") > 0).select("rid", F.explode("mentions").alias("m")).select("rid", "m.entity", F.explode("m.terms").alias("t")).select("rid", "entity", "t.term", "t.start", "t.end")
+    held = cut(repeated_entities(found), "pii-held")
+    telling = cut(revealing_terms(docs, held, text_col), "pii-terms")
+    both = held.select("rid", "terms", F.explode("entities").alias("entity")).select("rid", "entity", F.explode("terms").alias("term")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
     tag = F.when(F.col("bits") <= REMOVE_BITS, F.lit("")).otherwise(F.lit(TAGS["term"]))
-    spans = near.join(telling, ["term", "entity"]).groupBy("rid", "start", "end").agg(F.min(tag).alias("tag"))
-    by_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("terms"))
-    return found.drop("mentions").join(by_row, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,tag:string>>")))
+    marked = cut(both.join(_salted(telling), ["term", "entity", "salt"]).groupBy("rid", "term").agg(F.min(tag).alias("tag")), "pii-marked")
+    places = found.select("rid", "held_text").join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(_terms(F.col("held_text"))).alias("t")).select("rid", "t.term", "t.start", "t.end")
+    by_row = places.join(marked, ["rid", "term"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("terms"))
+    return found.drop("entities", "held_text").join(by_row, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,tag:string>>")))
 
 
 def rewritten(text: Column, spans: Column) -> Column:
