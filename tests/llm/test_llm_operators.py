@@ -313,6 +313,36 @@ def test_html_extraction():
         html_text.extract(odd)
 
 
+def test_html_keeps_what_only_looks_marked():
+    text = "The river runs past the old mill and on to the sea, as it has done for a thousand years and more."
+    for page in (
+        f"<article class='post no-comments'><p>{text}</p></article>",
+        f"<main class='with-sidebar'><p>{text}</p></main>",
+        f"<article class='comments'><p>{text}</p></article>",
+        f"<article><section id='discussion'><p>{text}</p></section></article>",
+        f"<article><p class='share-price'>{text}</p></article>",
+        f"<div id='search-results'><p>{text}</p></div>",
+        f"<div class='widget'><article><p>{text}</p></article></div>",
+        f"<form id='aspnetForm'><article><p>{text}</p></article></form>",
+        f"<article><div class='related'><p>{text}</p></div></article>",
+        f"<article><figure><img src=x><figcaption>{text}</figcaption></figure></article>",
+    ):
+        assert html_text.extract(page) == text, page
+    marked = "<div class='sidebar'><p>A word on the side of the page.</p></div>"
+    assert html_text.extract(f"<article><p>{text}</p>{marked}<div class='related'><a href=/>{text}</a></div></article><div class='ad'>{text}</div>") == text
+
+
+def test_html_in_other_languages_and_code():
+    polish = "Rzeka płynie obok starego młyna aż do morza, tak jak robiła to przez tysiąc lat albo jeszcze dłużej, mimo wojen. " * 2
+    chinese = "这条河流经过古老的磨坊一直流向大海千百年来始终如此两岸的人们依靠它生活耕种捕鱼并在节日里点燃河灯祈求来年风调雨顺平安丰收阖家团圆幸福美满。" * 2
+    menu = "<div><a href=/a>Dom</a> <a href=/b>Kontakt</a></div>"
+    assert html_text.extract(f"<body>{menu}<p>{polish}</p></body>") == polish.strip()
+    assert html_text.extract(f"<body>{menu}<p>{chinese}</p></body>") == chinese
+    english = "The river runs past the old mill and on to the sea, as it has done for a thousand years and more. " * 3
+    code = "for (int i = 0; i < n; i++) { total += values[i] * weights[i]; count++; } return total / count;"
+    assert html_text.extract(f"<body><p>{english}</p><pre>{code.replace('<', '&lt;')}</pre></body>") == f"{english.strip()}\n{code}"
+
+
 def test_html_hard_cases(spark):
     long_page = "<article>" + "<p>The end of the world.</p>" * 3000
     frame = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", long_page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -35,14 +35,17 @@ STOP_WORDS = frozenset(
 #: Elements whose content is never text of the page.
 RAW = "script|style|title|textarea|noscript|iframe|template|svg|select|object|canvas|math"
 #: Elements that hold menus, forms and other matter around the article.
-AROUND = frozenset("nav footer aside form button menu dialog fieldset label figcaption".split())
-#: Words in a class, id or role that mark such matter.
+AROUND = frozenset("nav footer aside form button menu dialog fieldset label".split())
+#: Of those, elements that some sites put around the whole page.
+WRAPPERS = frozenset("form fieldset label".split())
+#: Whole tokens of a class, id or role that mark such matter.
 MARKED = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies
-    consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar sidebars aside widget menu
-    menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot copyright comment comments
-    respond replies reply disqus discussion share sharing social related recommended complementary contentinfo search
-    skip toolbar""".split()
+    """ad ads advert adverts advertisement advertisements advertising ad-banner ad-container banner-ad sponsor sponsored
+    sponsored-content promo promotion cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr
+    newsletter newsletter-signup subscribe signup login modal overlay popup sidebar widget menu menus nav navbar
+    navigation breadcrumb breadcrumbs pagination pager footer site-footer page-footer copyright comments comment-list
+    respond replies disqus disqus_thread share sharing share-buttons social-share social-links related related-posts
+    related-articles recommended complementary contentinfo toolbar skip-link""".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
 ARTICLE = frozenset("article main".split())
@@ -59,6 +62,12 @@ SHORT, LONG = 70, 200
 MOST_LINKED, STOP_LOW, STOP_HIGH = 0.33, 0.18, 0.25
 #: Inside an article only blocks that are mostly links are refused.
 MOST_LINKED_INSIDE = 0.8
+#: A marked element with more than this part of the page's text isn't around it, but holds it.
+MOST_TEXT = 0.5
+#: Marked elements in each other that are told apart.
+DEEPEST = 32
+#: Letters of scripts without spaces, each of which says as much as about three letters of the others.
+_DENSE = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>"
@@ -66,7 +75,6 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_PARTS = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"\w+")
 GOOD, BAD, NEAR, UNSURE = "good", "bad", "near", "short"
 
@@ -80,22 +88,37 @@ class Block:
     around: bool
     inside: bool
     heading: bool
+    exact: bool = False
     label: str = field(default=UNSURE)
 
 
-def _is_around(tag: str, rest: str, inside: bool) -> bool:
-    if tag in AROUND or (tag in HEADERS and not inside):
+@dataclass
+class Mark:
+    """An element that its class, id or role, or a wrapping tag, sets apart, and the text in it."""
+
+    inside: bool
+    chars: int = 0
+    linked: int = 0
+
+
+def _is_around(tag: str, inside: bool) -> bool:
+    return (tag in AROUND and tag not in WRAPPERS) or (tag in HEADERS and not inside)
+
+
+def _is_marked(tag: str, rest: str, inside: bool) -> bool:
+    if tag in WRAPPERS:
         return True
-    if not rest or tag in ("body", "html"):
+    if not rest or tag in ARTICLE or tag in ("body", "html"):
         return False
-    words = {w for groups in _NAMED.findall(rest) for part in groups for w in _PARTS.findall(part.lower())}
+    words = {w for groups in _NAMED.findall(rest) for part in groups for w in part.lower().split()}
     return bool(words & MARKED) or (not inside and bool(words & HEADERS))
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     found: list[Block] = []
-    opened: list[tuple[str, bool, bool]] = []  # tag, within matter around the article, within an article
+    opened: list[tuple[str, bool, bool, tuple[Mark, ...], bool]] = []  # tag, around the article, in an article, marks, table or code
+    within: list[tuple[Block, tuple[Mark, ...]]] = []
     texts: list[str] = []
     links = {"depth": 0, "chars": 0}
     heading = ""
@@ -104,8 +127,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal heading
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
-            _, around, inside = opened[-1] if opened else ("", False, False)
-            found.append(Block(text, min(len(text), links["chars"]), around, inside, bool(heading)))
+            _, around, inside, marks, exact = opened[-1] if opened else ("", False, False, (), False)
+            found.append(Block(text, min(len(text), links["chars"]), around, inside, bool(heading), exact))
+            within.append((found[-1], marks))
         texts.clear()
         links["chars"] = 0
 
@@ -130,7 +154,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in BLOCKS and (tag in VOID or not _NAMED.search(token["rest"] or "") and tag not in AROUND and not token["end"]):
             continue
-        if tag in BLOCKS or (not token["end"] and _is_around(tag, token["rest"], False)):
+        if tag in BLOCKS or (not token["end"] and (_is_around(tag, False) or _is_marked(tag, token["rest"], False))):
             close()
             heading = tag if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not token["end"] else ""
         if tag in VOID:
@@ -139,7 +163,7 @@ def blocks(page: str) -> list[Block]:
             links["depth"] = 0  # a link left open ends with the block around it
             for i in range(len(opened) - 1, -1, -1):
                 if opened[i][0] == tag:
-                    if any(x[1] for x in opened[i:]):
+                    if any(x[1] or x[3] for x in opened[i:]):
                         close()
                     del opened[i:]
                     break
@@ -149,19 +173,42 @@ def blocks(page: str) -> list[Block]:
             opened.pop()
         if opened and opened[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "option"):
             opened.pop()
-        _, around, inside = opened[-1] if opened else ("", False, False)
-        opened.append((tag, around or _is_around(tag, token["rest"], inside), inside or tag in ARTICLE or bool(re.search(r"""role\s*=\s*["']?main\b""", token["rest"]))))
+        _, around, inside, marks, exact = opened[-1] if opened else ("", False, False, (), False)
+        if _is_marked(tag, token["rest"], inside) and len(marks) < DEEPEST:
+            marks = (*marks, Mark(inside))
+        article = tag in ARTICLE or bool(re.search(r"""role\s*=\s*["']?main\b""", token["rest"]))
+        opened.append((tag, around or _is_around(tag, inside), inside or article, marks, exact or tag in ("pre", "table")))
     if last < len(page):
         rest = page[last:]
         say(re.sub(r"<(?:/?[a-zA-Z][^<>]*|!-*)?\Z", "", rest))
     close()
+    whole = 0
+    for block, marks in within:
+        if not block.around:
+            whole += len(block.text)
+            for mark in marks:
+                mark.chars += len(block.text)
+                mark.linked += block.linked
+    for block, marks in within:
+        block.around = block.around or any(_stands_apart(m, whole) for m in marks)
     return found
 
 
-def decide(block: Block, article: bool) -> str:
-    """First pass: the label of one block by itself."""
-    length = len(block.text)
-    linked = block.linked / length
+def _stands_apart(mark: Mark, whole: int) -> bool:
+    """Whether a marked element is matter around the article; inside one it must be short or mostly links, too."""
+    if mark.inside:
+        return mark.chars < SHORT or mark.linked > MOST_LINKED * mark.chars
+    return mark.chars <= MOST_TEXT * whole or mark.linked > MOST_LINKED * mark.chars
+
+
+def _share(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def decide(block: Block, article: bool, fits: bool = True) -> str:
+    """First pass: the label of one block by itself; where no list of stop words fits, by length and links."""
+    length = len(block.text) if fits else len(block.text) + 2 * len(_DENSE.findall(block.text))
+    linked = block.linked / len(block.text)
     if block.around or (article and not block.inside):
         return BAD
     if block.inside:
@@ -170,19 +217,22 @@ def decide(block: Block, article: bool) -> str:
         return BAD
     if length < SHORT:
         return BAD if block.linked else UNSURE
-    words = _WORDS.findall(block.text.lower())
-    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not fits:
+        return GOOD if length > LONG else NEAR
+    share = _share(_WORDS.findall(block.text.lower()))
     if share >= STOP_HIGH:
         return GOOD if length > LONG else NEAR
-    return NEAR if share >= STOP_LOW else BAD
+    return NEAR if share >= STOP_LOW or block.exact else BAD
 
 
 def extract(page: str) -> str:
     """The main text of one page: its good blocks, one a line."""
     found = blocks(page)
     article = any(b.inside and not b.around for b in found)
+    # where a page as a whole has too few stop words, no list fits its language
+    fits = article or _share(_WORDS.findall(" ".join(b.text for b in found if not b.around and not b.exact).lower())) >= STOP_LOW
     for block in found:
-        block.label = decide(block, article)
+        block.label = decide(block, article, fits)
     first = [b.label for b in found]
 
     def nearest(labels: list[str], ordered: list[int]) -> list[str]:
