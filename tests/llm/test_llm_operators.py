@@ -102,6 +102,26 @@ def test_targets_are_shared_until_none_is_above(spark):
     assert got == pytest.approx(want)
 
 
+def test_small_sources_take_their_target(spark):
+    sizes = {"a": 1, "b": 20, "c": 40, "d": 65, "e": 100, "f": 150, "g": 200, "h": 40_000}
+    rows = [(100 * i + j, s, " ".join(["w"] * (n // 4 + (j < n % 4)))) for i, (s, n) in enumerate(sizes.items()) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.full_mix(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    source_of, taken, target = {k: s for k, s, _ in rows}, {}, {}
+    for r in got:
+        source = source_of[r["doc_id"]]
+        taken[source] = taken.get(source, 0) + r["taken"]
+        target[source] = r["target"]
+    for source, size in sizes.items():
+        assert abs(taken[source] - target[source]) <= (0.5 if target[source] < 1024 else 128), source
+    odd = documents(spark)
+    assert mixing.full_mix(odd).count() == odd.count() and mixing.full_mix(nothing(spark)).count() == 0
+    assert mixing.full_mix(odd.filter("doc_id < 3")).agg(F.sum("taken")).first()[0] == 0
+    kept = {r["source"] for r in mixing.repeat_documents(docs).select("source").distinct().collect()}
+    assert kept == set(sizes)
+
+
 def test_repeated_documents_keep_their_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     out = mixing.repeat_documents(docs)

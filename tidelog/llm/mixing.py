@@ -25,6 +25,8 @@ from tidelog.llm.common import cut, table, word_count
 GOLDEN = 0.6180339887498949
 #: Words in a block, and how often the mix may take a word.
 BLOCK_WORDS, MOST_REPEATS = 64, 3
+#: Sources with targets of fewer blocks take their target to the word.
+FEW_BLOCKS = 16
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -58,13 +60,11 @@ def source_targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     return targets.withColumn("low", low).withColumn("high", F.coalesce(F.lead("low").over(by_name), F.lit(2.0))).drop("level")
 
 
-def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
-    """The mix as `slot, place, taken_before, block_no`: which block fills each slot.
+def slot_points(spark: SparkSession, sources: DataFrame, words: int, block: int = BLOCK_WORDS) -> DataFrame:
+    """`slot, place, source_size, chunk`: the source of each slot.
 
     Slots map to sources over equal cells of [0, 1): every interval is listed
     in the cells that it meets, which bounds the join by cells plus sources.
-    Ranks come from counts per chunk of slots and a running number inside.
-    A slot that would take a block more than `most` times stays empty.
     """
     slots = words // block + (words % block > 0)
     cells, chunk = max(1024, slots >> 14), max(4096, math.isqrt(slots))
@@ -73,7 +73,16 @@ def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = B
     points = points.withColumn("cell", F.floor(F.col("point") * cells))
     last = F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))
     meets = sources.filter("low < high and target > 0").select("place", "source_size", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.greatest(last, F.floor(F.col("low") * cells)))).alias("cell"))
-    dealt = points.join(meets, "cell").filter("point >= low and point < high").select("slot", "place", "source_size", F.floor(F.col("slot") / chunk).alias("chunk"))
+    return points.join(meets, "cell").filter("point >= low and point < high").select("slot", "place", "source_size", F.floor(F.col("slot") / chunk).alias("chunk"))
+
+
+def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
+    """The mix as `slot, place, taken_before, block_no`: which block fills each slot.
+
+    Ranks come from counts per chunk of slots and a running number inside.
+    A slot that would take a block more than `most` times stays empty.
+    """
+    dealt = slot_points(spark, sources, words, block)
     counts = dealt.groupBy("place", "chunk").agg(F.count("*").alias("n"))
     by_chunk = W.partitionBy("place").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("place", "chunk", F.coalesce(F.sum("n").over(by_chunk), F.lit(0)).alias("start"))
@@ -139,6 +148,30 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) ->
     return taken.select(columns).unionByName(nothing.select(columns))
 
 
+def full_mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
+    """As `mix`, but every slot is a full block, whatever the size of its source.
+
+    Slot k of a source takes the words [block * k, block * (k + 1)) of its
+    laid-out words, around and around, so that n slots take block * n words. A
+    source whose target is below FEW_BLOCKS blocks takes its rounded target
+    instead, as so few slots may miss it by a large part. Rounds are whole
+    but for the last, so a document's share follows from its place.
+    """
+    spark = docs.sparkSession
+    sizes = cut(document_sizes(docs), "mix-sizes")
+    sources = cut(source_targets(sizes, most), "mix-sources")
+    documents, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    laid = lay_out(sizes, sources, documents)
+    slots = slot_points(spark, sources, words, block).groupBy("place").agg(F.count("*").alias("slots"))
+    by_slots = F.coalesce(F.col("slots"), F.lit(0)) * block
+    wanted = F.when(F.col("target") < FEW_BLOCKS * block, F.round("target").cast("long")).otherwise(by_slots)
+    takes = sources.join(slots, "place", "left").select("place", F.least(wanted, most * F.col("source_size")).alias("takes"))
+    rest = F.least(F.greatest(F.expr("takes % nullif(source_size, 0)") - F.col("start"), F.lit(0)), F.col("size"))
+    taken = F.when(F.col("size") > 0, F.expr("takes div nullif(source_size, 0)") * F.col("size") + rest).otherwise(0).cast("long")
+    # one row per source on the right
+    return laid.join(F.broadcast(takes), "place").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """`documents` as mixed: each row as often as the mix takes it, whole.
 
@@ -151,7 +184,7 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     copies = (F.floor(share) + (share - F.floor(share) > draw).cast("long")).alias("copies")
     # rows of one id and size are told apart by their place among them
     same = W.partitionBy("doc_id", "size").orderBy("taken")
-    often = mix(docs).filter("size > 0").select("doc_id", "size", copies, F.row_number().over(same).alias("nth")).filter("copies > 0")
+    often = full_mix(docs).filter("size > 0").select("doc_id", "size", copies, F.row_number().over(same).alias("nth")).filter("copies > 0")
     numbered = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_nth", F.row_number().over(W.partitionBy("doc_id", "mix_size").orderBy("text", "source")))
     joined = numbered.join(often.withColumnsRenamed({"doc_id": "mix_id", "size": "mix_words", "nth": "mix_n"}), F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_size") == F.col("mix_words")) & (F.col("mix_nth") == F.col("mix_n")))
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
