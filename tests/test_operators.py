@@ -203,3 +203,28 @@ def test_logistic_probe_separates(spark):
     frame = spark.range(300).select("id", ((F.col("id") % 3) == 0).cast("double").alias("label"), (((F.col("id") % 3) == 0).cast("double") * 2 + F.sin("id")).alias("x"), F.cos("id").alias("z"))
     _, coefficients = probe.refit_combination(frame, ["x", "z"], "label", "id", grid=(1.0,), folds=2)
     assert coefficients["x"] > abs(coefficients["z"])
+
+
+def test_probe_tries_the_whole_grid_and_scores_every_row(spark, monkeypatch):
+    from tidelog.operators import metrics, probe
+    from tidelog.plans import readout_queries as rq
+
+    seen = {}
+
+    def refit(frame, features, label, key, grid=probe.COMBINATION_C, folds=3):
+        seen.update(fitted=frame.count(), grid=grid, folds=folds)
+        return grid[0], dict.fromkeys(features, 1.0)
+
+    def auroc(frame):
+        seen["scored"] = frame.count()
+        return real(frame)
+
+    real = metrics.auroc
+    monkeypatch.setattr(probe, "refit_combination", refit)
+    monkeypatch.setattr(metrics, "auroc", auroc)
+    monkeypatch.setattr(rq, "PROBE_SAMPLE", 40)
+    rq.p1_p3_logistic_probe(spark, "/root/testdata/sf0.001")
+    assert seen == {"fitted": 40, "grid": probe.PROBE_C, "folds": 5, "scored": 150}
+    rq.l10_refit_combination(spark, "/root/testdata/sf0.001")
+    assert seen["folds"] == 3 and seen["grid"] == probe.COMBINATION_C
+    assert probe.logistic(["a"], "y", 1.0, 9).getStages()[-1].getMaxIter() == 2000

@@ -45,7 +45,7 @@ def _scaled(features: list[str]) -> list:
 
 def logistic(features: list[str], label: str, c: float, rows: int) -> Pipeline:
     """Standardised logistic regression; C is the inverse penalty summed over rows."""
-    model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / (c * max(1, rows)), maxIter=20)
+    model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / (c * max(1, rows)), maxIter=2000)
     return Pipeline(stages=[*_scaled(features), model])
 
 
