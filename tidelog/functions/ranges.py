@@ -6,32 +6,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that a key is cut into; as many bounds reach the driver.
-PARTS = 64
+#: Rows that a range should hold, and the fewest and most ranges that a key is cut into; as many bounds reach the driver.
+PART_ROWS, FEWEST_PARTS, MOST_PARTS = 1_000_000, 8, 10_000
+#: So many distinct values, with their counts, may reach the driver when a quantile is looked up.
+FEW_VALUES = 10_000
+_WIDTH_BITS = 14
 
 
-def with_part(frame: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
+def parts_for(rows: int) -> int:
+    """How many ranges a frame of so many rows is cut into."""
+    return min(MOST_PARTS, max(FEWEST_PARTS, -(-rows // PART_ROWS)))
+
+
+def with_part(frame: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Adds `part`, the range of a numeric key, from approximate quantiles.
 
-    The bounds are numbers in the plan, so every use of the result agrees on
-    them, recomputed or not.
+    As many ranges as the rows ask for, unless `parts` is given. The bounds are
+    numbers in the plan, so every use of the result agrees on them, recomputed
+    or not; a key's range is found by halving, so many bounds cost little.
     """
+    parts = parts or parts_for(frame.count())
     at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = frame.agg(F.percentile_approx(key, at, 1000).alias("b")).first()["b"] or []
-    bounds = sorted(set(found))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    found = frame.agg(F.percentile_approx(key, at, max(1000, 10 * parts)).alias("b")).first()["b"] if parts > 1 else []
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return frame.withColumn("part", F.lit(0))
+    held = F.array(*map(F.lit, bounds))
+    part = F.lit(0)
+    for bit in reversed(range(min(_WIDTH_BITS, len(bounds).bit_length()))):
+        ahead = part + (1 << bit)
+        fits = (ahead <= len(bounds)) & (F.element_at(held, F.least(ahead, F.lit(len(bounds))).cast("int")) < F.col(key))
+        part = F.when(fits, ahead).otherwise(part)
     return frame.withColumn("part", part)
 
 
-def running_before(frame: DataFrame, key: str, amount: Column, name: str) -> DataFrame:
-    """Adds the sum of `amount` over all rows with a smaller key; keys are distinct.
+def exact_quantile(frame: DataFrame, value: Column, share: float) -> float | None:
+    """The interpolated quantile of a column's values; nulls don't count, and without values it is None.
+
+    Approximate quantiles bracket it, the rows below are counted, and only what
+    lies in the bracket is looked at again, until few distinct values are left.
+    So no buffer holds all of a column's values.
+    """
+    left = frame.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n = left.count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    first, rest = int(place), place - int(place)
+    below = 0
+    while True:
+        counts = left.groupBy("v").agg(F.count("*").alias("n"))
+        few = counts.limit(FEW_VALUES + 1).collect()
+        if len(few) <= FEW_VALUES:
+            break
+        error = 1e-3
+        inside = left.count()
+        at = [min(1.0, max(0.0, (k - below) / max(1, inside - 1) + d)) for k, d in ((first, -2 * error), (first + 1, 2 * error))]
+        low, high = left.approxQuantile("v", at, error)
+        if at[0] > 0:
+            below += left.filter(F.col("v") < low).count()
+            left = left.filter(F.col("v") >= low)
+        left = left.filter(F.col("v") <= high)
+    found, seen = [], below
+    for value_, many in sorted((r["v"], r["n"]) for r in few):
+        found += [value_ for k in (first, min(first + 1, n - 1)) if seen <= k < seen + many]
+        seen += many
+    return found[0] + rest * (found[-1] - found[0])
 
-    Ranges are summed first, then rows inside each, so no task sees all rows.
+
+def running_sums(frame: DataFrame, key: str, amounts: dict[str, Column]) -> DataFrame:
+    """Adds under each name the sum of its amount over all rows with a smaller key; keys are distinct.
+
+    Ranges are summed first, then rows inside each, so no task sees all rows;
+    the sums are one row a range, MOST_PARTS at most.
     """
-    dealt = with_part(frame.withColumn("_amount", amount), key)
-    sums = dealt.groupBy("part").agg(F.sum("_amount").alias("s"))
+    dealt = with_part(frame.withColumns({f"_amount_{n}": a for n, a in amounts.items()}), key)
+    sums = dealt.groupBy("part").agg(*[F.sum(f"_amount_{n}").alias(n) for n in amounts])
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_start"))
+    starts = sums.select("part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_start_{n}") for n in amounts])
     inside = W.partitionBy("part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    run = dealt.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0))).join(F.broadcast(starts), "part")
-    return run.withColumn(name, F.col("_start") + F.col("_inside")).drop("part", "_amount", "_start", "_inside")
+    run = dealt.withColumns({f"_inside_{n}": F.coalesce(F.sum(f"_amount_{n}").over(inside), F.lit(0)) for n in amounts}).join(F.broadcast(starts), "part")
+    own = [c for c in frame.columns if c not in amounts]
+    return run.select(*own, *[(F.col(f"_start_{n}") + F.col(f"_inside_{n}")).alias(n) for n in amounts])
+
+
+def running_before(frame: DataFrame, key: str, amount: Column, name: str) -> DataFrame:
+    """Adds the sum of `amount` over all rows with a smaller key; keys are distinct."""
+    return running_sums(frame, key, {name: amount})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Columns per fact table, distinct values of a copied category, and of a counted one.
 MOST_COLUMNS, MOST_COPIED, MOST_COUNTED, LONGEST_LABEL = 16, 64, 16, 64
+#: Columns that a parent gets from its children.
+MOST_CHILD_COLUMNS = 32
 
 
 def fk_target_columns(events: DataFrame, fkey: str, target: DataFrame, pkey: str, columns: list[str], slot: str, timed: bool, cutoff: int | None = None) -> DataFrame:
@@ -55,6 +57,21 @@ def child_aggregates(parents: DataFrame, pkey: str, visible: DataFrame, sums: li
     return keys.join(counted, "parent_id", "left").select("parent_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
+def budgeted_children(kinds: DataFrame, values: DataFrame, most: int = MOST_CHILD_COLUMNS) -> DataFrame:
+    """`chosen, child, column_name, value` of the columns that a parent gets from its children, at most `most`.
+
+    First the count of every child (`column_name` null), then sums, then one
+    column per value of a category, so that many children share the budget.
+    `kinds` has `child_no, child, place, column_name, kind`, `values` has
+    `child, column_name, value`. There is a row per column, not per row.
+    """
+    children = kinds.select("child_no", "child").distinct().select(F.lit(0).alias("round"), "child_no", "child", F.lit(0).alias("place"), F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("value"))
+    sums = kinds.filter("kind = 'sum'").select(F.lit(1).alias("round"), "child_no", "child", "place", "column_name", F.lit(None).cast("string").alias("value"))
+    counted = kinds.filter("kind = 'category'").join(values.select("child", "column_name", "value").distinct(), ["child", "column_name"]).select(F.lit(2).alias("round"), "child_no", "child", "place", "column_name", "value")
+    chosen = F.row_number().over(W.orderBy("round", "child_no", "place", "value")) - 1
+    return children.unionByName(sums).unionByName(counted).withColumn("chosen", chosen).filter(F.col("chosen") < most).select("chosen", "child", "column_name", "value")
+
+
 def child_column_kinds(values: DataFrame, numbers: list[str]) -> DataFrame:
     """`column_name, n_distinct, longest, kind` of melted child columns.
 

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, month_bucket, weekday
-from tidelog.spec import DatabaseSpec
+from tidelog.functions.ranges import with_part
+from tidelog.spec import DatabaseSpec, union_spec
 
 Tables = dict[str, DataFrame]
 
@@ -21,6 +22,11 @@ def cutoff_filter(frame: DataFrame, cutoff: int, time_col: str | None = None) ->
     return frame.filter(F.col(time_col) < F.timestamp_add("SECOND", F.lit(cutoff + 1), F.lit("1970-01-01").cast("timestamp_ntz")))
 
 
+def later_than(frame: DataFrame, start: int, time_col: str) -> DataFrame:
+    """Rows after `start`; the filter reaches the scan."""
+    return frame.filter(F.col(time_col) >= F.timestamp_add("SECOND", F.lit(start + 1), F.lit("1970-01-01").cast("timestamp_ntz")))
+
+
 def before(spec: DatabaseSpec, tables: Tables, cutoff: int) -> Tables:
     """The tables with facts cut at the cutoff."""
     return {n: cutoff_filter(f, cutoff, spec[n].time_col) if spec[n].is_fact else f for n, f in tables.items()}
@@ -36,13 +42,14 @@ def event_stream(spec: DatabaseSpec, tables: Tables, cutoff: int) -> DataFrame:
 def positions(events: DataFrame) -> DataFrame:
     """Events with their `position` in the order (t, table_idx, row_key).
 
-    Days are summed up first, so a task ranks one day at a time.
+    Ranges of time with about equal numbers of events, as many as the events
+    ask for, are summed up first, so a task ranks one range.
     """
-    dated = events.withColumn("day", F.floor(F.col("t") / DAY))
-    sizes = dated.groupBy("day").agg(F.count("*").alias("n"))
-    starts = sizes.select("day", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("day").orderBy("t", "table_idx", "row_key")) - 1
-    return dated.withColumn("inside", inside).join(starts, "day").select("t", "table_idx", "row_key", (F.col("start") + F.col("inside")).alias("position"))
+    dealt = with_part(events, "t")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy("t", "table_idx", "row_key")) - 1
+    return dealt.withColumn("inside", inside).join(starts, "part").select("t", "table_idx", "row_key", (F.col("start") + F.col("inside")).alias("position"))
 
 
 def standardized(x: Column, mean: Column, std: Column) -> Column:
@@ -51,9 +58,9 @@ def standardized(x: Column, mean: Column, std: Column) -> Column:
 
 
 def encode(frame: DataFrame, column: str, vocab: DataFrame, name: str) -> DataFrame:
-    """Adds the code of a column's value, 0 where the vocabulary lacks it. A vocabulary has at most 1024 rows."""
+    """Adds the code of a column's value, 0 where the vocabulary lacks it."""
     codes = vocab.filter(F.col("column_name") == column).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    joined = frame.join(F.broadcast(codes), frame[column].cast("string") == F.col("_value"), "left")
+    joined = frame.join(codes, frame[column].cast("string") == F.col("_value"), "left")
     return joined.withColumn(name, F.coalesce("_code", F.lit(0))).drop("_value", "_code")
 
 
@@ -122,6 +129,18 @@ def link_counts(history: DataFrame, entities: DataFrame, pkey: str, since: int |
     return keys.join(counts, "entity_id", "left").select("entity_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
+def link_targets(tables: dict[str, Tables], specs: dict[str, DatabaseSpec]) -> DataFrame:
+    """`table_idx, table_name, column_name, target, n_links` of all foreign keys of the facts of several databases, named as in their union."""
+    union, arms = union_spec(specs), []
+    for fact in union.facts:
+        db, table = fact.name.split("::")
+        known = cutoff_filter(tables[db][table], specs[db].cutoff, fact.time_col)
+        if fact.fkeys:
+            listed = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(to).alias("target"), F.count(c).alias("n_links")) for c, to in fact.fkeys.items()])
+            arms.append(known.agg(listed.alias("links")).select(F.lit(union.table_idx(fact.name)).alias("table_idx"), F.lit(fact.name).alias("table_name"), F.inline("links")))
+    return reduce(DataFrame.unionByName, arms)
+
+
 def union_databases(logs: dict[str, DataFrame], specs: dict[str, DatabaseSpec]) -> DataFrame:
     """The event logs of several databases, tables named db::table and numbered on, databases by name."""
     arms, start = [], 0

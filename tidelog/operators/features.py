@@ -5,15 +5,20 @@ Only events before t_q count; with `inclusive` those at t_q do too.
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, count_if, trailing, weekday
 from tidelog.operators.timeline import sweep
+from tidelog.spec import DatabaseSpec
 
 #: Tiled past windows, and the last times that gaps are taken from.
 MOST_WINDOWS, LAST_TIMES, MOST_SLOTS, NEIGHBOURS = 8, 512, 64, 4
+#: Codes of a column that gets counters, and links whose neighbours are looked at.
+CODES, MOST_NEIGHBOUR_SLOTS = (2, 16), 12
 
 
 def _seen(inclusive: bool) -> Column:
@@ -122,12 +127,45 @@ def gap_globals(past: DataFrame) -> DataFrame:
     return past.withColumn("gap", gap).groupBy("query_id").agg(F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_std"), F.coalesce(F.avg(same), F.lit(0.0)).alias("weekday_share"))
 
 
-def neighbour_features(past: DataFrame, neighbour: str, neighbour_history: DataFrame) -> DataFrame:
+def neighbour_layout(spec: DatabaseSpec, entity: str, most: int = MOST_NEIGHBOUR_SLOTS) -> list[tuple[str, str, str]]:
+    """(table, column, target) of the links that an entity's facts hold beside the one to itself, the first of each table first."""
+    facts = [t for t, _ in spec.slots(entity)]
+    by_table = [[(t.name, c, to) for c, to in t.fkeys.items() if to != entity] for t in {f.name: f for f in facts}.values()]
+    return [slot for turn in zip_longest(*by_table) for slot in turn if slot][:most]
+
+
+def category_layout(cards: DataFrame, most: int = MOST_SLOTS, kept: list[str] | None = None) -> DataFrame:
+    """`slot, table_name, column_name, codes` of the columns that get counters, `slot` being a column's first.
+
+    `cards` has `table_no, table_name, place, column_name, codes`. Columns of 2
+    to 16 codes count, the first of each table first; one that doesn't fit
+    into what is left of `most` slots is passed over. Columns of an earlier
+    layout, named table.column in `kept`, keep their places in front, so widths
+    only grow. There is a row per column of the schema, not of the data.
+    """
+    name = F.concat_ws(".", "table_name", "column_name")
+    earlier = F.array_position(F.array(*[F.lit(k) for k in kept or []]).cast("array<string>"), name)
+    viable = cards.filter(F.col("codes").between(*CODES)).withColumn("depth", F.row_number().over(W.partitionBy("table_no").orderBy("place")))
+    order = F.struct((earlier == 0).alias("fresh"), earlier.alias("earlier"), "depth", "table_no", "table_name", "column_name", F.col("codes").cast("int").alias("codes"))
+    listed = viable.agg(F.array_sort(F.collect_list(order)).alias("c"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<slot:int,table_name:string,column_name:string,codes:int>>").alias("out"))
+
+    def step(done: Column, c: Column) -> Column:
+        fits = done["used"] + c["codes"] <= most
+        one = F.array(F.struct(done["used"].alias("slot"), c["table_name"].alias("table_name"), c["column_name"].alias("column_name"), c["codes"].alias("codes")))
+        return F.struct(F.when(fits, done["used"] + c["codes"]).otherwise(done["used"]).alias("used"), F.when(fits, F.concat(done["out"], one)).otherwise(done["out"]).alias("out"))
+
+    return listed.select(F.inline(F.aggregate("c", start, step)["out"]))
+
+
+def neighbour_features(past: DataFrame, neighbour: str, neighbour_history: DataFrame, same: int) -> DataFrame:
     """What an entity's links say: distinct neighbours, share of the top one, and means over the 4 most recent ones.
 
-    `past` is query rows with a neighbour column; `neighbour_history` has
-    `neighbour_id, t`. The means are of log1p of the neighbour's events before
-    t_q and of days since its last; `with_last` counts events with the latest.
+    `past` is query rows of one table with a neighbour column;
+    `neighbour_history` has `neighbour_id, t, table_idx`. The means are of log1p
+    of the neighbour's events before t_q, of those in table `same`, and of days
+    since its last; a neighbour without events counts 0. `with_last` counts
+    events with the latest neighbour.
     """
     linked = past.filter(F.col(neighbour).isNotNull())
     per = linked.groupBy("query_id", "t_q", F.col(neighbour).alias("neighbour_id")).agg(F.count("*").alias("n"), F.max("t").alias("last"))
@@ -139,8 +177,10 @@ def neighbour_features(past: DataFrame, neighbour: str, neighbour_history: DataF
         F.log1p(F.max(F.when(F.col("place") == 1, F.col("n")))).alias("nb_with_last"),
     )
     recent = ranked.filter(F.col("place") <= NEIGHBOURS)
-    seen = recent.join(neighbour_history, "neighbour_id").filter("t < t_q").groupBy("query_id", "neighbour_id", "t_q").agg(F.count("*").alias("events"), F.max("t").alias("latest"))
-    theirs = seen.groupBy("query_id").agg(F.avg(F.log1p("events")).alias("nb_events"), F.avg(F.log1p((F.col("t_q") - F.col("latest")) / DAY)).alias("nb_since"))
-    names = ["nb_distinct", "nb_top_share", "nb_with_last", "nb_events", "nb_since"]
+    seen = recent.join(neighbour_history, "neighbour_id").filter("t < t_q").groupBy("query_id", "neighbour_id", "t_q").agg(F.count("*").alias("events"), F.count_if(F.col("table_idx") == same).alias("alike"), F.max("t").alias("latest"))
+    pooled = recent.select("query_id", "neighbour_id").join(seen.withColumn("since", (F.col("t_q") - F.col("latest")) / DAY).drop("t_q"), ["query_id", "neighbour_id"], "left")
+    mean = lambda c: F.avg(F.log1p(F.coalesce(c, F.lit(0))))
+    theirs = pooled.groupBy("query_id").agg(mean("events").alias("nb_events"), mean("alike").alias("nb_alike"), mean("since").alias("nb_since"))
+    names = ["nb_distinct", "nb_top_share", "nb_with_last", "nb_events", "nb_alike", "nb_since"]
     done = own.join(theirs, "query_id", "left")
     return past.select("query_id").distinct().join(done, "query_id", "left").select("query_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])

@@ -10,25 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.functions.ranges import exact_quantile, running_sums
 
 def _per_score(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by, "pred").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
 
 
+def _run(counts: DataFrame, *by: str) -> DataFrame:
+    """Adds `pos_below, neg_below`: counts of rows with smaller scores; without `by` in two levels, so that no task sees all scores."""
+    if not by:
+        return running_sums(counts, "pred", {"pos_below": F.col("pos"), "neg_below": F.col("neg")})
+    earlier = W.partitionBy(*by).orderBy("pred").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("pos", "neg")})
+
+
 def auroc(scored: DataFrame, *by: str) -> DataFrame:
     """`auroc`: chance that a positive scores above a negative, ties half; null for one class."""
-    counts = _per_score(scored, *by)
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("pred").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
+    won = _run(_per_score(scored, *by), *by).withColumn("won", F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return won.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def average_precision(scored: DataFrame, *by: str) -> DataFrame:
     """`ap`: precision at each distinct score weighted by the recall gained; null without positives."""
     counts = _per_score(scored, *by)
-    down = W.partitionBy(*by).orderBy(F.desc("pred")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(down))
-    return run.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")).alias("ap"))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum(F.col("pos") + F.col("neg")).alias("everything"))
+    run = _run(counts, *by)
+    run = run.join(totals, list(by)) if by else run.crossJoin(F.broadcast(totals))
+    tp, n = F.col("all_pos") - F.col("pos_below"), F.col("everything") - F.col("pos_below") - F.col("neg_below")
+    return run.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * tp / n), F.sum("pos")).alias("ap"))
 
 
 def regression(scored: DataFrame, *by: str) -> DataFrame:
@@ -76,8 +85,8 @@ def poisson_nll(scored: DataFrame, balanced: bool = False) -> DataFrame:
 
 def diagnostics(scored: DataFrame) -> DataFrame:
     """`spread, pearson, p10, p50, p90` of predictions."""
-    at = F.percentile("pred", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return scored.agg(F.stddev_samp("pred").alias("spread"), F.corr("pred", "y").alias("pearson"), at.alias("p")).select("spread", "pearson", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p90"))
+    quantiles = [F.lit(exact_quantile(scored, F.col("pred"), p / 100)).cast("double").alias(f"p{p}") for p in (10, 50, 90)]
+    return scored.agg(F.stddev_samp("pred").alias("spread"), F.corr("pred", "y").alias("pearson")).select("spread", "pearson", *quantiles)
 
 
 def board(results: DataFrame, tasks: int, lower: bool = False) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Fitted probes on spark.ml: features in, predictions and cross-validated choices out."""
+"""Fitted probes on spark.ml: features in, predictions and cross-validated choices out.
+
+A probe is fitted on one frame and scores another, which has the same features
+as of a later time, so that no score is of rows that were fitted on.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.functions.ranges import exact_quantile
 from tidelog.operators.metrics import auroc
 
 #: Grids of the published readouts, as inverse regularisation.
@@ -82,46 +87,52 @@ def refit_combination(frame: DataFrame, features: list[str], label: str, key: st
     return best, raw_coefficients(model, features)
 
 
-def auto_pool(frame: DataFrame, features: list[str], label: str, key: str, folds: int = 3) -> tuple[str, DataFrame, dict[str, float]]:
-    """The best of a pool, simplest first, ties to the earlier one, with its scores and everyone's AUROC.
+def auto_pool(known: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, folds: int = 3) -> tuple[str, DataFrame, dict[str, float], dict[str, str]]:
+    """The best of a pool by cross-validation over `known`, simplest first, ties to the earlier one.
 
-    A candidate that cannot be fitted counts as not there.
+    Returns its name, its scores of `asked`, everyone's AUROC, and why those
+    that are missing could not be fitted, which doesn't stop the others.
     """
-    dealt = balanced(stratified_folds(frame, key, label, folds, 1), label).persist()
+    dealt = balanced(stratified_folds(known, key, label, folds, 1), label).persist()
     rows = dealt.count()
     tree = [VectorAssembler(inputCols=features, outputCol="features")]
+    boosted = lambda depth: Pipeline(stages=[*tree, GBTClassifier(labelCol=label, weightCol="weight", maxDepth=depth, maxIter=10, seed=1)])
     pool = {
         "logistic": logistic(features, label, 1.0, rows),
-        "gbt3": Pipeline(stages=[*tree, GBTClassifier(labelCol=label, weightCol="weight", maxDepth=3, maxIter=10, seed=1)]),
+        "gbt3": boosted(3),
+        "gbt6": boosted(6),
         "forest": Pipeline(stages=[*tree, RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=20, maxDepth=6, seed=1)]),
     }
-    found = {}
+    found, failed = {}, {}
     for name, pipeline in pool.items():
         try:
             found[name] = cross_validated(dealt, label, folds, pipeline.fit)
-        except Exception as failed:  # a candidate's failure doesn't stop the others
-            print(f"{name} was left out: {failed}")
+        except Exception as reason:
+            failed[name] = str(reason).split("\n")[0]
+    if not found:
+        raise ValueError(f"no candidate could be fitted: {failed}")
     best = max(found, key=lambda n: (round(found[n], 6), -list(pool).index(n)))
-    result = scored(pool[best].fit(dealt), dealt, label)
-    return best, result, found
+    result = scored(pool[best].fit(dealt), asked, label)
+    dealt.unpersist()
+    return best, result, found, failed
 
 
-def fitted_rate(frame: DataFrame, features: list[str], target: str, penalty: float = 0.01) -> DataFrame:
-    """Adds `rate`: a Poisson regression of window counts on features."""
+def fitted_rate(known: DataFrame, asked: DataFrame, features: list[str], target: str, penalty: float = 0.01) -> DataFrame:
+    """Adds `rate` to `asked`: a Poisson regression of window counts on features, fitted on `known`."""
     model = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, featuresCol="features", predictionCol="rate", regParam=penalty, maxIter=25)
-    return Pipeline(stages=[*_scaled(features), model]).fit(frame).transform(frame).drop("raw", "features")
+    return Pipeline(stages=[*_scaled(features), model]).fit(known).transform(asked).drop("raw", "features")
 
 
-def median_regression(frame: DataFrame, features: list[str], target: str, key: str, folds: int = 3) -> tuple[DataFrame, bool]:
-    """Adds `pred`: boosted trees under absolute loss on a robustly scaled target, and whether they were used.
+def median_regression(known: DataFrame, asked: DataFrame, features: list[str], target: str, key: str, folds: int = 3) -> tuple[DataFrame, bool]:
+    """Adds `pred` to `asked`: boosted trees under absolute loss on a robustly scaled target, and whether they were used.
 
-    The scale is median and 1.4826 times the median deviation. If
+    The scale is median and 1.4826 times the median deviation of `known`. If
     cross-validated error doesn't beat the constant median, that is the
     prediction.
     """
-    middle = frame.agg(F.percentile(target, F.lit(0.5)).alias("m")).first()["m"] or 0.0
-    spread = 1.4826 * (frame.agg(F.percentile(F.abs(F.col(target) - middle), F.lit(0.5)).alias("d")).first()["d"] or 0.0) or 1.0
-    dealt = frame.withColumn("_y", (F.col(target) - middle) / spread).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), key), F.lit(folds)).cast("int")).persist()
+    middle = exact_quantile(known, F.col(target), 0.5) or 0.0
+    spread = 1.4826 * (exact_quantile(known, F.abs(F.col(target) - middle), 0.5) or 0.0) or 1.0
+    dealt = known.withColumn("_y", (F.col(target) - middle) / spread).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), key), F.lit(folds)).cast("int")).persist()
     assemble = VectorAssembler(inputCols=features, outputCol="features")
     fit = lambda part: Pipeline(stages=[assemble, GBTRegressor(labelCol="_y", lossType="absolute", maxDepth=3, maxIter=10, seed=1)]).fit(part)
     errors = []
@@ -129,7 +140,8 @@ def median_regression(frame: DataFrame, features: list[str], target: str, key: s
         held = fit(dealt.filter(F.col("fold") != i)).transform(dealt.filter(F.col("fold") == i))
         errors.append(held.agg(F.sum(F.abs(F.col("_y") - F.col("prediction"))).alias("e"), F.sum(F.abs(F.col("_y"))).alias("c")).first())
     used = sum(e["e"] or 0.0 for e in errors) < sum(e["c"] or 0.0 for e in errors)
-    if not used:
-        return dealt.withColumn("pred", F.lit(middle)).drop("_y", "fold"), False
-    return fit(dealt).transform(dealt).withColumn("pred", F.col("prediction") * spread + middle).drop("_y", "fold", "features", "prediction"), True
-
+    model = fit(dealt) if used else None
+    dealt.unpersist()
+    if model is None:
+        return asked.withColumn("pred", F.lit(float(middle))), False
+    return model.transform(asked).withColumn("pred", F.col("prediction") * spread + middle).drop("features", "prediction"), True

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.functions.exprs import DAY
+from tidelog.functions.exprs import DAY, uniform
+from tidelog.functions.ranges import exact_quantile
 
-#: Candidates are scored in blocks of so many rows.
-BLOCK = 4096
+#: Rows of a block of queries and of candidates, and queries whose products are held at once.
+BLOCK, CATALOGUE_BLOCK, TILE = 4096, 16384, 512
+#: Parts that a cutoff's list is dealt into before it is cut.
+BUCKETS = 64
 
 
 def top(frame: DataFrame, group: str, k: int, *order: Column | str) -> DataFrame:
@@ -48,18 +51,19 @@ def project_scores(scores: DataFrame, path: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "candidate", "m").agg((F.col("m") + F.log(F.sum(F.exp(F.col("score") - F.col("m"))))).alias("score")).drop("m")
 
 
-def retrieve_dot(queries: DataFrame, catalogue: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def retrieve_dot(queries: DataFrame, catalogue: DataFrame, k: int, q_rows: int = BLOCK, c_rows: int = CATALOGUE_BLOCK) -> DataFrame:
     """`query_id, candidate, score, rank`: the k largest inner products over the whole catalogue.
 
-    Both sides are dealt into blocks and every block of queries meets every
-    block of candidates in a task of its own, as one matrix product; a task
-    passes on its own top k only. Blocks bound what a task holds.
+    Both sides are dealt into blocks of about q_rows and c_rows, as many as
+    their rows ask for, and every block of queries meets every block of
+    candidates in a task of its own; a task passes on its own top k only. It
+    holds one block of each and the products of TILE queries.
     """
-    q = queries.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    c = catalogue.withColumn("c_block", F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int"))
-    every = lambda frame, name: frame.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = every(q, "c_block").select("q_block", "c_block", F.col("query_id").alias("id"), "vector", F.lit(True).alias("is_query"))
-    right = every(c, "q_block").select("q_block", "c_block", F.col("candidate").alias("id"), "vector", F.lit(False).alias("is_query"))
+    q_blocks, c_blocks = (max(1, -(-frame.count() // rows)) for frame, rows in ((queries, q_rows), (catalogue, c_rows)))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(block("query_id", q_blocks).alias("q_block"), every(c_blocks).alias("c_block"), F.col("query_id").alias("id"), "vector", F.lit(True).alias("is_query"))
+    right = catalogue.select(every(q_blocks).alias("q_block"), block("candidate", c_blocks).alias("c_block"), F.col("candidate").alias("id"), "vector", F.lit(False).alias("is_query"))
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         own, other = rows[rows["is_query"]].sort_values("id"), rows[~rows["is_query"]].sort_values("id")
@@ -68,8 +72,8 @@ def retrieve_dot(queries: DataFrame, catalogue: DataFrame, k: int, blocks: int =
         b = np.array(other["vector"].tolist(), dtype=np.float64)
         ids = other["id"].to_numpy()
         out = []
-        for at in range(0, len(own), BLOCK):
-            part = own.iloc[at : at + BLOCK]
+        for at in range(0, len(own), TILE):
+            part = own.iloc[at : at + TILE]
             s = np.array(part["vector"].tolist(), dtype=np.float64) @ b.T
             keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), keep.shape[1]), "candidate": ids[keep].ravel(), "score": np.take_along_axis(s, keep, axis=1).ravel()}))
@@ -86,14 +90,23 @@ def retrieve_linear(queries: DataFrame, dense: DataFrame, sparse: DataFrame, k:
     and `sparse` has `query_id, candidate, sparse`. A candidate without a
     sparse part can only be in the answer if it is among the first k plus
     (number of touched candidates) of its cutoff's dense list, so no query
-    meets the whole catalogue.
+    meets the whole catalogue. Lists are cut within buckets first, so that a
+    cutoff's catalogue isn't sorted in one task; they join by powers of two
+    of the place, so a query meets twice its own reach at most, however far
+    another one reaches.
     """
-    place = F.row_number().over(W.partitionBy("cutoff").orderBy(F.desc("dense"), "candidate"))
     touched = sparse.groupBy("query_id").agg(F.count("*").alias("n_touched"))
-    counted = queries.join(touched, "query_id", "left").fillna(0, ["n_touched"])
-    most = counted.groupBy("cutoff").agg((F.max("n_touched") + k).alias("reach"))
-    head = dense.withColumn("place", place).join(F.broadcast(most), "cutoff").filter(F.col("place") <= F.col("reach"))
-    untouched = counted.join(head, "cutoff").filter(F.col("place") <= F.col("n_touched") + k).join(sparse.select("query_id", "candidate"), ["query_id", "candidate"], "left_anti").select("query_id", "candidate", F.col("dense").alias("score"))
+    reach = queries.join(touched, "query_id", "left").select("query_id", "cutoff", (F.coalesce("n_touched", F.lit(0)) + k).alias("reach"))
+    most = reach.groupBy("cutoff").agg(F.max("reach").alias("most"))
+    order = [F.desc("dense"), F.col("candidate")]
+    within = F.row_number().over(W.partitionBy("cutoff", "bucket").orderBy(*order))
+    near = dense.withColumn("bucket", F.pmod(F.xxhash64("candidate"), F.lit(BUCKETS))).withColumn("within", within).join(most, "cutoff").filter(F.col("within") <= F.col("most"))
+    place = F.row_number().over(W.partitionBy("cutoff").orderBy(*order))
+    octave = lambda c: F.floor(F.log2(c)).cast("int")
+    head = near.withColumn("place", place).filter(F.col("place") <= F.col("most")).select("cutoff", octave(F.col("place")).alias("octave"), "place", "candidate", "dense")
+    asked = reach.withColumn("octave", F.explode(F.sequence(F.lit(0), octave(F.col("reach")))))
+    met = asked.join(head, ["cutoff", "octave"]).filter(F.col("place") <= F.col("reach"))
+    untouched = met.join(sparse.select("query_id", "candidate"), ["query_id", "candidate"], "left_anti").select("query_id", "candidate", F.col("dense").alias("score"))
     pairs = queries.join(sparse, "query_id").join(dense, ["cutoff", "candidate"]).select("query_id", "candidate", (F.col("dense") + F.col("sparse")).alias("score"))
     return top(untouched.unionByName(pairs), "query_id", k, F.desc("score"), "candidate")
 
@@ -115,7 +128,8 @@ def rank_depth(ranked: DataFrame, truth: DataFrame, depths: list[int]) -> DataFr
     """One row: queries with truth, hit rates at depths, and median and 90 % rank of the best hit."""
     best = truth.join(ranked, ["query_id", "candidate"], "left").groupBy("query_id").agg(F.min("rank").alias("best"))
     rates = [F.avg((F.coalesce(F.col("best"), F.lit(1 << 30)) <= d).cast("double")).alias(f"hit_{d}") for d in depths]
-    return best.agg(F.count("*").alias("n_queries"), *rates, F.percentile("best", F.lit(0.5)).alias("median_rank"), F.percentile("best", F.lit(0.9)).alias("p90_rank"))
+    quantiles = [F.lit(exact_quantile(best, F.col("best"), share)).cast("double").alias(name) for share, name in ((0.5, "median_rank"), (0.9, "p90_rank"))]
+    return best.agg(F.count("*").alias("n_queries"), *rates).select("*", *quantiles)
 
 
 def oracle_rerank(ranked: DataFrame, truth: DataFrame, n: int) -> DataFrame:
@@ -203,3 +217,14 @@ def repeat_rates(truth: DataFrame, history: DataFrame) -> DataFrame:
     pairs = truth.select("src", "dst").distinct().join(seen, ["src", "dst"], "left").agg(F.count("*").alias("n_pairs"), (F.count("seen") / F.count("*")).alias("repeat_rate"))
     sources = truth.select("src").distinct().join(warm, "src", "left").agg((1 - F.count("warm") / F.count("*")).alias("cold_frac"))
     return pairs.crossJoin(sources)
+
+
+def simple_scores(frame: DataFrame, seed: int = 0, absence: bool = False) -> DataFrame:
+    """Adds the baselines `recency, count, random` to `entity_id, idle, n_past` (seconds since the last event, and events).
+
+    Where absence is what is asked for, recency and count change their signs;
+    a random score, fixed by the seed and the entity, has no side.
+    """
+    sign = -1.0 if absence else 1.0
+    recency = F.coalesce(-F.col("idle") / DAY, F.lit(-1e9))
+    return frame.withColumns({"recency": sign * recency, "count": sign * F.col("n_past").cast("double"), "random": uniform(seed, "entity_id")})

@@ -11,6 +11,8 @@ from tidelog.functions.ranges import running_before
 
 #: Shares of uniform, popularity and two-hop draws in the mixture.
 MIXTURE = (0.4, 0.3, 0.3)
+#: Entities that one shard of packed rows holds.
+SHARD_ENTITIES = 200_000
 
 
 def popularity(counts: DataFrame) -> DataFrame:
@@ -25,7 +27,8 @@ def draw_by_cdf(draws: DataFrame, cdf: DataFrame, u: str, cells: int = 1024) ->
     """Each draw's entity: the interval [low, high) that holds u.
 
     Intervals are listed in the equal cells they meet, at most cells plus
-    entities rows, and joined on the cell.
+    entities rows, and joined on the cell; with as many cells as entities a
+    draw meets two intervals on average.
     """
     cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
     listed = cdf.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
@@ -41,7 +44,7 @@ def negatives(queries: DataFrame, entities: DataFrame, cdf: DataFrame, n: int, s
     size = entities.agg(F.max("row_index") + 1).first()[0] or 0
     draws = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("u", uniform(seed, "query_id", "i"))
     flat = draws.filter(F.col("i") < n // 2).withColumn("row_index", F.floor(F.col("u") * size)).join(entities, "row_index").select("query_id", "i", F.col("entity_id").alias("candidate"))
-    by_mass = draw_by_cdf(draws.filter(F.col("i") >= n // 2), cdf, "u").select("query_id", "i", F.col("entity_id").alias("candidate"))
+    by_mass = draw_by_cdf(draws.filter(F.col("i") >= n // 2), cdf, "u", max(1024, size)).select("query_id", "i", F.col("entity_id").alias("candidate"))
     return flat.unionByName(by_mass)
 
 
@@ -84,7 +87,7 @@ def shared_pool(entities: DataFrame, cdf: DataFrame, n: int, seed: int, shares:
     flat = round(n * shares[0])
     draws = entities.sparkSession.range(n).withColumnRenamed("id", "i").withColumn("u", uniform(seed, "i"))
     uniform_part = draws.filter(F.col("i") < flat).withColumn("row_index", F.floor(F.col("u") * size)).join(entities, "row_index").select("i", "entity_id")
-    popular_part = draw_by_cdf(draws.filter(F.col("i") >= flat), cdf, "u").select("i", "entity_id")
+    popular_part = draw_by_cdf(draws.filter(F.col("i") >= flat), cdf, "u", max(1024, size)).select("i", "entity_id")
     chance = F.lit(shares[0] / max(1, size)) + F.lit(shares[1]) * F.col("p")
     return uniform_part.unionByName(popular_part).join(cdf.select("entity_id", "p"), "entity_id").select("i", F.col("entity_id").alias("candidate"), chance.alias("q"))
 
@@ -102,17 +105,23 @@ def shortlist(history: DataFrame, popular: DataFrame, two_hop: DataFrame, querie
     return history.select("query_id", "candidate").unionByName(queries.select("query_id").crossJoin(F.broadcast(top))).unionByName(near).distinct()
 
 
-def pack_sequences(history: DataFrame, max_len: int, seed: int, shards: int = 16) -> DataFrame:
+def history_tails(history: DataFrame, most: int) -> DataFrame:
+    """The last events of each entity, with `back` from 1 for the latest."""
+    back = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("t"), F.desc("row_key")))
+    return history.withColumn("back", back).filter(F.col("back") <= most)
+
+
+def pack_sequences(history: DataFrame, max_len: int, seed: int, shards: int | None = None) -> DataFrame:
     """`shard, row_id, place, entity_id, row_key, t`: last events of entities laid end to end into rows of max_len.
 
     An entity gives its last max_len / 2 events; entities come in an order
     fixed by the seed. An event past its row's end is cut off with the rest of
-    its entity's, as rows don't run over.
+    its entity's, as rows don't run over. There is a shard for every
+    SHARD_ENTITIES entities, so that none has to be sorted in one task.
     """
-    half = max_len // 2
-    back = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("t"), F.desc("row_key")))
-    tail = history.withColumn("back", back).filter(F.col("back") <= half)
+    tail = history_tails(history, max_len // 2)
     sizes = tail.groupBy("entity_id").agg(F.count("*").alias("n"))
+    shards = shards or max(16, -(-sizes.count() // SHARD_ENTITIES))
     order = F.xxhash64(F.lit(seed), "entity_id")
     sharded = sizes.withColumn("shard", F.pmod(order, F.lit(shards)).cast("int")).withColumn("ord", order)
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("ord", "entity_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -121,6 +130,14 @@ def pack_sequences(history: DataFrame, max_len: int, seed: int, shards: int = 16
     return placed.filter(F.col("place") < max_len).select("shard", "row_id", "place", "entity_id", "row_key", "t")
 
 
+def entity_rows(history: DataFrame, max_len: int) -> DataFrame:
+    """`entity_id, length, events`: one row per entity, its last max_len events in order, as (row_key, t)."""
+    tail = history_tails(history, max_len)
+    events = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("place"), "row_key", "t")))
+    rows = tail.groupBy("entity_id").agg(F.count("*").alias("length"), events.alias("events"))
+    return rows.withColumn("events", F.transform("events", lambda e: F.struct(e["row_key"].alias("row_key"), e["t"].alias("t"))))
+
+
 def sample_by(frame: DataFrame, column: str, shares: dict[str, float], key: str, seed: int) -> DataFrame:
     """Rows kept with the share of their group, by a draw fixed per key."""
     share = F.lit(0.0)

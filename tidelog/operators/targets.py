@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,26 +10,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, in_window, uniform
+from tidelog.functions.ranges import exact_quantile
+from tidelog.operators.timeline import sweep
 
 #: Events of a window that are kept in detail, and destinations of a query.
 MOST_DETAIL, MOST_DESTINATIONS = 256, 8
 
 
-def sample_queries(entities: DataFrame, first: DataFrame, cutoff: int, per_entity: int, seed: int, days: tuple[float, float] = (1.0, 365.0), tail: float = 0.25) -> DataFrame:
-    """`query_id, entity_id, t_q, horizon_s`: horizons log-uniform in days, times uniform where the window ends by the cutoff.
+def sample_queries(history: DataFrame, cutoff: int, per_entity: int, seed: int, days: tuple[float, float] = (1.0, 365.0), tail: float = 0.25, centre: float | None = None, spread: float = 0.5) -> DataFrame:
+    """`query_id, entity_id, t_q, horizon_s, k`: horizons first, then times uniform from an entity's first event to where the window ends by the cutoff.
 
-    With probability `tail` the time's age, back from the latest admissible one,
-    is log-uniform instead. Draws depend on the seed, entity and number only.
+    Horizons are log-uniform in days, or log-normal about `centre` days with
+    that spread of the logarithm, clipped to the same range. With probability
+    `tail` the time's age, back from the latest admissible one, is log-uniform
+    instead. k is the place, from 0, of the entity's last event at or before
+    t_q. Draws depend on the seed, entity and number only.
     """
-    rows = entities.join(first, "entity_id").select("entity_id", "t0", F.explode(F.sequence(F.lit(0), F.lit(per_entity - 1))).alias("i"))
+    first = history.groupBy("entity_id").agg(F.min("t").alias("t0"))
+    rows = first.select("entity_id", "t0", F.explode(F.sequence(F.lit(0), F.lit(per_entity - 1))).alias("i"))
     draw = lambda k: uniform(seed + k, "entity_id", "i")
     low, high = F.log(F.lit(days[0])), F.log(F.lit(days[1]))
-    horizon = F.greatest(F.lit(1), F.floor(F.exp(low + draw(0) * (high - low)) * DAY)).cast("long")
+    if centre is None:
+        log_days = low + draw(0) * (high - low)
+    else:
+        # a normal draw from two uniform ones
+        normal = F.sqrt(-2.0 * F.log(1.0 - draw(0))) * F.cos(2.0 * math.pi * draw(3))
+        log_days = F.least(F.greatest(math.log(centre) + spread * normal, low), high)
+    horizon = F.greatest(F.lit(1), F.floor(F.exp(log_days) * DAY)).cast("long")
     room = F.col("latest") - F.col("t0")
     aged = F.least(room, F.floor(F.exp(draw(2) * F.log(1 + room)) - 1))
     t_q = F.when(draw(1) < tail, F.col("latest") - aged).otherwise(F.col("t0") + F.floor(draw(2) * (room + 1))).cast("long")
     sized = rows.withColumn("horizon_s", horizon).withColumn("latest", cutoff - F.col("horizon_s")).filter("latest >= t0")
-    return sized.select(F.xxhash64(F.lit(seed), "entity_id", "i").alias("query_id"), "entity_id", t_q.alias("t_q"), "horizon_s")
+    asked = sized.select(F.xxhash64(F.lit(seed), "entity_id", "i").alias("query_id"), "entity_id", t_q.alias("t_q"), "horizon_s")
+    marks = asked.select("entity_id", F.col("t_q").alias("mark_t"), "query_id", "horizon_s")
+    placed = sweep(history.select("entity_id", "t"), marks, {"n": F.lit(1).cast("long")}, inclusive=True)
+    return placed.select("query_id", "entity_id", F.col("mark_t").alias("t_q"), "horizon_s", (F.col("n") - 1).alias("k"))
 
 
 def sample_dense_queries(history: DataFrame, cutoff: int, per_entity: int, horizon: int, seed: int) -> DataFrame:
@@ -70,15 +86,14 @@ def bucket_edges(frame: DataFrame, column: str, buckets: int = 8) -> list[float]
     that goes with the buckets and not with the rows.
     """
     values = frame.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    at = [i / buckets for i in range(1, buckets)]
-    quantiles = values.agg(F.percentile("x", F.array(*map(F.lit, at))).alias("q")).first()["q"]
-    if quantiles is None:
+    quantiles = [exact_quantile(values, F.col("x"), i / buckets) for i in range(1, buckets)]
+    if quantiles[0] is None:
         return [0.0] * (buckets - 1)
-    distinct = values.distinct()
     near = []
-    for i, x in enumerate(quantiles):
-        below = distinct.filter(F.col("x") < x).orderBy(F.desc("x")).limit(2)
-        above = distinct.filter(F.col("x") >= x).orderBy("x").limit(buckets + 2)
+    for i, x in enumerate(sorted(set(quantiles))):
+        # the distinct values beside it: grouping runs before the short sorted lists
+        below = values.filter(F.col("x") < x).distinct().orderBy(F.desc("x")).limit(2)
+        above = values.filter(F.col("x") >= x).distinct().orderBy("x").limit(buckets + 2)
         near.append(below.union(above).select(F.lit(i).alias("i"), "x"))
     runs: dict[int, list[float]] = {}
     for row in reduce(DataFrame.unionAll, near).collect():

@@ -6,23 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.functions.exprs import DAY
+
+#: Seconds of an entity's time that are sorted together.
+SPAN = 30 * DAY
+
 
 def sweep(events: DataFrame, marks: DataFrame, measures: dict[str, Column], inclusive: bool = False) -> DataFrame:
     """Running sums at each mark: `marks` plus one column per measure.
 
     `events` has `entity_id, t`, `marks` has `entity_id, mark_t` and columns of
-    its own. Both are sorted once per entity, and a mark reads the sums of the
-    events before it; an event at the very second of a mark counts if
-    inclusive. No event meets a mark in a join, so the cost is one sort however
-    many marks there are. Measures must be whole numbers or exact decimals.
+    its own. Both are sorted once per entity and SPAN, and a mark reads the sums
+    of the events before it: those of earlier spans, which are summed up first,
+    and those inside its own. So an entity with very many events is spread over
+    many tasks. An event at the very second of a mark counts if inclusive. No
+    event meets a mark in a join, so the cost is one sort however many marks
+    there are. Measures must be whole numbers or exact decimals.
     """
     extra = [c for c in marks.columns if c not in ("entity_id", "mark_t")]
     rank = F.lit(1 if inclusive else -1)
     rows = events.select("entity_id", F.col("t").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(marks.select(F.struct(*extra)).schema[0].dataType).alias("own"), *[m.alias(n) for n, m in measures.items()])
     points = marks.select("entity_id", F.col("mark_t").alias("at"), rank.alias("kind"), F.struct(*extra).alias("own"), *[F.lit(0).alias(n) for n in measures])
-    so_far = W.partitionBy("entity_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = rows.unionByName(points).withColumns({n: F.sum(n).over(so_far) for n in measures})
-    return run.filter("kind <> 0").select("entity_id", F.col("at").alias("mark_t"), "own.*", *measures)
+    run = rows.unionByName(points).withColumn("span", F.floor(F.col("at") / SPAN))
+    sums = run.groupBy("entity_id", "span").agg(*[F.sum(n).alias(f"before_{n}") for n in measures])
+    earlier = W.partitionBy("entity_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("entity_id", "span", *[F.coalesce(F.sum(f"before_{n}").over(earlier), F.lit(0)).alias(f"before_{n}") for n in measures])
+    so_far = W.partitionBy("entity_id", "span").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = run.withColumns({n: F.coalesce(F.sum(n).over(so_far), F.lit(0)) for n in measures}).filter("kind <> 0")
+    total = [(F.col(n) + F.col(f"before_{n}")).alias(n) for n in measures]
+    return inside.join(starts, ["entity_id", "span"]).select("entity_id", F.col("at").alias("mark_t"), "own.*", *total)
 
 
 def window_sums(events: DataFrame, queries: DataFrame, measures: dict[str, Column]) -> DataFrame:

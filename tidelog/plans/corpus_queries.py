@@ -274,3 +274,32 @@ _KIND_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c in SHOP_NUMBERS
 def d6_child_column_kind(spark: SparkSession, sf: str) -> DataFrame:
     lines, columns = _shop(spark, sf)["lineitem"], SHOP_NUMBERS["lineitem"] + SHOP_STRINGS["lineitem"]
     return denorm.child_column_kinds(typing_rules.melted(SHOP["lineitem"], lines, columns), SHOP_NUMBERS["lineitem"]).select("column_name", "n_distinct", "kind")
+
+
+_CHILD_COLUMNS = [*SHOP_NUMBERS["lineitem"], *SHOP_STRINGS["lineitem"]]
+_PLACES = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_CHILD_COLUMNS))
+_CHILD_VALUES = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {_known('lineitem')} WHERE {c} IS NOT NULL" for c in _CHILD_COLUMNS)
+
+
+@query(f"""WITH {O}, {L}, s AS ({_KIND_SQL}), k AS (SELECT column_name, CASE column_name {_PLACES} END AS place, CASE WHEN number AND n_distinct > 20 THEN 'sum' WHEN n_distinct BETWEEN 1 AND 16 AND longest <= 64 THEN 'category' ELSE 'drop' END AS kind FROM s),
+    a AS (SELECT 0 AS r, 0 AS place, NULL AS column_name, NULL AS value UNION ALL SELECT 1, place, column_name, NULL FROM k WHERE kind = 'sum' UNION ALL SELECT 2, place, column_name, value FROM k JOIN ({_CHILD_VALUES}) v USING (column_name) WHERE kind = 'category'),
+    n AS (SELECT *, row_number() OVER (ORDER BY r, place, value) - 1 AS chosen FROM a)
+    SELECT CAST(chosen AS INT) AS chosen, 'lineitem' AS child, column_name, value FROM n WHERE chosen < 32""")
+def d6_budgeted_children(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns that an order gets from its line items within the budget."""
+    lines = _shop(spark, sf)["lineitem"]
+    melted = typing_rules.melted(SHOP["lineitem"], lines, _CHILD_COLUMNS)
+    place = F.array_position(F.array(*map(F.lit, _CHILD_COLUMNS)), F.col("column_name")) - 1
+    child = F.lit("lineitem").alias("child")
+    kinds = denorm.child_column_kinds(melted, SHOP_NUMBERS["lineitem"]).select(F.lit(0).alias("child_no"), child, place.alias("place"), "column_name", "kind")
+    values = melted.filter("value is not null").select(child, "column_name", F.col("value").cast("string").alias("value"))
+    return denorm.budgeted_children(kinds, values)
+
+
+@query(f"""WITH {O}, {L}, {EV} SELECT 0 AS table_idx, 'clicks::events' AS table_name, 'user_id' AS column_name, 'clicks::customer' AS target, count(user_id) AS n_links FROM ev WHERE t <= {CLICKS.cutoff}
+    UNION ALL SELECT 1, 'shop::orders', 'o_custkey', 'shop::customer', count(o_custkey) FROM o WHERE t <= {CUT}
+    {" ".join(f"UNION ALL SELECT 2, 'shop::lineitem', '{c}', 'shop::{to}', count({c}) FROM l WHERE t <= {CUT}" for c, to in SHOP["lineitem"].fkeys.items())}""")
+def e11_union_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of two databases that share a table name, each to its own database's table."""
+    specs = {s.name: s for s in (SHOP, CLICKS)}
+    return events.link_targets({n: read_database(spark, sf, s) for n, s in specs.items()}, specs)

@@ -85,22 +85,55 @@ _SUPPLIER_Q = f"q AS (SELECT s_suppkey AS query_id, s_suppkey AS entity_id, {CUT
 def supplier_past(spark: SparkSession, sf: str) -> DataFrame:
     """Past lines of each supplier at the cutoff, with the part as neighbour."""
     tables = events.before(SHOP, read_database(spark, sf, SHOP), CUT)
-    history = tables["lineitem"].select(F.col("l_suppkey").alias("entity_id"), "t", F.col("l_partkey").alias("part"), F.expr(SHOP["lineitem"].key).alias("row_key"))
+    history = tables["lineitem"].select(F.col("l_suppkey").alias("entity_id"), "t", F.col("l_partkey").alias("part"), "l_partkey", "l_orderkey", F.expr(SHOP["lineitem"].key).alias("row_key"))
     points = tables["supplier"].select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("entity_id"), F.lit(CUT).cast("long").alias("t_q"), F.lit(D).cast("long").alias("horizon_s"))
     return features.joined(points, history)
 
 
-@query(f"""WITH {L}, {_SUPPLIER_Q}, k AS (SELECT * FROM l WHERE t < {CUT}),
-    per AS (SELECT query_id, t_q, l_partkey AS nb, count(*) AS n, max(t) AS last FROM q JOIN k ON l_suppkey = entity_id GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY last DESC, nb) AS place FROM per),
-    own AS (SELECT query_id, ln(1 + count(*)) AS a, max(n) / sum(n) AS b, ln(1 + max(n) FILTER (place = 1)) AS c FROM r GROUP BY 1),
-    seen AS (SELECT query_id, nb, t_q, count(*) AS events, max(t) AS latest FROM r JOIN k ON l_partkey = nb WHERE place <= 4 GROUP BY ALL),
-    th AS (SELECT query_id, avg(ln(1 + events)) AS d, avg(ln(1 + (t_q - latest) / 86400.0)) AS e FROM seen GROUP BY 1)
-    SELECT q.query_id, round(coalesce(a, 0), 6) AS nb_distinct, round(coalesce(b, 0), 6) AS nb_top_share, round(coalesce(c, 0), 6) AS nb_with_last, round(coalesce(d, 0), 6) AS nb_events, round(coalesce(e, 0), 6) AS nb_since
-    FROM q LEFT JOIN own USING (query_id) LEFT JOIN th USING (query_id)""")
+_NB_SLOTS = features.neighbour_layout(SHOP, "supplier")
+_NB_NAMES = ("distinct", "top_share", "with_last", "events", "alike", "since")
+
+
+def _neighbour_sql(i: int, column: str) -> str:
+    return f"""per{i} AS (SELECT query_id, t_q, {column} AS nb, count(*) AS n, max(t) AS last FROM q JOIN k ON l_suppkey = entity_id GROUP BY ALL),
+    r{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY last DESC, nb) AS place FROM per{i}),
+    own{i} AS (SELECT query_id, ln(1 + count(*)) AS nb_distinct, max(n) / sum(n) AS nb_top_share, ln(1 + max(n) FILTER (place = 1)) AS nb_with_last FROM r{i} GROUP BY 1),
+    seen{i} AS (SELECT query_id, nb, t_q, count(*) AS events, max(t) AS latest FROM r{i} JOIN k ON {column} = nb WHERE place <= 4 GROUP BY ALL),
+    th{i} AS (SELECT query_id, avg(ln(1 + events)) AS nb_events, avg(ln(1 + events)) AS nb_alike, avg(ln(1 + (t_q - latest) / 86400.0)) AS nb_since FROM seen{i} GROUP BY 1)"""
+
+
+# every neighbour of these slots has line items only, so all its events are of the same table
+@query(f"""WITH {L}, {_SUPPLIER_Q}, k AS (SELECT * FROM l WHERE t < {CUT}), {", ".join(_neighbour_sql(i, c) for i, (_, c, _) in enumerate(_NB_SLOTS))}
+    SELECT q.query_id, {", ".join(f"round(coalesce({'own' if n in ('distinct', 'top_share', 'with_last') else 'th'}{i}.nb_{n}, 0), 6) AS {c}_{n}" for i, (_, c, _) in enumerate(_NB_SLOTS) for n in _NB_NAMES)}
+    FROM q {" ".join(f"LEFT JOIN own{i} ON own{i}.query_id = q.query_id LEFT JOIN th{i} ON th{i}.query_id = q.query_id" for i in range(len(_NB_SLOTS)))}""")
 def f7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    parts = events.histories(SHOP, read_database(spark, sf, SHOP), "part", CUT).select(F.col("entity_id").alias("neighbour_id"), "t")
-    return rounded(features.neighbour_features(supplier_past(spark, sf), "part", parts))
+    """Neighbour features of suppliers over every link that their line items hold beside the one to them."""
+    tables = read_database(spark, sf, SHOP)
+    done = tables["supplier"].select(F.col("s_suppkey").alias("query_id"))
+    for table, column, target in _NB_SLOTS:
+        theirs = events.histories(SHOP, tables, target, CUT).select(F.col("entity_id").alias("neighbour_id"), "t", "table_idx")
+        own = features.neighbour_features(supplier_past(spark, sf), column, theirs, SHOP.table_idx(table))
+        done = done.join(own.withColumnsRenamed({f"nb_{n}": f"{column}_{n}" for n in _NB_NAMES}), "query_id")
+    return rounded(done)
+
+
+_LAYOUT_COLUMNS = {"orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]}
+_LAYOUT_KEPT, _LAYOUT_MOST = ["lineitem.l_linestatus"], 24
+
+
+@query(f"""WITH RECURSIVE {O}, {L}, c AS ({" UNION ALL ".join(f"SELECT {i} AS table_no, '{t}' AS table_name, {j} AS place, '{c}' AS column_name, CAST(count(DISTINCT {c}) AS INT) AS codes FROM {t[0]} WHERE t <= {CUT}" for i, (t, columns) in enumerate(_LAYOUT_COLUMNS.items()) for j, c in enumerate(columns))}),
+    d AS (SELECT *, row_number() OVER (PARTITION BY table_no ORDER BY place) AS depth FROM c WHERE codes BETWEEN 2 AND 16),
+    k AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN table_name || '.' || column_name = '{_LAYOUT_KEPT[0]}' THEN 0 ELSE 1 END, depth, table_no) AS i FROM d),
+    p AS (SELECT 0 AS i, 0 AS slot, 0 AS used, '' AS table_name, '' AS column_name, 0 AS codes, false AS fits
+          UNION ALL SELECT k.i, p.used, CASE WHEN p.used + k.codes <= {_LAYOUT_MOST} THEN p.used + k.codes ELSE p.used END, k.table_name, k.column_name, k.codes, p.used + k.codes <= {_LAYOUT_MOST} FROM p JOIN k ON k.i = p.i + 1)
+    SELECT CAST(slot AS INT) AS slot, table_name, column_name, codes FROM p WHERE fits""")
+def f3_category_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Which columns of the shop's facts get counters, in a small budget, behind one that had some before."""
+    tables, arms = events.before(SHOP, read_database(spark, sf, SHOP), CUT), []
+    for i, (name, columns) in enumerate(_LAYOUT_COLUMNS.items()):
+        listed = F.array(*[F.struct(F.lit(j).alias("place"), F.lit(c).alias("column_name"), F.count_distinct(c).alias("codes")) for j, c in enumerate(columns)])
+        arms.append(tables[name].agg(listed.alias("l")).select(F.lit(i).alias("table_no"), F.lit(name).alias("table_name"), F.inline("l")))
+    return features.category_layout(arms[0].unionByName(arms[1]), _LAYOUT_MOST, _LAYOUT_KEPT)
 
 
 @query(f"""WITH {O}, q AS (SELECT o_orderkey AS query_id, o_custkey AS entity_id, t AS t_q, {D} AS horizon_s FROM o)

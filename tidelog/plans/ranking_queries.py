@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY
+from tidelog.functions.ranges import exact_quantile
 from tidelog.operators import events, metrics, pairs, ranking, sampling, typing_rules
 from tidelog.plans import feature_queries as fq
 from tidelog.plans import target_queries as tq
@@ -96,6 +97,14 @@ def n8_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.pack_sequences(events.histories(SHOP, read_database(spark, sf, SHOP), "customer", CUT), 32, seed=3)
 
 
+@query(f"""WITH {O}, h AS (SELECT o_custkey AS entity_id, o_orderkey AS row_key, t, row_number() OVER (PARTITION BY o_custkey ORDER BY t DESC, o_orderkey DESC) AS back FROM o WHERE t <= {CUT} AND o_custkey IS NOT NULL)
+    SELECT entity_id, count(*) AS length, string_agg(CAST(row_key AS VARCHAR), ',' ORDER BY back DESC) AS row_keys FROM h WHERE back <= 8 GROUP BY 1""")
+def n8_entity_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's last events as one row each."""
+    rows = sampling.entity_rows(events.histories(SHOP, read_database(spark, sf, SHOP), "customer", CUT), 8)
+    return rows.select("entity_id", "length", F.array_join(F.transform("events", lambda e: e["row_key"].cast("string")), ",").alias("row_keys"))
+
+
 @query()
 def n9_sample_databases(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_by(read_table(spark, sf, "events"), "event_type", {"purchase": 1.0, "view": 0.25, "click": 0.5}, "event_id", seed=2).select("event_id", "event_type")
@@ -216,6 +225,15 @@ def _label_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("entity_id"), F.col("vec_id").alias("t"), F.col("vec_id").alias("row_key"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
+@query("""WITH v AS (SELECT CAST(label AS BIGINT) AS entity_id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT entity_id, d, avg(x) AS x FROM v GROUP BY ALL),
+    c AS (SELECT d, avg(x) AS c FROM m GROUP BY 1), k AS (SELECT entity_id, d, x - c AS x FROM m JOIN c USING (d)), n AS (SELECT entity_id, sqrt(sum(x * x)) AS len FROM k GROUP BY 1)
+    SELECT entity_id, round(max(x / len) FILTER (d = 1), 6) AS v0, round(max(x / len) FILTER (d = 2), 6) AS v1, round(max(x / len) FILTER (d = 64), 6) AS v63 FROM k JOIN n USING (entity_id) GROUP BY 1""")
+def l11_normalized_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean vectors, centred over all entities and of length 1."""
+    done = ranking.normalized(ranking.entity_vectors(_label_vectors(spark, sf), 64), 64)
+    return done.select("entity_id", *[F.round(F.get("vector", F.lit(i)), 6).alias(f"v{i}") for i in (0, 1, 63)])
+
+
 @query("""WITH v AS (SELECT label, vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e, power(0.5, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1) AS w FROM embeddings)
     SELECT CAST(label AS BIGINT) AS entity_id, round(sum(w * e[1]) / sum(w), 6) AS ema0, round(sum(w * e[2]) / sum(w), 6) AS ema1, round(arg_max(e[1], vec_id), 6) AS last0 FROM v GROUP BY 1""")
 def l11_ema_and_last(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +245,7 @@ def l11_ema_and_last(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EV} SELECT count(*) AS n_queries, 0.0::DOUBLE AS "unknown", round(avg(CASE WHEN u IS NULL THEN 1.0 ELSE 0.0 END), 6) AS cold, round(avg(CASE WHEN u IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered
     FROM customer LEFT JOIN (SELECT DISTINCT user_id AS u FROM ev WHERE t <= {fq.CCUT}) ON u = c_custkey""")
 def l12_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    log = events.cutoff_filter(tq.clicks_log(spark, sf), fq.CCUT)
+    log = tq.clicks_log(spark, sf, until=fq.CCUT)
     points = tq.customers(spark, sf)
     return rounded(ranking.coverage(points, read_table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id")), log))
 
@@ -303,13 +321,14 @@ SCORED = f"""sc1 AS (SELECT c_custkey AS entity_id, CAST(count(*) FILTER (t <= {
     FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1), scored AS (SELECT *, CASE WHEN n_next > 0 THEN 1 ELSE 0 END AS y FROM sc1)"""
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    log = tq.orders_log(spark, sf)
+def scored(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
+    """Customers as of a cutoff; `y`, `n_next` and `next_sum` are of the horizon after it."""
+    log = tq.orders_log(spark, sf, until=cutoff + D)
     t, price = F.col("t"), F.col("o_totalprice")
     add = lambda c: F.coalesce(F.sum(F.when(c, price)), F.lit(0.0))
-    before, last, after = t <= CUT, (t <= CUT) & (t > CUT - D), (t > CUT) & (t <= CUT + D)
+    before, last, after = t <= cutoff, (t <= cutoff) & (t > cutoff - D), (t > cutoff) & (t <= cutoff + D)
     per = log.groupBy("entity_id").agg(
-        F.count_if((t <= CUT) & (t > CUT - 4 * D)).cast("double").alias("pred"), F.count_if(after).cast("double").alias("n_next"), add(last).alias("past_sum"), add(after).alias("next_sum"), (CUT - F.max(F.when(before, t))).alias("idle"), F.count_if(before).alias("n_past")
+        F.count_if((t <= cutoff) & (t > cutoff - 4 * D)).cast("double").alias("pred"), F.count_if(after).cast("double").alias("n_next"), add(last).alias("past_sum"), add(after).alias("next_sum"), (cutoff - F.max(F.when(before, t))).alias("idle"), F.count_if(before).alias("n_past")
     )
     joined = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id")).join(per, "entity_id", "left")
     return joined.fillna(0, ["pred", "n_next", "past_sum", "next_sum", "n_past"]).withColumn("y", (F.col("n_next") > 0).cast("int"))
@@ -399,22 +418,33 @@ def m11_pick_on_validation(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.pick_on_validation(results)
 
 
-@query(f"WITH {O}, {SCORED} SELECT entity_id, round(coalesce(-idle / 86400.0, -1e9), 6) AS recency, CAST(n_past AS DOUBLE) AS \"count\", 0.0::DOUBLE AS zero, (SELECT median(past_sum) FROM scored) AS median_sum FROM scored")
+@query(f"""WITH {O}, {SCORED} SELECT entity_id, round(coalesce(-idle / 86400.0, -1e9), 6) AS recency, CAST(n_past AS DOUBLE) AS "count", round(coalesce(idle / 86400.0, 1e9), 6) AS recency_absence, CAST(-n_past AS DOUBLE) AS count_absence,
+    0.0::DOUBLE AS zero, (SELECT median(past_sum) FROM scored) AS median_sum FROM scored""")
 def b8_b9_simple_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Recency and count scores, and the zero and training-median predictors."""
+    """Recency and count scores, for presence and for absence, and the zero and training-median predictors."""
     frame = scored(spark, sf)
-    middle = frame.agg(F.percentile("past_sum", F.lit(0.5)).alias("median_sum"))
-    return frame.crossJoin(F.broadcast(middle)).select("entity_id", F.round(F.coalesce(-F.col("idle") / DAY, F.lit(-1e9)), 6).alias("recency"), F.col("n_past").cast("double").alias("count"), F.lit(0.0).alias("zero"), "median_sum")
+    both = ranking.simple_scores(frame).select("entity_id", "recency", "count", "past_sum", "idle", "n_past")
+    flipped = ranking.simple_scores(both.select("entity_id", "idle", "n_past"), absence=True).select("entity_id", F.col("recency").alias("recency_absence"), F.col("count").alias("count_absence"))
+    middle = F.lit(exact_quantile(frame, F.col("past_sum"), 0.5)).cast("double").alias("median_sum")
+    return both.join(flipped, "entity_id").select("entity_id", F.round("recency", 6).alias("recency"), "count", F.round("recency_absence", 6).alias("recency_absence"), "count_absence", F.lit(0.0).alias("zero"), middle)
+
+
+@query()
+def b8_random_score(spark: SparkSession, sf: str) -> DataFrame:
+    """A random score per customer, the same in every run."""
+    return ranking.simple_scores(scored(spark, sf), seed=12).select("entity_id", "random")
 
 
 @query(f"""WITH {O}, w AS (SELECT c_custkey AS entity_id, j, coalesce(sum(o_totalprice), 0) AS y FROM customer CROSS JOIN range(1, 5) r(j) LEFT JOIN o ON o_custkey = c_custkey AND t > {CUT} - j * {D} AND t <= {CUT} - (j - 1) * {D} GROUP BY ALL)
-    SELECT entity_id, round(avg(y), 4) AS entity_mean, round(median(y), 4) AS entity_median, (SELECT round(avg(y), 4) FROM w) AS global_mean, (SELECT round(median(y), 4) FROM w) AS global_median FROM w GROUP BY 1""")
+    SELECT entity_id, round(avg(y), 4) AS entity_mean, round(median(y), 4) AS entity_median, (SELECT round(avg(y), 4) FROM w) AS global_mean, (SELECT round(median(y), 4) FROM w) AS global_median, (SELECT CASE WHEN avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE FROM w) AS majority FROM w GROUP BY 1""")
 def b10_past_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Means and medians of a customer's and of all past windows."""
+    """Means and medians of a customer's and of all past windows, and whether most windows hold anything."""
     points = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("j"))
-    log = tq.orders_log(spark, sf).select("entity_id", F.ceil((CUT - F.col("t") + 1) / D).alias("j"), "t", "o_totalprice").filter((F.col("t") <= CUT) & (F.col("j") <= 4))
+    log = tq.orders_log(spark, sf, after=CUT - 4 * D, until=CUT).select("entity_id", F.ceil((CUT - F.col("t") + 1) / D).alias("j"), "t", "o_totalprice").filter((F.col("t") <= CUT) & (F.col("j") <= 4))
     sums = points.join(log.groupBy("entity_id", "j").agg(F.sum("o_totalprice").alias("s")), ["entity_id", "j"], "left").select("entity_id", F.coalesce("s", F.lit(0.0)).alias("y"))
-    everyone = sums.agg(F.round(F.avg("y"), 4).alias("global_mean"), F.round(F.percentile("y", F.lit(0.5)), 4).alias("global_median"))
+    median = F.round(F.lit(exact_quantile(sums, F.col("y"), 0.5)).cast("double"), 4).alias("global_median")
+    majority = (F.avg((F.col("y") > 0).cast("double")) >= 0.5).cast("double").alias("majority")
+    everyone = sums.agg(F.round(F.avg("y"), 4).alias("global_mean"), majority).select("global_mean", median, "majority")
     own = sums.groupBy("entity_id").agg(F.round(F.avg("y"), 4).alias("entity_mean"), F.round(F.percentile("y", F.lit(0.5)), 4).alias("entity_median"))
     return own.crossJoin(F.broadcast(everyone))
 
@@ -423,7 +453,7 @@ def b10_past_values(spark: SparkSession, sf: str) -> DataFrame:
     SELECT round(least(zero, past, med) / sd, 6) AS best_trivial, round(100 * (zero / sd) / (least(zero, past, med) / sd), 4) AS zero_percent FROM m""")
 def b11_best_trivial(spark: SparkSession, sf: str) -> DataFrame:
     frame = scored(spark, sf)
-    middle = frame.agg(F.percentile("past_sum", F.lit(0.5)).alias("median_sum"), F.stddev_samp("past_sum").alias("sd"))
+    middle = frame.agg(F.stddev_samp("past_sum").alias("sd")).withColumn("median_sum", F.lit(exact_quantile(frame, F.col("past_sum"), 0.5)).cast("double"))
     y = F.col("next_sum")
     errors = frame.crossJoin(F.broadcast(middle)).agg(F.avg(F.abs(y)).alias("zero"), F.avg(F.abs(y - F.col("past_sum"))).alias("past"), F.avg(F.abs(y - F.col("median_sum"))).alias("med"), F.max("sd").alias("sd"))
     best = F.least("zero", "past", "med") / F.col("sd")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ RATES = f"""r0 AS (SELECT c_custkey AS entity_id, count(t) AS n, count(*) FILTER
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:
-    log = tq.orders_log(spark, sf).filter(F.col("t") < CUT)
+    log = tq.orders_log(spark, sf, until=CUT - 1)
     per = log.groupBy("entity_id").agg(
         F.count("*").alias("n"), count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"), count_if(F.col("o_totalprice") > 150000).alias("d"), (CUT - F.min("t")).alias("age"), F.sum("o_totalprice").alias("s")
     )
@@ -58,7 +58,7 @@ _EDGES, _CENTRES = tq._EDGES, [3.5, 9.5, 15.5, 22.0, 28.5, 35.0, 41.5, 47.5]
     round(sum([{", ".join(map(str, _CENTRES))}][b + 1]) / count(*), 6) AS mean_quantity FROM b GROUP BY 1""")
 def r2_r9_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Rows at most, and over, 20 by bucket weights, and the bucketed mean."""
-    lines = tq.lines_log(spark, sf).filter(F.col("t") < CUT)
+    lines = tq.lines_log(spark, sf, until=CUT - 1)
     b = targets.bucket_of(F.col("l_quantity"), _EDGES)
     held = lines.groupBy("entity_id").agg(F.array(*[count_if(b == i).cast("double") for i in range(8)]).alias("rates"))
     weigh = lambda op: F.aggregate(F.zip_with("rates", F.array(*map(F.lit, readout.bucket_weights(_EDGES, _CENTRES, op, 20.0))), lambda r, w: r * w), F.lit(0.0), lambda a, x: a + x)
@@ -97,7 +97,7 @@ def r7_r8_r10_medians(spark: SparkSession, sf: str) -> DataFrame:
     h AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS n FROM k), c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS hits FROM h WHERE n <= 512 GROUP BY 1)
     SELECT c_custkey AS entity_id, round(least(greatest((coalesce(hits, 0) + 5 * b) / (coalesce(n, 0) + 5), 1e-9), 1), 6) AS share FROM customer CROSS JOIN base LEFT JOIN c ON user_id = c_custkey""")
 def r11_empirical_share(spark: SparkSession, sf: str) -> DataFrame:
-    log = tq.clicks_log(spark, sf).filter(F.col("t") < CCUT)
+    log = tq.clicks_log(spark, sf, until=CCUT - 1)
     base = log.agg(F.avg((F.col("event_type") == "purchase").cast("double")).alias("base"))
     points = tq.customers(spark, sf, CCUT)
     tail = events.history_tail(points, log.select("entity_id", "t", "table_idx", "row_key", "event_type"), 512)
@@ -108,14 +108,14 @@ def r11_empirical_share(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def r13_fitted_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders in the next horizon, regressed on past counts."""
-    frame = rq.scored(spark, sf).select("entity_id", F.log1p("pred").alias("recent"), F.log1p("n_past").alias("past"), F.col("n_next").alias("target"))
-    return probe.fitted_rate(frame, ["recent", "past"], "target").select("entity_id", "target", "rate")
+    """Orders in the next horizon, regressed on past counts one horizon before."""
+    at = lambda cutoff: rq.scored(spark, sf, cutoff).select("entity_id", F.log1p("pred").alias("recent"), F.log1p("n_past").alias("past"), F.col("n_next").alias("target"))
+    return probe.fitted_rate(at(CUT - D), at(CUT), ["recent", "past"], "target").select("entity_id", "target", "rate")
 
 
 def _gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps in days between a customer's orders up to the cutoff, per market segment."""
-    log = events.cutoff_filter(tq.orders_log(spark, sf), CUT)
+    log = tq.orders_log(spark, sf, until=CUT)
     gaps = targets.next_events(log, CUT, []).select("entity_id", F.ceil(F.col("gap") / DAY).cast("long").alias("gap"), "censored")
     segments = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("segment"))
     return gaps.join(segments, "entity_id").select("segment", "gap", "censored")
@@ -171,8 +171,12 @@ _FEATURES = ["recent", "past", "idle_days"]
 PROBE_SAMPLE = 20_000
 
 
-def _probe_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return rq.scored(spark, sf).select("entity_id", F.log1p("pred").alias("recent"), F.log1p("n_past").alias("past"), F.log1p(F.coalesce(F.col("idle") / DAY, F.lit(1e4))).alias("idle_days"), F.col("y").cast("double").alias("label"), F.col("next_sum").alias("target"))
+def _probe_frame(spark: SparkSession, sf: str, cutoff: int) -> DataFrame:
+    return rq.scored(spark, sf, cutoff).select("entity_id", F.log1p("pred").alias("recent"), F.log1p("n_past").alias("past"), F.log1p(F.coalesce(F.col("idle") / DAY, F.lit(1e4))).alias("idle_days"), F.col("y").cast("double").alias("label"), F.col("next_sum").alias("target"))
+
+
+def _listed(spark: SparkSession, rows: list[tuple[str, float]], name: str, value: str) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias(name), F.lit(float(v)).alias(value)) for n, v in rows])))
 
 
 @query()
@@ -184,36 +188,41 @@ def l10_refit_combination(spark: SparkSession, sf: str) -> DataFrame:
     past = fq.supplier_past(spark, sf).withColumnRenamed("part", "candidate").filter("t is not null")
     wide = pairs.pair_features(candidates, fq._activity(spark, sf), pairs.pair_history(past, candidates), scores, fq.WEIGHTS)
     frame = wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).withColumn("key", F.xxhash64("query_id", "candidate"))
-    features = ["total", "recent", "staleness", "times", "cooc"]
-    best, coefficients = probe.refit_combination(frame, features, "label", "key")
-    rows = [("C", float(best)), *coefficients.items()]
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("value")) for n, v in rows])))
+    best, coefficients = probe.refit_combination(frame, list(fq.WEIGHTS), "label", "key")
+    return _listed(spark, [("C", best), *coefficients.items()], "name", "value")
 
 
 @query()
 def p1_p3_logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """A balanced logistic probe on a seeded sample, C by stratified folds over the published grid; its AUROC is over all rows."""
-    frame = _probe_frame(spark, sf)
-    best, coefficients = probe.refit_combination(probe.support_sample(frame, "entity_id", PROBE_SAMPLE, seed=4), _FEATURES, "label", "entity_id", grid=probe.PROBE_C, folds=5)
+    """A balanced logistic probe on a seeded sample, C by stratified folds over the published grid.
+
+    It is fitted a horizon before the cutoff; its AUROC is over all rows at
+    the cutoff, beside that over all rows of the time it was fitted at.
+    """
+    known, asked = (_probe_frame(spark, sf, cutoff) for cutoff in (CUT - D, CUT))
+    best, coefficients = probe.refit_combination(probe.support_sample(known, "entity_id", PROBE_SAMPLE, seed=4), _FEATURES, "label", "entity_id", grid=probe.PROBE_C, folds=5)
     model_score = sum((F.lit(v) * F.col(n) for n, v in coefficients.items()), F.lit(0.0))
-    return metrics.auroc(frame.select(F.col("label").alias("y"), model_score.alias("pred"))).withColumn("c", F.lit(float(best)))
+    found = [metrics.auroc(frame.select(F.col("label").alias("y"), model_score.alias("pred"))) for frame in (asked, known)]
+    return found[0].crossJoin(found[1].withColumnRenamed("auroc", "auroc_known")).withColumn("c", F.lit(float(best)))
 
 
 @query()
 def p4_p5_median_probe(spark: SparkSession, sf: str) -> DataFrame:
-    frame, used = probe.median_regression(_probe_frame(spark, sf), _FEATURES, "target", "entity_id")
+    """Next sums at the cutoff by a median regression fitted a horizon before."""
+    frame, used = probe.median_regression(_probe_frame(spark, sf, CUT - D), _probe_frame(spark, sf, CUT), _FEATURES, "target", "entity_id")
     return frame.select("entity_id", "target", "pred").withColumn("fitted", F.lit(used))
 
 
 @query()
 def p6_p7_pool_against_composed(spark: SparkSession, sf: str) -> DataFrame:
-    """AUROC of the pool's members and of the composed Poisson readout on the same rows."""
-    best, result, found = probe.auto_pool(_probe_frame(spark, sf), _FEATURES, "label", "entity_id")
+    """AUROC of the pool's best and of the composed Poisson readout on the same rows, after the time of fitting, and the pool's by folds."""
+    best, result, found, failed = probe.auto_pool(_probe_frame(spark, sf, CUT - D), _probe_frame(spark, sf, CUT), _FEATURES, "label", "entity_id")
     composed = rates(spark, sf).select("entity_id", readout.p_more_than(F.col("total"), 0).alias("composed"))
     both = result.select("entity_id", "y", "pred").join(composed, "entity_id").persist()
     rows = [("fitted_" + best, metrics.auroc(both).first()["auroc"]), ("composed", metrics.auroc(both.select("y", F.col("composed").alias("pred"))).first()["auroc"]), *((f"cv_{n}", v) for n, v in found.items())]
     both.unpersist()
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("readout"), F.lit(float(v or 0.5)).alias("auroc")) for n, v in rows])))
+    missing = [(f"not fitted: {n}: {why}", float("nan")) for n, why in failed.items()]
+    return _listed(spark, [(n, 0.5 if v is None else v) for n, v in rows] + missing, "readout", "auroc")
 
 
 # task tables and sinks --------------------------------------------------------------------------------------------
@@ -228,8 +237,9 @@ def s2_task_table(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("query_id.entity_id").alias("entity"), F.col("query_id.t_q").alias("cutoff"), F.col("answer").alias("label"))
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def _here(sf: str) -> str:
+    """A short name of a data folder, the same in every process."""
+    return hashlib.sha256(sf.encode()).hexdigest()[:8]
 
 
 @query()
@@ -237,7 +247,8 @@ def s3_materialize_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of a corpus with their rows, written once and read again."""
     tables = read_database(spark, sf, SHOP)
     frames = {"events": events.event_stream(SHOP, tables, CUT), "history_customer": events.histories(SHOP, tables, "customer", CUT)}
-    root, name = _folder(spark), sinks.corpus_name(f"shop-{abs(hash(sf)) % 10**8}", CUT, self_rows=True)
+    version = sinks.data_version(spark, [f"{sf}/{t.name}.parquet" for t in SHOP.tables])
+    root, name = sinks.shared_folder(spark), sinks.corpus_name(f"shop-{_here(sf)}", CUT, self_rows=True, version=version)
     sinks.materialize_corpus(spark, root, name, frames)
     again = sinks.materialize_corpus(spark, root, name, frames)
     arms = [frame.agg(F.lit(part).alias("part"), F.count("*").alias("n_rows"), F.max("t").alias("last_t")) for part, frame in again.items()]
@@ -247,7 +258,7 @@ def s3_materialize_corpus(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def s4_keyed_predictions(spark: SparkSession, sf: str) -> DataFrame:
     frame = rates(spark, sf).select(F.col("entity_id").alias("entity"), F.lit(CUT).cast("long").alias("cutoff"), F.col("total").alias("pred"))
-    path = f"{_folder(spark)}/predictions-{abs(hash(sf)) % 10**8}"
+    path = f"{sinks.shared_folder(spark)}/predictions-{_here(sf)}"
     sinks.write_keyed_predictions(frame, path, ["entity", "cutoff"])
     return spark.read.parquet(path)
 

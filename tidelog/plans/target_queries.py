@@ -25,31 +25,42 @@ def customers(spark: SparkSession, sf: str, t_q: int = T0, horizon: int = D) ->
     return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("entity_id"), F.lit(t_q).cast("long").alias("t_q"), F.lit(horizon).cast("long").alias("horizon_s"))
 
 
-def orders_log(spark: SparkSession, sf: str) -> DataFrame:
-    return read_database(spark, sf, SHOP)["orders"].withColumnsRenamed({"o_custkey": "entity_id", "o_orderkey": "row_key"}).withColumn("table_idx", F.lit(0))
+def _span(frame: DataFrame, time_col: str, after: int | None, until: int | None) -> DataFrame:
+    frame = frame if after is None else events.later_than(frame, after, time_col)
+    return frame if until is None else events.cutoff_filter(frame, until, time_col)
 
 
-def clicks_log(spark: SparkSession, sf: str) -> DataFrame:
-    return read_database(spark, sf, CLICKS)["events"].withColumnsRenamed({"user_id": "entity_id", "event_id": "row_key"}).withColumn("table_idx", F.lit(0))
+def orders_log(spark: SparkSession, sf: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Orders in (after, until]; both bounds reach the scan."""
+    orders = _span(read_database(spark, sf, SHOP)["orders"], SHOP["orders"].time_col, after, until)
+    return orders.withColumnsRenamed({"o_custkey": "entity_id", "o_orderkey": "row_key"}).withColumn("table_idx", F.lit(0))
 
 
-def lines_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items under the customer of their order."""
+def clicks_log(spark: SparkSession, sf: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Clicks in (after, until]; both bounds reach the scan."""
+    clicks = _span(read_database(spark, sf, CLICKS)["events"], CLICKS["events"].time_col, after, until)
+    return clicks.withColumnsRenamed({"user_id": "entity_id", "event_id": "row_key"}).withColumn("table_idx", F.lit(0))
+
+
+def lines_log(spark: SparkSession, sf: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Line items in (after, until], under the customer of their order; both bounds reach the scan."""
     tables = read_database(spark, sf, SHOP)
     owner = tables["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity_id"))
-    return tables["lineitem"].join(owner, "l_orderkey").withColumn("row_key", F.expr(SHOP["lineitem"].key)).withColumn("table_idx", F.lit(1))
+    lines = _span(tables["lineitem"], SHOP["lineitem"].time_col, after, until)
+    return lines.join(owner, "l_orderkey").withColumn("row_key", F.expr(SHOP["lineitem"].key)).withColumn("table_idx", F.lit(1))
 
 
 @query()
 def w1_sample_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Query times and horizons, log-uniform ones and log-normal ones about 90 days."""
     log = orders_log(spark, sf)
-    first = log.groupBy("entity_id").agg(F.min("t").alias("t0"))
-    return targets.sample_queries(first.select("entity_id"), first, CUT, per_entity=4, seed=7)
+    drawn = [targets.sample_queries(log, CUT, 4, seed, centre=centre).withColumn("aimed", F.lit(centre is not None)) for seed, centre in ((7, None), (17, 90.0))]
+    return drawn[0].unionByName(drawn[1])
 
 
 @query()
 def w2_dense_queries(spark: SparkSession, sf: str) -> DataFrame:
-    log = events.cutoff_filter(orders_log(spark, sf), CUT)
+    log = orders_log(spark, sf, until=CUT)
     return targets.sample_dense_queries(log.select("entity_id", "t", "row_key", "table_idx"), CUT, 4, D, seed=11)
 
 
@@ -65,24 +76,31 @@ def w4_category_counts(spark: SparkSession, sf: str) -> DataFrame:
     return targets.category_counts(targets.windowed(customers(spark, sf, CT0, CD), clicks_log(spark, sf)), "event_type")
 
 
-_EDGE_COLUMNS = (("lineitem", "l_quantity"), ("orders", "o_totalprice"))
+#: The last column is mostly zeros, so that its quantiles fall together and are snapped forward.
+_EDGE_COLUMNS = (("lineitem", "l_quantity", "l_quantity"), ("orders", "o_totalprice", "o_totalprice"), ("lineitem", "large_quantity", "greatest(l_quantity - 40, 0)"))
 _EDGE_VALUES = {"lineitem": f"(SELECT * FROM l WHERE t <= {CUT})", "orders": f"(SELECT * FROM o WHERE t <= {CUT})"}
 
 
-def _quantile_arm(table: str, column: str) -> str:
-    v = f"{table}_v_{column}"
-    arms = " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(v, {i / 8}) AS x FROM {v}" for i in range(1, 8))
-    return f"""SELECT '{column}' AS column_name, CAST(i - 1 AS INT) AS edge_no, round(m + (i - 1) * 1e-6, 7) AS edge FROM (
-        SELECT i, m, row_number() OVER (PARTITION BY i ORDER BY abs(m - x), m) AS nth FROM ({arms}) q,
-        (SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS m FROM (SELECT DISTINCT v FROM {v})) s WHERE m IS NOT NULL) WHERE nth = 1"""
+def _quantile_arm(column: str) -> str:
+    """Edges of one column: with j the nearest separator of quantile i, the one taken is the largest of j + (i - i') over all i' up to i."""
+    arms = " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(v, {i / 8}) AS x FROM v_{column}" for i in range(1, 8))
+    return f"""SELECT '{column}' AS column_name, CAST(p.i - 1 AS INT) AS edge_no, round(s.m + (p.i - 1) * 1e-6, 7) AS edge FROM (
+        SELECT i, least(i + max(j - i) OVER (ORDER BY i), (SELECT max(j) FROM s_{column})) AS j FROM (
+            SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY abs(m - x), j) AS nth FROM ({arms}) q, s_{column}) WHERE nth = 1) p
+        JOIN s_{column} s USING (j)"""
+
+
+def _edge_values(table: str, column: str, sql: str) -> str:
+    between = f"SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS m FROM (SELECT DISTINCT v FROM v_{column})"
+    return f"v_{column} AS (SELECT CAST({sql} AS DOUBLE) AS v FROM {_EDGE_VALUES[table]}), s_{column} AS (SELECT m, row_number() OVER (ORDER BY m) AS j FROM ({between}) WHERE m IS NOT NULL)"
 
 
-@query(f"""WITH {O}, {L}, {", ".join(f"{t}_v_{c} AS (SELECT CAST({c} AS DOUBLE) AS v FROM {_EDGE_VALUES[t]})" for t, c in _EDGE_COLUMNS)} {" UNION ALL ".join(_quantile_arm(t, c) for t, c in _EDGE_COLUMNS)}""")
+@query(f"""WITH {O}, {L}, {", ".join(_edge_values(*c) for c in _EDGE_COLUMNS)} {" UNION ALL ".join(_quantile_arm(c) for _, c, _ in _EDGE_COLUMNS)}""")
 def w5_bucket_edges(spark: SparkSession, sf: str) -> DataFrame:
     tables = events.before(SHOP, read_database(spark, sf, SHOP), CUT)
     arms = []
-    for table, column in _EDGE_COLUMNS:
-        edges = targets.bucket_edges(tables[table], column)
+    for table, column, sql in _EDGE_COLUMNS:
+        edges = targets.bucket_edges(tables[table].select(F.expr(sql).alias(column)), column)
         listed = F.posexplode(F.array(*map(F.lit, edges))).alias("edge_no", "edge")
         arms.append(spark.range(1).select(F.lit(column).alias("column_name"), listed).withColumn("edge", F.round("edge", 7)))
     return reduce(DataFrame.unionByName, arms)
@@ -116,7 +134,7 @@ def w8_capped_detail(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EV}, k AS (SELECT * FROM ev WHERE t <= {CCUT}), n AS (SELECT user_id AS entity_id, event_id AS row_key, t, lead(t) OVER w AS up, lead(event_type) OVER w AS ty FROM k WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
     SELECT entity_id, row_key, t, greatest(1, coalesce(up, {CCUT}) - t) AS gap, up IS NULL AS censored, ty AS next_event_type FROM n""")
 def w9_next_events(spark: SparkSession, sf: str) -> DataFrame:
-    log = events.cutoff_filter(clicks_log(spark, sf), CCUT)
+    log = clicks_log(spark, sf, until=CCUT)
     return targets.next_events(log, CCUT, ["event_type"]).drop("next_table")
 
 
@@ -136,14 +154,14 @@ def w10_window_destinations(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", F.array_join("destinations", ",").alias("destinations"))
 
 
-@query(f"""WITH {L}, p AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b, a.t AS t FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey WHERE a.t <= {CUT} AND a.l_linenumber = 1 AND b.l_linenumber = 2)
+@query(f"""WITH {L}, p AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b, a.t AS t FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey WHERE a.t <= {CUT} AND b.t <= {CUT} AND a.l_linenumber = 1 AND b.l_linenumber = 2)
     SELECT a AS entity_id, b AS dst, t FROM p WHERE a <> b UNION ALL SELECT b, a, t FROM p WHERE a <> b""")
 def w11_other_ends(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers of the first two lines of an order: a fact with two links to one entity."""
     lines = events.before(SHOP, read_database(spark, sf, SHOP), CUT)["lineitem"]
     first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("a"), "t")
-    # the second end's own time doesn't matter, so all its rows count
-    second = read_database(spark, sf, SHOP)["lineitem"].filter("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("b"))
+    # the second end is a row of its own, so it has to be there by the cutoff, too
+    second = lines.filter("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("b"))
     a, b = targets.destination_slot("supplier", {"a": "supplier", "b": "supplier"})
     return targets.other_ends(first.join(second, "l_orderkey").select("a", "b", "t").distinct(), a, b)
 

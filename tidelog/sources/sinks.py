@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +13,51 @@ from pyspark.sql import functions as F
 MANIFEST = "_manifest"
 
 
-def corpus_name(dataset: str, cutoff: int, self_rows: bool = False, denorm_fk: bool = False, child_aggs: bool = False, path_expand: tuple[str, ...] = ()) -> str:
-    """A folder name that holds all that a corpus depends on; the order of paths doesn't matter."""
-    flags = json.dumps({"self_rows": self_rows, "denorm_fk": denorm_fk, "child_aggs": child_aggs, "path_expand": sorted(path_expand)}, sort_keys=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and every executor share.
+
+    A cluster names it in spark.checkpoint.dir. Only a local session, where
+    that may be unset, gets a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def data_version(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of sizes, numbers of files and times of change, so that changed data isn't taken for old."""
+    known = []
+    for path in sorted(paths):
+        store, at = _store(spark, path)
+        held = store.getContentSummary(at)
+        known.append([path, held.getLength(), held.getFileCount(), store.getFileStatus(at).getModificationTime()])
+    return hashlib.sha256(json.dumps(known).encode()).hexdigest()[:12]
+
+
+def corpus_name(dataset: str, cutoff: int, self_rows: bool = False, denorm_fk: bool = False, child_aggs: bool = False, path_expand: tuple[str, ...] = (), version: str = "") -> str:
+    """A folder name that holds all that a corpus depends on; the order of paths doesn't matter.
+
+    Equal arguments give equal names in every process, so one process finds
+    what another has published.
+    """
+    flags = json.dumps({"self_rows": self_rows, "denorm_fk": denorm_fk, "child_aggs": child_aggs, "path_expand": sorted(path_expand), "version": version}, sort_keys=True)
     return f"{dataset}-{cutoff}-{hashlib.sha256(flags.encode()).hexdigest()[:12]}"
 
 
 def _there(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    store, at = _store(spark, path)
+    return store.exists(at)
 
 
 def materialize_corpus(spark: SparkSession, root: str, name: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -38,11 +75,22 @@ def materialize_corpus(spark: SparkSession, root: str, name: str, frames: dict[s
 
 
 def write_keyed_predictions(predictions: DataFrame, path: str, keys: list[str]) -> None:
-    """Predictions with their keys; a null or repeated key is an error."""
-    checked = predictions.groupBy(*keys).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)).cast("boolean"))
-    if checked.limit(1).count():
+    """Predictions with their keys; a null or repeated key is an error, and nothing is published then.
+
+    They are computed once, into a folder beside `path` that takes its place after the check.
+    """
+    spark = predictions.sparkSession
+    beside = f"{path}-{uuid.uuid4().hex}"
+    predictions.write.parquet(beside)
+    store, written = _store(spark, beside)
+    null_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    wrong = spark.read.parquet(beside).groupBy(*keys).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | null_key)
+    if wrong.limit(1).count():
+        store.delete(written, True)
         raise ValueError("predictions need distinct keys that aren't null")
-    predictions.write.mode("overwrite").parquet(path)
+    _, target = _store(spark, path)
+    store.delete(target, True)
+    store.rename(written, target)
 
 
 def assemble_submission(official: DataFrame, predictions: DataFrame, keys: list[str], column: str) -> DataFrame:

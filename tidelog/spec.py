@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,25 @@ class DatabaseSpec:
         return [(t, col) for t in self.facts for col, to in t.fkeys.items() if to == entity]
 
 
+def union_spec(specs: dict[str, DatabaseSpec]) -> DatabaseSpec:
+    """Several databases as one: tables, entities and targets of links named db::table, databases by name.
+
+    Without a name of its own, a link would point at whichever database has a
+    table of that name. Facts are numbered on from 0, with no number left out,
+    and no link leaves its database; anything else is an error.
+    """
+    tables = []
+    for db in sorted(specs):
+        known = {t.name for t in specs[db].tables}
+        for t in specs[db].tables:
+            if lost := set(t.fkeys.values()) - known:
+                raise ValueError(f"{db}::{t.name} links to {sorted(lost)}, which its database lacks")
+            tables.append(replace(t, name=f"{db}::{t.name}", fkeys={c: f"{db}::{to}" for c, to in t.fkeys.items()}))
+    if len({t.name for t in tables}) < len(tables):
+        raise ValueError("two tables of a database share a name")
+    return DatabaseSpec("+".join(sorted(specs)), tuple(tables), max(s.cutoff for s in specs.values()), max(s.horizon for s in specs.values()))
+
+
 DAY = 86400
 #: 2000-07-01 and 2024-01-23.
 SHOP = DatabaseSpec(
