@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.sinks import shared_folder
+
 #: White space between words: space and the ASCII controls 9 to 13.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -31,24 +36,25 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def word_count(text: Column) -> Column:
-    """Number of words of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+#: Texts of so many bytes are looked at together inside a task.
+SLICE_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share.
+def in_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts take about `most` bytes, or single rows where one takes more."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (one
-    machine, tests) a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context.getCheckpointDir()
+
+def word_count(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """HTML extraction by two passes of block rules.
 
 The page is cut into blocks at block-level tags. The first pass decides each
-block from its length, link density and share of stop words, with looser rules
-inside an article; what stands in menus, forms or marked boilerplate is bad at
-once. The second pass gives ambiguous short blocks the label of the nearest
-decided neighbours.
+block from its length, link density and share of stop words, or leaves it
+ambiguous; what stands in menus, forms or marked boilerplate is bad at once.
+The second pass gives ambiguous blocks the label of the nearest decided
+neighbours. An article element is evidence only: blocks inside it are judged
+by looser values of the same rules and by neighbours inside it, and lean to
+good where none is decided; blocks outside lean to bad.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import in_slices, table
 
 #: Very frequent words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -58,10 +61,12 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 #: Shorter blocks are ambiguous; from LONG characters a block needs no neighbours.
 SHORT, LONG = 70, 200
-#: Outside an article: the most of a good block's characters in links, and the least share of stop words.
+#: The most of a good block's characters in links, and the least shares of stop words of ambiguous and good blocks.
 MOST_LINKED, STOP_LOW, STOP_HIGH = 0.33, 0.18, 0.25
-#: Inside an article only blocks that are mostly links are refused.
-MOST_LINKED_INSIDE = 0.8
+#: The same inside an article, where a block is bad only if it is long, all but links, and without stop words.
+MOST_LINKED_INSIDE, STOP_LOW_INSIDE, STOP_HIGH_INSIDE = 0.8, 0.06, 0.18
+#: An article with less than this part of the page's text isn't what the page is about.
+LEAST_ARTICLE = 0.2
 #: A marked element with more than this part of the page's text isn't around it, but holds it.
 MOST_TEXT = 0.5
 #: Marked elements in each other that are told apart.
@@ -70,8 +75,8 @@ DEEPEST = 32
 _DENSE = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^<>]*+>"""
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<rest>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -117,6 +122,7 @@ def _is_marked(tag: str, rest: str, inside: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     found: list[Block] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in `opened` each tag is
     opened: list[tuple[str, bool, bool, tuple[Mark, ...], bool]] = []  # tag, around the article, in an article, marks, table or code
     within: list[tuple[Block, tuple[Mark, ...]]] = []
     texts: list[str] = []
@@ -138,6 +144,9 @@ def blocks(page: str) -> list[Block]:
         if links["depth"]:
             links["chars"] += len(" ".join(html.unescape(text).split()))
 
+    def drop() -> None:
+        places[opened.pop()[0]].pop()
+
     last = 0
     for token in _TOKEN.finditer(page):
         if token.start() > last:
@@ -161,22 +170,23 @@ def blocks(page: str) -> list[Block]:
             continue
         if token["end"]:
             links["depth"] = 0  # a link left open ends with the block around it
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == tag:
-                    if any(x[1] or x[3] for x in opened[i:]):
-                        close()
-                    del opened[i:]
-                    break
+            if places[tag]:
+                i = places[tag][-1]
+                if any(x[1] or x[3] for x in opened[i:]):
+                    close()
+                while len(opened) > i:
+                    drop()
             continue
         # a paragraph ends where another block begins, a list item at the next one
         if opened and tag in BLOCKS and opened[-1][0] == "p":
-            opened.pop()
+            drop()
         if opened and opened[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "option"):
-            opened.pop()
+            drop()
         _, around, inside, marks, exact = opened[-1] if opened else ("", False, False, (), False)
         if _is_marked(tag, token["rest"], inside) and len(marks) < DEEPEST:
             marks = (*marks, Mark(inside))
         article = tag in ARTICLE or bool(re.search(r"""role\s*=\s*["']?main\b""", token["rest"]))
+        places[tag].append(len(opened))
         opened.append((tag, around or _is_around(tag, inside), inside or article, marks, exact or tag in ("pre", "table")))
     if last < len(page):
         rest = page[last:]
@@ -205,56 +215,86 @@ def _share(words: list[str]) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def decide(block: Block, article: bool, fits: bool = True) -> str:
+def decide(block: Block, fits: bool = True) -> str:
     """First pass: the label of one block by itself; where no list of stop words fits, by length and links."""
     length = len(block.text) if fits else len(block.text) + 2 * len(_DENSE.findall(block.text))
     linked = block.linked / len(block.text)
-    if block.around or (article and not block.inside):
+    share = _share(_WORDS.findall(block.text.lower()))
+    if block.around:
         return BAD
     if block.inside:
-        return BAD if linked > MOST_LINKED_INSIDE else GOOD
+        if linked > MOST_LINKED_INSIDE:
+            return BAD if length > LONG and share < STOP_LOW_INSIDE else UNSURE
+        if length < SHORT:
+            return UNSURE
+        if not fits or block.exact or share >= STOP_HIGH_INSIDE:
+            return GOOD
+        return NEAR
     if linked > MOST_LINKED or block.text.startswith("©"):
         return BAD
     if length < SHORT:
         return BAD if block.linked else UNSURE
     if not fits:
         return GOOD if length > LONG else NEAR
-    share = _share(_WORDS.findall(block.text.lower()))
     if share >= STOP_HIGH:
         return GOOD if length > LONG else NEAR
     return NEAR if share >= STOP_LOW or block.exact else BAD
 
 
-def extract(page: str) -> str:
-    """The main text of one page: its good blocks, one a line."""
-    found = blocks(page)
-    article = any(b.inside and not b.around for b in found)
-    # where a page as a whole has too few stop words, no list fits its language
-    fits = article or _share(_WORDS.findall(" ".join(b.text for b in found if not b.around and not b.exact).lower())) >= STOP_LOW
-    for block in found:
-        block.label = decide(block, article, fits)
-    first = [b.label for b in found]
+def inherit(blocks: list[Block], first: list[str]) -> list[str]:
+    """Second pass over the blocks of one region, in page order: NEAR ones first, then UNSURE ones.
 
-    def nearest(labels: list[str], ordered: list[int]) -> list[str]:
+    A NEAR block is long enough to stand where either nearest decided
+    neighbour is good, or where no block is. An UNSURE one needs good
+    neighbours on both sides; a heading, only one after it. Inside an article a
+    side without a decided block counts as good.
+    """
+    lean = [GOOD if b.inside else BAD for b in blocks]
+
+    def nearest(labels: list[str], ordered: range) -> list[str]:
         """For each place the last decided label before it in this order."""
-        seen, out = BAD, [BAD] * len(labels)
+        seen, out = None, [BAD] * len(labels)
         for i in ordered:
-            out[i] = seen
+            out[i] = seen or lean[i]
             if labels[i] in (GOOD, BAD):
                 seen = labels[i]
         return out
 
-    places = range(len(found))
-    before, after = nearest(first, list(places)), nearest(first, list(reversed(places)))
-    for i, block in enumerate(found):
-        if first[i] == NEAR:
-            # long enough to stand where one side is good, or where nothing else is
-            block.label = GOOD if GOOD in (before[i], after[i]) or GOOD not in first else BAD
-    second = [b.label for b in found]
-    before, after = nearest(second, list(places)), nearest(second, list(reversed(places)))
-    for i, block in enumerate(found):
-        if second[i] == UNSURE:
-            block.label = GOOD if after[i] == GOOD and (block.heading or before[i] == GOOD) else BAD
+    forth, back = range(len(blocks)), range(len(blocks) - 1, -1, -1)
+    before, after = nearest(first, forth), nearest(first, back)
+    good = GOOD in first
+    second = [(GOOD if GOOD in (before[i], after[i]) or not good else BAD) if first[i] == NEAR else first[i] for i in forth]
+    before, after = nearest(second, forth), nearest(second, back)
+    return [(GOOD if after[i] == GOOD and (blocks[i].heading or before[i] == GOOD) else BAD) if second[i] == UNSURE else second[i] for i in forth]
+
+
+def label(found: list[Block]) -> None:
+    """Both passes over the blocks of a page.
+
+    Inside and outside an article neighbours are looked for apart, and what is
+    set apart within an article says nothing of the blocks beside it. Where a
+    page has an article with a fair part of its text, what is outside is bad.
+    """
+    own = [b for b in found if not b.around]
+    inside = sum(len(b.text) for b in own if b.inside)
+    article = inside > 0 and inside >= LEAST_ARTICLE * sum(len(b.text) for b in own)
+    if not article:
+        for block in own:
+            block.inside = False
+    # where a page as a whole has too few stop words, no list fits its language
+    judged = [b for b in own if b.inside == article]
+    fits = _share(_WORDS.findall(" ".join(b.text for b in judged if not b.exact).lower())) >= (STOP_LOW_INSIDE if article else STOP_LOW)
+    for block in found:
+        block.label = BAD
+    region = judged if article else found
+    for block, decided in zip(region, inherit(region, [decide(b, fits) for b in region]), strict=True):
+        block.label = decided
+
+
+def extract(page: str) -> str:
+    """The main text of one page: its good blocks, one a line."""
+    found = blocks(page)
+    label(found)
     return "\n".join(b.text for b in found if b.label == GOOD)
 
 
@@ -267,8 +307,9 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
+            for part in in_slices(batch, 2):
+                texts = [extract(p) for p in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
     url = F.col("url").cast("string") if "url" in df.columns else F.lit(None).cast("string")
     own = df.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
