@@ -1,13 +1,17 @@
 """PII: information-theoretic sanitisation.
 
 Base detectors find e-mail addresses, IP addresses, card and telephone
-numbers. The words of documents that hold such an entity may give it away too:
-the corpus says how strongly. With n(t, e) documents that hold both term t and
-entity e, and n(t) documents with t at all, the term leaves -log2(p) bits of the
-entity open, which is the entity's information content less its pointwise
-mutual information with the term; p is n(t, e) / n(t), smoothed towards one half.
-Terms that leave little open are generalised wherever they stand in documents
-that hold the entity, and removed where they leave next to nothing.
+numbers; one more finds secrets, which are strings of high information content
+that a name such as `token` is set to. The words of documents that hold such an
+entity may give it away too: the corpus says how strongly. With n(t, e)
+documents that hold both term t and entity e, and n(t) documents with t at all,
+the term leaves -log2(p) bits of the entity open, which is the entity's
+information content less its pointwise mutual information with the term; p is
+n(t, e) / n(t), smoothed towards one half. Entities are judged as single values,
+as classes (a mail domain, the first half of an IP address, a card's issuer, a
+telephone area) and as whole kinds. Terms that leave little open are
+generalised wherever they stand in documents that hold the entity, and removed
+where they leave next to nothing.
 
 All of it is DataFrame work. Positions count code points; matches are found by
 putting marks around them and cutting the text at the marks.
@@ -30,9 +34,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a secret's name holds, in small or capital letters.
+SECRET_NAMES = "token|secret|passw|api[_-]?key|access[_-]?key|private[_-]?key|credential"
+#: A name, a sign between, and in group 2 a value that may be a secret.
+SECRET = rf"""(?i)((?:{SECRET_NAMES})[a-z0-9_]{{0,30}}+["']?[ \t]{{0,8}}+[:=]+[ \t]{{0,8}}+["'`]?)([a-z0-9+/_=.~-]{{16,}}+)"""
+#: A secret has so many bits: its length times the entropy of its characters.
+SECRET_BITS = 48.0
+KINDS = (*PATTERNS, "secret")
 #: A text can hold a match only if it holds this.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]"}
 #: The mark, and what stands for it where a text has it itself; no pattern matches either.
 MARK, INSTEAD = "\ue000", "\ufffd"
 #: A term is a word of at least three letters but for punctuation around it.
@@ -40,6 +51,8 @@ TERM = rf"(?<![^{SPACE}])(\p{{Punct}}*+)(\p{{L}}{{3,}}+)(\p{{Punct}}*+)(?![^{SPA
 #: A term counts from so many documents that hold it and one entity; terms that
 #: leave at most so many bits open are generalised, or removed.
 LEAST_DOCUMENTS, GENERALISE_BITS, REMOVE_BITS = 2, 1.0, 0.15
+#: Classes and kinds are held by many documents, where two or three meet by chance.
+CLASS, LEAST_CLASS_DOCUMENTS = "~", 6
 #: Half a document counts for and half against each term and entity.
 SMOOTHING = 0.5
 #: Rows of one entity or term are dealt over so many parts where they are joined.
@@ -71,11 +84,20 @@ def _byte(part: Column) -> Column:
     return (F.length(number) < 3) | ((F.length(number) == 3) & (number <= "255"))
 
 
+def _bits(value: Column) -> Column:
+    """Length of a string times the entropy of its characters."""
+    chars = F.split(value, "")
+    n = F.length(value)
+    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)))
+    return F.aggregate(counts, F.lit(0.0), lambda total, k: total + k * F.log2(n / k))
+
+
 PASSES = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: F.forall(F.split(v, r"\."), _byte),
     "card": lambda v: F.when(F.length(_digits(v)).between(16, 19), _luhn(v)).otherwise(F.lit(False)),
     "phone": lambda v: F.length(_digits(v)).between(8, 15),
+    "secret": lambda v: v.rlike("[0-9]") & (_bits(v) >= SECRET_BITS),
 }
 
 
@@ -122,11 +144,19 @@ def _words(text: Column) -> Column:
 
 
 def _entities(kind: str, found: Column) -> Column:
-    def named(m: Column) -> Column:
-        value = F.lower(m["value"]) if kind == "email" else m["value"] if kind == "ip" else _digits(m["value"])
-        return F.concat(F.lit(f"{kind}:"), value)
+    """Names of what the matches of a kind stand for: values, classes and, if there are any, the kind."""
+
+    def value(m: Column) -> Column:
+        return F.lower(m["value"]) if kind == "email" else m["value"] if kind in ("ip", "secret") else _digits(m["value"])
 
-    return F.transform(found, named)
+    def part(m: Column) -> Column:
+        if kind == "email":
+            return F.substring_index(value(m), "@", -1)
+        return F.substring_index(value(m), ".", 2) if kind == "ip" else F.substring(value(m), 1, 6 if kind == "card" else 4)
+
+    values = F.transform(found, lambda m: F.concat(F.lit(f"{kind}:"), value(m)))
+    classes = [] if kind == "secret" else [F.transform(found, lambda m: F.concat(F.lit(f"{CLASS}{kind}:"), part(m)))]
+    return F.concat(values, *classes, F.when(F.size(found) > 0, F.array(F.lit(CLASS + kind))).otherwise(F.array().cast("array<string>")))
 
 
 def _listed(kind: str, found: Column) -> Column:
@@ -140,9 +170,10 @@ def _tagged(kind: str, found: Column) -> Column:
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
     """Base spans of every row: `rid, id, n_<kind>..., base, spans, entities, held_text`.
 
-    `base` lists kind:start:end; `spans` holds the same as structs. Rows without
-    an entity have a null `held_text`. With
-    `with_rows` the input's own columns come along in the struct `row`.
+    `base` lists kind:start:end of the base kinds, `added` those of secrets;
+    `spans` holds both as structs. Rows without an entity have a null
+    `held_text`. With `with_rows` the input's own columns come along in the
+    struct `row`.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = [F.col(id_col).cast("long").alias("id"), F.translate(text, MARK, INSTEAD).alias("text")]
@@ -154,17 +185,19 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         parts = _cut_at(F.col("text"), pattern, f"{MARK}$0{MARK}")
         has = F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.col("text").rlike("[0-9]")
         cut_up = cut_up.withColumn(f"parts_{kind}", F.when(has, parts).otherwise(whole))
-    for kind in PATTERNS:
+    cut_up = cut_up.withColumn("parts_secret", F.when(F.col("text").rlike(SECRET), _cut_at(F.col("text"), SECRET, f"$1{MARK}$2{MARK}")).otherwise(F.array("text")))
+    for kind in KINDS:
         cut_up = cut_up.withColumn(f"found_{kind}", _matches(F.col(f"parts_{kind}"), PASSES[kind]))
     listed = F.concat(*[_listed(k, F.col(f"found_{k}")) for k in PATTERNS])
-    spans = F.concat(*[_tagged(k, F.col(f"found_{k}")) for k in PATTERNS])
-    entities = F.array_distinct(F.concat(*[_entities(k, F.col(f"found_{k}")) for k in PATTERNS]))
-    any_found = sum((F.size(f"found_{k}") for k in PATTERNS), F.lit(0)) > 0
+    spans = F.concat(*[_tagged(k, F.col(f"found_{k}")) for k in KINDS])
+    entities = F.array_distinct(F.concat(*[_entities(k, F.col(f"found_{k}")) for k in KINDS]))
+    any_found = sum((F.size(f"found_{k}") for k in KINDS), F.lit(0)) > 0
     return cut_up.select(
         F.monotonically_increasing_id().alias("rid"),
         "id",
-        *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS],
+        *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.array_join(listed, ",").alias("base"),
+        F.array_join(_listed("secret", F.col("found_secret")), ",").alias("added"),
         spans.alias("spans"),
         entities.alias("entities"),
         F.when(any_found, F.col("text")).alias("held_text"),
@@ -177,11 +210,16 @@ def _salted(frame: DataFrame) -> DataFrame:
     return frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
 
 
+def _least(entity: str) -> Column:
+    """How many documents must hold an entity."""
+    return F.when(F.startswith(entity, F.lit(CLASS)), LEAST_CLASS_DOCUMENTS).otherwise(LEAST_DOCUMENTS)
+
+
 def repeated_entities(found: DataFrame) -> DataFrame:
-    """`rid, entities, terms` of rows that hold an entity of LEAST_DOCUMENTS rows: those, and all terms."""
+    """`rid, entities, terms` of rows that hold an entity that enough rows hold: those, and all terms."""
     held = found.filter("held_text is not null")
     one = held.select("rid", F.explode("entities").alias("entity")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
-    repeated = one.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS).select("entity")
+    repeated = one.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= _least("entity")).select("entity")
     by_row = one.join(_salted(repeated), ["entity", "salt"]).groupBy("rid").agg(F.collect_list("entity").alias("entities"))
     return held.select("rid", _words(F.col("held_text")).alias("terms")).join(by_row, "rid").select("rid", "entities", "terms")
 
@@ -196,7 +234,7 @@ def revealing_terms(docs: DataFrame, held: DataFrame, text_col: str = "text") ->
     half, n(t, e) / n(t) is at least one half wherever it is.
     """
     near = held.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_both"))
-    pairs = cut(near.filter(F.col("n_both") >= LEAST_DOCUMENTS), "pii-pairs")
+    pairs = cut(near.filter(F.col("n_both") >= _least("entity")), "pii-pairs")
     everywhere = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     share = lambda n: (F.col(n) + SMOOTHING) / (F.col("n_term") + 2 * SMOOTHING)
     least = 2.0**-GENERALISE_BITS
@@ -237,7 +275,7 @@ def rewritten(text: Column, spans: Column) -> Column:
 
 
 def sanitise_documents(docs: DataFrame) -> DataFrame:
-    """`documents` with personal data and revealing terms taken out of the text."""
+    """`documents` with personal data, secrets and revealing terms taken out of the text."""
     done = sanitise_spans(docs, with_rows=True)
     text = rewritten(F.col("row.text"), F.concat("spans", "terms"))
     columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
@@ -247,10 +285,15 @@ def sanitise_documents(docs: DataFrame) -> DataFrame:
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of `documents`."""
     done = sanitise_spans(table(spark, sf_dir, "documents"))
-    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
+    terms = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), ",")
+    listed = [F.when(c != "", c) for c in (F.col("base"), F.col("added"), terms)]
+    n_terms = F.size("terms").cast("long")
     return done.select(
         F.col("id").alias("doc_id"),
         *[f"n_{k}" for k in PATTERNS],
         F.sha2("base", 256).alias("base_sha256"),
-        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size(terms) > 0, F.array_join(terms, ","))).alias("spans"),
+        F.concat_ws(",", *listed).alias("spans"),
+        "n_secret",
+        n_terms.alias("n_term"),
+        sum((F.col(f"n_{k}") for k in KINDS), n_terms).alias("n_spans"),
     )
