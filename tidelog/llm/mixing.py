@@ -2,10 +2,12 @@
 
 Slot i of the mix has the golden-ratio point frac(i * 0.618...), which the
 cumulative target shares map to a source; the k-th slot of a source takes the
-k-th block of it, around and around. Blocks are cut from the source's
-documents, shuffled by a digest of their ids, so that all hold the same number
-of words. Because the points have low discrepancy, every stretch of the mix
-has close to the target shares, not only the whole.
+k-th block of it. Blocks are cut from the source's documents, shuffled by a
+digest of their ids and laid end to end as often as the mix may take them, so
+that all blocks hold the same number of words. Because the points have low
+discrepancy, every stretch of the mix has close to the target shares, not only
+the whole. Points are whole numbers modulo 2 ** 60, as exact for the last slot
+as for the first.
 
 Every ordering is dealt in two levels (chunks of slots, buckets of documents),
 so the largest source doesn't meet in one task.
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, table, word_count
 
-#: The golden ratio's fractional part as a double.
-GOLDEN = 0.6180339887498949
+#: Bits of a point, and the golden ratio's fractional part in them.
+POINT_BITS = 60
+GOLDEN = (math.isqrt(5 << 2 * POINT_BITS) - (1 << POINT_BITS)) // 2
 #: Words in a block, and how often the mix may take a word.
 BLOCK_WORDS, MOST_REPEATS = 64, 3
 #: Sources with targets of fewer blocks take their target to the word.
@@ -60,8 +63,19 @@ def source_targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     return targets.withColumn("low", low).withColumn("high", F.coalesce(F.lead("low").over(by_name), F.lit(2.0))).drop("level")
 
 
+def golden_point(slot: Column) -> Column:
+    """The slot's point in [0, 1): slot * GOLDEN modulo 2 ** 60, by halves so that no product overflows."""
+    half = POINT_BITS // 2
+    low_bits = F.lit((1 << half) - 1)
+    high, low = F.lit(GOLDEN >> half), F.lit(GOLDEN & ((1 << half) - 1))
+    slot_high, slot_low = F.shiftright(slot, half), slot.bitwiseAND(low_bits)
+    upper = (slot_high * low + slot_low * high).bitwiseAND(low_bits)
+    whole = (F.shiftleft(upper, half) + slot_low * low).bitwiseAND(F.lit((1 << POINT_BITS) - 1))
+    return whole.cast("double") / F.lit(float(1 << POINT_BITS))
+
+
 def slot_points(spark: SparkSession, sources: DataFrame, words: int, block: int = BLOCK_WORDS) -> DataFrame:
-    """`slot, place, source_size, chunk`: the source of each slot.
+    """`slot, place, chunk`: the source of each slot.
 
     Slots map to sources over equal cells of [0, 1): every interval is listed
     in the cells that it meets, which bounds the join by cells plus sources.
@@ -69,18 +83,18 @@ def slot_points(spark: SparkSession, sources: DataFrame, words: int, block: int
     slots = words // block + (words % block > 0)
     cells, chunk = max(1024, slots >> 14), max(4096, math.isqrt(slots))
     tasks = max(spark.sparkContext.defaultParallelism, slots >> 20)
-    points = spark.range(0, slots, 1, tasks).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) % F.lit(1.0)).alias("point"))
+    points = spark.range(0, slots, 1, tasks).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * cells))
     last = F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))
-    meets = sources.filter("low < high and target > 0").select("place", "source_size", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.greatest(last, F.floor(F.col("low") * cells)))).alias("cell"))
-    return points.join(meets, "cell").filter("point >= low and point < high").select("slot", "place", "source_size", F.floor(F.col("slot") / chunk).alias("chunk"))
+    meets = sources.filter("low < high and target > 0").select("place", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.greatest(last, F.floor(F.col("low") * cells)))).alias("cell"))
+    return points.join(meets, "cell").filter("point >= low and point < high").select("slot", "place", F.floor(F.col("slot") / chunk).alias("chunk"))
 
 
-def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
-    """The mix as `slot, place, taken_before, block_no`: which block fills each slot.
+def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as `slot, place, block_no`: which block of its source fills each slot.
 
-    Ranks come from counts per chunk of slots and a running number inside.
-    A slot that would take a block more than `most` times stays empty.
+    The block is the slot's rank among its source's. Ranks come from counts per
+    chunk of slots and a running number inside.
     """
     dealt = slot_points(spark, sources, words, block)
     counts = dealt.groupBy("place", "chunk").agg(F.count("*").alias("n"))
@@ -88,9 +102,20 @@ def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = B
     starts = counts.select("place", "chunk", F.coalesce(F.sum("n").over(by_chunk), F.lit(0)).alias("start"))
     inside = F.row_number().over(W.partitionBy("place", "chunk").orderBy("slot")) - 1
     ranked = dealt.withColumn("inside", inside).join(starts, ["place", "chunk"])
-    blocks = F.ceil(F.col("source_size") / block)
-    rank = F.col("start") + F.col("inside")
-    return ranked.select("slot", "place", F.floor(rank / blocks).alias("taken_before"), (rank % blocks).alias("block_no")).filter(F.col("taken_before") < most)
+    return ranked.select("slot", "place", (F.col("start") + F.col("inside")).alias("block_no"))
+
+
+def source_takes(sources: DataFrame, slots: DataFrame, block: int, most: int) -> DataFrame:
+    """`place, takes, few`: the words that the mix takes of each source.
+
+    Its slots' blocks, at most `most` times its words. A source whose target
+    is below FEW_BLOCKS blocks takes its rounded target instead, as so few
+    slots may miss it by a large part.
+    """
+    counts = slots.groupBy("place").agg(F.count("*").alias("slots"))
+    few = F.col("target") < FEW_BLOCKS * block
+    wanted = F.when(few, F.round("target").cast("long")).otherwise(F.coalesce(F.col("slots"), F.lit(0)) * block)
+    return sources.join(counts, "place", "left").select("place", F.least(wanted, most * F.col("source_size")).alias("takes"), few.alias("few"))
 
 
 def shuffled_order(doc_id: Column) -> Column:
@@ -134,60 +159,47 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) ->
     sources = cut(source_targets(sizes, most), "mix-sources")
     documents, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     laid = lay_out(sizes, sources, documents)
-    repeats = schedule(spark, sources, words, block, most).groupBy("place", "block_no").agg(F.count("*").alias("repeats"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = laid.filter("size > 0").withColumn("block_no", F.explode(F.sequence(first, last)))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("start"), F.col("block_no") * block)
+    slots = cut(schedule(spark, sources, words, block).select("place", "block_no"), "mix-slots")
+    takes = cut(source_takes(sources, slots, block, most), "mix-takes")
+    few = takes.filter("few and takes > 0").select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("takes") - 1) / block))).alias("block_no"))
+    blocks = slots.join(takes.filter("not few"), "place").select("place", "block_no").unionByName(few).withColumn("filled", F.lit(True))
+    # a source's words lie end to end `most` times; blocks are cut from all of it
+    rounds = laid.filter("size > 0").join(takes, "place").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    begin = F.col("start") + F.col("round") * F.col("source_size")
+    rounds = rounds.withColumn("begin", begin).filter((F.col("round") == 0) | (F.col("begin") < F.col("takes")))
+    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
+    pieces = rounds.withColumn("block_no", F.explode(F.sequence(first, last)))
+    end = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block, F.col("takes"))
+    overlap = F.greatest(end - F.greatest(F.col("begin"), F.col("block_no") * block), F.lit(0))
+    pieces = pieces.select("place", "start", "doc_id", "size", "source_size", "target", "block_no", overlap.alias("overlap"))
     taken = (
-        pieces.join(repeats, ["place", "block_no"], "left")
+        pieces.join(blocks, ["place", "block_no"], "left")
         .groupBy("place", "start", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(overlap * F.coalesce(F.col("repeats"), F.lit(0))).cast("long").alias("taken"))
+        .agg(F.sum(F.when(F.col("filled"), F.col("overlap")).otherwise(0)).cast("long").alias("taken"))
     )
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     nothing = laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.select(columns).unionByName(nothing.select(columns))
 
 
-def full_mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
-    """As `mix`, but every slot is a full block, whatever the size of its source.
-
-    Slot k of a source takes the words [block * k, block * (k + 1)) of its
-    laid-out words, around and around, so that n slots take block * n words. A
-    source whose target is below FEW_BLOCKS blocks takes its rounded target
-    instead, as so few slots may miss it by a large part. Rounds are whole
-    but for the last, so a document's share follows from its place.
-    """
-    spark = docs.sparkSession
-    sizes = cut(document_sizes(docs), "mix-sizes")
-    sources = cut(source_targets(sizes, most), "mix-sources")
-    documents, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    laid = lay_out(sizes, sources, documents)
-    slots = slot_points(spark, sources, words, block).groupBy("place").agg(F.count("*").alias("slots"))
-    by_slots = F.coalesce(F.col("slots"), F.lit(0)) * block
-    wanted = F.when(F.col("target") < FEW_BLOCKS * block, F.round("target").cast("long")).otherwise(by_slots)
-    takes = sources.join(slots, "place", "left").select("place", F.least(wanted, most * F.col("source_size")).alias("takes"))
-    rest = F.least(F.greatest(F.expr("takes % nullif(source_size, 0)") - F.col("start"), F.lit(0)), F.col("size"))
-    taken = F.when(F.col("size") > 0, F.expr("takes div nullif(source_size, 0)") * F.col("size") + rest).otherwise(0).cast("long")
-    # one row per source on the right
-    return laid.join(F.broadcast(takes), "place").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
-
-
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """`documents` as mixed: each row as often as the mix takes it, whole.
 
     A row comes floor(taken / size) times, and once more where the rest of
     that division, as a part of 1, is above its own fixed draw in [0, 1).
-    Rows that the mix takes nothing of are left out.
+    Rows that the mix takes nothing of are left out. The input's columns travel
+    in one struct, so extra ones may have any name.
     """
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("draw"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     share = F.col("taken") / F.col("size")
     copies = (F.floor(share) + (share - F.floor(share) > draw).cast("long")).alias("copies")
     # rows of one id and size are told apart by their place among them
     same = W.partitionBy("doc_id", "size").orderBy("taken")
-    often = full_mix(docs).filter("size > 0").select("doc_id", "size", copies, F.row_number().over(same).alias("nth")).filter("copies > 0")
-    numbered = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_nth", F.row_number().over(W.partitionBy("doc_id", "mix_size").orderBy("text", "source")))
-    joined = numbered.join(often.withColumnsRenamed({"doc_id": "mix_id", "size": "mix_words", "nth": "mix_n"}), F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_size") == F.col("mix_words")) & (F.col("mix_nth") == F.col("mix_n")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    often = mix(docs).filter("size > 0").select("doc_id", "size", copies, F.row_number().over(same).alias("nth")).filter("copies > 0")
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("mix_id"), word_count(F.col("row.text")).alias("mix_size"))
+    numbered = own.withColumn("mix_nth", F.row_number().over(W.partitionBy("mix_id", "mix_size").orderBy("row.text", "row.source")))
+    joined = numbered.join(often, F.col("mix_id").eqNullSafe(F.col("doc_id")) & (F.col("mix_size") == F.col("size")) & (F.col("mix_nth") == F.col("nth")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +207,7 @@ def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+#: Written from the closed form: a source's first `takes` laid-out words are taken, around and around.
 OP2_SQL = rf"""
 WITH d AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -213,29 +226,22 @@ WITH d AS (
 ), s5 AS (
     SELECT *, coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / words AS low FROM s4
 ), s AS (
-    SELECT *, coalesce(lead(low) OVER (ORDER BY place), 2.0) AS high, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks FROM s5
+    SELECT *, coalesce(lead(low) OVER (ORDER BY place), 2.0) AS high FROM s5
 ), slots AS (
-    SELECT i AS slot, (i * CAST({GOLDEN} AS DOUBLE)) % CAST(1.0 AS DOUBLE) AS point
+    SELECT CAST(CAST(CAST(i AS HUGEINT) * {GOLDEN} % {1 << POINT_BITS} AS BIGINT) AS DOUBLE) / CAST({1 << POINT_BITS} AS DOUBLE) AS point
     FROM range(CAST((SELECT (coalesce(max(words), 0) + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} FROM s) AS BIGINT)) t(i)
-), ranked AS (
-    SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS k
-    FROM slots JOIN s ON point >= low AND point < high WHERE target > 0
-), repeats AS (
-    SELECT place, k % blocks AS block_no, count(*) AS repeats FROM ranked WHERE k // blocks < {MOST_REPEATS} GROUP BY ALL
+), counted AS (
+    SELECT place, count(*) AS n FROM slots JOIN s ON point >= low AND point < high WHERE target > 0 GROUP BY place
+), takes AS (
+    SELECT s.*, least({MOST_REPEATS} * source_size, CASE WHEN target < {FEW_BLOCKS * BLOCK_WORDS} THEN CAST(round(target) AS BIGINT) ELSE {BLOCK_WORDS} * coalesce(n, 0) END) AS takes
+    FROM s LEFT JOIN counted USING (place)
 ), laid AS (
-    SELECT d.doc_id, d.size, s.place, s.source_size, s.target,
-           coalesce(sum(d.size) OVER (PARTITION BY s.place ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
+    SELECT d.doc_id, d.size, t.source_size, t.target, t.takes,
+           coalesce(sum(d.size) OVER (PARTITION BY t.place ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
-), pieces AS (
-    SELECT *, unnest(range(CAST(start // {BLOCK_WORDS} AS BIGINT), CAST((start + size - 1) // {BLOCK_WORDS} + 1 AS BIGINT))) AS block_no
-    FROM laid WHERE size > 0
-), taken AS (
-    SELECT p.place, p.start, p.doc_id, p.size, p.source_size, p.target,
-           CAST(sum((least(p.start + p.size, (p.block_no + 1) * {BLOCK_WORDS}) - greatest(p.start, p.block_no * {BLOCK_WORDS}))
-                    * coalesce(r.repeats, 0)) AS BIGINT) AS taken
-    FROM pieces p LEFT JOIN repeats r ON p.place = r.place AND p.block_no = r.block_no GROUP BY ALL
+    FROM d JOIN takes t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, taken FROM taken
-UNION ALL SELECT doc_id, size, source_size, target, 0 FROM laid WHERE size = 0
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE takes // source_size * size + least(greatest(takes % source_size - start, 0), size) END AS BIGINT) AS taken
+FROM laid
 """
