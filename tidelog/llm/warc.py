@@ -30,6 +30,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20
 #: A dictionary of so many bytes is trained on the first records of its archive.
 DICTIONARY_BYTES, TRAINING_RECORDS = 16 << 10, 200
+#: Parts over which the copies of one page are dealt.
+SALTS = 16
 #: Fixed date of all records, so that equal pages give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,21 +64,21 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archive(records: list[bytes]) -> bytes:
-    """Records as frames, after their dictionary's skippable frame.
-
-    Where too few records come to train one, the archive has no dictionary.
-    """
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary for an archive: trained on its first records, or their bytes as they are where those are too few or too alike."""
+    first = records[:TRAINING_RECORDS]
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, records[:TRAINING_RECORDS], k=256, d=8)
+        return zstandard.train_dictionary(DICTIONARY_BYTES, first, k=256, d=8)
     except zstandard.ZstdError:
-        trained = None
-    packer = zstandard.ZstdCompressor(level=3, dict_data=trained)
-    frames = [packer.compress(r) for r in records]
-    if trained is not None:
-        data = trained.as_bytes()
-        frames.insert(0, struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
-    return b"".join(frames)
+        return zstandard.ZstdCompressionDict(b"".join(first)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def write_archive(records: list[bytes]) -> bytes:
+    """Records as frames, after their dictionary's skippable frame."""
+    shared = dictionary(records)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=shared)
+    data = shared.as_bytes()
+    return b"".join([struct.pack("<II", DICTIONARY_FRAME, len(data)), data, *map(packer.compress, records)])
 
 
 def _headers(lines: bytes) -> tuple[str, dict[str, str]]:
@@ -121,13 +123,21 @@ def parse_record(raw: bytes) -> dict:
 
 
 def read_archive(content: bytes) -> Iterator[dict]:
-    """The records of one archive, a frame at a time."""
-    at, trained = 0, None
+    """The records of one archive, a frame at a time.
+
+    The leading frame may hold the dictionary as it is or compressed; archives
+    without one, as others write them, are read, too.
+    """
+    at, shared = 0, None
     if len(content) >= 8 and struct.unpack_from("<I", content)[0] == DICTIONARY_FRAME:
         size = struct.unpack_from("<I", content, 4)[0]
-        trained = zstandard.ZstdCompressionDict(content[8 : 8 + size])
-        at = 8 + size
-    unpacker = zstandard.ZstdDecompressor(dict_data=trained)
+        data, at = content[8 : 8 + size], 8 + size
+        if len(data) != size:
+            raise ValueError("the dictionary is cut short")
+        if data.startswith(ZSTD_FRAME):
+            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        shared = zstandard.ZstdCompressionDict(data)
+    unpacker = zstandard.ZstdDecompressor(dict_data=shared)
     view = memoryview(content)
     while at < len(content):
         if content[at : at + 4] != ZSTD_FRAME:
@@ -215,7 +225,8 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     page_id have no `refers_to`; the others have that page_id. Nulls: a null
     html is an empty payload; a null page_id is below any other, and a group
     with only such rows refers to nothing. Equal rows are treated alike. Only
-    digests are grouped, and only those found twice are joined back.
+    digests are grouped, and only those found twice are joined back; copies of
+    one page are dealt over SALTS parts, with a row of the digest in each.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -223,17 +234,14 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     long_enough = F.octet_length("html") >= REVISIT_BYTES
-    digest = F.when(long_enough, F.sha2("html", 256))
-    firsts = (
-        own.select("page_id", digest.alias("digest"))
-        .filter("digest is not null")
-        .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.max("page_id").alias("first_id"))
-        .filter("n > 1 and first_id is not null")
-    )
-    joined = own.withColumn("digest", digest).join(firsts.select("digest", "first_id"), "digest", "left")
+    # shorter pages meet nothing, so they aren't dealt out
+    short = own.filter(~long_enough).withColumn("refers_to", F.lit(None).cast("long"))
+    named = own.filter(long_enough).withColumn("digest", F.sha2("html", 256))
+    firsts = named.select("page_id", "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id")).filter("n > 1 and first_id is not null")
+    salted = firsts.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    joined = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted, ["digest", "salt"], "left")
     other = ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "html", F.when(other, F.col("first_id")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(other, F.col("first_id")).alias("refers_to")).unionByName(short)
 
 
 def _page(urn: str) -> Column:
