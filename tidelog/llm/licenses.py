@@ -1,7 +1,6 @@
 """License scans: sparse TF-IDF cosine, then inheritance down directories.
 
-Each text's header (its lines that speak of a licence, or sentences where a
-line is long) becomes a sparse TF-IDF vector, with document frequencies from
+Each text's header (the sentences that speak of a licence) becomes a sparse TF-IDF vector, with document frequencies from
 the whole corpus, and is held against the notices by cosine. Every text that
 speaks of a licence at all is also held, whole, against full licence texts.
 Licence files speak for their directory: a file without a header of its own
@@ -39,31 +38,49 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("MIT", "MIT License"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("ISC", "ISC License"),
 ]
 #: Full licence texts, by the names of their files.
 TEXTS = Path(__file__).parent / "license_texts"
 #: Least cosine of a header to a notice, and of a whole text to a full licence.
 LEAST_COSINE, LEAST_WHOLE = 0.6, 0.8
-#: A file whose header holds at least this part of its words is a licence file.
-FILE_PART = 0.5
+#: A file of such a name whose header speaks is a licence file; so is one whose
+#: name has no ending if its header holds at least this part of its words.
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright|notice)s?([._-][^/]*)?$"
+FILE_PART, ENDING = 0.5, r"[^/.][^/]*\.[A-Za-z][^/.]*$"
+#: Parts that the texts with one term are dealt over where they meet its frequency.
+SALTS = 16
 #: A header line names a licence in one of these ways, in small letters.
 SPEAKS = r"licen[cs]e|copyright|spdx-|public domain|\bcc0\b|\bcc[ -]by\b|creative commons"
-#: Longer lines are cut into sentences, of which those that grant rights count, too.
-LONG_LINE, SENTENCE, GRANTS = 200, r"(?<=[.!?])\s+(?=\p{Lu})", r"permission is hereby granted|permission to use, copy|redistribution and use"
+#: Such lines are cut into sentences, of which those that grant rights count, too.
+SENTENCE, GRANTS = r"(?<=[.!?])\s+(?=\p{Lu})", r"permission is hereby granted|permission to use, copy|redistribution and use"
 #: A term is a run of letters, or of digits with points between.
 TERM = r"\p{L}+|\d+(?:\.\d+)*+"
 
 
+def _is_file() -> Column:
+    mostly = ~F.col("path").rlike(ENDING) & (word_count(F.col("header")) >= FILE_PART * word_count(F.col("text")))
+    return F.coalesce(F.col("header").isNotNull() & (F.col("path").rlike(FILE_NAME) | mostly), F.lit(False))
+
+
 def headers(files: DataFrame) -> DataFrame:
     """Adds `header, is_file` to `path, text` rows; null header if none speaks."""
 
     def spoken(line: Column) -> Column:
-        sentences = F.filter(F.split(line, SENTENCE), lambda s: F.lower(s).rlike(f"{SPEAKS}|{GRANTS}"))
-        return F.when(F.length(line) > LONG_LINE, sentences).otherwise(F.array(line))
+        return F.filter(F.split(line, SENTENCE), lambda s: F.lower(s).rlike(f"{SPEAKS}|{GRANTS}"))
 
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda line: F.lower(line).rlike(SPEAKS))
     header = F.array_join(F.flatten(F.transform(lines, spoken)), "\n")
-    return files.withColumn("header", F.when(F.lower("text").rlike(SPEAKS), header)).withColumn("is_file", F.coalesce(word_count(F.col("header")) >= FILE_PART * word_count(F.col("text")), F.lit(False)))
+    return files.withColumn("header", F.when(F.lower("text").rlike(SPEAKS), header)).withColumn("is_file", _is_file())
 
 
 def terms(column: str) -> Column:
@@ -102,8 +119,9 @@ def closest(found: DataFrame, column: str, templates: list[tuple[str, str]], lea
     template = known.join(frequency, "term", "left").crossJoin(texts).withColumn("weight", weight)
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("number")))
     template = template.select("number", "license", "term", (F.col("weight") / length).alias("template_weight"))
-    # a text's own terms join their frequency; both sides are one row per term at most on the right
-    own = tf.join(frequency, "term").crossJoin(texts).withColumn("weight", weight)
+    # a text's own terms join their frequency, which is there once for each salt, as "license" is a term of nearly all
+    spread = frequency.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    own = tf.withColumn("salt", F.pmod("fid", F.lit(SALTS))).join(spread, ["term", "salt"]).drop("salt").crossJoin(texts).withColumn("weight", weight)
     sizes = own.groupBy("fid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
     dots = own.join(F.broadcast(template), "term").groupBy("fid", "license", "number").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"))
     cosines = dots.join(sizes, "fid").select("fid", "license", F.round(F.col("dot") / F.col("size"), 9).alias("cosine"))
