@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import keyed_text, table
+from tidelog.llm.common import in_slices, keyed_text, table
 from tidelog.llm.merging import merge
 
 #: So many different matches of the pattern, and pairs of tokens, are remembered in each task.
@@ -111,6 +111,18 @@ class TreeCoder:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=2)
+def checked(rank_file: str) -> str:
+    """The rank file, if every token encodes to itself; the tree takes a part that is a token for its encoding.
+
+    Looked at once, on the driver.
+    """
+    tree = TreeCoder(rank_file, "")
+    if any(tree.window(token) != [rank] for token, rank in tree.ranks.items()):
+        raise ValueError(f"{rank_file} has a token that merging doesn't lead to")
+    return rank_file
+
+
 @functools.lru_cache(maxsize=2)
 def coder(rank_file: str, pattern: str) -> TreeCoder:
     """One coder per worker process, file and pattern."""
@@ -124,10 +136,11 @@ def encode_texts(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     are encoded whole, repeated rows each; other columns are ignored. The rank
     file must be on every executor.
     """
+    checked(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = coder(rank_file, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 1)):
             packed = [tree.text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
 
@@ -139,7 +152,7 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = coder(rank_file, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 1)):
             decoded = [tree.decode(np.frombuffer(p or b"", dtype="<u4").tolist()) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 

@@ -19,7 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import keyed_text, table
+from tidelog.llm.common import in_slices, keyed_text, table
 
 #: Payloads are padded with spaces to whole rows of 64 RGB pixels.
 UNIT = 192
@@ -134,8 +134,9 @@ def _gzip(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    """Up to the last end mark, with a cross-reference start before it."""
-    end = b.rfind(b"%%EOF", at)
+    """Up to the last end mark before another file's start, with a cross-reference start before it."""
+    after = b.find(MAGIC["application/pdf"], at + 1)
+    end = b.rfind(b"%%EOF", at, after if after > 0 else len(b))
     return end + 5 - at if end > 0 and b.rfind(b"startxref", at, end) > 0 else None
 
 
@@ -246,13 +247,14 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = list(ENCODE)
         for batch in batches:
-            raw = [t.encode() for t in batch.column(1).to_pylist()]
-            padded = [t + PAD * (max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)) for t in raw]
-            media = [ENCODE[kinds[zlib.crc32(p) % len(kinds)]](p) for p in padded]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(["image/bmp"] * len(raw)), pa.array(media, pa.binary())],
-                ["id", "n_bytes", "declared", "media"],
-            )
+            for part in in_slices(batch, 1):
+                raw = [t.encode() for t in part.column(1).to_pylist()]
+                padded = [t + PAD * (max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)) for t in raw]
+                media = [ENCODE[kinds[zlib.crc32(p) % len(kinds)]](p) for p in padded]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(["image/bmp"] * len(raw)), pa.array(media, pa.binary())],
+                    ["id", "n_bytes", "declared", "media"],
+                )
 
     return keyed_text(df, id_col, text_col).mapInArrow(run, STORED)
 
@@ -274,7 +276,7 @@ def sniff_column(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = automaton()
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 3)):
             blobs = [b or b"" for b in batch.column(3).to_pylist()]
             found = [sniff(b, built) for b in blobs]
             first = [f[0] if f else Found(UNKNOWN, 0, len(b)) for f, b in zip(found, blobs, strict=True)]
@@ -309,7 +311,7 @@ def read_features(sniffed: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 7)):
             out = []
             for row in batch.to_pylist():
                 blob = row["media"]

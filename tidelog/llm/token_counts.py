@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import keyed_text, table
+from tidelog.llm.common import in_slices, keyed_text, table
 from tidelog.llm.merging import merge
 
 MARK = "▁"
@@ -30,6 +31,10 @@ class PieceCounter:
 
     def __init__(self, model_file: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        stated = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        normal = stated.normalizer_spec
+        if stated.trainer_spec.model_type != stated.trainer_spec.BPE or normal.precompiled_charsmap or normal.remove_extra_whitespaces or not (normal.add_dummy_prefix and normal.escape_whitespaces and stated.trainer_spec.byte_fallback):
+            raise ValueError("only byte-pair models with byte fallback that leave texts as they are, but for one mark before them, are counted")
         ordinary = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ranks = {model.id_to_piece(i): -model.get_score(i) for i in ordinary}
         joined = [p for p in self.ranks if len(p) > 1]
@@ -79,7 +84,7 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(model_file)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 1)):
             texts = batch.column(1).to_pylist()
             counts = [pieces.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
