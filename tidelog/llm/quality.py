@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import keyed_text, table
+from tidelog.llm.common import WORD, in_slices, keyed_text, table
 
 #: The most that n-word windows found more than once may cover,
 #: as parts of the characters in words.
@@ -120,9 +120,10 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [{"id": i, **measure(t), "text": t if with_text else None} for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for part in in_slices(batch, 1):
+                both = zip(*(c.to_pylist() for c in part.columns), strict=True)
+                rows = [{"id": i, **measure(t), "text": t if with_text else None} for i, t in both]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return keyed_text(df, id_col, text_col).mapInArrow(run, MEASURED)
 
@@ -133,8 +134,9 @@ def keep_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([measure(t or "")["kept"] for t in texts], pa.bool_()))
+            column = batch.schema.get_field_index("text")
+            for part in in_slices(batch, column):
+                yield part.filter(pa.array([measure(t or "")["kept"] for t in part.column(column).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, fields)
 
@@ -142,3 +144,47 @@ def keep_documents(docs: DataFrame) -> DataFrame:
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdicts for every row of `documents`."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("text").withColumnRenamed("id", "doc_id")
+
+
+_COVERED = ", ".join(f"CAST(coalesce(max(part) FILTER (n = {n}), 0.0) AS DOUBLE)" for n in MOST_COVERED)
+_TOO_MUCH = " OR ".join(f"coalesce(max(part) FILTER (n = {n}), 0.0) > {most}" for n, most in MOST_COVERED.items())
+
+#: From the definitions: windows as strings, and the words that lie in repeated ones.
+OP5_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), t AS (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d
+), chars AS (
+    SELECT doc_id, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM t GROUP BY doc_id
+), leads AS (
+    SELECT doc_id, pos, {", ".join(f"lead(word, {k}) OVER (PARTITION BY doc_id ORDER BY pos) AS w{k}" for k in range(max(MOST_COVERED)))} FROM t
+), windows AS (
+    {" UNION ALL ".join(f"SELECT doc_id, {n} AS n, pos, concat_ws(' ', {', '.join(f'w{k}' for k in range(n))}) AS g FROM leads WHERE w{n - 1} IS NOT NULL" for n in MOST_COVERED)}
+), twice AS (
+    SELECT doc_id, n, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1
+), inside AS (
+    SELECT DISTINCT doc_id, n, unnest(range(pos, pos + n)) AS pos FROM twice
+), covered AS (
+    SELECT doc_id, n, count(*) AS words, CAST(sum(length(word)) AS DOUBLE) / any_value(word_chars) AS part FROM inside JOIN t USING (doc_id, pos) JOIN chars USING (doc_id) GROUP BY doc_id, n
+), lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d
+), again AS (
+    SELECT doc_id, line FROM lines WHERE regexp_matches(line, '{WORD}') QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1
+), dup AS (
+    SELECT doc_id, count(*) AS n_dup_lines, sum(length(line)) AS dup_chars FROM again GROUP BY doc_id
+), parts AS (
+    SELECT doc_id, CAST(coalesce(max(words) FILTER (n = {BASE_WINDOW}), 0) AS BIGINT) AS n_repeat_words, [{_COVERED}] AS covered_parts, {_TOO_MUCH} AS too_much FROM covered GROUP BY doc_id
+), m AS (
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(too_much, false) AS too_much,
+           CASE WHEN length(text) > 0 THEN coalesce(dup_chars, 0) / CAST(length(text) AS DOUBLE) ELSE 0.0::DOUBLE END AS dup_line_part,
+           coalesce(covered_parts, [{", ".join(["0.0::DOUBLE"] * len(MOST_COVERED))}]) AS covered_parts
+    FROM d LEFT JOIN chars USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN parts USING (doc_id)
+), b AS (
+    SELECT *, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR too_much OR dup_line_part > {MOST_LINE_CHARS}) AS kept,
+       dup_line_part, covered_parts
+FROM b
+"""

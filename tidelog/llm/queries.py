@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from tidelog.llm.byte_bpe import op9_tree_bpe
 from tidelog.llm.html_text import op7_block_rules
-from tidelog.llm.jaccard import op4_ngram_jaccard_join
+from tidelog.llm.jaccard import OP4_SQL, op4_ngram_jaccard_join
 from tidelog.llm.licenses import op10_license_scan
 from tidelog.llm.media import op1_media_sniffing
 from tidelog.llm.mixing import OP2_SQL, op2_low_discrepancy_mix
 from tidelog.llm.pii import op3_pii_sanitisation
-from tidelog.llm.quality import op5_repetition_coverage
+from tidelog.llm.quality import OP5_SQL, op5_repetition_coverage
 from tidelog.llm.token_counts import op8_token_counts
 from tidelog.llm.warc import OP6_SQL, op6_warc_archives
 
@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_low_discrepancy_mix": OP2_SQL, "op6_warc_archives": OP6_SQL}
+    return {"op2_low_discrepancy_mix": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_repetition_coverage": OP5_SQL, "op6_warc_archives": OP6_SQL}
