@@ -4,12 +4,14 @@ An Aho-Corasick automaton finds the magic bytes of all known formats in one
 pass over a blob. Each hit is only a suspicion; a validator per format walks
 the structure (chunk lengths, header sizes, checksums) and either gives the
 exact length of the file that starts there or refuses it. The first valid file
-at offset 0 corrects the declared type; valid files further in are carved out.
+at offset 0 corrects the declared type; valid files further in are carved out,
+those inside the body of another one, too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,16 +36,25 @@ MAGIC = {
     "application/gzip": b"\x1f\x8b\x08",
     "application/pdf": b"%PDF-1.",
     "image/x-portable-pixmap": b"P6\n",
+    "image/jpeg": b"\xff\xd8\xff",
+    "image/webp": b"RIFF",
+    "audio/ogg": b"OggS",
+    "video/mp4": b"ftyp",
 }
+#: Where the magic bytes stand, if not at the start.
+MAGIC_AT = {"video/mp4": 4}
+#: The end of a JPEG's coded data: a marker that isn't a stuffed byte or a restart.
+_JPEG_MARK = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]")
 UNKNOWN = "application/octet-stream"
 
 
 class Found(NamedTuple):
-    """A file inside a blob."""
+    """A file inside a blob, and where the file around it starts, if there is one."""
 
     kind: str
     start: int
     length: int
+    inside: int | None = None
 
 
 def _png(b: bytes, at: int) -> int | None:
@@ -107,6 +118,66 @@ def _wav(b: bytes, at: int) -> int | None:
     return end - at if pos == end and names[:1] == [b"fmt "] and b"data" in names else None
 
 
+def _webp(b: bytes, at: int) -> int | None:
+    """A RIFF of form WEBP whose chunks, of which the first is a picture, fill the stated length."""
+    if at + 16 > len(b) or b[at + 8 : at + 15] != b"WEBPVP8":
+        return None
+    end, pos = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12
+    while pos + 8 <= end <= len(b):
+        size = struct.unpack_from("<I", b, pos + 4)[0]
+        pos += 8 + size + (size & 1)
+    return end - at if pos == end else None
+
+
+def _jpeg(b: bytes, at: int) -> int | None:
+    """Segments with their lengths, a frame and a scan among them, up to the end marker."""
+    pos, frame, scan = at + 2, False, False
+    while pos + 4 <= len(b) and b[pos] == 0xFF:
+        mark = b[pos + 1]
+        size = struct.unpack_from(">H", b, pos + 2)[0]
+        if size < 2 or mark < 0xC0:
+            return None
+        frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
+        pos += 2 + size
+        if mark == 0xDA:
+            scan = True
+            if not (found := _JPEG_MARK.search(b, pos)):
+                return None
+            pos = found.end() - 2
+        if b[pos : pos + 2] == b"\xff\xd9":
+            return pos + 2 - at if frame and scan else None
+    return None
+
+
+def _ogg(b: bytes, at: int) -> int | None:
+    """Pages from a first one to a last one."""
+    pos = at
+    while b[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(b):
+        flags, segments = b[pos + 5], b[pos + 26]
+        if (pos == at) != bool(flags & 2):  # only the first page begins a stream
+            return None
+        pos += 27 + segments + sum(b[pos + 27 : pos + 27 + segments])
+        if pos > len(b):
+            return None
+        if flags & 4:
+            return pos - at
+    return None
+
+
+def _mp4(b: bytes, at: int) -> int | None:
+    """Boxes from the file type on, as long as they fit, with a movie among them."""
+    pos, names = at, []
+    while pos + 8 <= len(b) and b[pos + 4 : pos + 8].isalnum():
+        size = struct.unpack_from(">I", b, pos)[0]
+        if size == 1 and pos + 16 <= len(b):
+            size = struct.unpack_from(">Q", b, pos + 8)[0]
+        if size < 8 or pos + size > len(b):
+            break
+        names.append(b[pos + 4 : pos + 8])
+        pos += size
+    return pos - at if names[:1] == [b"ftyp"] and b"moov" in names else None
+
+
 def _zip(b: bytes, at: int) -> int | None:
     """Ends at the end-of-directory record whose offsets lead back here."""
     end = b.find(b"PK\x05\x06", at)
@@ -161,27 +232,42 @@ VALIDATE: dict[str, Callable[[bytes, int], int | None]] = {
     "application/gzip": _gzip,
     "application/pdf": _pdf,
     "image/x-portable-pixmap": _ppm,
+    "image/jpeg": _jpeg,
+    "image/webp": _webp,
+    "audio/ogg": _ogg,
+    "video/mp4": _mp4,
 }
 
 
 def automaton() -> ahocorasick.Automaton:
     """All magic bytes; byte strings stand as Latin-1 text of equal length."""
     built = ahocorasick.Automaton()
+    kinds: dict[bytes, list[str]] = {}
     for kind, magic in MAGIC.items():
-        built.add_word(magic.decode("latin-1"), (kind, len(magic)))
+        kinds.setdefault(magic, []).append(kind)
+    for magic, shared in kinds.items():
+        built.add_word(magic.decode("latin-1"), (shared, len(magic) + MAGIC_AT.get(shared[0], 0)))
     built.make_automaton()
     return built
 
 
 def sniff(blob: bytes, built: ahocorasick.Automaton) -> list[Found]:
-    """Valid files in a blob, left to right; none starts inside an earlier one."""
+    """Valid files in a blob, left to right; a file that starts inside another one lies inside it whole."""
     found: list[Found] = []
-    covered = 0
-    for last, (kind, size) in built.iter(blob.decode("latin-1")):
+    around: list[Found] = []
+    for last, (kinds, size) in built.iter(blob.decode("latin-1")):
         start = last + 1 - size
-        if start >= covered and (length := VALIDATE[kind](blob, start)):
-            found.append(Found(kind, start, length))
-            covered = start + length
+        if start < 0:
+            continue
+        while around and around[-1].start + around[-1].length <= start:
+            around.pop()
+        end = around[-1].start + around[-1].length if around else len(blob)
+        for kind in kinds:
+            length = VALIDATE[kind](blob, start)
+            if length and start + length <= end and not (around and start == around[-1].start):
+                found.append(Found(kind, start, length, around[-1].start if around else None))
+                around.append(found[-1])
+                break
     return found
 
 
@@ -261,7 +347,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 SNIFFED = (
     "id long, n_bytes long, declared string, kind string, start long, length long, "
-    "carved array<struct<kind:string,start:long,length:long>>, media binary"
+    "carved array<struct<kind:string,start:long,length:long,inside:long>>, media binary"
 )
 
 
@@ -288,7 +374,7 @@ def sniff_column(stored: DataFrame) -> DataFrame:
                     pa.array([f.kind for f in first], pa.string()),
                     pa.array([f.start for f in first], pa.int64()),
                     pa.array([f.length for f in first], pa.int64()),
-                    pa.array([[f._asdict() for f in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))),
+                    pa.array([[f._asdict() for f in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("inside", pa.int64())]))),
                     pa.array(blobs, pa.binary()),
                 ],
                 ["id", "n_bytes", "declared", "kind", "start", "length", "carved", "media"],
