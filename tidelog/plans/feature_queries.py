@@ -178,8 +178,9 @@ def c1_candidate_activity(spark: SparkSession, sf: str) -> DataFrame:
 
 def _supplier_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates: for each supplier the parts that it ships after the cutoff."""
-    lines = read_database(spark, sf, SHOP)["lineitem"]
-    return lines.filter((F.col("t") > CUT) & (F.col("t") <= CUT + D)).select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("candidate")).distinct().withColumn("t_q", F.lit(CUT).cast("long"))
+    shipped = SHOP["lineitem"].time_col
+    lines = events.later_than(events.cutoff_filter(read_database(spark, sf, SHOP)["lineitem"], CUT + D, shipped), CUT, shipped)
+    return lines.select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("candidate")).distinct().withColumn("t_q", F.lit(CUT).cast("long"))
 
 
 _SP = f"sp AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS candidate, CAST({CUT} AS BIGINT) AS t_q FROM l WHERE t > {CUT} AND t <= {CUT + D})"
