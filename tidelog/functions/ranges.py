@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,36 +42,47 @@ def with_part(frame: DataFrame, key: str, parts: int | None = None) -> DataFrame
     return frame.withColumn("part", part)
 
 
-def exact_quantile(frame: DataFrame, value: Column, share: float) -> float | None:
-    """The interpolated quantile of a column's values; nulls don't count, and without values it is None.
+def exact_quantiles(frame: DataFrame, value: Column, shares: Sequence[float]) -> list[float | None]:
+    """Interpolated quantiles of a column's values; nulls don't count, and without values they are None.
 
-    Approximate quantiles bracket it, the rows below are counted, and only what
-    lies in the bracket is looked at again, until few distinct values are left.
-    So no buffer holds all of a column's values.
+    Where few distinct values are found, their counts say all. Otherwise
+    approximate quantiles bracket each one, the rows below are counted, and
+    only what lies in the bracket is looked at again. So no buffer holds all of
+    a column's values.
     """
-    left = frame.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n = left.count()
-    if not n:
-        return None
+    values = frame.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    few = _few(values)
+    n = values.count() if few is None else sum(many for _, many in few)
+    return [_quantile(values, few, share, n) if n else None for share in shares]
+
+
+def exact_quantile(frame: DataFrame, value: Column, share: float) -> float | None:
+    """One interpolated quantile of a column's values."""
+    return exact_quantiles(frame, value, [share])[0]
+
+
+def _few(values: DataFrame) -> list[tuple[float, int]] | None:
+    """Distinct values with their counts, in order; None if there are more than FEW_VALUES."""
+    found = values.groupBy("v").agg(F.count("*").alias("n")).limit(FEW_VALUES + 1).collect()
+    return sorted((r["v"], r["n"]) for r in found) if len(found) <= FEW_VALUES else None
+
+
+def _quantile(left: DataFrame, few: list[tuple[float, int]] | None, share: float, n: int) -> float:
     place = share * (n - 1)
     first, rest = int(place), place - int(place)
-    below = 0
-    while True:
-        counts = left.groupBy("v").agg(F.count("*").alias("n"))
-        few = counts.limit(FEW_VALUES + 1).collect()
-        if len(few) <= FEW_VALUES:
-            break
-        error = 1e-3
-        inside = left.count()
+    below, inside, error = 0, n, 1e-3
+    while few is None:
         at = [min(1.0, max(0.0, (k - below) / max(1, inside - 1) + d)) for k, d in ((first, -2 * error), (first + 1, 2 * error))]
         low, high = left.approxQuantile("v", at, error)
         if at[0] > 0:
             below += left.filter(F.col("v") < low).count()
             left = left.filter(F.col("v") >= low)
         left = left.filter(F.col("v") <= high)
+        few = _few(left)
+        inside = left.count() if few is None else 0
     found, seen = [], below
-    for value_, many in sorted((r["v"], r["n"]) for r in few):
-        found += [value_ for k in (first, min(first + 1, n - 1)) if seen <= k < seen + many]
+    for value, many in few:
+        found += [value for k in (first, min(first + 1, n - 1)) if seen <= k < seen + many]
         seen += many
     return found[0] + rest * (found[-1] - found[0])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.functions.ranges import exact_quantile, running_sums
+from tidelog.functions.ranges import exact_quantiles, running_sums
 
 def _per_score(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by, "pred").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
@@ -85,7 +85,8 @@ def poisson_nll(scored: DataFrame, balanced: bool = False) -> DataFrame:
 
 def diagnostics(scored: DataFrame) -> DataFrame:
     """`spread, pearson, p10, p50, p90` of predictions."""
-    quantiles = [F.lit(exact_quantile(scored, F.col("pred"), p / 100)).cast("double").alias(f"p{p}") for p in (10, 50, 90)]
+    found = exact_quantiles(scored, F.col("pred"), [0.1, 0.5, 0.9])
+    quantiles = [F.lit(x).cast("double").alias(name) for x, name in zip(found, ("p10", "p50", "p90"), strict=True)]
     return scored.agg(F.stddev_samp("pred").alias("spread"), F.corr("pred", "y").alias("pearson")).select("spread", "pearson", *quantiles)
 
 

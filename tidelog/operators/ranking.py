@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, uniform
-from tidelog.functions.ranges import exact_quantile
+from tidelog.functions.ranges import exact_quantiles
 
 #: Rows of a block of queries and of candidates, and queries whose products are held at once.
 BLOCK, CATALOGUE_BLOCK, TILE = 4096, 16384, 512
@@ -128,7 +128,8 @@ def rank_depth(ranked: DataFrame, truth: DataFrame, depths: list[int]) -> DataFr
     """One row: queries with truth, hit rates at depths, and median and 90 % rank of the best hit."""
     best = truth.join(ranked, ["query_id", "candidate"], "left").groupBy("query_id").agg(F.min("rank").alias("best"))
     rates = [F.avg((F.coalesce(F.col("best"), F.lit(1 << 30)) <= d).cast("double")).alias(f"hit_{d}") for d in depths]
-    quantiles = [F.lit(exact_quantile(best, F.col("best"), share)).cast("double").alias(name) for share, name in ((0.5, "median_rank"), (0.9, "p90_rank"))]
+    found = exact_quantiles(best, F.col("best"), [0.5, 0.9])
+    quantiles = [F.lit(x).cast("double").alias(name) for x, name in zip(found, ("median_rank", "p90_rank"), strict=True)]
     return best.agg(F.count("*").alias("n_queries"), *rates).select("*", *quantiles)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, in_window, uniform
-from tidelog.functions.ranges import exact_quantile
+from tidelog.functions.ranges import exact_quantiles
 from tidelog.operators.timeline import sweep
 
 #: Events of a window that are kept in detail, and destinations of a query.
@@ -86,7 +86,7 @@ def bucket_edges(frame: DataFrame, column: str, buckets: int = 8) -> list[float]
     that goes with the buckets and not with the rows.
     """
     values = frame.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    quantiles = [exact_quantile(values, F.col("x"), i / buckets) for i in range(1, buckets)]
+    quantiles = exact_quantiles(values, F.col("x"), [i / buckets for i in range(1, buckets)])
     if quantiles[0] is None:
         return [0.0] * (buckets - 1)
     near = []
