@@ -94,6 +94,11 @@ class TreeCoder:
         """The bytes of a sequence of ids."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Give back what is remembered; a worker lives on after its task."""
+        self.known.clear()
+        self.pairs.clear()
+
     def text(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         known = self.known
@@ -143,6 +148,7 @@ def encode_texts(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
         for batch in (part for whole in batches for part in in_slices(whole, 1)):
             packed = [tree.text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
+        tree.forget()
 
     return keyed_text(df, id_col, text_col).mapInArrow(run, "id long, ids binary")
 
@@ -159,6 +165,21 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return df.select("id", "ids").mapInArrow(run, "id long, ids binary, decoded binary")
 
 
+def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`id, ids, decoded`: as `encode_texts` and then `decode_ids`, in one pass with one coder a worker."""
+    checked(rank_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = coder(rank_file, pattern)
+        for batch in (part for whole in batches for part in in_slices(whole, 1)):
+            packed = [tree.text(t) for t in batch.column(1).to_pylist()]
+            decoded = [tree.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
+        tree.forget()
+
+    return keyed_text(df, id_col, text_col).mapInArrow(run, "id long, ids binary, decoded binary")
+
+
 def digest_round_trip(df: DataFrame) -> DataFrame:
     """`id, n_tokens, ids_sha256, decoded_sha256` of `id, ids, decoded`."""
     return df.selectExpr("id", "cast(octet_length(ids) div 4 as long) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
@@ -169,8 +190,7 @@ def round_trip(df: DataFrame) -> DataFrame:
     import public_tokenizers
 
     rank_file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode_texts(df, rank_file, pattern)
-    return digest_round_trip(decode_ids(ids, rank_file, pattern)).withColumnRenamed("id", "doc_id")
+    return digest_round_trip(encode_and_decode(df, rank_file, pattern)).withColumnRenamed("id", "doc_id")
 
 
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bits of the filter that tells rows that a list of keys can't concern.
+FILTER_BITS = 1 << 24
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS with a bit for each 64-bit hash in the only column, in words of 32, put together by Spark."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
+    words = hashes.select(F.floor(bit / 32).alias("word"), one.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def split_by_keys(frame: DataFrame, key_hash: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key hash may be among `hashes`, and rows where it is not.
+
+    Only the former have to be dealt out to be joined. The filter is of fixed
+    size, 2 MB; where it is full, all rows are among the former.
+    """
+    words = pa.table({"words": pa.array([bitmap(hashes).view(np.int32)], pa.list_(pa.int32()))})
+    held = frame.sparkSession.createDataFrame(words)
+    bit = F.pmod(key_hash, F.lit(FILTER_BITS))
+    hit = F.getbit(F.get(held["words"], F.floor(bit / 32).cast("int")), (bit % 32).cast("int")) == 1
+    both = frame.crossJoin(F.broadcast(held))
+    own = [frame[f"`{c}`"] for c in frame.columns]
+    return both.filter(hit).select(*own), both.filter(~hit).select(*own)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

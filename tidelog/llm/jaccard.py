@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, cut, in_slices, keyed_text, table
+from tidelog.llm.common import FILTER_BITS, WORD, bitmap, cut, in_slices, keyed_text, split_by_keys, table
 from tidelog.llm.components import components
 
 WORDS = 5
@@ -52,8 +52,8 @@ PER_GROUP, FEWEST_GROUPS, SINGLE_GROUPS, MOST_GROUPS = 4, 128, 512, 1 << 16
 FAN, TILE = 32, 512
 #: Rounds in which a node passes on its nearest point only, before all that are left.
 NEAREST_ROUNDS = 1
-#: Bits of the filter that spares fetching texts without a candidate.
-FILTER_BITS = 1 << 24
+#: Parts over which rows of one text or component are dealt.
+SALTS = 8
 
 _POWERS = np.array([pow(5, 2 * k + 1, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -291,7 +291,7 @@ def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def prefixes(df: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`key, apart, node`: the first quarter of each set's shingles, rare ones first.
 
-    `apart` is the part of the set's shingles that aren't common, from 0 to 100: the
+    A key is 48 bits of a shingle's hash, as it only names a block. `apart` is the part of the set's shingles that aren't common, from 0 to 100: the
     text that others were copied from has fewer of its own than its altered copies have.
     """
     sent = df.sparkSession.sparkContext.broadcast(common)
@@ -318,7 +318,7 @@ def prefixes(df: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str =
                         if len(first) < length:
                             often = own[hit]
                             first = np.concatenate([first, often[np.lexsort((often, counts[at[hit]]))]])
-                    keys.append(first[:length].view(np.int64))
+                    keys.append((first[:length] >> np.uint64(16)).view(np.int64))
                     nodes.append(node)
                     apart.append(alone)
                     sizes.append(length)
@@ -337,11 +337,7 @@ def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_co
     The filter is a bitmap of fixed size, put together by Spark; where it is
     full, it lets every text through. A node may come more than once.
     """
-    bit = F.pmod(F.col("row_hash"), F.lit(FILTER_BITS))
-    words = wanted.select(F.floor(bit / 32).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bitmap = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select("row_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,6 +483,12 @@ def _rooted(frame: DataFrame, rooted: DataFrame, node: str, name: str) -> DataFr
     return frame.join(own, node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _dealt(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Rows left joined to one row per key, which goes along to each of SALTS parts, as copies of one text share their key."""
+    parts = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return rows.withColumn("part", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS))).join(parts, [key, "part"], "left").drop("part")
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, text_hash, n_shingles, node, root` for every row; equal roots are one component.
 
@@ -532,30 +534,31 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not more.isEmpty():
             links = links.unionByName(more)
             rooted = components(links)
-    return _rooted(sets.select("id", "text_hash", "n_shingles", "node"), rooted, "node", "root")
+    done = _dealt(sets.select("id", "text_hash", "n_shingles", "node"), rooted, "node")
+    return done.select("id", "text_hash", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
 
 
 def with_component_ids(groups: DataFrame) -> DataFrame:
     """`id, n_shingles, component_id`: the least id of the component; its own where there are no links."""
-    least = groups.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    least = groups.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # rows without words have no root to meet at
     wordless = groups.filter("root is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return groups.filter("root is not null").join(least, "root").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")).unionByName(wordless)
+    return _dealt(groups.filter("root is not null"), least, "root").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")).unionByName(wordless)
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """`documents` with one row of each component, that of the least doc_id (nulls last); rows without words all stay.
 
-    Only keys of rows that go are joined to the documents, and no column is
-    added to them, so extra columns may have any name. Of equal rows of one id
+    Only keys of rows that go are joined to the documents, a bitmap spares the
+    others a shuffle, and no column is added, so extra columns may have any name. Of equal rows of one id
     and text in a component the first by source and language stays.
     """
     groups = cut(similar_groups(docs), "jaccard-groups").filter("root is not null")
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
-    counted = groups.groupBy("root", key.alias("k")).agg(F.count("*").alias("n"))
-    first = cut(counted.groupBy("root").agg(F.min(F.struct("k", "n")).alias("s"), F.count("*").alias("keys")), "jaccard-first")
-    others = counted.join(first.filter("keys > 1").select("root", F.col("s.k").alias("first")), "root").filter("k <> first").select("k.id", "k.text_hash").distinct()
-    others = cut(others, "jaccard-others")
+    counted = groups.groupBy("root", "id", "text_hash").agg(F.count("*").alias("n"))
+    first = cut(counted.groupBy("root").agg(F.min(F.struct(key.alias("k"), "n")).alias("s"), F.count("*").alias("keys")), "jaccard-first")
+    several = first.filter("keys > 1").select("root", F.col("s.k").alias("first"))
+    others = cut(_dealt(counted, several, "root").filter(F.col("first").isNotNull() & (key != F.col("first"))).select("id", "text_hash").distinct(), "jaccard-others")
     # one id and text more than once: all of those rows go here, and one of each comes back
     repeated = first.filter("s.n > 1").select("s.k.id", "s.k.text_hash")
     text_hash, doc_id = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), docs["doc_id"].cast("long")
@@ -563,16 +566,18 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     def at(keys: DataFrame) -> Column:
         return text_hash.eqNullSafe(keys["text_hash"]) & doc_id.eqNullSafe(keys["id"])
 
-    again = docs.join(repeated, at(repeated), "left_semi").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    gone = cut(others.unionByName(repeated), "jaccard-gone")
+    tried, stay = split_by_keys(docs, F.xxhash64(doc_id, text_hash), gone.select(F.xxhash64("id", "text_hash")))
+    again = tried.join(repeated, at(repeated), "left_semi").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     nth = F.row_number().over(W.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy("row.source", "row.lang"))
     back = again.select("row", nth.alias("nth")).filter("nth = 1").select("row.*")
-    gone = others.unionByName(repeated)
-    return docs.join(gone, at(gone), "left_anti").unionByName(back)
+    return stay.unionByName(tried.join(gone, at(gone), "left_anti")).unionByName(back)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all `documents`."""
-    return with_component_ids(similar_groups(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    groups = cut(similar_groups(table(spark, sf_dir, "documents")), "jaccard-groups")
+    return with_component_ids(groups).withColumnRenamed("id", "doc_id")
 
 
 #: From the definition: all pairs that share a shingle, and what can be reached over links.

@@ -16,12 +16,13 @@ so the largest source doesn't meet in one task.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, table, word_count
+from tidelog.llm.common import cut, split_by_keys, table, word_count
 
 #: Bits of a point, and the golden ratio's fractional part in them.
 POINT_BITS = 60
@@ -194,11 +195,17 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     share = F.col("taken") / F.col("size")
     copies = (F.floor(share) + (share - F.floor(share) > draw).cast("long")).alias("copies")
     # rows of one id and size are told apart by their place among them
-    same = W.partitionBy("doc_id", "size").orderBy("taken")
-    often = mix(docs).filter("size > 0").select("doc_id", "size", copies, F.row_number().over(same).alias("nth")).filter("copies > 0")
+    same = W.partitionBy("doc_id", "size")
+    nth = F.row_number().over(same.orderBy("taken")).alias("nth")
+    shares = cut(mix(docs).filter("size > 0").select("doc_id", "size", copies, nth, F.count("*").over(same).alias("alike")), "mix-shares")
+    often = shares.filter("copies > 0").drop("alike")
     own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("mix_id"), word_count(F.col("row.text")).alias("mix_size"))
-    numbered = own.withColumn("mix_nth", F.row_number().over(W.partitionBy("mix_id", "mix_size").orderBy("row.text", "row.source")))
-    joined = numbered.join(often, F.col("mix_id").eqNullSafe(F.col("doc_id")) & (F.col("mix_size") == F.col("size")) & (F.col("mix_nth") == F.col("nth")))
+    several = shares.filter("alike > 1").select(F.xxhash64("doc_id", "size"))
+    many, single = split_by_keys(own, F.xxhash64("mix_id", "mix_size"), several)
+    numbered = many.withColumn("mix_nth", F.row_number().over(W.partitionBy("mix_id", "mix_size").orderBy("row.text", "row.source")))
+    key = F.col("mix_id").eqNullSafe(F.col("doc_id")) & (F.col("mix_size") == F.col("size"))
+    taken = [numbered.join(often, key & (F.col("mix_nth") == F.col("nth"))), single.join(often.filter("nth = 1"), key)]
+    joined = reduce(DataFrame.unionByName, [part.select("row", "copies") for part in taken])
     return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
