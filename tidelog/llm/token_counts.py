@@ -31,10 +31,6 @@ class PieceCounter:
 
     def __init__(self, model_file: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        stated = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
-        normal = stated.normalizer_spec
-        if stated.trainer_spec.model_type != stated.trainer_spec.BPE or normal.precompiled_charsmap or normal.remove_extra_whitespaces or not (normal.add_dummy_prefix and normal.escape_whitespaces and stated.trainer_spec.byte_fallback):
-            raise ValueError("only byte-pair models with byte fallback that leave texts as they are, but for one mark before them, are counted")
         ordinary = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ranks = {model.id_to_piece(i): -model.get_score(i) for i in ordinary}
         joined = [p for p in self.ranks if len(p) > 1]
@@ -68,6 +64,16 @@ class PieceCounter:
         return total
 
 
+@functools.lru_cache(maxsize=2)
+def checked(model_file: str) -> str:
+    """The file, if it holds what is counted here; looked at once, on the driver."""
+    stated = sentencepiece_model_pb2.ModelProto.FromString(sentencepiece.SentencePieceProcessor(model_file=model_file).serialized_model_proto())
+    normal, trained = stated.normalizer_spec, stated.trainer_spec
+    if trained.model_type != trained.BPE or normal.precompiled_charsmap or normal.remove_extra_whitespaces or not (normal.add_dummy_prefix and normal.escape_whitespaces and trained.byte_fallback):
+        raise ValueError("only byte-pair models with byte fallback that leave texts as they are, but for one mark before them, are counted")
+    return model_file
+
+
 @functools.lru_cache(maxsize=2)
 def counter(model_file: str) -> PieceCounter:
     """One counter per worker process and file."""
@@ -81,6 +87,7 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     tokens are ordinary text. Texts are counted whole, repeated rows each;
     other columns are ignored. The vocabulary file must be on every executor.
     """
+    checked(model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(model_file)
@@ -96,6 +103,7 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
                 ],
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
+        pieces.known.clear()  # a worker lives on after its task
 
     return keyed_text(df, id_col, text_col).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
 
