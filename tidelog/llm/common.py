@@ -50,6 +50,7 @@ def in_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> It
         end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def word_count(text: Column) -> Column:
@@ -59,6 +60,8 @@ def word_count(text: Column) -> Column:
 
 #: Bits of the filter that tells rows that a list of keys can't concern.
 FILTER_BITS = 1 << 24
+#: Bits of one bitmap, as Spark's own function makes them.
+BUCKET_BITS = 1 << 15
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -74,14 +77,19 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 def split_by_keys(frame: DataFrame, key_hash: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose key hash may be among `hashes`, and rows where it is not.
 
-    Only the former have to be dealt out to be joined. The filter is of fixed
-    size, 2 MB; where it is full, all rows are among the former.
+    Only the former have to be dealt out to be joined. The filter is at most
+    512 bitmaps of 4 kB, whatever the number of keys, so that it can be
+    broadcast; where it is full, all rows are among the former.
     """
-    words = pa.table({"words": pa.array([bitmap(hashes).view(np.int32)], pa.list_(pa.int32()))})
-    held = frame.sparkSession.createDataFrame(words)
-    bit = F.pmod(key_hash, F.lit(FILTER_BITS))
-    hit = F.getbit(F.get(held["words"], F.floor(bit / 32).cast("int")), (bit % 32).cast("int")) == 1
-    both = frame.crossJoin(F.broadcast(held))
+    name = hashes.columns[0]
+    low = F.lit(BUCKET_BITS - 1)
+    place = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    keyed = hashes.select(F.shiftright(place(F.col(name)), BUCKET_BITS.bit_length() - 1).alias("bucket"), place(F.col(name)).bitwiseAND(low).alias("bit"))
+    held = keyed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = place(key_hash).bitwiseAND(low)
+    byte = F.conv(F.hex(F.substring(held["bits"], F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    both = frame.join(F.broadcast(held), F.shiftright(place(key_hash), BUCKET_BITS.bit_length() - 1) == held["bucket"], "left")
     own = [frame[f"`{c}`"] for c in frame.columns]
     return both.filter(hit).select(*own), both.filter(~hit).select(*own)
 
