@@ -253,7 +253,10 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut(find_base(docs, id_col, text_col, with_rows), "pii-found")
     held = cut(repeated_entities(found), "pii-held")
     telling = cut(revealing_terms(docs, held, text_col), "pii-terms")
-    both = held.select("rid", "terms", F.explode("entities").alias("entity")).select("rid", "entity", F.explode("terms").alias("term")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
+    # first the few terms that tell anything, then of whom
+    own = held.select("rid", F.explode("terms").alias("term")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
+    hits = own.join(_salted(telling.select("term").distinct()), ["term", "salt"]).select("rid", "term")
+    both = hits.join(held.select("rid", F.explode("entities").alias("entity")), "rid").withColumn("salt", F.pmod("rid", F.lit(SALTS)))
     tag = F.when(F.col("bits") <= REMOVE_BITS, F.lit("")).otherwise(F.lit(TAGS["term"]))
     marked = cut(both.join(_salted(telling), ["term", "entity", "salt"]).groupBy("rid", "term").agg(F.min(tag).alias("tag")), "pii-marked")
     places = found.select("rid", "held_text").join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(_terms(F.col("held_text"))).alias("t")).select("rid", "t.term", "t.start", "t.end")
@@ -275,11 +278,15 @@ def rewritten(text: Column, spans: Column) -> Column:
 
 
 def sanitise_documents(docs: DataFrame) -> DataFrame:
-    """`documents` with personal data, secrets and revealing terms taken out of the text."""
-    done = sanitise_spans(docs, with_rows=True)
-    text = rewritten(F.col("row.text"), F.concat("spans", "terms"))
-    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
-    return done.select(*columns, text.alias("text"), F.length(text).cast("long").alias("n_chars")).select(docs.columns)
+    """`documents` with personal data, secrets and revealing terms taken out of the text.
+
+    The input's columns travel in one struct, so extra ones may have any name.
+    """
+    done = sanitise_spans(docs, with_rows=True).select("row", rewritten(F.col("row.text"), F.concat("spans", "terms")).alias("cleaned"))
+    row = F.col("row").withField("text", F.col("cleaned"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("cleaned").cast("long"))
+    return done.select(row.alias("row")).select("row.*")
 
 
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
