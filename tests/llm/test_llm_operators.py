@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tests.llm.cases import TEXTS, documents, nothing
 from tests.oracle import rows_of, rows_of_sql
 from tidelog.llm import byte_bpe, html_text, jaccard, licenses, media, mixing, pii, quality, queries, token_counts, warc
+from tidelog.llm.common import split_by_keys
 from tidelog.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -327,6 +328,16 @@ def test_hard_cases_of_the_join(spark):
     assert ids.count(4) == 1 and 5 not in ids and ids.count(8) == 1 and {0, 1, 2} <= set(ids)
 
 
+def test_splits_lose_no_key(spark):
+    frame = spark.range(4000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("id"), F.lit("x").alias("bits"), F.lit(1).alias("bucket"))
+    keys = spark.range(0, 4000, 37).select(F.xxhash64("id").alias("h")).unionByName(spark.range(1).select(F.xxhash64(F.lit(None).cast("long")).alias("h")))
+    may, not_ = split_by_keys(frame, F.xxhash64("id"), keys)
+    got = {r["id"] for r in may.collect()}
+    assert may.columns == not_.columns == frame.columns and may.count() + not_.count() == 4000
+    assert got >= {i for i in range(0, 4000, 37) if i % 50} | {None} and len(got) < 150
+    assert split_by_keys(frame, F.xxhash64("id"), keys.limit(0))[0].count() == 0
+
+
 def test_one_per_group_keeps_any_column(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, text, "b"), (1, text, "a"), (2, text.upper(), "a"), (None, text, "a"), (None, None, None), (3, "", "a"), (4, None, "b"), (4, None, "b"), (5, "short one", "a"), (6, "short one", None)]
@@ -582,7 +593,8 @@ def test_token_counts_equal_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = _texts()
     want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
-    assert [token_counts.PieceCounter(path).count(t) for t in texts] == want
+    one = token_counts.PieceCounter(path)
+    assert [one.count(t) for t in texts] == want
     docs = documents(spark)
     got = token_counts.count_tokens(docs, path)
     assert got.count() == docs.count() and got.filter("n_tokens = 0").count() == 2
