@@ -28,7 +28,7 @@ from tidelog.llm.merging import merge
 from tidelog.llm.token_counts import MARK
 
 #: So many different stretches, and pairs of pieces, are remembered in each task.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 codecs.register_error("one_mark_a_byte", lambda wrong: ("�", wrong.start + 1))
 
@@ -43,12 +43,14 @@ class PieceCoder:
         self.raw = {i: int(p[3:-1], 16) for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.byte_ids = {b: i for i, b in self.raw.items()}
         self.unknown, self.end = model.unk_id(), model.eos_id()
+        self.said = ["" if i in self.silent else " ⁇ " if i == self.unknown else p for i, p in enumerate(self.pieces)]
         ordinary = [i for i in range(len(self.pieces)) if not (i in self.silent or i in self.raw or i == self.unknown or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in ordinary}
         self.ranks = {self.pieces[i]: -model.get_score(i) for i in ordinary}
         self.starts = ahocorasick.Automaton()
         for piece in self.ids:
-            self.starts.add_word(piece, len(piece))
+            if len(piece) > 1:  # a single character needs no search
+                self.starts.add_word(piece, len(piece))
         self.starts.make_automaton()
         #: The longest shorter piece, or single character, that a piece begins with.
         self.shorter = {p: next(p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.ids) for p in self.ids if len(p) > 1}
@@ -123,24 +125,20 @@ class PieceCoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces but for one at the start, runs of bytes are UTF-8, controls say nothing."""
+        if self.raw.keys().isdisjoint(ids):
+            return "".join(map(self.said.__getitem__, ids)).removeprefix(MARK).replace(MARK, " ")
         out: list[str] = []
         run = bytearray()
-        first = True
         for i in ids:
             if i in self.raw:
                 run.append(self.raw[i])
-                first = False
-                continue
-            if i in self.silent:
-                continue
-            if run:
-                out.append(run.decode("utf-8", "one_mark_a_byte"))
+            elif i not in self.silent:
+                out += [run.decode("utf-8", "one_mark_a_byte"), self.said[i]]
                 run.clear()
-            piece = " ⁇ " if i == self.unknown else self.pieces[i]
-            out.append((piece.removeprefix(MARK) if first else piece).replace(MARK, " "))
-            first = False
         out.append(run.decode("utf-8", "one_mark_a_byte"))
-        return "".join(out)
+        first = next((i for i in ids if i not in self.silent), self.end)
+        text = "".join(out)
+        return (text if first in self.raw else text.removeprefix(MARK)).replace(MARK, " ")
 
     def forget(self) -> None:
         """Give back what is remembered; a worker lives on after its task."""
