@@ -194,11 +194,11 @@ def test_pool_scores_other_rows_and_names_what_failed(spark, monkeypatch):
 
 def test_median_regression_falls_back_to_the_median(spark):
     frame = lambda n: spark.range(n).select("id", F.cos("id").alias("x"), F.when(F.col("id") % 10 == 0, 100.0).otherwise(F.col("id") % 3 * 1.0).alias("target"))
-    done, used = probe.median_regression(frame(150), frame(20), ["x"], "target", "id", folds=2)
-    assert done.count() == 20 and (used or {r["pred"] for r in done.collect()} == {1.0})
+    done, best, errors = probe.median_regression(frame(150), frame(20), ["x"], "target", "id", folds=2)
+    assert done.count() == 20 and errors[best] == min(errors.values()) and (best != "constant" or {r["pred"] for r in done.collect()} == {1.0})
     line = lambda n: spark.range(n).select("id", (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 50 * 10.0).alias("target"))
-    done, used = probe.median_regression(line(200), line(50), ["x"], "target", "id", folds=2)
-    assert used and done.agg(F.avg(F.abs(F.col("pred") - F.col("target")))).first()[0] < 60
+    done, best, _ = probe.median_regression(line(200), line(50), ["x"], "target", "id", folds=2)
+    assert best != "constant" and done.agg(F.avg(F.abs(F.col("pred") - F.col("target")))).first()[0] < 60
 
 
 def test_rates_are_fitted_on_other_rows(spark):

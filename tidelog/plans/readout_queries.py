@@ -7,8 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions import ranges
 from tidelog.functions.exprs import count_if
-from tidelog.operators import events, metrics, pairs, probe, readout, targets
+from tidelog.operators import events, gaps, metrics, pairs, probe, readout, robust, targets
 from tidelog.operators import window_language as wl
 from tidelog.plans import feature_queries as fq
 from tidelog.plans import ranking_queries as rq
@@ -16,6 +17,7 @@ from tidelog.plans import target_queries as tq
 from tidelog.plans.feature_queries import CCUT, CUT, D, rounded
 from tidelog.plans.registry import EV, O, query
 from tidelog.sources import sinks
+from tidelog.sources.sinks import written
 from tidelog.sources.tables import read_database, read_table
 from tidelog.spec import DAY, SHOP
 
@@ -131,9 +133,63 @@ def r15_kaplan_meier(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(readout.kaplan_meier(_gaps(spark, sf), "segment"))
 
 
-@query(f"WITH {O}, {GAPS} SELECT segment, round(avg(ln(gap)), 6) AS mu, round(stddev_pop(ln(gap)), 6) AS sigma, count(*) AS n FROM gp WHERE NOT censored GROUP BY 1")
+def _inner_sql(u: str) -> str:
+    """ln(erfc(u) exp(u^2)) of a u of 0 or more."""
+    t = f"(1.0 / (1.0 + ({u}) / 2.0))"
+    inner = str(gaps.ERFC[-1])
+    for c in reversed(gaps.ERFC[:-1]):
+        inner = f"({inner} * {t} + ({c}))"
+    return f"(ln({t}) + {inner})"
+
+
+def _steps_sql(components: int, steps: int) -> str:
+    """Steps of the mixture's fit in SQL: `m{i}` has `segment, k, w, mu, s` after i of them, `e{i}` the terms of each row and component."""
+    u = "(abs(z) / sqrt(2.0))"
+    tail = f"({_inner_sql(u)} - {u} * {u} - ln(2.0))"
+    survival = f"CASE WHEN z >= 0 THEN {tail} ELSE ln(1 - exp({tail})) END"
+    ahead = f"CASE WHEN z >= 0 THEN sqrt(2.0 / pi()) * exp(-{_inner_sql(u)}) ELSE exp(-z * z / 2.0 - 0.5 * ln(2 * pi()) - ({survival})) END"
+    low, high = gaps.LEAST_SIGMA, gaps.MOST_SIGMA
+    out = [
+        "gc AS (SELECT segment, ln(greatest(CAST(gap AS DOUBLE), 1.0)) AS x, censored, count(*) AS n FROM gp GROUP BY ALL)",
+        f"""m0 AS (SELECT segment, k, 1.0 / {components} AS w, mean + s * (2.0 * k - {components - 1}) / {components} AS mu, s FROM (SELECT segment, sum(n * x) / sum(n) AS mean,
+            least(greatest(sqrt(greatest(sum(n * x * x) / sum(n) - power(sum(n * x) / sum(n), 2), 0)), {low}), {high}) AS s FROM gc GROUP BY 1), range({components}) r(k))""",
+    ]
+    for i in range(steps):
+        out += [
+            f"""e{i} AS (SELECT *, n * exp(term - whole) AS part, CASE WHEN censored THEN s * ahead ELSE x - mu END AS f1, CASE WHEN censored THEN s * s * (1 + z * ahead) ELSE (x - mu) * (x - mu) END AS f2 FROM (
+                SELECT *, most + ln(sum(exp(term - most)) OVER (PARTITION BY segment, x, censored)) AS whole, {ahead} AS ahead FROM (SELECT *, max(term) OVER (PARTITION BY segment, x, censored) AS most FROM (
+                SELECT *, ln(greatest(w, 1e-300)) + CASE WHEN censored THEN {survival} ELSE -z * z / 2.0 - ln(s) - 0.5 * ln(2 * pi()) END AS term FROM (SELECT gc.*, k, w, mu, s, (x - mu) / s AS z FROM gc JOIN m{i} USING (segment))))))""",
+            f"""m{i + 1} AS (SELECT segment, k, held / total AS w, CASE WHEN held > 1e-9 THEN mu + shift ELSE mu END AS mu, CASE WHEN held > 1e-9 THEN least(greatest(sqrt(greatest(f2 / greatest(held, 1e-12) - shift * shift, 0)), {low}), {high}) ELSE s END AS s
+                FROM (SELECT segment, k, any_value(mu) AS mu, any_value(s) AS s, sum(part) AS held, sum(part * f1) / greatest(sum(part), 1e-12) AS shift, sum(part * f2) AS f2 FROM e{i} GROUP BY 1, 2) JOIN (SELECT segment, sum(n) AS total FROM gc GROUP BY 1) USING (segment))""",
+        ]
+    out.append(f"l AS (SELECT segment, sum(n * whole) FILTER (k = 0) AS log_likelihood, CAST(sum(n) FILTER (k = 0) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (k = 0 AND censored), 0) AS BIGINT) AS n_censored FROM e{steps - 1} GROUP BY 1)")
+    return ", ".join(out)
+
+
+_GAP_STEPS, _MIXED, _MIXED_STEPS = 12, 3, 4
+
+
+@query(f"WITH {O}, {GAPS}, {_steps_sql(1, _GAP_STEPS)} SELECT segment, round(mu, 6) AS mu, round(s, 6) AS sigma, n, n_censored FROM m{_GAP_STEPS} JOIN l USING (segment)")
 def r15_log_normal_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(readout.log_normal_gaps(_gaps(spark, sf), "segment"))
+    """One log-normal per segment, gaps that are still open counted by their chance of being longer."""
+    fitted = gaps.fit_gap_mixture(_gaps(spark, sf), "segment", steps=_GAP_STEPS, settled=-1.0)
+    return rounded(fitted.select("segment", "mu", "sigma", "n", "n_censored"))
+
+
+@query(f"WITH {O}, {GAPS}, {_steps_sql(_MIXED, _MIXED_STEPS)} SELECT segment, CAST(row_number() OVER (PARTITION BY segment ORDER BY mu) AS INT) AS component, round(w, 5) AS weight, round(mu, 5) AS mu, round(s, 5) AS sigma, round(log_likelihood, 3) AS log_likelihood, n, n_censored FROM m{_MIXED_STEPS} JOIN l USING (segment)")
+def r15_gap_mixture_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The first steps of a mixture's fit, as SQL can follow them."""
+    fitted = rounded(gaps.fit_gap_mixture(_gaps(spark, sf), "segment", _MIXED, steps=_MIXED_STEPS, settled=-1.0), 5)
+    return fitted.withColumn("log_likelihood", F.round("log_likelihood", 3))
+
+
+@query()
+def r15_gap_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture per segment fitted until it settles, and its chance that the next order comes within 30 days of a silence of 30."""
+    fitted = written(gaps.fit_gap_mixture(_gaps(spark, sf), "segment", _MIXED, steps=40, settled=1e-6), "fitted-gaps")
+    at = lambda day, name: gaps.mixture_survival(fitted, "segment", F.lit(day)).select("segment", F.col("survival").alias(name))
+    chance = at(30, "now").join(at(60, "then"), "segment").select("segment", (1.0 - F.col("then") / F.col("now")).alias("next_30"))
+    return rounded(fitted.join(chance, "segment"))
 
 
 @query(f"""WITH {O}, {GAPS}, {KM}, h AS (SELECT segment, -ln(greatest(min(survival) FILTER (gap <= 30), 1e-9)) AS h1, -ln(greatest(min(survival) FILTER (gap <= 120), 1e-9)) AS h2 FROM km GROUP BY 1) SELECT segment, round(0.2 * (h2 - h1), 5) AS hazard, round(sqrt(0.2 * 0.5) * (h2 - h1), 5) AS blended FROM h""")
@@ -209,8 +265,27 @@ def p1_p3_logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p4_p5_median_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Next sums at the cutoff by a median regression fitted a horizon before."""
-    frame, used = probe.median_regression(_probe_frame(spark, sf, CUT - D), _probe_frame(spark, sf, CUT), _FEATURES, "target", "entity_id")
-    return frame.select("entity_id", "target", "pred").withColumn("fitted", F.lit(used))
+    frame, best, _ = probe.median_regression(_probe_frame(spark, sf, CUT - D), _probe_frame(spark, sf, CUT), _FEATURES, "target", "entity_id")
+    return frame.select("entity_id", "target", "pred").withColumn("fitted", F.lit(best != "constant")).withColumn("chosen", F.lit(best))
+
+
+@query()
+def p4_linear_median(spark: SparkSession, sf: str) -> DataFrame:
+    """The price of a line by absolute-loss regression on what is known of it: coefficients, penalty and errors.
+
+    It is fitted on what shipped in the horizon before the last one before the
+    cutoff. `held_out` and `held_out_constant` are mean absolute errors over
+    the last horizon's lines, of the regression and of the median of the lines
+    that it was fitted on.
+    """
+    parts = read_table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("retail"))
+    lines = lambda until: tq.shipped(spark, sf, until - D, until).join(parts, "l_partkey").select(F.expr(SHOP["lineitem"].key).alias("row_key"), F.col("l_quantity").alias("quantity"), "retail", F.col("l_discount").alias("discount"), F.col("l_extendedprice").alias("target"))
+    known, asked = lines(CUT - D), lines(CUT)
+    line = robust.linear_l1(known, ["quantity", "retail", "discount"], "target", "row_key")
+    middle = ranges.exact_quantile(known, F.col("target"), 0.5) or 0.0
+    errors = line.predict(asked).agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("line"), F.avg(F.abs(F.col("target") - middle)).alias("constant")).first()
+    rows = [("intercept", line.intercept), *line.coefficients.items(), ("alpha", line.alpha), ("cv_error", line.error), ("cv_constant", line.constant_error), ("held_out", errors["line"]), ("held_out_constant", errors["constant"])]
+    return _listed(spark, rows, "name", "value")
 
 
 @query()

@@ -42,12 +42,16 @@ def clicks_log(spark: SparkSession, sf: str, after: int | None = None, until: in
     return clicks.withColumnsRenamed({"user_id": "entity_id", "event_id": "row_key"}).withColumn("table_idx", F.lit(0))
 
 
+def shipped(spark: SparkSession, sf: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Line items in (after, until]; both bounds reach the scan."""
+    return _span(read_database(spark, sf, SHOP)["lineitem"], SHOP["lineitem"].time_col, after, until)
+
+
 def lines_log(spark: SparkSession, sf: str, after: int | None = None, until: int | None = None) -> DataFrame:
     """Line items in (after, until], under the customer of their order; both bounds reach the scan."""
     tables = read_database(spark, sf, SHOP)
     owner = tables["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity_id"))
-    lines = _span(tables["lineitem"], SHOP["lineitem"].time_col, after, until)
-    return lines.join(owner, "l_orderkey").withColumn("row_key", F.expr(SHOP["lineitem"].key)).withColumn("table_idx", F.lit(1))
+    return shipped(spark, sf, after, until).join(owner, "l_orderkey").withColumn("row_key", F.expr(SHOP["lineitem"].key)).withColumn("table_idx", F.lit(1))
 
 
 @query()

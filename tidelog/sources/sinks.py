@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import tempfile
@@ -30,6 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_temporary: list[tuple[SparkSession, str]] = []
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the shared folder and read back, so that what follows starts from there; gone with the session."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    _temporary.append((spark, path))
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+@atexit.register
+def _drop_temporary() -> None:
+    for spark, path in _temporary:
+        try:
+            store, at = _store(spark, path)
+            store.delete(at, True)
+        except Exception:  # the session may have ended before
+            return
+
+
 def _store(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
