@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import events, features, pairs
+from tidelog.operators import events, features, history_state, pairs
 from tidelog.plans.corpus_queries import query_points
-from tidelog.plans.registry import EV, L, O, query
+from tidelog.plans.registry import EV, L, O, ORACLES, query
+from tidelog.sources.sinks import written
 from tidelog.sources.tables import read_database, read_table
 from tidelog.spec import CLICKS, DAY, SHOP
 
@@ -25,19 +26,19 @@ def shop_points(spark: SparkSession, sf: str) -> DataFrame:
     return query_points(spark, sf).withColumn("horizon_s", F.lit(D).cast("long"))
 
 
-def shop_past(spark: SparkSession, sf: str) -> DataFrame:
+def shop_states(spark: SparkSession, sf: str) -> DataFrame:
     history = events.histories(SHOP, read_database(spark, sf, SHOP), "customer", CUT)
-    return features.joined(shop_points(spark, sf), history)
+    return history_state.past_states(shop_points(spark, sf), history, {"orders": 0})
 
 
 def click_points(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("entity_id"), F.lit(CCUT).cast("long").alias("t_q"), F.lit(CD).cast("long").alias("horizon_s"))
 
 
-def click_past(spark: SparkSession, sf: str) -> DataFrame:
+def click_states(spark: SparkSession, sf: str) -> DataFrame:
     log = events.before(CLICKS, read_database(spark, sf, CLICKS), CCUT)["events"]
-    history = log.select(F.col("user_id").alias("entity_id"), "t", F.lit(0).alias("table_idx"), F.col("event_id").alias("row_key"), "event_type")
-    return features.joined(click_points(spark, sf), history)
+    history = log.select(F.col("user_id").alias("entity_id"), "t", F.lit(0).alias("table_idx"), "event_type")
+    return history_state.past_states(click_points(spark, sf), history, {"events": 0}, {"event_type": TYPES})
 
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
@@ -47,17 +48,17 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
 @query(f"""WITH {O}, {Q}, {P} SELECT query_id, t_q, round(ln(1 + count(t)), 6) AS orders_n, round(coalesce(ln(1 + (t_q - max(t)) / 86400.0), 0), 6) AS orders_since,
     round(ln(1 + count(*) FILTER (t > t_q - horizon_s)), 6) AS orders_recent, round(ln(1 + count(t)), 6) AS all_n, round(coalesce(ln(1 + (t_q - min(t)) / 86400.0), 0), 6) AS all_first FROM p GROUP BY query_id, t_q""")
 def f1_f2_table_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.table_counts(shop_past(spark, sf), {"orders": 0}))
+    return rounded(history_state.table_counts(shop_states(spark, sf), ["orders"]))
 
 
 @query(f"""WITH {EV}, {QC}, {PC} SELECT query_id, {", ".join(f"round(ln(1 + count(*) FILTER (event_type = '{v}')), 6) AS event_type_{v}" for v in TYPES)} FROM p GROUP BY 1""")
 def f3_category_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.category_counts(click_past(spark, sf), "event_type", TYPES))
+    return rounded(history_state.category_counts(click_states(spark, sf), "event_type", TYPES))
 
 
 @query(f"""WITH {EV}, {QC}, {PC} SELECT query_id, {", ".join(f"round(ln(1 + count(*) FILTER (event_type = '{v}' AND t > t_q - horizon_s)), 6) AS event_type_{v}" for v in TYPES)} FROM p GROUP BY 1""")
 def f4_trailing_category_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.category_counts(click_past(spark, sf), "event_type", TYPES, recent=True))
+    return rounded(history_state.category_counts(click_states(spark, sf), "event_type", TYPES, recent=True))
 
 
 @query(f"""WITH {O}, {Q}, {P}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, row_key DESC) AS recency, t - lag(t) OVER (PARTITION BY query_id ORDER BY t, row_key) AS gap FROM p WHERE t IS NOT NULL),
@@ -70,13 +71,13 @@ def f4_trailing_category_counts(spark: SparkSession, sf: str) -> DataFrame:
            round(coalesce(ln(1 + gap / 86400.0), 0), 6) AS dyn_gap, round(coalesce(CASE WHEN gap IS NULL THEN ln(1 + elapsed / 86400.0) ELSE ln(1 + elapsed / (gap + 86400.0)) END, 0), 6) AS dyn_overdue
     FROM q LEFT JOIN s USING (query_id) LEFT JOIN w USING (query_id)""")
 def f5_dynamics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.dynamics(shop_past(spark, sf)))
+    return rounded(history_state.dynamics(shop_states(spark, sf)))
 
 
 @query(f"""WITH {O}, {Q}, {P}, g AS (SELECT *, ln(1 + (t - lag(t) OVER (PARTITION BY query_id ORDER BY t, row_key)) / 86400.0) AS gap FROM p)
     SELECT query_id, round(coalesce(stddev_pop(gap), 0), 6) AS gap_std, round(coalesce(avg(CASE WHEN t IS NULL THEN NULL WHEN (t // 86400 + 4) % 7 = (t_q // 86400 + 4) % 7 THEN 1.0 ELSE 0.0 END), 0), 6) AS weekday_share FROM g GROUP BY 1""")
 def f6_gap_globals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.gap_globals(shop_past(spark, sf)))
+    return rounded(history_state.gap_globals(shop_states(spark, sf)))
 
 
 _SUPPLIER_Q = f"q AS (SELECT s_suppkey AS query_id, s_suppkey AS entity_id, {CUT} AS t_q, {D} AS horizon_s FROM supplier)"
@@ -94,25 +95,30 @@ _NB_SLOTS = features.neighbour_layout(SHOP, "supplier")
 _NB_NAMES = ("distinct", "top_share", "with_last", "events", "alike", "since")
 
 
-def _neighbour_sql(i: int, column: str) -> str:
+def _neighbour_sql(i: int, column: str, target: str) -> str:
+    own = f"UNION ALL SELECT {SHOP[target].pkey}, t, {SHOP.table_idx(target)} FROM {target[0]} WHERE t < {CUT}" if SHOP[target].is_fact else ""
     return f"""per{i} AS (SELECT query_id, t_q, {column} AS nb, count(*) AS n, max(t) AS last FROM q JOIN k ON l_suppkey = entity_id GROUP BY ALL),
     r{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY last DESC, nb) AS place FROM per{i}),
     own{i} AS (SELECT query_id, ln(1 + count(*)) AS nb_distinct, max(n) / sum(n) AS nb_top_share, ln(1 + max(n) FILTER (place = 1)) AS nb_with_last FROM r{i} GROUP BY 1),
-    seen{i} AS (SELECT query_id, nb, t_q, count(*) AS events, max(t) AS latest FROM r{i} JOIN k ON {column} = nb WHERE place <= 4 GROUP BY ALL),
-    th{i} AS (SELECT query_id, avg(ln(1 + events)) AS nb_events, avg(ln(1 + events)) AS nb_alike, avg(ln(1 + (t_q - latest) / 86400.0)) AS nb_since FROM seen{i} GROUP BY 1)"""
+    theirs{i} AS (SELECT {column} AS e, t, {SHOP.table_idx("lineitem")} AS tab FROM k {own}),
+    seen{i} AS (SELECT query_id, nb, t_q, count(*) AS events, count(*) FILTER (tab = {SHOP.table_idx("lineitem")}) AS alike, max(t) AS latest FROM r{i} JOIN theirs{i} ON e = nb WHERE place <= 4 GROUP BY ALL),
+    th{i} AS (SELECT query_id, avg(ln(1 + events)) AS nb_events, avg(ln(1 + alike)) AS nb_alike, avg(ln(1 + (t_q - latest) / 86400.0)) AS nb_since FROM seen{i} GROUP BY 1)"""
 
 
-# every neighbour of these slots has line items only, so all its events are of the same table
-@query(f"""WITH {L}, {_SUPPLIER_Q}, k AS (SELECT * FROM l WHERE t < {CUT}), {", ".join(_neighbour_sql(i, c) for i, (_, c, _) in enumerate(_NB_SLOTS))}
+# an order is a fact itself, so it has events of two tables: its line items and its own row
+@query(f"""WITH {O}, {L}, {_SUPPLIER_Q}, k AS (SELECT * FROM l WHERE t < {CUT}), {", ".join(_neighbour_sql(i, c, to) for i, (_, c, to) in enumerate(_NB_SLOTS))}
     SELECT q.query_id, {", ".join(f"round(coalesce({'own' if n in ('distinct', 'top_share', 'with_last') else 'th'}{i}.nb_{n}, 0), 6) AS {c}_{n}" for i, (_, c, _) in enumerate(_NB_SLOTS) for n in _NB_NAMES)}
     FROM q {" ".join(f"LEFT JOIN own{i} ON own{i}.query_id = q.query_id LEFT JOIN th{i} ON th{i}.query_id = q.query_id" for i in range(len(_NB_SLOTS)))}""")
 def f7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbour features of suppliers over every link that their line items hold beside the one to them."""
     tables = read_database(spark, sf, SHOP)
-    done = tables["supplier"].select(F.col("s_suppkey").alias("query_id"))
+    known = events.before(SHOP, tables, CUT)
+    points = tables["supplier"].select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("entity_id"), F.lit(CUT).cast("long").alias("t_q"))
+    done = points.select("query_id")
     for table, column, target in _NB_SLOTS:
-        theirs = events.histories(SHOP, tables, target, CUT).select(F.col("entity_id").alias("neighbour_id"), "t", "table_idx")
-        own = features.neighbour_features(supplier_past(spark, sf), column, theirs, SHOP.table_idx(table))
+        links = known[table].select(F.col("l_suppkey").alias("entity_id"), "t", F.expr(SHOP[table].key).alias("row_key"), F.col(column).alias("neighbour_id"))
+        theirs = events.histories(SHOP, tables, target, CUT, self_rows=True).select(F.col("entity_id").alias("neighbour_id"), "t", "table_idx")
+        own = history_state.neighbour_features(points, links, theirs, SHOP.table_idx(table))
         done = done.join(own.withColumnsRenamed({f"nb_{n}": f"{column}_{n}" for n in _NB_NAMES}), "query_id")
     return rounded(done)
 
@@ -147,14 +153,24 @@ def f8_bulk_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return features.swept_counts(points, history, {"orders": 0})
 
 
+def _named_features(spark: SparkSession, sf: str) -> DataFrame:
+    states = written(shop_states(spark, sf), "states")
+    return rounded(history_state.table_counts(states, ["orders"]).join(history_state.dynamics(states), "query_id").join(history_state.gap_globals(states), "query_id"))
+
+
+@query(f"SELECT * FROM ({ORACLES['f1_f2_table_counts']}) JOIN ({ORACLES['f5_dynamics']}) USING (query_id) JOIN ({ORACLES['f6_gap_globals']}) USING (query_id)")
+def f10_named_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that is known of each query, by name."""
+    return _named_features(spark, sf)
+
+
 @query()
 def f10_feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Named features in one row per query, and as a vector."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    past = shop_past(spark, sf)
-    wide = features.table_counts(past, {"orders": 0}).join(features.dynamics(past), "query_id").join(features.gap_globals(past), "query_id")
+    wide = _named_features(spark, sf)
     names = [c for c in wide.columns if c not in ("query_id", "t_q")]
     return VectorAssembler(inputCols=names, outputCol="vector").transform(wide).withColumn("vector", vector_to_array("vector"))
 
