@@ -22,9 +22,34 @@ def test_exact_quantiles_however_few_values_may_be_seen(spark, monkeypatch):
         monkeypatch.setattr(ranges, "FEW_VALUES", few)
         for share in (0.0, 0.1, 0.5, 0.9, 1.0):
             assert ranges.exact_quantile(frame, F.col("v"), share) == pytest.approx(float(np.quantile(values, share)))
+        shares = [0.001, 0.2, 0.21, 0.5, 0.75, 0.999]
+        assert ranges.exact_quantiles(frame, F.col("v"), shares) == pytest.approx(np.quantile(values, shares).tolist())
     assert ranges.exact_quantile(frame.filter("v > 1e9"), F.col("v"), 0.5) is None
 
 
+def test_quantiles_beside_infinities_and_in_few_passes(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "FEW_VALUES", 8)
+    values = [-math.inf] * 30 + [float(i) for i in range(100)] + [math.inf] * 30
+    frame = spark.createDataFrame([(v,) for v in values] + [(float("nan"),)], "v double").repartition(3)
+    assert ranges.exact_quantiles(frame, F.col("v"), [0.05, 0.5, 0.95]) == [-math.inf, 49.5, math.inf]
+    passes = []
+    real = ranges._between
+    monkeypatch.setattr(ranges, "_between", lambda *a: passes.append(1) or real(*a))
+    drawn = spark.range(40_000).select((F.hash("id") / 7.0).alias("v"))
+    ranges.exact_quantiles(drawn, F.col("v"), [i / 40 for i in range(1, 40)])
+    assert len(passes) <= 2
+
+
+def test_edges_snap_to_values_that_lie_far_apart(spark):
+    """Long runs of one value between quantiles: the separators come from the stretches after."""
+    values = [0.0] * 700 + [float(i) for i in range(1, 30)] + [1e6] * 5
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    distinct = sorted(set(values))
+    middles = [(a + b) / 2 for a, b in zip(distinct, distinct[1:])]
+    expected = targets.snapped(np.quantile(values, [i / 8 for i in range(1, 8)]).tolist(), middles)
+    assert targets.bucket_edges(frame, "x") == pytest.approx([e + i * 1e-6 for i, e in enumerate(expected)])
+
+
 def test_running_sums_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(ranges, "PART_ROWS", 37)
     keys = random.Random(1).sample(range(10_000), 700)

@@ -7,7 +7,7 @@ from tidelog.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Fitted queries take many small jobs; they have tests of their own.
-FITTED = {"l10_refit_combination", "p1_p3_logistic_probe", "p4_p5_median_probe", "p6_p7_pool_against_composed"}
+FITTED = {"l10_refit_combination", "l10_held_out", "r15_gap_mixture", "p1_p3_logistic_probe", "p4_p5_median_probe", "p6_p7_pool_against_composed"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.sources.sinks import written
+
 #: Rows that a range should hold, and the fewest and most ranges that a key is cut into; as many bounds reach the driver.
 PART_ROWS, FEWEST_PARTS, MOST_PARTS = 1_000_000, 8, 10_000
 #: So many distinct values, with their counts, may reach the driver when a quantile is looked up.
 FEW_VALUES = 10_000
+#: Approximate quantiles are off by one of so many parts of the rows; a piece of a column is divided at so many quantiles.
+ACCURACY, GRID = 50_000, 500
 _WIDTH_BITS = 14
 
 
@@ -45,15 +52,50 @@ def with_part(frame: DataFrame, key: str, parts: int | None = None) -> DataFrame
 def exact_quantiles(frame: DataFrame, value: Column, shares: Sequence[float]) -> list[float | None]:
     """Interpolated quantiles of a column's values; nulls don't count, and without values they are None.
 
-    Where few distinct values are found, their counts say all. Otherwise
-    approximate quantiles bracket each one, the rows below are counted, and
-    only what lies in the bracket is looked at again. So no buffer holds all of
-    a column's values.
+    All shares are looked up together. The values are written once; one pass
+    finds approximate quantiles on both sides of each wanted place, one counts
+    what lies between and at these points, which tells places that fall on a
+    point, and one counts the distinct values of the pieces that hold the other
+    places. Pieces that hold more than FEW_VALUES rows are divided once more
+    before that. So no buffer holds all of a column's values, and the passes
+    don't go with the number of shares.
     """
-    values = frame.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    few = _few(values)
-    n = values.count() if few is None else sum(many for _, many in few)
-    return [_quantile(values, few, share, n) if n else None for share in shares]
+    values = written(frame.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)"), "values")
+    probes = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-2.0 / ACCURACY, 0.0, 2.0 / ACCURACY)})
+    first = values.agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("distinct"), F.percentile_approx("v", F.array(*map(F.lit, probes)), ACCURACY).alias("at")).first()
+    n = first["n"]
+    if not n:
+        return [None] * len(shares)
+    wanted = {k for s in shares for k in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))}
+    found: dict[int, float] = {}
+    pieces = [_Piece(-math.inf, math.inf, 0)]  # of values that the places not yet found lie in
+    points = sorted(set(first["at"]))
+    while wanted - found.keys() and first["distinct"] > FEW_VALUES // 2:
+        counted = _between(values, pieces, points)
+        pieces, points = [], []
+        for piece, n_rows, grid in counted:
+            inside = [k for k in wanted - found.keys() if piece.below <= k < piece.below + n_rows]
+            if piece.low == piece.high:
+                found |= dict.fromkeys(inside, piece.low)
+            elif inside:
+                pieces.append(piece)
+                if n_rows > FEW_VALUES:
+                    points += {g for k in inside for g in _beside(grid, (k - piece.below) / n_rows) if piece.low < g < piece.high}
+        if not points:
+            break
+    if left := wanted - found.keys():
+        held = values.filter(_within(pieces)).groupBy("v").agg(F.count("*").alias("n")).collect()
+        for piece in pieces:
+            seen = piece.below
+            for v, many in sorted((r["v"], r["n"]) for r in held if (piece.low < r["v"] or piece.low == -math.inf) and (r["v"] < piece.high or piece.high == math.inf)):
+                found |= {k: v for k in left if seen <= k < seen + many}
+                seen += many
+    out = []
+    for s in shares:
+        place = s * (n - 1)
+        low, high = found[int(place)], found[min(int(place) + 1, n - 1)]
+        out.append(low if low == high else low + (place - int(place)) * (high - low))
+    return out
 
 
 def exact_quantile(frame: DataFrame, value: Column, share: float) -> float | None:
@@ -61,30 +103,47 @@ def exact_quantile(frame: DataFrame, value: Column, share: float) -> float | Non
     return exact_quantiles(frame, value, [share])[0]
 
 
-def _few(values: DataFrame) -> list[tuple[float, int]] | None:
-    """Distinct values with their counts, in order; None if there are more than FEW_VALUES."""
-    found = values.groupBy("v").agg(F.count("*").alias("n")).limit(FEW_VALUES + 1).collect()
-    return sorted((r["v"], r["n"]) for r in found) if len(found) <= FEW_VALUES else None
-
-
-def _quantile(left: DataFrame, few: list[tuple[float, int]] | None, share: float, n: int) -> float:
-    place = share * (n - 1)
-    first, rest = int(place), place - int(place)
-    below, inside, error = 0, n, 1e-3
-    while few is None:
-        at = [min(1.0, max(0.0, (k - below) / max(1, inside - 1) + d)) for k, d in ((first, -2 * error), (first + 1, 2 * error))]
-        low, high = left.approxQuantile("v", at, error)
-        if at[0] > 0:
-            below += left.filter(F.col("v") < low).count()
-            left = left.filter(F.col("v") >= low)
-        left = left.filter(F.col("v") <= high)
-        few = _few(left)
-        inside = left.count() if few is None else 0
-    found, seen = [], below
-    for value, many in few:
-        found += [value for k in (first, min(first + 1, n - 1)) if seen <= k < seen + many]
-        seen += many
-    return found[0] + rest * (found[-1] - found[0])
+class _Piece(NamedTuple):
+    """Values strictly between two bounds, or a bound itself where both are the same, and how many rows lie below.
+
+    Where a bound is infinite, infinite values are inside.
+    """
+
+    low: float
+    high: float
+    below: int
+
+
+def _within(pieces: list[_Piece]) -> Column:
+    above = lambda p: F.col("v") > p.low if p.low > -math.inf else F.lit(True)
+    under = lambda p: F.col("v") < p.high if p.high < math.inf else F.lit(True)
+    return reduce(lambda a, b: a | b, [above(p) & under(p) for p in pieces], F.lit(False))
+
+
+def _between(values: DataFrame, pieces: list[_Piece], points: list[float]) -> list[tuple[_Piece, int, list[float]]]:
+    """The pieces cut at the points: each new piece with its rows and a grid of its approximate quantiles, in one pass."""
+    bounds = sorted({b for b in (*points, *(b for p in pieces for b in (p.low, p.high))) if abs(b) < math.inf})
+    held = F.array(*map(F.lit, bounds)).cast("array<double>")
+    # cell 2 i lies before bound i, cell 2 i + 1 is bound i
+    cell = 2 * F.size(F.filter(held, lambda b: b < F.col("v"))) + F.when(F.array_contains(held, F.col("v")), 1).otherwise(0)
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    rows = values.filter(_within(pieces)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.percentile_approx("v", grid, 4 * GRID).alias("grid")).collect()
+    counted = {r["cell"]: r for r in rows}
+    out = []
+    for piece in pieces:
+        below = piece.below
+        for c in range(2 * len(bounds) + 1):
+            low, high = (bounds[c // 2],) * 2 if c % 2 else (bounds[c // 2 - 1] if c else -math.inf, bounds[c // 2] if c // 2 < len(bounds) else math.inf)
+            if c in counted and piece.low <= low and high <= piece.high and not (low == high and low in (piece.low, piece.high)):
+                out.append((_Piece(low, high, below), counted[c]["n"], counted[c]["grid"]))
+                below += counted[c]["n"]
+    return out
+
+
+def _beside(grid: list[float], share: float) -> tuple[float, float]:
+    """Grid values on both sides of a share, wide enough for the grid's error."""
+    at = share * GRID
+    return grid[max(0, math.floor(at) - 1)], grid[min(GRID, math.ceil(at) + 1)]
 
 
 def running_sums(frame: DataFrame, key: str, amounts: dict[str, Column]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from tidelog.functions.exprs import DAY, in_window, uniform
 from tidelog.functions.ranges import exact_quantiles
 from tidelog.operators.timeline import sweep
+from tidelog.sources.sinks import written
 
 #: Events of a window that are kept in detail, and destinations of a query.
 MOST_DETAIL, MOST_DESTINATIONS = 256, 8
+#: Parts of a window that are cut to a sample of their own first.
+SALTS = 16
 
 
 def sample_queries(history: DataFrame, cutoff: int, per_entity: int, seed: int, days: tuple[float, float] = (1.0, 365.0), tail: float = 0.25, centre: float | None = None, spread: float = 0.5) -> DataFrame:
@@ -82,22 +85,26 @@ def snapped(quantiles: list[float], separators: list[float]) -> list[float]:
 def bucket_edges(frame: DataFrame, column: str, buckets: int = 8) -> list[float]:
     """Interior edges of a column: quantiles snapped to midpoints between distinct values, then 1e-6 apart.
 
-    Only the distinct values next to each quantile reach the driver, a number
-    that goes with the buckets and not with the rows.
+    The distinct values are written once, and one job finds those beside all
+    quantiles: a few of each stretch between two quantiles, so what is ranked
+    is cut to a few rows in each task first, and only they reach the driver.
     """
-    values = frame.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    values = frame.select(F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
     quantiles = exact_quantiles(values, F.col("x"), [i / buckets for i in range(1, buckets)])
     if quantiles[0] is None:
         return [0.0] * (buckets - 1)
-    near = []
-    for i, x in enumerate(sorted(set(quantiles))):
-        # the distinct values beside it: grouping runs before the short sorted lists
-        below = values.filter(F.col("x") < x).distinct().orderBy(F.desc("x")).limit(2)
-        above = values.filter(F.col("x") >= x).distinct().orderBy("x").limit(buckets + 2)
-        near.append(below.union(above).select(F.lit(i).alias("i"), "x"))
-    runs: dict[int, list[float]] = {}
-    for row in reduce(DataFrame.unionAll, near).collect():
-        runs.setdefault(row["i"], []).append(row["x"])
+    starts = sorted(set(quantiles))
+    below, above = 2, buckets + 2
+    stretch = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("x")))
+    dealt = written(values.distinct(), "distinct-values").withColumn("stretch", stretch)
+    arms = []
+    for order, most in ((F.col("x"), above), (F.desc("x"), below)):
+        arms.append(dealt.withColumn("nth", F.row_number().over(W.partitionBy("stretch").orderBy(order))).filter(F.col("nth") <= most).select("x"))
+    near = sorted({r["x"] for r in arms[0].union(arms[1]).collect()})
+    runs = {}
+    for i, x in enumerate(starts):
+        place = bisect.bisect_left(near, x)
+        runs[i] = near[max(0, place - below) : place + above]
     middles = {(a + b) / 2 for run in runs.values() for a, b in zip(sorted(run), sorted(run)[1:], strict=False)}
     return [e + i * 1e-6 for i, e in enumerate(snapped(quantiles, sorted(middles)))]
 
@@ -117,13 +124,22 @@ def bucket_centres(frame: DataFrame, column: str, edges: list[float]) -> DataFra
 
 
 def capped_detail(inside: DataFrame, most: int = MOST_DETAIL, seed: int = 0) -> DataFrame:
-    """A uniform sample of at most `most` events of each window, weighted by events over kept ones per table."""
-    known = inside.filter("t is not null")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "table_idx", "row_key"), "row_key"))
-    kept = F.col("place") <= most
-    per_table = W.partitionBy("query_id", "table_idx")
-    weighted = known.withColumn("place", place).withColumn("weight", F.count("*").over(per_table) / F.count_if(kept).over(per_table))
-    return weighted.filter(kept).drop("place")
+    """A uniform sample of at most `most` events of each window, weighted by events over kept ones per table.
+
+    The sample is the events with the lowest hashes. Each of SALTS parts of a
+    window is cut to its own lowest ones first, in each task before anything
+    is shuffled, and only what is left of them meets, so no task sorts a whole
+    window. Events are counted per table beside that, added up in the tasks.
+    """
+    known = inside.filter("t is not null").withColumn("_h", F.xxhash64(F.lit(seed), "query_id", "table_idx", "row_key"))
+    order = ["_h", "row_key"]
+    parts = known.withColumn("_part", F.pmod(F.hash("_h"), F.lit(SALTS)))
+    few = parts.withColumn("_place", F.row_number().over(W.partitionBy("query_id", "_part").orderBy(*order))).filter(F.col("_place") <= most)
+    kept = few.withColumn("_place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("_place") <= most)
+    counts = known.groupBy("query_id", "table_idx").agg(F.count("*").alias("_events"))
+    held = F.count("*").over(W.partitionBy("query_id", "table_idx"))
+    weighted = kept.withColumn("_kept", held).join(counts, ["query_id", "table_idx"]).withColumn("weight", F.col("_events") / F.col("_kept"))
+    return weighted.select(*inside.columns, "weight")
 
 
 def next_events(history: DataFrame, cutoff: int, values: list[str]) -> DataFrame:

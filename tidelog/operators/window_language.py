@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -103,29 +104,87 @@ def answer(query: WindowQuery, logs: dict[str, DataFrame], points: DataFrame) ->
     return joined.groupBy("query_id").agg(value.alias("answer"), valid.alias("valid"))
 
 
-def workload(queries: dict[str, WindowQuery], log: DataFrame, points: DataFrame) -> DataFrame:
-    """Many queries on one table in one pass: `query_id` and a column per name."""
-    rows = log
-    for i, q in enumerate(queries.values()):
-        table = q.tables[0]
-        rows = rows.withColumns({f"_hit{i}": q.hit(table), f"_base{i}": q.hit(table, q.denominator) if q.denominator is not None else F.lit(True)})
-    inside = points.join(rows, "entity_id").filter(in_window(F.col("t"), F.col("t_q"), F.col("horizon_s")))
-    joined = points.select("query_id").join(inside.drop("entity_id"), "query_id", "left")
-    out = []
+#: The rows of a log in (after, until], the bounds on its raw time column so that they reach the scan.
+Log = Callable[[int | None, int | None], DataFrame]
+
+
+def _totals(queries: dict[str, WindowQuery], logs: dict[str, Log], points: DataFrame) -> DataFrame:
+    """`query_id` of every point and `hits, total, under` of each query, numbered in their order, null where no row is in the window.
+
+    Every log is read once, within the bounds of all windows together. Filters
+    that queries share are looked at once, as a column each; all queries of a
+    log are added up in one aggregation, and those of several logs by
+    `query_id` after.
+    """
+    bounds = points.agg(F.min("t_q").alias("after"), F.max(F.col("t_q") + F.col("horizon_s")).alias("until")).first()
+    names = list(queries)
+    arms = []
+    for table in sorted({t for q in queries.values() for t in q.tables}):
+        if table not in logs:
+            raise KeyError(f"no such fact tables: [{table!r}]")
+        log = logs[table](bounds["after"], bounds["until"])
+        own = {i: queries[n] for i, n in enumerate(names) if table in queries[n].tables}
+        for q in own.values():
+            check_columns(q, table, log.columns)
+        filters = list(dict.fromkeys(f for q in own.values() for f in (*q.filters, *(q.denominator or ())) if f.table == table))
+        values = sorted({q.value for q in own.values() if q.value})
+        weight = F.col("weight").cast("double") if "weight" in log.columns else F.lit(1.0)
+        rows = log.select("entity_id", "t", weight.alias("_w"), *[f.condition().alias(f"_f{i}") for i, f in enumerate(filters)], *[F.col(v).cast("double").alias(f"_x{i}") for i, v in enumerate(values)])
+        inside = points.join(rows, "entity_id").filter(in_window(F.col("t"), F.col("t_q"), F.col("horizon_s")))
+
+        def all_of(wanted: tuple[Filter, ...], filters: list[Filter] = filters, table: str = table) -> Column:
+            return reduce(lambda a, b: a & b, [F.col(f"_f{filters.index(f)}") for f in wanted if f.table == table], F.lit(True))
+
+        sums = []
+        for i, q in own.items():
+            hit = all_of(q.filters)
+            sums.append(F.sum(F.when(hit, F.col("_w"))).alias(f"hits{i}"))
+            if q.value:
+                x = F.col(f"_x{values.index(q.value)}")
+                sums.append(F.sum(F.when(hit, F.col("_w") * x)).alias(f"total{i}"))
+            if q.agg in ("mean", "ratio"):
+                counted = hit & x.isNotNull() if q.agg == "mean" else all_of(q.denominator or ())
+                sums.append(F.sum(F.when(counted, F.col("_w"))).alias(f"under{i}"))
+        arms.append(inside.groupBy("query_id").agg(*sums))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), arms)
+    added = both if len(arms) == 1 else both.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in both.columns if c != "query_id"])
+    return points.select("query_id").join(added, "query_id", "left")
+
+
+def check_columns(query: WindowQuery, table: str, columns: list[str]) -> None:
+    """Raise KeyError for a column of the table that isn't there, rather than answer another question."""
+    wanted = [f.column for f in (*query.filters, *(query.denominator or ())) if f.table == table] + ([query.value] if query.value else [])
+    if missing := [c for c in wanted if c not in columns]:
+        raise KeyError(f"{table}.{missing[0]} isn't in the corpus")
+
+
+def _answer_column(i: int, query: WindowQuery) -> tuple[Column, Column]:
+    """A query's answer off its totals, and whether it is defined."""
+    read = lambda c: F.coalesce(F.col(f"{c}{i}"), F.lit(0.0))
+    if query.agg == "occur":
+        return ((read("hits") > query.k) != F.lit(query.absence)).cast("double"), F.lit(True)
+    if query.agg in ("count", "sum"):
+        return read("hits" if query.agg == "count" else "total"), F.lit(True)
+    if query.agg not in ("mean", "ratio"):
+        raise ValueError(f"unknown aggregate {query.agg}")
+    return F.try_divide(read("total" if query.agg == "mean" else "hits"), read("under")), read("under") > 0
+
+
+def answers(queries: dict[str, WindowQuery], logs: dict[str, Log], points: DataFrame) -> DataFrame:
+    """`query_id, task, answer, valid` of every query and point, compiled together: one read of each log for all of them.
+
+    Each row is what `answer` gives for that query alone.
+    """
+    listed = []
     for i, (name, q) in enumerate(queries.items()):
-        hit, base = F.coalesce(F.col(f"_hit{i}"), F.lit(False)), F.coalesce(F.col(f"_base{i}"), F.lit(False))
-        hits = F.count_if(hit).cast("double")
-        total = F.coalesce(F.sum(F.when(hit, F.col(q.value).cast("double"))), F.lit(0.0)) if q.value else None
-        known = F.count_if(hit & F.col(q.value).isNotNull()).cast("double") if q.value else None
-        answers = {
-            "occur": ((hits > q.k) != F.lit(q.absence)).cast("double"),
-            "count": hits,
-            "sum": total,
-            "mean": F.try_divide(total, known) if q.value else None,
-            "ratio": F.try_divide(hits, F.count_if(base).cast("double")),
-        }
-        out.append(answers[q.agg].alias(name))
-    return joined.groupBy("query_id").agg(*out)
+        value, valid = _answer_column(i, q)
+        listed.append(F.struct(F.lit(name).alias("task"), value.alias("answer"), valid.alias("valid")))
+    return _totals(queries, logs, points).select("query_id", F.inline(F.array(*listed)))
+
+
+def workload(queries: dict[str, WindowQuery], logs: dict[str, Log], points: DataFrame) -> DataFrame:
+    """As `answers`, with a column per name."""
+    return _totals(queries, logs, points).select("query_id", *[_answer_column(i, q)[0].alias(name) for i, (name, q) in enumerate(queries.items())])
 
 
 def generate(table: str, categories: dict[str, list[str]], numbers: list[str], n: int, seed: int, held_out: frozenset[str] = frozenset()) -> dict[str, WindowQuery]:

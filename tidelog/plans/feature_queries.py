@@ -83,11 +83,11 @@ def f6_gap_globals(spark: SparkSession, sf: str) -> DataFrame:
 _SUPPLIER_Q = f"q AS (SELECT s_suppkey AS query_id, s_suppkey AS entity_id, {CUT} AS t_q, {D} AS horizon_s FROM supplier)"
 
 
-def supplier_past(spark: SparkSession, sf: str) -> DataFrame:
+def supplier_past(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
     """Past lines of each supplier at the cutoff, with the part as neighbour."""
-    tables = events.before(SHOP, read_database(spark, sf, SHOP), CUT)
+    tables = events.before(SHOP, read_database(spark, sf, SHOP), cutoff)
     history = tables["lineitem"].select(F.col("l_suppkey").alias("entity_id"), "t", F.col("l_partkey").alias("part"), "l_partkey", "l_orderkey", F.expr(SHOP["lineitem"].key).alias("row_key"))
-    points = tables["supplier"].select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("entity_id"), F.lit(CUT).cast("long").alias("t_q"), F.lit(D).cast("long").alias("horizon_s"))
+    points = tables["supplier"].select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("entity_id"), F.lit(cutoff).cast("long").alias("t_q"), F.lit(D).cast("long").alias("horizon_s"))
     return features.joined(points, history)
 
 
@@ -175,10 +175,10 @@ def f10_feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="vector").transform(wide).withColumn("vector", vector_to_array("vector"))
 
 
-def _activity(spark: SparkSession, sf: str) -> DataFrame:
+def _activity(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
     tables = read_database(spark, sf, SHOP)
-    cutoffs = spark.range(2).select((CUT - F.col("id") * D).alias("cutoff"))
-    history = events.histories(SHOP, tables, "part", CUT).select("entity_id", "t")
+    cutoffs = spark.range(2).select((cutoff - F.col("id") * D).alias("cutoff"))
+    history = events.histories(SHOP, tables, "part", cutoff).select("entity_id", "t")
     return pairs.candidate_activity(cutoffs, history, tables["part"].select(F.col("p_partkey").alias("entity_id")))
 
 
@@ -192,11 +192,11 @@ def c1_candidate_activity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_activity(spark, sf))
 
 
-def _supplier_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _supplier_pairs(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
     """Candidates: for each supplier the parts that it ships after the cutoff."""
     shipped = SHOP["lineitem"].time_col
-    lines = events.later_than(events.cutoff_filter(read_database(spark, sf, SHOP)["lineitem"], CUT + D, shipped), CUT, shipped)
-    return lines.select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("candidate")).distinct().withColumn("t_q", F.lit(CUT).cast("long"))
+    lines = events.later_than(events.cutoff_filter(read_database(spark, sf, SHOP)["lineitem"], cutoff + D, shipped), cutoff, shipped)
+    return lines.select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("candidate")).distinct().withColumn("t_q", F.lit(cutoff).cast("long"))
 
 
 _SP = f"sp AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS candidate, CAST({CUT} AS BIGINT) AS t_q FROM l WHERE t > {CUT} AND t <= {CUT + D})"
@@ -220,8 +220,8 @@ def c3_link_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.link_pairs(lines, ["l_orderkey"], ["l_partkey", "l_suppkey"])
 
 
-def _cooc(spark: SparkSession, sf: str) -> DataFrame:
-    lines = events.before(SHOP, read_database(spark, sf, SHOP), CUT)["lineitem"]
+def _cooc(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
+    lines = events.before(SHOP, read_database(spark, sf, SHOP), cutoff)["lineitem"]
     return pairs.cooccurrence(pairs.link_pairs(lines, ["l_orderkey"], ["l_partkey"]))
 
 
@@ -239,8 +239,8 @@ PRIOR = f"prior AS (SELECT query_id, item, back FROM (SELECT l_suppkey AS query_
 SCORE = "sc AS (SELECT query_id, other AS candidate, CAST(sum(weight) AS BIGINT) AS score FROM prior JOIN cooc USING (item) GROUP BY ALL)"
 
 
-def _prior(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.prior_items(supplier_past(spark, sf).withColumnRenamed("part", "item").filter("t is not null"))
+def _prior(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
+    return pairs.prior_items(supplier_past(spark, sf, cutoff).withColumnRenamed("part", "item").filter("t is not null"))
 
 
 @query(f"WITH {L}, {PRIOR} SELECT * FROM prior")

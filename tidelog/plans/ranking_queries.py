@@ -47,8 +47,8 @@ def n1_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return _negatives(spark, sf)
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.cooc_score(fq._prior(spark, sf), fq._cooc(spark, sf))
+def _scores(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
+    return pairs.cooc_score(fq._prior(spark, sf, cutoff), fq._cooc(spark, sf, cutoff))
 
 
 SHARES = "sh AS (SELECT query_id, candidate, score / sum(score) OVER (PARTITION BY query_id) AS share FROM sc)"
@@ -136,15 +136,16 @@ def l2_path_map(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.path_map(events.before(SHOP, read_database(spark, sf, SHOP), CUT)["lineitem"], "l_partkey", "l_suppkey")
 
 
-PROJECTED = f"""pm AS (SELECT DISTINCT l_partkey AS i, l_orderkey AS f FROM l WHERE t > {CUT} AND t <= {CUT + D}),
+PROJECTED = f"""pm AS (SELECT DISTINCT l_partkey AS i, l_suppkey AS f FROM l WHERE t <= {CUT}),
     proj AS (SELECT query_id, f AS candidate, max(ln(score)) + ln(sum(exp(ln(score) - m))) AS score FROM (SELECT query_id, f, score, max(ln(score)) OVER (PARTITION BY query_id, f) AS m FROM sc JOIN pm ON candidate = i) GROUP BY ALL)"""
 
 
 @query(f"WITH {L}, {COOC}, {PRIOR}, {SCORE}, {PROJECTED} SELECT query_id, candidate, round(score, 6) AS score FROM proj")
 def l3_project_scores(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read_database(spark, sf, SHOP)["lineitem"].filter((F.col("t") > CUT) & (F.col("t") <= CUT + D))
+    """Scores of parts taken on to the suppliers that are known by the cutoff to have shipped them."""
+    lines = events.before(SHOP, read_database(spark, sf, SHOP), CUT)["lineitem"]
     scores = _scores(spark, sf).withColumn("score", F.log("score"))
-    return rounded(ranking.project_scores(scores, ranking.path_map(lines, "l_partkey", "l_orderkey")))
+    return rounded(ranking.project_scores(scores, ranking.path_map(lines, "l_partkey", "l_suppkey")))
 
 
 @query("""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate, list_dot_product(a.e, b.e) AS s FROM v a, v b WHERE a.vec_id % 100 = 0)
@@ -156,11 +157,11 @@ def l4_retrieve_dot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, 4)
 
 
-def _linear(spark: SparkSession, sf: str) -> DataFrame:
-    activity = fq._activity(spark, sf)
+def _linear(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
+    activity = fq._activity(spark, sf, cutoff)
     dense = activity.select("cutoff", F.col("entity_id").alias("candidate"), (0.1 * F.col("total") + 0.3 * F.col("recent") + 0.2 * F.col("trend") + 0.5 * F.col("staleness")).alias("dense"))
-    sparse = _scores(spark, sf).select("query_id", "candidate", (0.8 * F.log1p("score") - 0.7).alias("sparse"))
-    queries = _suppliers(spark, sf).withColumn("cutoff", F.lit(CUT).cast("long"))
+    sparse = _scores(spark, sf, cutoff).select("query_id", "candidate", (0.8 * F.log1p("score") - 0.7).alias("sparse"))
+    queries = _suppliers(spark, sf).withColumn("cutoff", F.lit(cutoff).cast("long"))
     return ranking.retrieve_linear(queries, dense, sparse, 20)
 
 

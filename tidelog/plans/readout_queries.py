@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ranges
 from tidelog.functions.exprs import count_if
-from tidelog.operators import events, gaps, metrics, pairs, probe, readout, robust, targets
+from tidelog.operators import events, gaps, metrics, pairs, probe, ranking, readout, robust, targets
 from tidelog.operators import window_language as wl
 from tidelog.plans import feature_queries as fq
 from tidelog.plans import ranking_queries as rq
@@ -235,19 +236,46 @@ def _listed(spark: SparkSession, rows: list[tuple[str, float]], name: str, value
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias(name), F.lit(float(v)).alias(value)) for n, v in rows])))
 
 
+def _candidate_features(spark: SparkSession, sf: str, cutoff: int) -> DataFrame:
+    """Features of the candidates of each supplier at a cutoff: what it ships in the horizon after, and the best of the given score; `label` tells the former."""
+    truth = fq._supplier_pairs(spark, sf, cutoff).select("query_id", "candidate").withColumn("label", F.lit(1.0))
+    ranked = rq._linear(spark, sf, cutoff).select("query_id", "candidate")
+    candidates = truth.select("query_id", "candidate").unionByName(ranked).distinct().withColumn("t_q", F.lit(cutoff).cast("long"))
+    past = fq.supplier_past(spark, sf, cutoff).withColumnRenamed("part", "candidate").filter("t is not null")
+    wide = pairs.pair_features(candidates, fq._activity(spark, sf, cutoff), pairs.pair_history(past, candidates), rq._scores(spark, sf, cutoff), fq.WEIGHTS)
+    return wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).withColumn("key", F.xxhash64("query_id", "candidate"))
+
+
 @query()
 def l10_refit_combination(spark: SparkSession, sf: str) -> DataFrame:
     """C and raw coefficients of the pair score, from positives and the highest ranked negatives."""
-    scores = rq._scores(spark, sf)
-    truth = fq._supplier_pairs(spark, sf).select("query_id", "candidate").withColumn("label", F.lit(1.0))
-    candidates = truth.select("query_id", "candidate").unionByName(rq._linear(spark, sf).select("query_id", "candidate")).distinct().withColumn("t_q", F.lit(CUT).cast("long"))
-    past = fq.supplier_past(spark, sf).withColumnRenamed("part", "candidate").filter("t is not null")
-    wide = pairs.pair_features(candidates, fq._activity(spark, sf), pairs.pair_history(past, candidates), scores, fq.WEIGHTS)
-    frame = wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).withColumn("key", F.xxhash64("query_id", "candidate"))
-    best, coefficients = probe.refit_combination(frame, list(fq.WEIGHTS), "label", "key")
+    best, coefficients = probe.refit_combination(_candidate_features(spark, sf, CUT), list(fq.WEIGHTS), "label", "key")
     return _listed(spark, [("C", best), *coefficients.items()], "name", "value")
 
 
+def held_out_ranking(known: DataFrame, asked: DataFrame, given: dict[str, float], k: int = 20, **kwargs) -> DataFrame:
+    """`coefficients, n_queries, map`: the given weights and those refitted on `known`, each ranking the rows of `asked`.
+
+    Both have `query_id, candidate, label, key` and the weights' columns.
+    `asked` is of a later time, so neither set has seen it. Ties go to the
+    smaller candidate.
+    """
+    _, refitted = probe.refit_combination(known, list(given), "label", "key", **kwargs)
+    truth, arms = asked.filter("label = 1").select("query_id", "candidate"), []
+    for name, weights in (("given", given), ("refitted", refitted)):
+        score = sum((F.lit(float(w)) * F.col(c) for c, w in weights.items()), F.lit(0.0))
+        ranked = ranking.top(asked.withColumn("score", F.round(score, 9)), "query_id", k, F.desc("score"), "candidate")
+        arms.append(metrics.map_at_k(ranked, truth, k).select(F.lit(name).alias("coefficients"), "n_queries", "map"))
+    return arms[0].unionByName(arms[1])
+
+
+@query()
+def l10_held_out(spark: SparkSession, sf: str) -> DataFrame:
+    """The given and the refitted pair score, refitted a horizon before the cutoff, by their MAP at the cutoff."""
+    known, asked = (written(_candidate_features(spark, sf, cutoff), "candidates") for cutoff in (CUT - D, CUT))
+    return rounded(held_out_ranking(known, asked, fq.WEIGHTS))
+
+
 @query()
 def p1_p3_logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
     """A balanced logistic probe on a seeded sample, C by stratified folds over the published grid.
@@ -308,7 +336,7 @@ def s2_task_table(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a customer orders in the horizon after each of three cutoffs."""
     customers = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"))
     points = customers.select("entity_id", F.explode(F.array(*[F.lit(CUT - j * D).cast("long") for j in (1, 2, 3)])).alias("t_q")).withColumn("horizon_s", F.lit(D).cast("long")).withColumn("query_id", F.struct("entity_id", "t_q"))
-    done = wl.answer(wl.WindowQuery(("orders",)), {"orders": tq.orders_log(spark, sf)}, points)
+    done = wl.answers({"ordered": wl.WindowQuery(("orders",))}, {"orders": partial(tq.orders_log, spark, sf)}, points)
     return done.select(F.col("query_id.entity_id").alias("entity"), F.col("query_id.t_q").alias("cutoff"), F.col("answer").alias("label"))
 
 
@@ -317,17 +345,20 @@ def _here(sf: str) -> str:
     return hashlib.sha256(sf.encode()).hexdigest()[:8]
 
 
-@query()
+@query(f"""WITH {O}, l AS (SELECT *, CAST(epoch(l_shipdate) AS BIGINT) AS t FROM lineitem), x AS (SELECT 'events' AS part, t FROM o WHERE t <= {CUT} UNION ALL SELECT 'events', t FROM l WHERE t <= {CUT}
+    UNION ALL SELECT 'history_customer', t FROM o WHERE t <= {CUT} AND o_custkey IS NOT NULL UNION ALL SELECT 'history_orders', t FROM l WHERE t <= {CUT} AND l_orderkey IS NOT NULL UNION ALL SELECT 'history_orders', t FROM o WHERE t <= {CUT})
+    SELECT part, count(*) AS n_rows, max(t) AS last_t FROM x GROUP BY 1""")
 def s3_materialize_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of a corpus with their rows, written once and read again."""
+    """Parts of a corpus with their rows, written once and read again; its name and its build take the same flags."""
+    flags = {"self_rows": True}
     tables = read_database(spark, sf, SHOP)
-    frames = {"events": events.event_stream(SHOP, tables, CUT), "history_customer": events.histories(SHOP, tables, "customer", CUT)}
+    frames = {"events": events.event_stream(SHOP, tables, CUT)} | {f"history_{e}": events.histories(SHOP, tables, e, CUT, **flags) for e in ("customer", "orders")}
     version = sinks.data_version(spark, [f"{sf}/{t.name}.parquet" for t in SHOP.tables])
-    root, name = sinks.shared_folder(spark), sinks.corpus_name(f"shop-{_here(sf)}", CUT, self_rows=True, version=version)
+    root, name = sinks.shared_folder(spark), sinks.corpus_name(f"shop-{_here(sf)}", CUT, version=version, **flags)
     sinks.materialize_corpus(spark, root, name, frames)
     again = sinks.materialize_corpus(spark, root, name, frames)
     arms = [frame.agg(F.lit(part).alias("part"), F.count("*").alias("n_rows"), F.max("t").alias("last_t")) for part, frame in again.items()]
-    return arms[0].unionByName(arms[1])
+    return reduce(DataFrame.unionByName, arms)
 
 
 @query()

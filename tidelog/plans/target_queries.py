@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +71,13 @@ def w2_dense_queries(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {O} SELECT c_custkey AS query_id, c_custkey AS entity_id, count(t) AS n_orders FROM customer LEFT JOIN o ON o_custkey = c_custkey AND t > {CUT} AND t <= {CUT + D} GROUP BY ALL")
 def w3_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of each customer in the horizon after the cutoff, zeros kept."""
-    log = orders_log(spark, sf)
+    log = orders_log(spark, sf, CUT, CUT + D)
     return timeline.window_sums(log, customers(spark, sf, CUT), {"n_orders": F.lit(1).cast("long")})
 
 
 @query(f"WITH {EV}, {QC} SELECT query_id, event_type AS value, count(*) AS n FROM q JOIN ev ON user_id = entity_id AND t > t_q AND t <= t_q + horizon_s WHERE event_type IS NOT NULL GROUP BY ALL")
 def w4_category_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return targets.category_counts(targets.windowed(customers(spark, sf, CT0, CD), clicks_log(spark, sf)), "event_type")
+    return targets.category_counts(targets.windowed(customers(spark, sf, CT0, CD), clicks_log(spark, sf, CT0, CT0 + CD)), "event_type")
 
 
 #: The last column is mostly zeros, so that its quantiles fall together and are snapped forward.
@@ -117,21 +117,21 @@ _BUCKET_SQL = " + ".join(f"CASE WHEN l_quantity > {e} THEN 1 ELSE 0 END" for e i
 @query(f"""WITH {O}, {L}, {Q} SELECT query_id, CAST({_BUCKET_SQL} AS INT) AS bucket, count(*) AS n, round(avg(l_quantity), 6) AS centre
     FROM q JOIN o ON o_custkey = entity_id JOIN l ON l_orderkey = o_orderkey AND l.t > t_q AND l.t <= t_q + horizon_s GROUP BY ALL""")
 def w6_window_bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
-    inside = targets.windowed(customers(spark, sf), lines_log(spark, sf)).filter("t is not null")
+    inside = targets.windowed(customers(spark, sf), lines_log(spark, sf, T0, T0 + D)).filter("t is not null")
     return inside.groupBy("query_id", targets.bucket_of(F.col("l_quantity"), _EDGES).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("centre"))
 
 
 @query(f"""WITH {O}, {Q}, s AS (SELECT query_id, coalesce(sum(o_totalprice), 0) AS x FROM q LEFT JOIN o ON o_custkey = entity_id AND t > t_q AND t <= t_q + horizon_s GROUP BY 1)
     SELECT query_id, round(x, 4) AS raw_sum, round(sign(x) * ln(1 + abs(x)), 6) AS signed_log, round(x, 4) AS back FROM s""")
 def w7_window_sums(spark: SparkSession, sf: str) -> DataFrame:
-    sums = targets.windowed(customers(spark, sf), orders_log(spark, sf)).groupBy("query_id").agg(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("x"))
+    sums = targets.windowed(customers(spark, sf), orders_log(spark, sf, T0, T0 + D)).groupBy("query_id").agg(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("x"))
     log = signed_log(F.col("x"))
     return sums.select("query_id", F.round("x", 4).alias("raw_sum"), F.round(log, 6).alias("signed_log"), F.round(signed_exp(log), 4).alias("back"))
 
 
 @query()
 def w8_capped_detail(spark: SparkSession, sf: str) -> DataFrame:
-    inside = targets.windowed(customers(spark, sf, CCUT - 21 * DAY, 21 * DAY), clicks_log(spark, sf))
+    inside = targets.windowed(customers(spark, sf, CCUT - 21 * DAY, 21 * DAY), clicks_log(spark, sf, CCUT - 21 * DAY, CCUT))
     return targets.capped_detail(inside, most=16).select("query_id", "row_key", "t", "weight")
 
 
@@ -147,7 +147,7 @@ def _supplier_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _supplier_links(spark: SparkSession, sf: str) -> DataFrame:
-    return read_database(spark, sf, SHOP)["lineitem"].select(F.col("l_suppkey").alias("entity_id"), F.col("l_partkey").alias("dst"), "t")
+    return shipped(spark, sf, T0, T0 + D).select(F.col("l_suppkey").alias("entity_id"), F.col("l_partkey").alias("dst"), "t")
 
 
 @query(f"""WITH {L}, f AS (SELECT l_suppkey AS query_id, l_partkey AS dst, min(t) AS t FROM l WHERE t > {T0} AND t <= {T0 + D} GROUP BY ALL),
@@ -174,7 +174,7 @@ def w11_other_ends(spark: SparkSession, sf: str) -> DataFrame:
 def w12_path_retarget(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers' orders replaced by the customers behind them."""
     tables = read_database(spark, sf, SHOP)
-    links = tables["lineitem"].filter((F.col("t") > T0) & (F.col("t") <= T0 + D)).select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("dst"), "t")
+    links = shipped(spark, sf, T0, T0 + D).select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("dst"), "t")
     path = tables["orders"].filter("o_custkey is not null").select(F.col("o_orderkey").alias("inter"), F.col("o_custkey").alias("final"))
     return targets.path_retarget(links, path).groupBy("entity_id", "dst", "t").agg(F.count("*").alias("n"))
 
@@ -227,12 +227,8 @@ def _is_clicks(q: wl.WindowQuery) -> bool:
     return q.tables == ("events",)
 
 
-def _points(spark: SparkSession, sf: str, q: wl.WindowQuery) -> DataFrame:
-    return customers(spark, sf, CT0, CD) if _is_clicks(q) else customers(spark, sf)
-
-
-def _logs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {"orders": orders_log(spark, sf), "lineitem": lines_log(spark, sf), "events": clicks_log(spark, sf)}
+def _logs(spark: SparkSession, sf: str) -> dict[str, wl.Log]:
+    return {"orders": partial(orders_log, spark, sf), "lineitem": partial(lines_log, spark, sf), "events": partial(clicks_log, spark, sf)}
 
 
 def _condition(filters: tuple[wl.Filter, ...], table: str) -> str:
@@ -261,8 +257,10 @@ def answer_sql(q: wl.WindowQuery, weight: str = "1.0") -> str:
 
 
 def _answers(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """The named tasks, those of each database compiled together."""
     logs = _logs(spark, sf)
-    return reduce(DataFrame.unionByName, [rounded(wl.answer(TASKS[n], logs, _points(spark, sf, TASKS[n]))).withColumn("task", F.lit(n)) for n in names])
+    halves = [({n: TASKS[n] for n in names if _is_clicks(TASKS[n]) == clicks}, customers(spark, sf, CT0, CD) if clicks else customers(spark, sf)) for clicks in (False, True)]
+    return reduce(DataFrame.unionByName, [rounded(wl.answers(own, logs, points)) for own, points in halves if own])
 
 
 def _answers_sql(names: list[str]) -> str:
@@ -283,8 +281,8 @@ _WEIGHTED = W(("events",), "mean", (_BIG,), value="value")
 @query(f"WITH {O}, {L}, {EV} " + answer_sql(_WEIGHTED, "1.0 + (event_id % 2) * 0.5"))
 def q2_weighted_answer(spark: SparkSession, sf: str) -> DataFrame:
     """A mean over rows that stand for more than one event each."""
-    log = clicks_log(spark, sf).withColumn("weight", 1.0 + (F.col("row_key") % 2) * 0.5)
-    return rounded(wl.answer(_WEIGHTED, {"events": log}, customers(spark, sf, CT0, CD)))
+    weighted = lambda after, until: clicks_log(spark, sf, after, until).withColumn("weight", 1.0 + (F.col("row_key") % 2) * 0.5)
+    return rounded(wl.answers({"weighted": _WEIGHTED}, {"events": weighted}, customers(spark, sf, CT0, CD))).drop("task")
 
 
 _SUSPECT = {"good": W(("orders",), filters=(_URGENT,)), "bad": W(("orders",), filters=(wl.Filter("orders", "o_orderpriority", "in", ("1-URGENT", "9-NEVER")),)), "number": W(("lineitem",), filters=(wl.Filter("lineitem", "l_linenumber", "in", ("1.0", "99")),))}
@@ -302,9 +300,9 @@ def q6_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {O}, {L}, {EV} " + " UNION ALL ".join(f"SELECT '{n}' AS task, count(*) AS n_queries, count(*) FILTER (valid) AS n_valid, round(coalesce(sum(answer), 0), 2) AS total FROM ({answer_sql(q)})" for n, q in TASKS.items()))
 def q7_task_registry(spark: SparkSession, sf: str) -> DataFrame:
-    logs = _logs(spark, sf)
-    arms = [rounded(wl.answer(q, logs, _points(spark, sf, q))).agg(F.lit(n).alias("task"), F.count("*").alias("n_queries"), F.count_if("valid").alias("n_valid"), F.round(F.coalesce(F.sum("answer"), F.lit(0.0)), 2).alias("total")) for n, q in TASKS.items()]
-    return reduce(DataFrame.unionByName, arms)
+    """All tasks in one read of each of the three logs."""
+    total = F.round(F.coalesce(F.sum("answer"), F.lit(0.0)), 2)
+    return _answers(spark, sf, list(TASKS)).groupBy("task").agg(F.count("*").alias("n_queries"), F.count_if("valid").alias("n_valid"), total.alias("total"))
 
 
 _WORK = {n: q for n, q in TASKS.items() if q.tables == ("orders",)} | wl.generate("orders", {"o_orderstatus": ["F", "O", "P"], "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}, ["o_totalprice"], 8, seed=3, held_out=frozenset({"count_rows_"}))
@@ -312,4 +310,4 @@ _WORK = {n: q for n, q in TASKS.items() if q.tables == ("orders",)} | wl.generat
 
 @query(f"WITH {O}, {L}, {EV} SELECT query_id, {', '.join(f't{i}.answer AS "{n}"' for i, n in enumerate(_WORK))} FROM " + " JOIN ".join(f"({answer_sql(q)}) t{i}" + (" USING (query_id)" if i else "") for i, q in enumerate(_WORK.values())))
 def q8_query_workload(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(wl.workload(_WORK, orders_log(spark, sf), customers(spark, sf)))
+    return rounded(wl.workload(_WORK, _logs(spark, sf), customers(spark, sf)))

@@ -8,6 +8,7 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,37 +84,76 @@ def _there(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False, and nothing done, if the target is there already."""
+    jvm = spark.sparkContext._jvm
+    store, at = _store(spark, source)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+    try:
+        files.rename(at, _store(spark, target)[1], how)
+    except Py4JJavaError as refused:
+        if "FileAlreadyExists" in str(refused.java_exception) or _there(spark, target):
+            return False
+        raise
+    return True
+
+
 def materialize_corpus(spark: SparkSession, root: str, name: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The named corpus: read if it has been published, else written, its manifest last.
+    """The named corpus: read if it has been published, else built.
 
-    A folder without a manifest is an unfinished build and is written anew.
+    A build goes to a folder of its own beside it, with a manifest of its
+    parts, and is published by one rename. So nobody sees half a corpus, a
+    build that is killed leaves the name free, and of two builders that race
+    the one that comes second reads what the first has published. A published
+    folder must hold the parts that are asked for.
     """
     folder = f"{root}/{name}"
-    if not _there(spark, f"{folder}/{MANIFEST}"):
-        for part, frame in frames.items():
-            frame.write.mode("overwrite").parquet(f"{folder}/{part}")
-        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(frames)))).alias("part"))
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    if not _there(spark, folder):
+        staged = f"{root}/.staged-{name}-{uuid.uuid4().hex}"
+        try:
+            for part, frame in frames.items():
+                frame.write.parquet(f"{staged}/{part}")
+            listed = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(frames)))).alias("part"))
+            listed.coalesce(1).write.parquet(f"{staged}/{MANIFEST}")
+            _moved(spark, staged, folder)
+        finally:
+            store, at = _store(spark, staged)
+            store.delete(at, True)
+    held = {r["part"] for r in spark.read.parquet(f"{folder}/{MANIFEST}").collect()}
+    if missing := sorted(frames.keys() - held):
+        raise ValueError(f"{name} was published without {missing}")
     return {part: spark.read.parquet(f"{folder}/{part}") for part in frames}
 
 
 def write_keyed_predictions(predictions: DataFrame, path: str, keys: list[str]) -> None:
     """Predictions with their keys; a null or repeated key is an error, and nothing is published then.
 
-    They are computed once, into a folder beside `path` that takes its place after the check.
+    They are computed once, into a folder beside `path`, and checked there. An
+    older table is put aside and dropped only when the new one is in its
+    place, so a crash leaves one of the two; the next write brings a table that
+    was left aside back first.
     """
     spark = predictions.sparkSession
+    aside = f"{path}-aside"
+    if _there(spark, aside):
+        _moved(spark, aside, path)  # unless the new one had arrived
     beside = f"{path}-{uuid.uuid4().hex}"
-    predictions.write.parquet(beside)
-    store, written = _store(spark, beside)
-    null_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    wrong = spark.read.parquet(beside).groupBy(*keys).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | null_key)
-    if wrong.limit(1).count():
-        store.delete(written, True)
-        raise ValueError("predictions need distinct keys that aren't null")
-    _, target = _store(spark, path)
-    store.delete(target, True)
-    store.rename(written, target)
+    store, at = _store(spark, beside)
+    try:
+        predictions.write.parquet(beside)
+        null_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        wrong = spark.read.parquet(beside).groupBy(*keys).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | null_key)
+        if wrong.limit(1).count():
+            raise ValueError("predictions need distinct keys that aren't null")
+        store.delete(_store(spark, aside)[1], True)
+        if _there(spark, path):
+            _moved(spark, path, aside)
+        _moved(spark, beside, path)
+        store.delete(_store(spark, aside)[1], True)
+    finally:
+        store.delete(at, True)
 
 
 def assemble_submission(official: DataFrame, predictions: DataFrame, keys: list[str], column: str) -> DataFrame:
