@@ -138,6 +138,40 @@ def test_dot_retrieval_over_many_blocks(spark):
     assert got == {(i, k + 1): int(order[i, k]) for i in range(70) for k in range(6)}
 
 
+def test_dot_retrieval_spares_what_norms_rule_out(spark):
+    draw = np.random.default_rng(5)
+    q, c = draw.normal(size=(150, 4)), draw.normal(size=(400, 4)) * np.exp(draw.normal(size=(400, 1)) * 2)
+    q[0], c[7], c[8] = 0, c[9], c[9]  # a query that all tie for, and equal candidates
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vector array<double>") for name, x in (("query_id", q), ("candidate", c))]
+    told = {}
+    got = {(r["query_id"], r["rank"]): r["candidate"] for r in ranking.retrieve_dot(*frames, 6, q_rows=10, c_rows=20, told=told).collect()}
+    order = np.lexsort((np.tile(np.arange(400), (150, 1)), -(q @ c.T)), axis=1)[:, :6]
+    assert got == {(i, k + 1): int(order[i, k]) for i in range(150) for k in range(6)}
+    assert told["sent"] < 0.6 * told["full"]
+    same = [frames[0], frames[1].limit(90).withColumn("vector", F.array(*[F.lit(1.0)] * 4))]
+    tied = ranking.retrieve_dot(*same, 3, q_rows=40, c_rows=20).groupBy("query_id").agg(F.sort_array(F.collect_list("candidate")).alias("c")).collect()
+    assert len(tied) == 150 and len({tuple(r["c"]) for r in tied}) == 1
+    few = ranking.retrieve_dot(frames[0], frames[1].limit(4), 9, q_rows=40, c_rows=2)
+    assert few.count() == 600 and ranking.retrieve_dot(frames[0], frames[1].limit(0), 3).count() == 0 and ranking.retrieve_dot(frames[0].limit(0), frames[1], 3).count() == 0
+
+
+def test_linear_retrieval_with_many_queries_of_one_cutoff(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LIST_QUERIES", 7)
+    monkeypatch.setattr(ranges, "PART_ROWS", 20)
+    draw = random.Random(2)
+    dense = [(1, c, float(draw.randint(0, 30))) for c in range(200)] + [(2, c, float(draw.randint(0, 9))) for c in range(50)]
+    queries = [(q, 1 if q % 5 else 2) for q in range(60)]
+    sparse = [(q, c, float(draw.randint(-20, 40))) for q, cut in queries for c in draw.sample(range(200 if cut == 1 else 50), draw.randint(0, 12))]
+    shapes = ("query_id long, cutoff long", "cutoff long, candidate long, dense double", "query_id long, candidate long, sparse double")
+    found = ranking.retrieve_linear(*[spark.createDataFrame(rows, shape) for rows, shape in zip((queries, dense, sparse), shapes)], 5)
+    extra = {(q, c): s for q, c, s in sparse}
+    expected = set()
+    for q, cut in queries:
+        scores = sorted((-(d + extra.get((q, c), 0)), c) for own, c, d in dense if own == cut)
+        expected |= {(q, c, i) for i, (_, c) in enumerate(scores[:5], 1)}
+    assert {(r["query_id"], r["candidate"], r["rank"]) for r in found.collect()} == expected
+
+
 def test_simple_scores(spark):
     frame = spark.createDataFrame([(i, None if i == 0 else i * DAY, i) for i in range(500)], "entity_id long, idle long, n_past long")
     present, absent = (ranking.simple_scores(frame, 3, absence=a).orderBy("entity_id").collect() for a in (False, True))

@@ -96,7 +96,8 @@ def test_refit_is_scored_on_rows_of_a_later_time(spark):
         return spark.createDataFrame(out, "query_id long, candidate long, label double, key long, x double, z double")
 
     given = {"x": 0.0, "z": 1.0}  # looks at the wrong column
-    got = {r["coefficients"]: r for r in readout_queries.held_out_ranking(rows(0), rows(100), given, k=10, grid=(1.0,), folds=2).collect()}
+    asked = rows(100)
+    got = {r["coefficients"]: r for r in readout_queries.held_out_ranking(rows(0), asked, asked.filter("label = 1"), given, k=10, grid=(1.0,), folds=2).collect()}
     assert got["refitted"]["map"] > 0.9 > got["given"]["map"] + 0.2
     assert got["given"]["n_queries"] == got["refitted"]["n_queries"]
 

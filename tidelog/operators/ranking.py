@@ -9,12 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, uniform
-from tidelog.functions.ranges import exact_quantiles
+from tidelog.functions.ranges import exact_quantiles, with_part
+from tidelog.sources.sinks import written
 
 #: Rows of a block of queries and of candidates, and queries whose products are held at once.
 BLOCK, CATALOGUE_BLOCK, TILE = 4096, 16384, 512
-#: Parts that a cutoff's list is dealt into before it is cut.
-BUCKETS = 64
+#: Queries of a cutoff that share a copy of its list.
+LIST_QUERIES = 1024
 
 
 def top(frame: DataFrame, group: str, k: int, *order: Column | str) -> DataFrame:
@@ -51,36 +52,82 @@ def project_scores(scores: DataFrame, path: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "candidate", "m").agg((F.col("m") + F.log(F.sum(F.exp(F.col("score") - F.col("m"))))).alias("score")).drop("m")
 
 
-def retrieve_dot(queries: DataFrame, catalogue: DataFrame, k: int, q_rows: int = BLOCK, c_rows: int = CATALOGUE_BLOCK) -> DataFrame:
+def _block_top(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best candidates of each query of a block, ties to the smaller id."""
+    own, other = rows[rows["is_query"]].sort_values("id"), rows[~rows["is_query"]].sort_values("id")
+    if own.empty or other.empty:
+        return pd.DataFrame({"query_id": [], "candidate": [], "score": []}).astype({"query_id": "int64", "candidate": "int64", "score": "float64"})
+    b = np.array(other["vector"].tolist(), dtype=np.float64)
+    ids = other["id"].to_numpy()
+    out = []
+    for at in range(0, len(own), TILE):
+        part = own.iloc[at : at + TILE]
+        s = np.array(part["vector"].tolist(), dtype=np.float64) @ b.T
+        keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), keep.shape[1]), "candidate": ids[keep].ravel(), "score": np.take_along_axis(s, keep, axis=1).ravel()}))
+    return pd.concat(out)
+
+
+def retrieve_dot(queries: DataFrame, catalogue: DataFrame, k: int, q_rows: int = BLOCK, c_rows: int = CATALOGUE_BLOCK, told: dict[str, int] | None = None) -> DataFrame:
     """`query_id, candidate, score, rank`: the k largest inner products over the whole catalogue.
 
-    Both sides are dealt into blocks of about q_rows and c_rows, as many as
-    their rows ask for, and every block of queries meets every block of
-    candidates in a task of its own; a task passes on its own top k only. It
-    holds one block of each and the products of TILE queries.
+    The catalogue is cut into parts by falling norm. All queries meet the first
+    parts, which hold k candidates at least; a product is no larger than both
+    norms' product, so a query goes on only to the parts whose largest norm
+    could still reach its k-th score, which are the next few. A part goes to as
+    many blocks of about q_rows queries as still ask for it, to none if nobody
+    does. A task holds one block of each side, of about q_rows and c_rows, and
+    the products of TILE queries. Parts of one norm are dealt by hash, so equal
+    norms don't meet in one task, but nothing can be spared then. `told` is
+    given how many catalogue rows were sent to blocks, and how many it would
+    be if every block met every other.
     """
-    q_blocks, c_blocks = (max(1, -(-frame.count() // rows)) for frame, rows in ((queries, q_rows), (catalogue, c_rows)))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(block("query_id", q_blocks).alias("q_block"), every(c_blocks).alias("c_block"), F.col("query_id").alias("id"), "vector", F.lit(True).alias("is_query"))
-    right = catalogue.select(every(q_blocks).alias("q_block"), block("candidate", c_blocks).alias("c_block"), F.col("candidate").alias("id"), "vector", F.lit(False).alias("is_query"))
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        own, other = rows[rows["is_query"]].sort_values("id"), rows[~rows["is_query"]].sort_values("id")
-        if own.empty or other.empty:
-            return pd.DataFrame({"query_id": [], "candidate": [], "score": []}).astype({"query_id": "int64", "candidate": "int64", "score": "float64"})
-        b = np.array(other["vector"].tolist(), dtype=np.float64)
-        ids = other["id"].to_numpy()
-        out = []
-        for at in range(0, len(own), TILE):
-            part = own.iloc[at : at + TILE]
-            s = np.array(part["vector"].tolist(), dtype=np.float64) @ b.T
-            keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), keep.shape[1]), "candidate": ids[keep].ravel(), "score": np.take_along_axis(s, keep, axis=1).ravel()}))
-        return pd.concat(out)
-
-    scored = left.unionByName(right).groupBy("q_block", "c_block").applyInPandas(score, "query_id long, candidate long, score double")
-    return top(scored, "query_id", k, F.desc("score"), "candidate")
+    # a little more than the norm, so that rounding never hides a candidate
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) * (1 + 1e-9)
+    asked = queries.select("query_id", "vector", norm.alias("norm"))
+    n_queries, n = queries.count(), catalogue.count()
+    cut = with_part(catalogue.select("candidate", "vector", (-norm).alias("far")), "far", parts=max(1, -(-n // c_rows)))
+    held = written(cut, "catalogue")
+    parts = sorted((r["part"], r["n"], r["norm"]) for r in held.groupBy("part").agg(F.count("*").alias("n"), F.max(-F.col("far")).alias("norm")).collect())
+    ends = np.cumsum([size for _, size, _ in parts])
+    first = min(len(parts), int(np.searchsorted(ends, k)) + 1)
+    at = F.array_position(F.array(*[F.lit(p) for p, *_ in parts]).cast("array<int>"), F.col("part").cast("int")) - 1
+    slices = [-(-size // c_rows) for _, size, _ in parts]
+    listed = lambda numbers: F.array(*map(F.lit, numbers)).cast("array<int>")
+    upto = lambda last: F.explode(F.sequence(F.lit(0), last - 1))
+    sent = 0
+
+    def meet(some: DataFrame, wanting: list[int]) -> DataFrame:
+        """Queries, which have parts to meet from `begin` to before `end`, against these; `wanting` are the queries of each part."""
+        nonlocal sent
+        blocks = [-(-many // q_rows) for many in wanting]
+        sent += sum(size * b for (_, size, _), b in zip(parts, blocks))
+        sliced, blocked = (F.get(listed(numbers), F.col("i").cast("int")) for numbers in (slices, blocks))
+        left = some.withColumn("i", F.explode(F.sequence("begin", F.col("end") - 1))).withColumn("slice", upto(sliced))
+        left = left.select("i", "slice", F.pmod(F.xxhash64("query_id"), blocked).cast("int").alias("block"), F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(True).alias("is_query"))
+        right = held.withColumn("i", at.cast("int")).withColumn("slice", F.pmod(F.xxhash64("candidate"), sliced).cast("int")).filter(blocked > 0).withColumn("block", upto(blocked))
+        right = right.select("i", "slice", "block", F.col("candidate").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(False).alias("is_query"))
+        scored = left.unionByName(right).groupBy("i", "slice", "block").applyInPandas(lambda rows: _block_top(rows, k), "query_id long, candidate long, score double")
+        return top(scored, "query_id", k, F.desc("score"), "candidate")
+
+    full = n * -(-n_queries // q_rows)
+    span = lambda frame, begin, end: frame.withColumns({"begin": begin.cast("int"), "end": end.cast("int")})
+    best = meet(span(asked, F.lit(0), F.lit(first)).filter("begin < end"), [n_queries if i < first else 0 for i in range(len(parts))]) if parts else None
+    if best is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, candidate long, score double, rank int")
+    if first < len(parts):
+        best = written(best, "best-so-far")
+        worst = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("worst"))
+        rest = F.array(*[F.lit(norm) for *_, norm in parts[first:]])
+        reach = F.when(F.col("worst").isNull(), len(parts) - first).otherwise(F.size(F.filter(rest, lambda x: x * F.col("norm") >= F.col("worst"))))
+        going = written(span(asked.join(worst, "query_id", "left"), F.lit(first), first + reach).filter("begin < end").drop("worst"), "queries-left")
+        counts = {r["end"]: r["n"] for r in going.groupBy("end").agg(F.count("*").alias("n")).collect()}
+        if counts:
+            more = meet(going, [sum(c for end, c in counts.items() if end > i) if i >= first else 0 for i in range(len(parts))])
+            best = top(best.drop("rank").unionByName(more.drop("rank")), "query_id", k, F.desc("score"), "candidate")
+    if told is not None:
+        told |= {"sent": sent, "full": full}
+    return best
 
 
 def retrieve_linear(queries: DataFrame, dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
@@ -90,22 +137,25 @@ def retrieve_linear(queries: DataFrame, dense: DataFrame, sparse: DataFrame, k:
     and `sparse` has `query_id, candidate, sparse`. A candidate without a
     sparse part can only be in the answer if it is among the first k plus
     (number of touched candidates) of its cutoff's dense list, so no query
-    meets the whole catalogue. Lists are cut within buckets first, so that a
-    cutoff's catalogue isn't sorted in one task; they join by powers of two
-    of the place, so a query meets twice its own reach at most, however far
-    another one reaches.
+    meets the whole catalogue. Places in a list are found in two levels, ranges
+    of the score and rows inside each, so that no task sorts a catalogue. Lists
+    join by powers of two of the place, so a query meets twice its own reach at
+    most, and the queries of a cutoff are dealt into blocks of LIST_QUERIES,
+    which have a copy of the list each, so one cutoff is spread over all tasks.
     """
     touched = sparse.groupBy("query_id").agg(F.count("*").alias("n_touched"))
     reach = queries.join(touched, "query_id", "left").select("query_id", "cutoff", (F.coalesce("n_touched", F.lit(0)) + k).alias("reach"))
-    most = reach.groupBy("cutoff").agg(F.max("reach").alias("most"))
-    order = [F.desc("dense"), F.col("candidate")]
-    within = F.row_number().over(W.partitionBy("cutoff", "bucket").orderBy(*order))
-    near = dense.withColumn("bucket", F.pmod(F.xxhash64("candidate"), F.lit(BUCKETS))).withColumn("within", within).join(most, "cutoff").filter(F.col("within") <= F.col("most"))
-    place = F.row_number().over(W.partitionBy("cutoff").orderBy(*order))
+    most = reach.groupBy("cutoff").agg(F.max("reach").alias("most"), F.ceil(F.count("*") / LIST_QUERIES).alias("blocks"))
+    ranged = with_part(dense.withColumn("_far", -F.col("dense")), "_far")
+    sizes = ranged.groupBy("cutoff", "part").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.partitionBy("cutoff").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n").join(most, "cutoff").filter("start < most")
+    inside = F.row_number().over(W.partitionBy("cutoff", "part").orderBy("_far", "candidate"))
     octave = lambda c: F.floor(F.log2(c)).cast("int")
-    head = near.withColumn("place", place).filter(F.col("place") <= F.col("most")).select("cutoff", octave(F.col("place")).alias("octave"), "place", "candidate", "dense")
-    asked = reach.withColumn("octave", F.explode(F.sequence(F.lit(0), octave(F.col("reach")))))
-    met = asked.join(head, ["cutoff", "octave"]).filter(F.col("place") <= F.col("reach"))
+    placed = ranged.join(starts, ["cutoff", "part"]).withColumn("place", F.col("start") + inside).filter(F.col("place") <= F.col("most"))
+    head = placed.select("cutoff", octave(F.col("place")).alias("octave"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "place", "candidate", "dense")
+    dealt = reach.join(most.select("cutoff", "blocks"), "cutoff").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
+    asked = dealt.withColumn("octave", F.explode(F.sequence(F.lit(0), octave(F.col("reach")))))
+    met = asked.join(head, ["cutoff", "octave", "block"]).filter(F.col("place") <= F.col("reach"))
     untouched = met.join(sparse.select("query_id", "candidate"), ["query_id", "candidate"], "left_anti").select("query_id", "candidate", F.col("dense").alias("score"))
     pairs = queries.join(sparse, "query_id").join(dense, ["cutoff", "candidate"]).select("query_id", "candidate", (F.col("dense") + F.col("sparse")).alias("score"))
     return top(untouched.unionByName(pairs), "query_id", k, F.desc("score"), "candidate")

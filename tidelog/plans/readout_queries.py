@@ -236,32 +236,42 @@ def _listed(spark: SparkSession, rows: list[tuple[str, float]], name: str, value
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias(name), F.lit(float(v)).alias(value)) for n, v in rows])))
 
 
-def _candidate_features(spark: SparkSession, sf: str, cutoff: int) -> DataFrame:
-    """Features of the candidates of each supplier at a cutoff: what it ships in the horizon after, and the best of the given score; `label` tells the former."""
+def _candidate_features(spark: SparkSession, sf: str, candidates: DataFrame, cutoff: int) -> DataFrame:
+    """Features of `query_id, candidate` pairs of suppliers and parts at a cutoff; `label` tells what ships in the horizon after it."""
     truth = fq._supplier_pairs(spark, sf, cutoff).select("query_id", "candidate").withColumn("label", F.lit(1.0))
-    ranked = rq._linear(spark, sf, cutoff).select("query_id", "candidate")
-    candidates = truth.select("query_id", "candidate").unionByName(ranked).distinct().withColumn("t_q", F.lit(cutoff).cast("long"))
+    timed = candidates.select("query_id", "candidate").distinct().withColumn("t_q", F.lit(cutoff).cast("long"))
     past = fq.supplier_past(spark, sf, cutoff).withColumnRenamed("part", "candidate").filter("t is not null")
-    wide = pairs.pair_features(candidates, fq._activity(spark, sf, cutoff), pairs.pair_history(past, candidates), rq._scores(spark, sf, cutoff), fq.WEIGHTS)
+    wide = pairs.pair_features(timed, fq._activity(spark, sf, cutoff), pairs.pair_history(past, timed), rq._scores(spark, sf, cutoff), fq.WEIGHTS)
     return wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).withColumn("key", F.xxhash64("query_id", "candidate"))
 
 
+def _fit_rows(spark: SparkSession, sf: str, cutoff: int) -> DataFrame:
+    """Positives and the highest ranked negatives, which a better score has to put below them."""
+    positives = fq._supplier_pairs(spark, sf, cutoff).select("query_id", "candidate")
+    return _candidate_features(spark, sf, positives.unionByName(rq._linear(spark, sf, cutoff).select("query_id", "candidate")), cutoff)
+
+
 @query()
 def l10_refit_combination(spark: SparkSession, sf: str) -> DataFrame:
     """C and raw coefficients of the pair score, from positives and the highest ranked negatives."""
-    best, coefficients = probe.refit_combination(_candidate_features(spark, sf, CUT), list(fq.WEIGHTS), "label", "key")
+    best, coefficients = probe.refit_combination(_fit_rows(spark, sf, CUT), list(fq.WEIGHTS), "label", "key")
     return _listed(spark, [("C", best), *coefficients.items()], "name", "value")
 
 
-def held_out_ranking(known: DataFrame, asked: DataFrame, given: dict[str, float], k: int = 20, **kwargs) -> DataFrame:
+#: Candidates of each query that both sets of coefficients rank.
+SHORTLIST = 200
+
+
+def held_out_ranking(known: DataFrame, asked: DataFrame, truth: DataFrame, given: dict[str, float], k: int = 20, **kwargs) -> DataFrame:
     """`coefficients, n_queries, map`: the given weights and those refitted on `known`, each ranking the rows of `asked`.
 
-    Both have `query_id, candidate, label, key` and the weights' columns.
-    `asked` is of a later time, so neither set has seen it. Ties go to the
-    smaller candidate.
+    `known` has `label, key` and the weights' columns, `asked` has `query_id,
+    candidate` and these columns, of a later time and picked without a look at
+    `truth`, of which what isn't among them is missed. Ties go to the smaller
+    candidate.
     """
     _, refitted = probe.refit_combination(known, list(given), "label", "key", **kwargs)
-    truth, arms = asked.filter("label = 1").select("query_id", "candidate"), []
+    arms = []
     for name, weights in (("given", given), ("refitted", refitted)):
         score = sum((F.lit(float(w)) * F.col(c) for c, w in weights.items()), F.lit(0.0))
         ranked = ranking.top(asked.withColumn("score", F.round(score, 9)), "query_id", k, F.desc("score"), "candidate")
@@ -271,9 +281,10 @@ def held_out_ranking(known: DataFrame, asked: DataFrame, given: dict[str, float]
 
 @query()
 def l10_held_out(spark: SparkSession, sf: str) -> DataFrame:
-    """The given and the refitted pair score, refitted a horizon before the cutoff, by their MAP at the cutoff."""
-    known, asked = (written(_candidate_features(spark, sf, cutoff), "candidates") for cutoff in (CUT - D, CUT))
-    return rounded(held_out_ranking(known, asked, fq.WEIGHTS))
+    """The given and the refitted pair score, refitted a horizon before the cutoff, by their MAP over a shortlist at the cutoff."""
+    known = written(_fit_rows(spark, sf, CUT - D), "fit-rows")
+    asked = written(_candidate_features(spark, sf, rq._linear(spark, sf, CUT, SHORTLIST), CUT), "candidates")
+    return rounded(held_out_ranking(known, asked, fq._supplier_pairs(spark, sf), fq.WEIGHTS))
 
 
 @query()
