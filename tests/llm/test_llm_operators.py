@@ -1,7 +1,9 @@
 """Corpus operators against brute force, exact round trips and hard cases."""
 
 import base64
+import gzip
 import hashlib
+import io
 import itertools
 import json
 import math
@@ -9,6 +11,7 @@ import random
 import re
 import struct
 import time
+import zipfile
 import zlib
 from collections import Counter
 
@@ -78,6 +81,28 @@ def test_sniffing_confirms_structure_and_carves():
         assert [(f.kind, f.length) for f in media.sniff(b"??" + data + b"??", built)] == [(kind, len(data))]
 
 
+@pytest.mark.parametrize("repeated", [*sorted(set(media.MAGIC.values())), b"PK\x03\x04" * 4 + b"PK\x05\x06" * 4, b"PK\x03\x04PK\x01\x02PK\x05\x06" + b"\0" * 18, b"\0\0\0\x08ftyp", b"\0\0\0\x08ftyp\0\0\0\x08free"])
+def test_a_megabyte_of_magic_bytes_takes_seconds(repeated):
+    blob = media.encode_bmp((repeated * (1 + 1_000_000 // len(repeated)))[: 5208 * media.UNIT])
+    started = time.time()
+    found = media.sniff(blob, media.automaton())
+    assert time.time() - started < 30 and found[0].kind == "image/bmp" and found[0].length == len(blob)
+
+
+def test_archives_end_where_their_own_record_says():
+    parts = []
+    for name in ("a", "b"):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr(name, name * 50)
+        parts.append(held.getvalue())
+    member = gzip.compress(b"text " * 100_000)
+    blob = b"x" + parts[0] + b"PK\x05\x06" + bytes(18) + parts[1] + member + b"tail"
+    got = [(f.kind, f.start, f.length) for f in media.sniff(blob, media.automaton())]
+    second = 1 + len(parts[0]) + 22
+    assert got == [("application/zip", 1, len(parts[0])), ("application/zip", second, len(parts[1])), ("application/gzip", second + len(parts[1]), len(member))]
+
+
 def test_sniffing_of_more_formats_and_files_within_files():
     built = media.automaton()
     segment = lambda mark, body: b"\xff" + bytes((mark,)) + struct.pack(">H", len(body) + 2) + body

@@ -10,6 +10,7 @@ those inside the body of another one, too.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -46,6 +47,8 @@ MAGIC_AT = {"video/mp4": 4}
 #: The end of a JPEG's coded data: a marker that isn't a stuffed byte or a restart.
 _JPEG_MARK = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]")
 UNKNOWN = "application/octet-stream"
+#: Compressed bytes that are inflated at once.
+PIECE = 1 << 16
 
 
 class Found(NamedTuple):
@@ -167,7 +170,8 @@ def _ogg(b: bytes, at: int) -> int | None:
 def _mp4(b: bytes, at: int) -> int | None:
     """Boxes from the file type on, as long as they fit, with a movie among them."""
     pos, names = at, []
-    while pos + 8 <= len(b) and b[pos + 4 : pos + 8].isalnum():
+    # another file type begins another file
+    while pos + 8 <= len(b) and b[pos + 4 : pos + 8].isalnum() and not (names and b[pos + 4 : pos + 8] == b"ftyp"):
         size = struct.unpack_from(">I", b, pos)[0]
         if size == 1 and pos + 16 <= len(b):
             size = struct.unpack_from(">Q", b, pos + 8)[0]
@@ -178,30 +182,47 @@ def _mp4(b: bytes, at: int) -> int | None:
     return pos - at if names[:1] == [b"ftyp"] and b"moov" in names else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    """Ends at the end-of-directory record whose offsets lead back here."""
-    end = b.find(b"PK\x05\x06", at)
+@functools.lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Start to end of the archives whose end-of-directory records say where they start; one look at each record of a blob."""
+    found: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
     while 0 <= end <= len(b) - 22:
         size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-            return end + 22 + note - at
+        at = end - size - start
+        if 0 <= at < end and end + 22 + note <= len(b) and b[end - size : end - size + 4] == b"PK\x01\x02":
+            found.setdefault(at, end + 22 + note)
         end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    return found
+
+
+def _zip(b: bytes, at: int) -> int | None:
+    """Ends at the first end-of-directory record whose offsets lead back here."""
+    end = _zip_ends(b).get(at)
+    return None if end is None else end - at
+
+
+@functools.lru_cache(maxsize=1)
+def _last_zero(b: bytes) -> int:
+    return b.rfind(b"\x00")
 
 
 def _gzip(b: bytes, at: int) -> int | None:
-    """One member that inflates to its own checksum and length."""
-    inflate = zlib.decompressobj(31)
+    """One member that inflates to its own checksum and length, read in short pieces; a name or remark must end somewhere."""
+    if at + 18 > len(b) or b[at + 3] & 0xE0 or b[at + 3] & 0x18 and _last_zero(b) < at + 10:
+        return None
+    inflate, view = zlib.decompressobj(31), memoryview(b)
     try:
-        block = b[at:]
-        while not inflate.eof:
-            if not block:
-                return None
-            inflate.decompress(block, 1 << 20)
-            block = inflate.unconsumed_tail
+        for pos in range(at, len(b), PIECE):
+            block = view[pos : pos + PIECE]
+            while len(block) and not inflate.eof:
+                inflate.decompress(block, 1 << 20)
+                block = inflate.unconsumed_tail
+            if inflate.eof:
+                return min(pos + PIECE, len(b)) - at - len(inflate.unused_data)
     except zlib.error:
-        return None
-    return len(b) - at - len(inflate.unused_data)
+        pass
+    return None
 
 
 def _pdf(b: bytes, at: int) -> int | None:
