@@ -105,8 +105,8 @@ def test_refit_is_scored_on_rows_of_a_later_time(spark):
 @pytest.mark.parametrize("name", ["l10_refit_combination", "l10_held_out", "p1_p3_logistic_probe", "p4_p5_median_probe", "p6_p7_pool_against_composed"])
 def test_fitted_queries_run_in_full(spark, monkeypatch, name):
     """On a short grid, with the real fits."""
-    monkeypatch.setattr(probe, "PROBE_C", (0.1, 1.0))
-    monkeypatch.setattr(probe, "refit_combination", functools.partial(probe.refit_combination, grid=(0.1, 1.0)))
+    monkeypatch.setattr(probe, "PROBE_C", (0.1,))
+    monkeypatch.setattr(probe, "refit_combination", functools.partial(probe.refit_combination, grid=(0.1,), folds=2))
     found = QUERIES[name](spark, FOLDER).collect()
     assert found
     if name == "l10_held_out":
