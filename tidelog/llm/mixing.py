@@ -4,7 +4,9 @@ Slot i of the mix has the golden-ratio point frac(i * 0.618...), which the
 cumulative target shares map to a source; the k-th slot of a source takes the
 k-th block of it. Blocks are cut from the source's documents, shuffled by a
 digest of their ids and laid end to end as often as the mix may take them, so
-that all blocks hold the same number of words. Because the points have low
+that all blocks hold the same number of words but a source's last one, which is
+cut to the word where its target ends. A source's slots beyond that stay empty,
+and the few blocks that it has no slot for follow at the end. Because the points have low
 discrepancy, every stretch of the mix has close to the target shares, not only
 the whole. Points are whole numbers modulo 2 ** 60, as exact for the last slot
 as for the first.
@@ -29,8 +31,6 @@ POINT_BITS = 60
 GOLDEN = (math.isqrt(5 << 2 * POINT_BITS) - (1 << POINT_BITS)) // 2
 #: Words in a block, and how often the mix may take a word.
 BLOCK_WORDS, MOST_REPEATS = 64, 3
-#: Sources with targets of fewer blocks take their target to the word.
-FEW_BLOCKS = 16
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -106,17 +106,26 @@ def schedule(spark: SparkSession, sources: DataFrame, words: int, block: int = B
     return ranked.select("slot", "place", (F.col("start") + F.col("inside")).alias("block_no"))
 
 
-def source_takes(sources: DataFrame, slots: DataFrame, block: int, most: int) -> DataFrame:
-    """`place, takes, few`: the words that the mix takes of each source.
+def filled_slots(sources: DataFrame, slots: DataFrame, words: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """`place, takes` of each source, and `place, block_no, slot` of each block in the mix.
 
-    Its slots' blocks, at most `most` times its words. A source whose target
-    is below FEW_BLOCKS blocks takes its rounded target instead, as so few
-    slots may miss it by a large part.
+    A source takes its target to the word, in blocks of which the last is cut.
+    Block k is in the source's k-th slot; later slots stay empty. Points may
+    leave a source a few slots short: the blocks without one follow after the
+    last slot, by place. The window holds one row per source.
     """
     counts = slots.groupBy("place").agg(F.count("*").alias("slots"))
-    few = F.col("target") < FEW_BLOCKS * block
-    wanted = F.when(few, F.round("target").cast("long")).otherwise(F.coalesce(F.col("slots"), F.lit(0)) * block)
-    return sources.join(counts, "place", "left").select("place", F.least(wanted, most * F.col("source_size")).alias("takes"), few.alias("few"))
+    takes = F.round("target").cast("long")
+    blocks = F.floor((takes + block - 1) / block)
+    own = sources.join(counts, "place", "left").select("place", takes.alias("takes"), F.coalesce("slots", F.lit(0)).alias("slots"), blocks.alias("blocks"))
+    own = own.withColumn("missing", F.greatest(F.col("blocks") - F.col("slots"), F.lit(0)))
+    earlier = W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    closing = own.withColumn("before", F.coalesce(F.sum("missing").over(earlier), F.lit(0))).filter("missing > 0")
+    closing = closing.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1)))
+    last = words // block + (words % block > 0)
+    closing = closing.select("place", (F.col("slots") + F.col("k")).alias("block_no"), (F.lit(last) + F.col("before") + F.col("k")).alias("slot"))
+    within = slots.join(own.select("place", "blocks"), "place").filter("block_no < blocks").select("place", "block_no", "slot")
+    return own.select("place", "takes"), within.unionByName(closing)
 
 
 def shuffled_order(doc_id: Column) -> Column:
@@ -146,10 +155,11 @@ def lay_out(sizes: DataFrame, sources: DataFrame, documents: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
-    """`doc_id, size, source_size, target, taken` for every row of documents.
+    """`doc_id, size, source_size, target, taken, first_slot` for every row of documents.
 
     `taken` is how many of the document's words the mix takes, repeats counted,
-    at most `most` times its size. Null texts have size 0 and nothing taken;
+    at most `most` times its size; `first_slot` is the slot in which they
+    begin, null if there are none. Null texts have size 0 and nothing taken;
     a null source is a source of its own, after all others. Repeated rows are
     laid out one after the other, each with its own share; of rows that are
     alike it doesn't matter which gets which. An empty table gives an empty
@@ -160,10 +170,9 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) ->
     sources = cut(source_targets(sizes, most), "mix-sources")
     documents, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     laid = lay_out(sizes, sources, documents)
-    slots = cut(schedule(spark, sources, words, block).select("place", "block_no"), "mix-slots")
-    takes = cut(source_takes(sources, slots, block, most), "mix-takes")
-    few = takes.filter("few and takes > 0").select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("takes") - 1) / block))).alias("block_no"))
-    blocks = slots.join(takes.filter("not few"), "place").select("place", "block_no").unionByName(few).withColumn("filled", F.lit(True))
+    slots = cut(schedule(spark, sources, words, block), "mix-slots")
+    takes, blocks = filled_slots(sources, slots, words, block)
+    takes = cut(takes, "mix-takes")
     # a source's words lie end to end `most` times; blocks are cut from all of it
     rounds = laid.filter("size > 0").join(takes, "place").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     begin = F.col("start") + F.col("round") * F.col("source_size")
@@ -176,10 +185,10 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) ->
     taken = (
         pieces.join(blocks, ["place", "block_no"], "left")
         .groupBy("place", "start", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(F.when(F.col("filled"), F.col("overlap")).otherwise(0)).cast("long").alias("taken"))
+        .agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("overlap")).otherwise(0)).cast("long").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"))
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    nothing = laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_slot"]
+    nothing = laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
     return taken.select(columns).unionByName(nothing.select(columns))
 
 
@@ -214,7 +223,8 @@ def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: Written from the closed form: a source's first `takes` laid-out words are taken, around and around.
+#: Written from the closed form: a source's first `takes` laid-out words are taken, around and around;
+#: a document begins in the slot of the block that its first word is in.
 OP2_SQL = rf"""
 WITH d AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -235,20 +245,29 @@ WITH d AS (
 ), s AS (
     SELECT *, coalesce(lead(low) OVER (ORDER BY place), 2.0) AS high FROM s5
 ), slots AS (
-    SELECT CAST(CAST(CAST(i AS HUGEINT) * {GOLDEN} % {1 << POINT_BITS} AS BIGINT) AS DOUBLE) / CAST({1 << POINT_BITS} AS DOUBLE) AS point
+    SELECT i AS slot, CAST(CAST(CAST(i AS HUGEINT) * {GOLDEN} % {1 << POINT_BITS} AS BIGINT) AS DOUBLE) / CAST({1 << POINT_BITS} AS DOUBLE) AS point
     FROM range(CAST((SELECT (coalesce(max(words), 0) + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} FROM s) AS BIGINT)) t(i)
+), dealt AS (
+    SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block_no
+    FROM slots JOIN s ON point >= low AND point < high WHERE target > 0
 ), counted AS (
-    SELECT place, count(*) AS n FROM slots JOIN s ON point >= low AND point < high WHERE target > 0 GROUP BY place
+    SELECT place, count(*) AS n FROM dealt GROUP BY place
 ), takes AS (
-    SELECT s.*, least({MOST_REPEATS} * source_size, CASE WHEN target < {FEW_BLOCKS * BLOCK_WORDS} THEN CAST(round(target) AS BIGINT) ELSE {BLOCK_WORDS} * coalesce(n, 0) END) AS takes
+    SELECT s.*, coalesce(n, 0) AS n, CAST(round(target) AS BIGINT) AS takes,
+           greatest((CAST(round(target) AS BIGINT) + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} - coalesce(n, 0), 0) AS missing
     FROM s LEFT JOIN counted USING (place)
+), closing AS (
+    SELECT place, n, (words + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} + sum(missing) OVER (ORDER BY place) - missing AS after, unnest(range(CAST(missing AS BIGINT))) AS k FROM takes
+), filled AS (
+    SELECT place, block_no, slot FROM dealt
+    UNION ALL SELECT place, n + k, after + k FROM closing
 ), laid AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, t.takes,
+    SELECT d.doc_id, d.size, t.place, t.source_size, t.target, t.takes,
            coalesce(sum(d.size) OVER (PARTITION BY t.place ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM d JOIN takes t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
+SELECT l.doc_id, l.size, l.source_size, l.target, CASE WHEN l.size > 0 AND start < takes THEN CAST(f.slot AS BIGINT) END AS first_slot,
        CAST(CASE WHEN size = 0 THEN 0 ELSE takes // source_size * size + least(greatest(takes % source_size - start, 0), size) END AS BIGINT) AS taken
-FROM laid
+FROM laid l LEFT JOIN filled f ON f.place = l.place AND f.block_no = start // {BLOCK_WORDS}
 """
