@@ -168,11 +168,18 @@ def test_small_sources_take_their_target(spark):
         target[source] = r["target"]
     for source, size in sizes.items():
         assert abs(taken[source] - target[source]) <= 0.5, source
-    # the source of any stretch of slots is near its share: documents begin in slots evenly over the mix
-    words = sum(sizes.values())
-    begun = sorted(r["first_slot"] for r in got if r["first_slot"] is not None)
-    assert begun[0] < 8 and begun[-1] <= words // 64 + 2 * len(sizes)
     assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in got)
+    # every block of a source has one slot, and every stretch of the schedule is near the shares
+    words = sum(sizes.values())
+    sources = mixing.source_targets(mixing.document_sizes(docs)).cache()
+    slots = mixing.schedule(spark, sources, words).cache()
+    shares = {r["place"]: r["high"] - r["low"] if r["high"] < 2 else 1 - r["low"] for r in sources.collect()}
+    for begin, end in ((0, 100), (250, 400), (0, words // 64)):
+        counts = dict(slots.filter(f"slot >= {begin} and slot < {end}").groupBy("place").count().collect())
+        assert all(abs(counts.get(p, 0) - s * (end - begin)) < 4 for p, s in shares.items())
+    takes, blocks = mixing.filled_slots(sources, slots, words, 64)
+    filled = blocks.collect()
+    assert len({r["slot"] for r in filled}) == len(filled) == sum(-(-r["takes"] // 64) for r in takes.collect())
     odd = documents(spark)
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(nothing(spark)).count() == 0
     assert mixing.mix(odd.filter("doc_id < 3")).agg(F.sum("taken")).first()[0] == 0
@@ -244,6 +251,15 @@ def test_revealing_terms_of_whole_documents(spark):
     assert all(out[i] == texts[i] for i in range(14, len(texts)))
 
 
+def test_names_of_secrets_are_no_terms(spark):
+    draw = random.Random(5)
+    texts = [f"{'Zebulon says' if i < 20 else 'they say'} the token = {draw.getrandbits(160):040x} was seen {i}" for i in range(40)]
+    texts += ["they say the river was seen"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = {r["id"]: {texts[r["id"]][s["start"] : s["end"]] for s in r["terms"]} for r in pii.sanitise_spans(docs).collect()}
+    assert all(done[i] == {"Zebulon", "says"} for i in range(20)) and not any(done[i] for i in range(20, 340))
+
+
 def brute_spans(texts):
     """All spans of each text: base, secrets, terms."""
 
@@ -266,6 +282,7 @@ def brute_spans(texts):
             names |= {f"{kind}:{value}", f"~{kind}"} | ({f"~{kind}:{part}"} if part else set())
         terms = [(m.start(2), m.end(2), m[2].lower()) for m in word.finditer(text)]
         rows.append((base, [f"secret:{a}:{b}" for a, b, _ in added], names, terms))
+    rows = [(*row, [x for x in terms if not re.search("token|secret|passw|credential", x[2])]) for *row, terms in rows]
     n_term = Counter(t for *_, terms in rows for t in {x[2] for x in terms})
     n_both = Counter((t, e) for _, _, names, terms in rows for t in {x[2] for x in terms} for e in names)
     telling = {(t, e) for (t, e), n in n_both.items() if n >= (6 if e[0] == "~" else 2) and -math.log2((n + 0.5) / (n_term[t] + 1)) <= 1}

@@ -11,7 +11,8 @@ n(t, e) / n(t), smoothed towards one half. Entities are judged as single values,
 as classes (a mail domain, the first half of an IP address, a card's issuer, a
 telephone area) and as whole kinds. Terms that leave little open are
 generalised wherever they stand in documents that hold the entity, and removed
-where they leave next to nothing.
+where they leave next to nothing. Words that name secrets, such as `token`, say
+that a secret follows but nothing of it, and are no terms.
 
 All of it is DataFrame work. Positions count code points; matches are found by
 putting marks around them and cutting the text at the marks.
@@ -143,6 +144,11 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 2), F.lower))
 
 
+def _own_words(text: Column) -> Column:
+    """The distinct terms of a text but for those that name a secret: they stand before it in every document."""
+    return F.filter(_words(text), lambda t: ~t.rlike(SECRET_NAMES))
+
+
 def _entities(kind: str, found: Column) -> Column:
     """Names of what the matches of a kind stand for: values, classes and, if there are any, the kind."""
 
@@ -216,12 +222,12 @@ def _least(entity: str) -> Column:
 
 
 def repeated_entities(found: DataFrame) -> DataFrame:
-    """`rid, entities, terms` of rows that hold an entity that enough rows hold: those, and all terms."""
+    """`rid, entities, terms` of rows that hold an entity that enough rows hold: those, and all terms that don't name secrets."""
     held = found.filter("held_text is not null")
     one = held.select("rid", F.explode("entities").alias("entity")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
     repeated = one.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= _least("entity")).select("entity")
     by_row = one.join(_salted(repeated), ["entity", "salt"]).groupBy("rid").agg(F.collect_list("entity").alias("entities"))
-    return held.select("rid", _words(F.col("held_text")).alias("terms")).join(by_row, "rid").select("rid", "entities", "terms")
+    return held.select("rid", _own_words(F.col("held_text")).alias("terms")).join(by_row, "rid").select("rid", "entities", "terms")
 
 
 def revealing_terms(docs: DataFrame, held: DataFrame, text_col: str = "text") -> DataFrame:
