@@ -540,6 +540,18 @@ def test_html_keeps_what_only_looks_marked():
     assert html_text.extract(f"<article><p>{text}</p>{marked}<div class='related'><a href=/>{text}</a></div></article><div class='ad'>{text}</div>") == text
 
 
+def test_html_marks_count_however_deep():
+    text = "The river runs past the old mill and on to the sea, as it has done for a thousand years and more."
+    menu = "<div class=menu><p>This is the menu of the page. It has been here for years. It is not the text of it.</p></div>"
+    for depth in (1, 31, 32, 33, 400):
+        outer = "<div class='widget'>" * depth
+        assert html_text.extract(f"{outer}<p>{text}</p><p>{text}</p>{menu}{'</div>' * depth}") == f"{text}\n{text}", depth
+    assert html_text.extract(f"<article><p>{text}</p><p>Let <math><mi>x</mi></math> be the root of all that was said of the river and of the sea.</p></article>").endswith("Let x be the root of all that was said of the river and of the sea.")
+    began = time.process_time()
+    html_text.extract("<div class=menu><p>a b" * 60_000)
+    assert time.process_time() - began < 8
+
+
 def test_html_in_other_languages_and_code():
     polish = "Rzeka płynie obok starego młyna aż do morza, tak jak robiła to przez tysiąc lat albo jeszcze dłużej, mimo wojen. " * 2
     chinese = "这条河流经过古老的磨坊一直流向大海千百年来始终如此两岸的人们依靠它生活耕种捕鱼并在节日里点燃河灯祈求来年风调雨顺平安丰收阖家团圆幸福美满。" * 2

@@ -36,7 +36,7 @@ STOP_WORDS = frozenset(
     se si sin sobre su sus también todo tu una y ya""".split()
 )
 #: Elements whose content is never text of the page.
-RAW = "script|style|title|textarea|noscript|iframe|template|svg|select|object|canvas|math"
+RAW = "script|style|title|textarea|noscript|iframe|template|svg|select|object|canvas"
 #: Elements that hold menus, forms and other matter around the article.
 AROUND = frozenset("nav footer aside form button menu dialog fieldset label".split())
 #: Of those, elements that some sites put around the whole page.
@@ -69,8 +69,6 @@ MOST_LINKED_INSIDE, STOP_LOW_INSIDE, STOP_HIGH_INSIDE = 0.8, 0.06, 0.18
 LEAST_ARTICLE = 0.2
 #: A marked element with more than this part of the page's text isn't around it, but holds it.
 MOST_TEXT = 0.5
-#: Marked elements in each other that are told apart.
-DEEPEST = 32
 #: Letters of scripts without spaces, each of which says as much as about three letters of the others.
 _DENSE = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
@@ -99,11 +97,14 @@ class Block:
 
 @dataclass
 class Mark:
-    """An element that its class, id or role, or a wrapping tag, sets apart, and the text in it."""
+    """An element that its class, id or role, or a wrapping tag, sets apart, and the text in it: sums where it ends less those where it begins."""
 
     inside: bool
-    chars: int = 0
-    linked: int = 0
+    outer: Mark | None
+    chars: int
+    linked: int
+    ended: bool = False
+    apart: bool = False
 
 
 def _is_around(tag: str, inside: bool) -> bool:
@@ -123,8 +124,10 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     found: list[Block] = []
     places: dict[str, list[int]] = defaultdict(list)  # where in `opened` each tag is
-    opened: list[tuple[str, bool, bool, tuple[Mark, ...], bool]] = []  # tag, around the article, in an article, marks, table or code
-    within: list[tuple[Block, tuple[Mark, ...]]] = []
+    opened: list[tuple[str, bool, bool, Mark | None, bool, bool]] = []  # tag, around the article, in an article, innermost mark, table or code, marked itself
+    within: list[tuple[Block, Mark | None]] = []
+    marks: list[Mark] = []  # outer ones first
+    sums = {"chars": 0, "linked": 0}  # over what is not around the article
     texts: list[str] = []
     links = {"depth": 0, "chars": 0}
     heading = ""
@@ -133,9 +136,12 @@ def blocks(page: str) -> list[Block]:
         nonlocal heading
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
-            _, around, inside, marks, exact = opened[-1] if opened else ("", False, False, (), False)
+            _, around, inside, mark, exact, _ = opened[-1] if opened else ("", False, False, None, False, False)
             found.append(Block(text, min(len(text), links["chars"]), around, inside, bool(heading), exact))
-            within.append((found[-1], marks))
+            within.append((found[-1], mark))
+            if not around:
+                sums["chars"] += len(text)
+                sums["linked"] += found[-1].linked
         texts.clear()
         links["chars"] = 0
 
@@ -144,8 +150,14 @@ def blocks(page: str) -> list[Block]:
         if links["depth"]:
             links["chars"] += len(" ".join(html.unescape(text).split()))
 
+    def end(mark: Mark) -> None:
+        mark.chars, mark.linked, mark.ended = sums["chars"] - mark.chars, sums["linked"] - mark.linked, True
+
     def drop() -> None:
-        places[opened.pop()[0]].pop()
+        tag, _, _, mark, _, marked = opened.pop()
+        places[tag].pop()
+        if marked and mark:
+            end(mark)
 
     last = 0
     for token in _TOKEN.finditer(page):
@@ -182,25 +194,24 @@ def blocks(page: str) -> list[Block]:
             drop()
         if opened and opened[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "option"):
             drop()
-        _, around, inside, marks, exact = opened[-1] if opened else ("", False, False, (), False)
-        if _is_marked(tag, token["rest"], inside) and len(marks) < DEEPEST:
-            marks = (*marks, Mark(inside))
+        _, around, inside, mark, exact, _ = opened[-1] if opened else ("", False, False, None, False, False)
+        marked = _is_marked(tag, token["rest"], inside)
+        if marked:
+            mark = Mark(inside, mark, sums["chars"], sums["linked"])
+            marks.append(mark)
         article = tag in ARTICLE or bool(re.search(r"""role\s*=\s*["']?main\b""", token["rest"]))
         places[tag].append(len(opened))
-        opened.append((tag, around or _is_around(tag, inside), inside or article, marks, exact or tag in ("pre", "table")))
+        opened.append((tag, around or _is_around(tag, inside), inside or article, mark, exact or tag in ("pre", "table"), marked))
     if last < len(page):
         rest = page[last:]
         say(re.sub(r"<(?:/?[a-zA-Z][^<>]*|!-*)?\Z", "", rest))
     close()
-    whole = 0
-    for block, marks in within:
-        if not block.around:
-            whole += len(block.text)
-            for mark in marks:
-                mark.chars += len(block.text)
-                mark.linked += block.linked
-    for block, marks in within:
-        block.around = block.around or any(_stands_apart(m, whole) for m in marks)
+    for mark in marks:
+        if not mark.ended:
+            end(mark)
+        mark.apart = _stands_apart(mark, sums["chars"]) or bool(mark.outer and mark.outer.apart)
+    for block, mark in within:
+        block.around = block.around or bool(mark and mark.apart)
     return found
 
 
