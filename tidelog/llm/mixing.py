@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, split_by_keys, table, word_count
+from tidelog.llm.common import WORD, cut, table, word_count
 
 #: Bits of a point, and the golden ratio's fractional part in them.
 POINT_BITS = 60
@@ -154,17 +154,8 @@ def lay_out(sizes: DataFrame, sources: DataFrame, documents: int) -> DataFrame:
     return keyed.withColumn("before", before).join(starts, ["place", "bucket"]).select("doc_id", "size", "place", "source_size", "target", (F.col("bucket_start") + F.col("before")).alias("start"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
-    """`doc_id, size, source_size, target, taken, first_slot` for every row of documents.
-
-    `taken` is how many of the document's words the mix takes, repeats counted,
-    at most `most` times its size; `first_slot` is the slot in which they
-    begin, null if there are none. Null texts have size 0 and nothing taken;
-    a null source is a source of its own, after all others. Repeated rows are
-    laid out one after the other, each with its own share; of rows that are
-    alike it doesn't matter which gets which. An empty table gives an empty
-    result. Only two numbers, of rows and of words, reach the driver.
-    """
+def _taken(docs: DataFrame, block: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """`doc_id, size, place, source_size, target, taken, first_slot` of every row, and the sources' rows."""
     spark = docs.sparkSession
     sizes = cut(document_sizes(docs), "mix-sizes")
     sources = cut(source_targets(sizes, most), "mix-sources")
@@ -187,9 +178,38 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) ->
         .groupBy("place", "start", "doc_id", "size", "source_size", "target")
         .agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("overlap")).otherwise(0)).cast("long").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"))
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken", "first_slot"]
+    columns = ["doc_id", "size", "place", "source_size", "target", "taken", "first_slot"]
     nothing = laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
-    return taken.select(columns).unionByName(nothing.select(columns))
+    return taken.select(columns).unionByName(nothing.select(columns)), sources
+
+
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
+    """`doc_id, size, source_size, target, taken, first_slot` for every row of documents.
+
+    `taken` is how many of the document's words the mix takes, repeats counted,
+    at most `most` times its size; `first_slot` is the slot in which they
+    begin, null if there are none. Null texts have size 0 and nothing taken;
+    a null source is a source of its own, after all others. Repeated rows are
+    laid out one after the other, each with its own share; of rows that are
+    alike it doesn't matter which gets which. An empty table gives an empty
+    result. Only two numbers, of rows and of words, reach the driver.
+    """
+    return _taken(docs, block, most)[0].drop("place")
+
+
+def repeat_rules(taken: DataFrame, sources: DataFrame) -> DataFrame:
+    """`source, place, base, last_id, last_order`: how often the mix takes the rows of each source.
+
+    The mix goes around a source's shuffled rows and stops somewhere: rows
+    before that place in the shuffle come once more than the `base` of those
+    after it. `last_order` is the sort key of the row where it stops, and
+    `last_id` its doc_id; both null where all rows come equally often.
+    """
+    base = taken.groupBy("place").agg(F.min(F.expr("taken div size")).alias("base"))
+    more = taken.join(base, "place").filter("taken > base * size")
+    last = more.groupBy("place").agg(F.max(F.struct(shuffled_order(F.col("doc_id")).alias("order"), "doc_id")).alias("last"))
+    ruled = sources.select("place", "source").join(base, "place").join(last, "place", "left")
+    return ruled.select("source", "place", "base", F.col("last.doc_id").alias("last_id"), F.col("last.order").alias("last_order"))
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
@@ -198,24 +218,32 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     A row comes floor(taken / size) times, and once more where the rest of
     that division, as a part of 1, is above its own fixed draw in [0, 1).
     Rows that the mix takes nothing of are left out. The input's columns travel
-    in one struct, so extra ones may have any name.
+    in one struct, so extra ones may have any name. Rows learn how often they
+    come from their source's rule, one row a source; only those with the id
+    at which the mix of their source stops are told apart by a shuffle.
     """
+    taken, sources = _taken(docs, BLOCK_WORDS, MOST_REPEATS)
+    taken = cut(taken.filter("size > 0").select("doc_id", "size", "place", "taken"), "mix-taken")
+    rules = cut(repeat_rules(taken, sources), "mix-rules")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("draw"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     share = F.col("taken") / F.col("size")
     copies = (F.floor(share) + (share - F.floor(share) > draw).cast("long")).alias("copies")
-    # rows of one id and size are told apart by their place among them
-    same = W.partitionBy("doc_id", "size")
-    nth = F.row_number().over(same.orderBy("taken")).alias("nth")
-    shares = cut(mix(docs).filter("size > 0").select("doc_id", "size", copies, nth, F.count("*").over(same).alias("alike")), "mix-shares")
-    often = shares.filter("copies > 0").drop("alike")
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("mix_id"), word_count(F.col("row.text")).alias("mix_size"))
-    several = shares.filter("alike > 1").select(F.xxhash64("doc_id", "size"))
-    many, single = split_by_keys(own, F.xxhash64("mix_id", "mix_size"), several)
-    numbered = many.withColumn("mix_nth", F.row_number().over(W.partitionBy("mix_id", "mix_size").orderBy("row.text", "row.source")))
-    key = F.col("mix_id").eqNullSafe(F.col("doc_id")) & (F.col("mix_size") == F.col("size"))
-    taken = [numbered.join(often, key & (F.col("mix_nth") == F.col("nth"))), single.join(often.filter("nth = 1"), key)]
-    joined = reduce(DataFrame.unionByName, [part.select("row", "copies") for part in taken])
-    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+    # rows of one source, id and size are told apart by their place among them
+    nth = F.row_number().over(W.partitionBy("place", "doc_id", "size").orderBy("taken")).alias("nth")
+    stops = rules.filter("last_order is not null").select("place", "last_id")
+    at_stop = taken.join(stops, "place").filter(F.col("doc_id").eqNullSafe(F.col("last_id"))).select("place", "doc_id", "size", copies, nth)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    worded = docs.select(row).filter(F.col("row.text").rlike(WORD)).select("row", F.col("row.doc_id").cast("long").alias("mix_id"), F.col("row.source").cast("string").alias("mix_source"))
+    ruled = worded.join(rules, F.col("mix_source").eqNullSafe(rules["source"]))
+    stopped = F.col("last_order").isNotNull() & F.col("mix_id").eqNullSafe(F.col("last_id"))
+    before = F.coalesce(shuffled_order(F.col("mix_id")) < F.col("last_order"), F.lit(False))
+    clear = ruled.filter(~stopped).select("row", (F.col("base") + before.cast("long")).alias("copies"))
+    edge = ruled.filter(stopped).select("row", "place", F.col("mix_id").alias("doc_id"), word_count(F.col("row.text")).alias("size"))
+    edge = edge.withColumn("nth", F.row_number().over(W.partitionBy("place", "doc_id", "size").orderBy("row.text"))).alias("e")
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("place", "doc_id", "size", "nth")]
+    edge = edge.join(at_stop.alias("s"), reduce(Column.__and__, same)).select("row", "copies")
+    often = clear.unionByName(edge).filter("copies > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
