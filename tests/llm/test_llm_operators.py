@@ -726,18 +726,37 @@ def brute_scan(files):
                 out[i] = best
         return out
 
-    heads, wholes, is_file = {}, {}, {}
+    says = f"{licenses.SPEAKS}|{licenses.GRANTS}"
+
+    def spoken(text):
+        lines = [x for x in text.split("\n") if re.search(says, x.lower())]
+        return "\n".join(s for x in lines for s in regex.split(r"(?<=[.!?])\s+(?=\p{Lu})", x) if re.search(says, s.lower()))
+
+    def joined(text):
+        lines = []
+        for line in text.split("\n"):
+            line = re.sub(r"^[ \t]*(//+|/\*+|\*+(?!/)|#+|--+|;+|%+|<!--|\"{3}|'{3})!?[ \t]*", "", re.sub(r"((?<!\*)\*+/|-->)[ \t]*$", "", line))
+            if lines and line and not line[0].isspace() and len(lines[-1][1].rstrip(" \t")) > 40 and lines[-1][1].rstrip(" \t")[-1] not in ".!?:;":
+                lines[-1] = (f"{lines[-1][0].rstrip(' \t')} {line}", line)
+            else:
+                lines.append((line, line))
+        return "\n".join(whole for whole, _ in lines)
+
+    heads, wraps, wholes, is_file = {}, {}, {}, {}
     for i, path, text in files:
-        lines = [x for x in (text or "").split("\n") if re.search(licenses.SPEAKS, x.lower())]
-        parts = [s for x in lines for s in regex.split(r"(?<=[.!?])\s+(?=\p{Lu})", x) if re.search(f"{licenses.SPEAKS}|{licenses.GRANTS}", s.lower())]
-        speaks = bool(lines)
-        heads[i] = "\n".join(parts) if speaks else None
+        speaks = re.search(licenses.SPEAKS, (text or "").lower()) is not None
+        heads[i] = spoken(text) if speaks else None
+        wraps[i] = spoken(joined(text)) if speaks else None
+        wraps[i] = None if wraps[i] == heads[i] else wraps[i]
         wholes[i] = text if speaks else None
         name = (path or "").split("/")[-1]
         named = re.match(r"(?i)(un)?(licen[cs]e|copying|copyright|notice)s?([._-].*)?$", name)
         mostly = not re.match(r"[^.].*\.[A-Za-z][^.]*$", name) and len((heads[i] or "").split()) >= 0.5 * len((text or "").split())
         is_file[i] = speaks and bool(named or mostly)
-    notices, full = closest(heads, licenses.TEMPLATES, 0.6), closest(wholes, licenses.full_texts(), 0.8)
+    listed, texts = licenses.notices(), licenses.full_texts()
+    short = [(name, spoken(joined(text))) for name, text in texts if len(text) <= 2000]
+    by_line, by_paragraph, full = closest(heads, listed, 0.6), closest(wraps, listed + short, 0.6), closest(wholes, texts, 0.8)
+    notices = {i: max(x[i] for x in (by_line, by_paragraph) if i in x) for i in by_line | by_paragraph}
     own = {i: full.get(i) or notices.get(i) for i, _, _ in files}
     speakers = {}
     for i, path, _ in files:
