@@ -19,7 +19,6 @@ PART_ROWS, FEWEST_PARTS, MOST_PARTS = 1_000_000, 8, 10_000
 FEW_VALUES = 10_000
 #: Approximate quantiles are off by one of so many parts of the rows; a piece of a column is divided at so many quantiles.
 ACCURACY, GRID = 50_000, 500
-_WIDTH_BITS = 14
 
 
 def parts_for(rows: int) -> int:
@@ -40,12 +39,11 @@ def with_part(frame: DataFrame, key: str, parts: int | None = None) -> DataFrame
     bounds = sorted(set(found or []))
     if not bounds:
         return frame.withColumn("part", F.lit(0))
-    held = F.array(*map(F.lit, bounds))
-    part = F.lit(0)
-    for bit in reversed(range(min(_WIDTH_BITS, len(bounds).bit_length()))):
-        ahead = part + (1 << bit)
-        fits = (ahead <= len(bounds)) & (F.element_at(held, F.least(ahead, F.lit(len(bounds))).cast("int")) < F.col(key))
-        part = F.when(fits, ahead).otherwise(part)
+    held, last = F.array(*map(F.lit, bounds)), F.lit(len(bounds))
+    fits = lambda ahead: (ahead <= last) & (F.element_at(held, F.least(ahead, last)) < F.col(key))
+    # a fold over the steps, as each step written out would hold the one before it several times
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(bounds).bit_length()))])
+    part = F.aggregate(steps, F.lit(0), lambda part, step: F.when(fits(part + step), part + step).otherwise(part))
     return frame.withColumn("part", part)
 
 
