@@ -51,8 +51,8 @@ def link_pairs(fact: DataFrame, src: list[str], dst: list[str]) -> DataFrame:
     return fact.select("t", F.inline(arms)).filter("src is not null and dst is not null")
 
 
-def cooccurrence(pairs: DataFrame, topk: int = 32, most_links: int = 500) -> DataFrame:
-    """`item, other, weight`: sources that link to both, the topk others of each item.
+def cooccurrence(pairs: DataFrame, topk: int = 32, most_links: int = 500, items: DataFrame | None = None) -> DataFrame:
+    """`item, other, weight`: sources that link to both, the topk others of each item, or only of those in `items`.
 
     Sources with over `most_links` links, repeats counted, say nothing of
     likeness and are left out, which also bounds the self join per source.
@@ -60,7 +60,10 @@ def cooccurrence(pairs: DataFrame, topk: int = 32, most_links: int = 500) -> Dat
     links = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
     sizes = links.groupBy("src").agg(F.sum("n").alias("links")).filter(F.col("links") <= most_links)
     kept = links.join(sizes, "src").select("src", "dst")
-    both = kept.select("src", F.col("dst").alias("item")).join(kept.select("src", F.col("dst").alias("other")), "src").filter("item <> other")
+    asked = kept.select("src", F.col("dst").alias("item"))
+    if items is not None:
+        asked = asked.join(items.select("item").distinct(), "item", "left_semi")
+    both = asked.join(kept.select("src", F.col("dst").alias("other")), "src").filter("item <> other")
     weights = both.groupBy("item", "other").agg(F.count("*").alias("weight"))
     place = F.row_number().over(W.partitionBy("item").orderBy(F.desc("weight"), "other"))
     return weights.withColumn("place", place).filter(F.col("place") <= topk).drop("place")

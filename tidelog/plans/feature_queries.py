@@ -220,9 +220,9 @@ def c3_link_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.link_pairs(lines, ["l_orderkey"], ["l_partkey", "l_suppkey"])
 
 
-def _cooc(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
+def _cooc(spark: SparkSession, sf: str, cutoff: int = CUT, items: DataFrame | None = None) -> DataFrame:
     lines = events.before(SHOP, read_database(spark, sf, SHOP), cutoff)["lineitem"]
-    return pairs.cooccurrence(pairs.link_pairs(lines, ["l_orderkey"], ["l_partkey"]))
+    return pairs.cooccurrence(pairs.link_pairs(lines, ["l_orderkey"], ["l_partkey"]), items=items)
 
 
 COOC = f"""lk AS (SELECT l_orderkey AS src, l_partkey AS dst, count(*) AS n FROM l WHERE t <= {CUT} GROUP BY ALL), kept AS (SELECT src, dst FROM lk WHERE src IN (SELECT src FROM lk GROUP BY 1 HAVING sum(n) <= 500)),

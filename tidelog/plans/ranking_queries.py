@@ -12,6 +12,7 @@ from tidelog.plans import feature_queries as fq
 from tidelog.plans import target_queries as tq
 from tidelog.plans.feature_queries import COOC, CUT, PRIOR, SCORE, D, rounded
 from tidelog.plans.registry import EV, L, O, query
+from tidelog.sources.sinks import written
 from tidelog.sources.tables import read_database, read_table
 from tidelog.spec import SHOP
 
@@ -48,7 +49,9 @@ def n1_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
-    return pairs.cooc_score(fq._prior(spark, sf, cutoff), fq._cooc(spark, sf, cutoff))
+    """Scores by co-occurrence, which is counted for the prior items only."""
+    prior = written(fq._prior(spark, sf, cutoff), "prior")
+    return pairs.cooc_score(prior, fq._cooc(spark, sf, cutoff, prior))
 
 
 SHARES = "sh AS (SELECT query_id, candidate, score / sum(score) OVER (PARTITION BY query_id) AS share FROM sc)"
@@ -167,7 +170,7 @@ def l4_retrieve_skewed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _linear(spark: SparkSession, sf: str, cutoff: int = CUT, k: int = 20) -> DataFrame:
-    activity = fq._activity(spark, sf, cutoff)
+    activity = fq._activity(spark, sf, cutoff).filter(F.col("cutoff") == cutoff)
     dense = activity.select("cutoff", F.col("entity_id").alias("candidate"), (0.1 * F.col("total") + 0.3 * F.col("recent") + 0.2 * F.col("trend") + 0.5 * F.col("staleness")).alias("dense"))
     sparse = _scores(spark, sf, cutoff).select("query_id", "candidate", (0.8 * F.log1p("score") - 0.7).alias("sparse"))
     queries = _suppliers(spark, sf).withColumn("cutoff", F.lit(cutoff).cast("long"))
