@@ -79,3 +79,25 @@ def test_cooccurrence_of_some_items_is_that_of_all(spark):
     some = spark.createDataFrame([(i,) for i in (2, 5, 5, 99)], "item long")
     rows = lambda f: sorted(tuple(r) for r in f.collect())
     assert rows(pairs.cooccurrence(links, 4, items=some)) == rows(pairs.cooccurrence(links, 4).filter("item in (2, 5, 99)"))
+
+
+def test_combinations_are_fitted_together_and_to_the_end(spark):
+    from tidelog.operators import probe
+
+    x = lambda a, b: F.sin(F.col("id") * a) * b
+    frame = spark.range(400).select("id", x(1.7, 3.0).alias("p"), (x(0.3, 0.2) + 5).alias("q"), F.lit(2.0).alias("same"), (F.col("id") % 2 * 1.0).alias("r"), ((x(1.7, 1.0) + x(0.3, 0.5) + x(9.1, 1.2) > 0.4)).cast("double").alias("label")).persist()
+    names = ["p", "q", "same", "r"]
+    spark.sparkContext.setJobGroup("refit", "refit")
+    best, found = probe.refit_combination(frame, names, "label", "id", grid=(0.01, 0.1), folds=3)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("refit")) < 80
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    dealt = probe.balanced(probe.stratified_folds(frame, "id", "label", 3, 1), "label")
+    errors = {c: probe.cross_validated(dealt, "label", 3, lambda part, c=c: probe.logistic(names, "label", c, 400).fit(part)) for c in (0.01, 0.1)}
+    assert best == max(errors, key=lambda c: (errors[c], -c))
+    pipeline = probe.logistic(names, "label", best, 400)
+    pipeline.getStages()[-1].setTol(1e-13)
+    expected = probe.raw_coefficients(pipeline.fit(dealt), names)
+    assert found["same"] == expected["same"] == 0
+    assert all(abs(found[n] - expected[n]) < 1e-6 for n in names), (found, expected)
+    one = probe.refit_combination(frame.withColumn("label", F.lit(1.0)), names, "label", "id", grid=(0.01, 0.1), folds=3)
+    assert one == (0.01, dict.fromkeys(names, 0.0))

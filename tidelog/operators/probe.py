@@ -7,7 +7,9 @@ as of a later time, so that no score is of rows that were fitted on.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -18,8 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.ranges import exact_quantile
+from tidelog.operators.logits import fit_logistic
 from tidelog.operators.metrics import auroc
 from tidelog.operators.robust import linear_l1
+from tidelog.sources.sinks import written
 
 #: Grids of the published readouts, as inverse regularisation.
 COMBINATION_C = (0.01, 0.1, 1.0, 10.0)
@@ -78,14 +82,55 @@ def cross_validated(frame: DataFrame, label: str, folds: int, fit: Callable[[Dat
 
 
 def refit_combination(frame: DataFrame, features: list[str], label: str, key: str, grid: tuple[float, ...] = COMBINATION_C, folds: int = 3) -> tuple[float, dict[str, float]]:
-    """The best C of the grid and the raw coefficients fitted with it on all rows."""
-    dealt = balanced(stratified_folds(frame, key, label, folds, 1), label).persist()
-    rows = dealt.count()
-    results = {c: cross_validated(dealt, label, folds, lambda part, c=c: logistic(features, label, c, rows).fit(part)) for c in grid}
+    """The best C of the grid by the folds' mean AUROC and the raw coefficients fitted with it on all rows.
+
+    The models are those of `logistic`, where it is fitted to the end: the
+    penalty is on standardised coefficients, by the weighted deviations of the
+    rows fitted on. All of the grid and the folds, and the fits on all rows, are
+    fitted in the same passes and scored in one.
+    """
+    dealt = balanced(stratified_folds(frame, key, label, folds, 1), label)
+    plain = dealt.select(F.array(*[F.col(f).cast("double") for f in features]).alias("f"), F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("weight"), "fold")
+    held = written(plain, "fit-rows")
+    w, x = F.col("weight"), [F.col("f")[j] for j in range(len(features))]
+    bad = F.count_if(F.exists("f", lambda v: v.isNull() | F.isnan(v)) | F.col("y").isNull())
+    moments = [F.sum(w * v).alias(f"a{j}") for j, v in enumerate(x)] + [F.sum(w * v * v).alias(f"b{j}") for j, v in enumerate(x)]
+    centre = held.agg(F.count("*").alias("rows"), bad.alias("bad"), *[F.avg(v).alias(f"m{j}") for j, v in enumerate(x)], *[F.stddev_pop(v).alias(f"s{j}") for j, v in enumerate(x)]).first()
+    rows = centre["rows"]
+    if centre["bad"]:
+        raise ValueError(f"{centre['bad']} rows have a null feature or label")
+    if not rows:
+        return min(grid), dict.fromkeys(features, 0.0)
+    mean, std = (np.array([centre[f"{c}{j}"] for j in range(len(features))]) for c in "ms")
+    scale = np.where(std > 0, std, 1.0)
+    scaled = held.select(F.array(*[(v - float(m)) / float(s) for v, m, s in zip(x, mean, scale, strict=True)]).alias("f"), "y", "weight", "fold")
+    per = scaled.groupBy("fold").agg(F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * F.col("y")).alias("pos"), *moments).collect()
+
+    tried = [(c, i) for c in grid for i in (*range(folds), -1)]  # -1: all rows
+    width = len(features) + 1
+    weights, ridge, used = np.ones(len(tried)), np.zeros((len(tried), width)), np.zeros((len(tried), width), dtype=bool)
+    for m, (c, out) in enumerate(tried):
+        total = {n: sum(r[n] for r in per if r["fold"] != out) for n in per[0].asDict() if n != "fold"}
+        if not 0 < total["pos"] < total["w"]:
+            continue  # one class only: nothing tells rows apart
+        weights[m] = total["w"]
+        for j in range(len(features)):
+            spread = total[f"b{j}"] - total[f"a{j}"] ** 2 / total["w"]
+            variance = spread / max(total["w"] - total["w2"] / total["w"], 1e-300)
+            used[m, j] = std[j] > 0 and spread > 1e-12 * max(total[f"b{j}"], 1e-300)
+            ridge[m, j] = variance / (c * rows) if used[m, j] else 0.0
+        used[m, -1] = True
+    beta = fit_logistic(scaled.select(F.concat("f", F.array(F.lit(1.0), "y")).alias("x"), "weight", "fold"), weights, ridge, used, np.array([i for _, i in tried]))
+    at = {model: beta[m] for m, model in enumerate(tried)}
+
+    line = lambda b: sum((F.lit(float(v)) * F.col("f")[j] for j, v in enumerate(b[:-1])), F.lit(float(b[-1])))
+    own = lambda c: reduce(lambda a, i: a.when(F.col("fold") == i, line(at[c, i])), range(1, folds), F.when(F.col("fold") == 0, line(at[c, 0])))
+    arms = F.array(*[F.struct(F.lit(n).alias("nth"), own(c).alias("pred")) for n, c in enumerate(grid)])
+    by_fold = auroc(scaled.select("y", "fold", F.inline(arms)), "nth", "fold").filter("auroc is not null")
+    means = {r["nth"]: r["v"] for r in by_fold.groupBy("nth").agg(F.avg("auroc").alias("v")).collect()}
+    results = {c: means.get(n, 0.5) for n, c in enumerate(grid)}
     best = max(grid, key=lambda c: (results[c], -c))
-    model = logistic(features, label, best, rows).fit(dealt)
-    dealt.unpersist()
-    return best, raw_coefficients(model, features)
+    return best, {f: float(at[best, -1][j] / scale[j]) for j, f in enumerate(features)}
 
 
 def auto_pool(known: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, folds: int = 3) -> tuple[str, DataFrame, dict[str, float], dict[str, str]]:
