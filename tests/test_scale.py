@@ -101,3 +101,36 @@ def test_combinations_are_fitted_together_and_to_the_end(spark):
     assert all(abs(found[n] - expected[n]) < 1e-6 for n in names), (found, expected)
     one = probe.refit_combination(frame.withColumn("label", F.lit(1.0)), names, "label", "id", grid=(0.01, 0.1), folds=3)
     assert one == (0.01, dict.fromkeys(names, 0.0))
+
+
+def test_pools_are_fitted_on_distinct_rows(spark, monkeypatch):
+    from tidelog.operators import metrics, probe
+
+    known = spark.range(900).select("id", (F.col("id") % 5 * 1.0).alias("x"), (F.col("id") % 3 * 1.0).alias("z"), ((F.col("id") % 5 + F.col("id") % 7) > 5).cast("double").alias("label"))
+    seen = []
+
+    def held(frame, label, folds, fit):
+        seen.append((frame.count(), frame.agg(F.sum("_n")).first()[0]))
+        return 0.7
+
+    monkeypatch.setattr(probe, "cross_validated", held)
+    best, result, _, failed = probe.auto_pool(known, known, ["x", "z"], "label", "id", folds=2)
+    assert seen == [(seen[0][0], 900)] * 4 and seen[0][0] <= 5 * 3 * 2 * 2 and best == "logistic" and not failed
+    counts = spark.createDataFrame([(1, 0.5, 3), (0, 0.5, 2), (0, 0.1, 4), (1, 0.9, 1)], "y int, pred double, _n long")
+    plain = counts.select("y", "pred", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("y", "pred")
+    for metric in (metrics.auroc, metrics.average_precision):
+        assert abs(metric(counts).first()[0] - metric(plain).first()[0]) < 1e-12
+
+
+def test_what_short_passes_read_is_packed_into_few_tasks(spark, monkeypatch):
+    from tidelog.operators import probe, robust
+    from tidelog.sources import sinks
+
+    assert sinks.packed(spark.range(1000).repartition(40), "x").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(sinks, "PACKED_ROWS", 300)
+    assert 2 <= sinks.packed(spark.range(1000).repartition(40), "x").rdd.getNumPartitions() <= 4
+    seen, real = [], robust._sums
+    monkeypatch.setattr(robust, "_sums", lambda rows, *more: seen.append(rows.rdd.getNumPartitions()) or real(rows, *more))
+    frame = spark.range(200).repartition(30).select("id", F.cos("id").alias("x"), (F.cos("id") * 3 + F.sin("id")).alias("target"))
+    model = robust.linear_l1(frame, ["x"], "target", "id", grid=(1.0,), folds=2)
+    assert model.coefficients["x"] > 1 and set(seen) == {1}

@@ -1,7 +1,7 @@
 """Metrics and boards.
 
-Running totals go over distinct scores, not rows; `scored` has `y, pred` and
-optionally a `weight`.
+Running totals go over distinct scores, not rows; `scored` has `y, pred`, for
+`auroc` and `average_precision` optionally `_n`, how many rows a row stands for.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tidelog.functions.ranges import exact_quantiles, running_sums
 
 def _per_score(scored: DataFrame, *by: str) -> DataFrame:
-    return scored.groupBy(*by, "pred").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
+    many = F.col("_n") if "_n" in scored.columns else F.lit(1)
+    return scored.groupBy(*by, "pred").agg(F.sum((F.col("y") == 1).cast("long") * many).alias("pos"), F.sum((F.col("y") != 1).cast("long") * many).alias("neg"))
 
 
 def _run(counts: DataFrame, *by: str) -> DataFrame:

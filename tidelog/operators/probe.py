@@ -23,7 +23,7 @@ from tidelog.functions.ranges import exact_quantile
 from tidelog.operators.logits import fit_logistic
 from tidelog.operators.metrics import auroc
 from tidelog.operators.robust import linear_l1
-from tidelog.sources.sinks import written
+from tidelog.sources.sinks import packed, written
 
 #: Grids of the published readouts, as inverse regularisation.
 COMBINATION_C = (0.01, 0.1, 1.0, 10.0)
@@ -91,7 +91,7 @@ def refit_combination(frame: DataFrame, features: list[str], label: str, key: st
     """
     dealt = balanced(stratified_folds(frame, key, label, folds, 1), label)
     plain = dealt.select(F.array(*[F.col(f).cast("double") for f in features]).alias("f"), F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("weight"), "fold")
-    held = written(plain, "fit-rows")
+    held = packed(plain, "fit-rows")
     w, x = F.col("weight"), [F.col("f")[j] for j in range(len(features))]
     bad = F.count_if(F.exists("f", lambda v: v.isNull() | F.isnan(v)) | F.col("y").isNull())
     moments = [F.sum(w * v).alias(f"a{j}") for j, v in enumerate(x)] + [F.sum(w * v * v).alias(f"b{j}") for j, v in enumerate(x)]
@@ -136,11 +136,13 @@ def refit_combination(frame: DataFrame, features: list[str], label: str, key: st
 def auto_pool(known: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, folds: int = 3) -> tuple[str, DataFrame, dict[str, float], dict[str, str]]:
     """The best of a pool by cross-validation over `known`, simplest first, ties to the earlier one.
 
-    Returns its name, its scores of `asked`, everyone's AUROC, and why those
+    Rows of a fold that are alike in features and label are fitted as one, with
+    their weights added up. Returns its name, its scores of `asked`, everyone's AUROC, and why those
     that are missing could not be fitted, which doesn't stop the others.
     """
-    dealt = balanced(stratified_folds(known, key, label, folds, 1), label).persist()
-    rows = dealt.count()
+    every = balanced(stratified_folds(known, key, label, folds, 1), label)
+    dealt = packed(every.groupBy(*features, label, "fold").agg(F.sum("weight").alias("weight"), F.count("*").alias("_n")), "pool-rows").persist()
+    rows = dealt.agg(F.sum("_n").alias("n")).first()["n"] or 0
     tree = [VectorAssembler(inputCols=features, outputCol="features")]
     boosted = lambda depth: Pipeline(stages=[*tree, GBTClassifier(labelCol=label, weightCol="weight", maxDepth=depth, maxIter=10, seed=1)])
     pool = {
@@ -180,14 +182,15 @@ def median_regression(known: DataFrame, asked: DataFrame, features: list[str], t
     known = known.filter(F.col(target).isNotNull())
     middle = exact_quantile(known, F.col(target), 0.5) or 0.0
     spread = 1.4826 * (exact_quantile(known, F.abs(F.col(target) - middle), 0.5) or 0.0) or 1.0
-    dealt = known.withColumn("_y", (F.col(target) - middle) / spread).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), key), F.lit(folds)).cast("int")).persist()
+    every = known.withColumn("_y", (F.col(target) - middle) / spread).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), key), F.lit(folds)).cast("int"))
+    dealt = packed(every.groupBy(*features, "_y", "fold").agg(F.count("*").cast("double").alias("_n")), "median-rows").persist()
     line = linear_l1(known, features, target, key, folds=folds)
     assemble = VectorAssembler(inputCols=features, outputCol="features")
-    fit = lambda part: Pipeline(stages=[assemble, GBTRegressor(labelCol="_y", lossType="absolute", maxDepth=3, maxIter=10, seed=1)]).fit(part)
+    fit = lambda part: Pipeline(stages=[assemble, GBTRegressor(labelCol="_y", weightCol="_n", lossType="absolute", maxDepth=3, maxIter=10, seed=1)]).fit(part)
     held = []
     for i in range(folds):
-        error = fit(dealt.filter(F.col("fold") != i)).transform(dealt.filter(F.col("fold") == i)).agg(F.sum(F.abs(F.col("_y") - F.col("prediction"))).alias("e"), F.count("*").alias("n")).first()
-        held.append((error["e"] or 0.0, error["n"]))
+        error = fit(dealt.filter(F.col("fold") != i)).transform(dealt.filter(F.col("fold") == i)).agg(F.sum(F.col("_n") * F.abs(F.col("_y") - F.col("prediction"))).alias("e"), F.sum("_n").alias("n")).first()
+        held.append((error["e"] or 0.0, error["n"] or 0.0))
     errors = {"constant": line.constant_error, "linear": line.error, "trees": sum(e for e, _ in held) / max(1, sum(n for _, n in held))}
     best = min(errors, key=lambda name: (round(errors[name], 9), list(errors).index(name)))
     model = fit(dealt) if best == "trees" else None

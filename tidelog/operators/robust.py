@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.ranges import exact_quantiles
-from tidelog.sources.sinks import written
+from tidelog.sources.sinks import packed
 
 #: Inverse penalties of the published readouts, and their folds.
 GRID = tuple(10 ** (-4 + 5 * i / 11) for i in range(12))
@@ -115,7 +115,7 @@ def linear_l1(known: DataFrame, features: list[str], target: str, key: str, grid
     """
     used = [F.col(f).cast("double") for f in features]
     plain = known.select(F.array(*used).alias("f"), F.col(target).cast("double").alias("y"), F.pmod(F.xxhash64(F.lit(5), key), F.lit(folds)).cast("int").alias("fold"))
-    held = written(plain.filter(~F.exists("f", lambda v: v.isNull() | F.isnan(v)) & F.col("y").isNotNull() & ~F.isnan("y")), "l1-rows")
+    held = packed(plain.filter(~F.exists("f", lambda v: v.isNull() | F.isnan(v)) & F.col("y").isNotNull() & ~F.isnan("y")), "l1-rows")
     middle = exact_quantiles(held, F.col("y"), [0.5])[0]
     if middle is None:
         return L1Model(0.0, dict.fromkeys(features, 0.0), 1.0 / min(grid), 0.0, 0.0)
