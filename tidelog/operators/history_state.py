@@ -23,6 +23,14 @@ from tidelog.operators.features import LAST_TIMES, MOST_SLOTS, MOST_WINDOWS, NEI
 from tidelog.operators.timeline import SPAN
 
 _KEYS = ["entity_id", "span"]
+#: Events and marks that a task sorts and holds states of.
+TASK_ROWS = 250_000
+
+
+def _spread(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Dealt by the keys to as many tasks as the rows ask for, where the session's number of partitions is too small."""
+    tasks = -(-rows // TASK_ROWS)
+    return frame.repartition(tasks, *keys) if tasks > int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) else frame
 
 
 def _log_days(gap: Column) -> Column:
@@ -33,14 +41,15 @@ def _log_days(gap: Column) -> Column:
 GAP_SUMS: dict[str, Callable[[Column], Column]] = {"gap_log": _log_days, "gap_square": lambda gap: _log_days(gap) * _log_days(gap)}
 
 
-def running(events: DataFrame, marks: DataFrame, sums: dict[str, Column], most: dict[str, Column] | None = None, gap_sums: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def running(events: DataFrame, marks: DataFrame, sums: dict[str, Column], most: dict[str, Column] | None = None, gap_sums: dict[str, Callable[[Column], Column]] | None = None, n_rows: int = 0) -> DataFrame:
     """Each row of `marks`, and each event, with the state of its entity's events before it.
 
     `events` has `entity_id, t`, `marks` has `entity_id, mark_t` and columns of
     its own. The result has `entity_id, at, own` (null for events), `n, first,
     last, gap` (events only), and a column per sum, maximum and sum over gaps.
     A mark's state excludes events at its own second, an event's includes
-    itself.
+    itself. `n_rows`, if known, is how many events and marks there are; the
+    tasks that sort them go with it.
     """
     most, gap_sums = most or {}, gap_sums or {}
     extra = [c for c in marks.columns if c not in ("entity_id", "mark_t")]
@@ -51,7 +60,7 @@ def running(events: DataFrame, marks: DataFrame, sums: dict[str, Column], most:
     points = marks.select("entity_id", F.col("mark_t").alias("at"), F.lit(None).cast("long").alias("own_t"), F.lit(-1).alias("kind"), F.struct(*extra).alias("own"), *empty)
     inside = W.partitionBy(*_KEYS).orderBy("at", "kind")
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = rows.unionByName(points).withColumn("span", F.floor(F.col("at") / SPAN))
+    run = _spread(rows.unionByName(points).withColumn("span", F.floor(F.col("at") / SPAN)), n_rows, *_KEYS)
     gap = F.when(F.col("own_t").isNotNull(), F.col("own_t") - F.max("own_t").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     run = run.withColumn("gap", gap)
     run = run.withColumns({n: g(F.col("gap")) for n, g in gap_sums.items()})
@@ -60,7 +69,7 @@ def running(events: DataFrame, marks: DataFrame, sums: dict[str, Column], most:
     # per span: what it adds, and the gap from the event before it to its first
     per = run.groupBy(*_KEYS).agg(F.count("own_t").alias("s_n"), F.min("own_t").alias("s_first"), F.max("own_t").alias("s_last"), *[F.sum(n).alias(f"s_{n}") for n in added], *[F.max(n).alias(f"s_{n}") for n in most])
     spans = W.partitionBy("entity_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
-    linked = per.withColumns({"b_last": F.max("s_last").over(spans), "b_first": F.min("s_first").over(spans)}).withColumn("between", F.col("s_first") - F.col("b_last"))
+    linked = _spread(per, n_rows, "entity_id").withColumns({"b_last": F.max("s_last").over(spans), "b_first": F.min("s_first").over(spans)}).withColumn("between", F.col("s_first") - F.col("b_last"))
     whole = linked.withColumns({f"s_{n}": F.coalesce(F.col(f"s_{n}"), F.lit(0.0)) + F.coalesce(g(F.col("between")), F.lit(0.0)) for n, g in gap_sums.items()})
     before = {"b_n": F.coalesce(F.sum("s_n").over(spans), F.lit(0))} | {f"b_{n}": F.sum(f"s_{n}").over(spans) for n in added} | {f"b_{n}": F.max(f"s_{n}").over(spans) for n in most}
     starts = whole.withColumns(before).select(*_KEYS, "b_last", "b_first", "between", *before)
@@ -102,18 +111,19 @@ def past_states(queries: DataFrame, history: DataFrame, tables: dict[str, int],
     sums |= {f"v_{c}_{k}": one(F.col(c) == v) for c, values in categories.items() for k, v in enumerate(values)}
     sums |= {f"wd_{d}": one(weekday(F.col("t")) == d) for d in range(7)}
     most = {f"l_{n}": F.when(F.col("table_idx") == i, F.col("t")) for n, i in tables.items()}
-    states = running(history, marks, sums, most, GAP_SUMS)
+    n_events, n_marks = history.count(), (MOST_WINDOWS + 1) * queries.count()
+    states = running(history, marks, sums, most, GAP_SUMS, n_events + n_marks)
 
     at = lambda i, c: F.max(F.when(F.col("own.i") == i, F.col(c)))
     read = [at(i, "n").alias(f"n_{i}") for i in range(MOST_WINDOWS + 1)]
     read += [at(i, c).alias(f"{c}_{i}") for c in sums if not c.startswith("wd_") for i in (0, 1)]
     read += [at(0, c).alias(c) for c in ("first", "last", *most, *GAP_SUMS, *(f"wd_{d}" for d in range(7)))]
-    asked = states.filter("own is not null")
-    wide = asked.groupBy(F.col("own.query_id").alias("query_id"), "entity_id", F.col("own.t_q").alias("t_q"), F.col("own.horizon_s").alias("horizon_s")).agg(*read)
-    return wide.join(_median_gaps(states, wide.select("query_id", "entity_id", F.col("n_0").alias("n"))), "query_id", "left")
+    points = states.filter("own is not null").withColumns({c: F.col(f"own.{c}") for c in ("query_id", "t_q", "horizon_s")})
+    wide = _spread(points, n_marks, "query_id").groupBy("query_id", "entity_id", "t_q", "horizon_s").agg(*read)
+    return wide.join(_median_gaps(states, wide.select("query_id", "entity_id", F.col("n_0").alias("n")), n_events), "query_id", "left")
 
 
-def _median_gaps(states: DataFrame, asked: DataFrame) -> DataFrame:
+def _median_gaps(states: DataFrame, asked: DataFrame, n_events: int) -> DataFrame:
     """`query_id, gap`: the median of the gaps between the last LAST_TIMES events of the first n of an entity.
 
     Events are numbered by their state and dealt into blocks of LAST_TIMES, one
@@ -121,7 +131,7 @@ def _median_gaps(states: DataFrame, asked: DataFrame) -> DataFrame:
     one before.
     """
     numbered = states.filter("own is null and gap is not null").select("entity_id", F.floor(F.col("n") / LAST_TIMES).alias("block"), F.struct("n", "gap").alias("g"))
-    blocks = numbered.groupBy("entity_id", "block").agg(F.collect_list("g").alias("gs"))
+    blocks = _spread(numbered, n_events, "entity_id", "block").groupBy("entity_id", "block").agg(F.collect_list("g").alias("gs"))
     last = F.floor(F.col("n") / LAST_TIMES)
     wanted = asked.filter("n > 1").withColumn("block", F.explode(F.array_distinct(F.array(F.greatest(last - 1, F.lit(0).cast("long")), last))))
     met = wanted.join(blocks, ["entity_id", "block"]).withColumn("g", F.expr(f"transform(filter(gs, g -> g.n <= n and g.n > n - {LAST_TIMES - 1}), g -> g.gap)"))
