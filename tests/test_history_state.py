@@ -96,3 +96,19 @@ def test_no_query_meets_its_past(spark):
     plan = states._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and all("query_id" in j or "span" in j or "block" in j for j in joins)
+
+
+def test_links_are_numbered_once_and_only_asked_neighbours_are_followed(spark):
+    """A pair has a row per query time, not per link, and other neighbours' histories aren't sorted."""
+    links = spark.createDataFrame([(1, 10 * i, i, n) for i in range(300) for n in (1, 2)], "entity_id long, t long, row_key long, neighbour_id long")
+    marks = spark.createDataFrame([(1, 1500), (1, SPAN + 5), (1, 5), (2, 7)], "entity_id long, mark_t long")
+    got = {tuple(r) for r in history_state.pair_counts(links, marks).collect()}
+    # 1500 is excluded at 1500; what lies in a span without marks belongs to a later span's
+    want = {(1, n, 5, 1, 0, 1) for n in (1, 2)} | {(1, n, 1500, 149, 1490, 150) for n in (1, 2)} | {(1, n, SPAN + 5, 150, 2990, 300) for n in (1, 2)}
+    assert got == want
+    early = links.withColumn("t", F.col("t") - 5 * SPAN)
+    assert {tuple(r) for r in history_state.pair_counts(early, marks).collect()} == {(1, n, 5, 300, 2990 - 5 * SPAN, 300) for n in (1, 2)}
+    queries = spark.createDataFrame([(1, 1, 1500)], "query_id long, entity_id long, t_q long")
+    history = spark.range(1000).selectExpr("id AS neighbour_id", "id AS t", "0 AS table_idx")
+    plan = history_state.neighbour_features(queries, links, history, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

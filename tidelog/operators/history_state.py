@@ -10,10 +10,10 @@ ones, and the few last neighbours are carried from span to span.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.exprs import DAY, weekday
 from tidelog.operators.features import LAST_TIMES, MOST_SLOTS, MOST_WINDOWS, NEIGHBOURS, days_since
 from tidelog.operators.timeline import SPAN
+from tidelog.sources.sinks import written
 
 _KEYS = ["entity_id", "span"]
 #: Events and marks that a task sorts and holds states of.
@@ -190,14 +191,34 @@ def gap_globals(states: DataFrame) -> DataFrame:
 # neighbours -------------------------------------------------------------------------------------------------------
 
 
-def pair_ordinals(links: DataFrame) -> DataFrame:
-    """Adds `nth`: the how manieth event of its entity with its neighbour an event is. Spans are counted first, rows inside each after."""
-    timed = links.withColumn("span", F.floor(F.col("t") / SPAN))
-    pair = ["entity_id", "neighbour_id"]
-    counts = timed.groupBy(*pair, "span").agg(F.count("*").alias("c"))
-    starts = counts.withColumn("start", F.coalesce(F.sum("c").over(W.partitionBy(*pair).orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    inside = timed.withColumn("i", F.row_number().over(W.partitionBy(*pair, "span").orderBy("t", "row_key")))
-    return inside.join(starts, [*pair, "span"]).select("entity_id", "neighbour_id", "t", (F.col("start") + F.col("i")).alias("nth"))
+def _until(links: DataFrame, marks: DataFrame) -> DataFrame:
+    """Links with `until`, the first of their entity's `mark_t` after them; those after the last one are left out.
+
+    Where no mark falls into a link's span, it is the first one of a later span,
+    of which an entity has a list; only spans with marks are sorted with them.
+    """
+    span = F.floor(F.col("t") / SPAN)
+    placed = marks.select("entity_id", "mark_t").distinct().withColumn("span", F.floor(F.col("mark_t") / SPAN))
+    firsts = placed.groupBy(*_KEYS).agg(F.min("mark_t").alias("first")).groupBy("entity_id").agg(F.collect_list(F.struct("span", "first")).alias("firsts"))
+    later = F.array_min(F.expr("transform(filter(firsts, f -> f.span > span), f -> f.first)"))
+    met = links.withColumn("span", span).join(firsts, "entity_id").withColumns({"later": later, "here": F.expr("exists(firsts, f -> f.span = span)")}).drop("firsts")
+    # times fall, and links come before the marks of their own second, which exclude them
+    both = met.filter("here").withColumn("mark_t", F.lit(None).cast("long")).unionByName(placed.withColumn("t", F.col("mark_t")), True)
+    falling = W.partitionBy(*_KEYS).orderBy(F.desc("t"), F.col("mark_t").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = both.withColumn("until", F.coalesce(F.min("mark_t").over(falling), "later")).filter("here")
+    far = met.filter("not here").withColumn("until", F.col("later"))
+    return far.unionByName(near.drop("mark_t")).filter("until is not null").select(*links.columns, "until")
+
+
+def pair_counts(links: DataFrame, marks: DataFrame) -> DataFrame:
+    """`entity_id, neighbour_id, until, c, t, nth`: a pair's links between two marks of its entity, `until` the second.
+
+    c counts them, t is the last one's time, and nth counts the pair's links up
+    to there. Nothing else of the links is needed at the marks.
+    """
+    counts = _until(links.select("entity_id", "neighbour_id", "t"), marks).groupBy("entity_id", "neighbour_id", "until").agg(F.count("*").alias("c"), F.max("t").alias("t"))
+    so_far = W.partitionBy("entity_id", "neighbour_id").orderBy("until").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return counts.withColumn("nth", F.sum("c").over(so_far))
 
 
 def _latest(held: list[tuple[int, int]], more: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -208,18 +229,22 @@ def _latest(held: list[tuple[int, int]], more: Iterable[tuple[int, int]]) -> lis
     return sorted((t, nb) for nb, t in seen.items())[:NEIGHBOURS]
 
 
-def _picked(rows: pd.DataFrame) -> pd.DataFrame:
-    """`query_id, t_q, neighbour_id` for each mark of one entity and span; the row of kind -2 has what earlier spans left."""
-    out: list[tuple] = []
-    held: list[tuple[int, int]] = []
-    for at, kind, neighbour, query, carried in rows.sort_values(["at", "kind"])[["at", "kind", "neighbour_id", "query_id", "carried"]].itertuples(index=False):
-        if kind == 0:
-            held = _latest(held, [(-int(at), int(neighbour))])
-        elif kind == -2:
-            held = _latest([], [(-int(c["t"]), int(c["nb"])) for c in carried])
-        else:
-            out += [(query, at, nb) for _, nb in held]
-    return pd.DataFrame(out, columns=["query_id", "t_q", "neighbour_id"])
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`query_id, t_q, neighbour_id` for each mark of rows in order; the row of kind -2 has what earlier spans left."""
+    now, held = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for entity, span, at, kind, neighbour, query, carried in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (entity, span) != now:
+                now, held = (entity, span), []
+            if kind == 0:
+                held = _latest(held, [(-at, neighbour)])
+            elif kind == -2:
+                held = _latest([], [(-c["t"], c["nb"]) for c in carried])
+            else:
+                out += [(query, at, nb) for _, nb in held]
+        queries, times, neighbours = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(queries, batch.schema.field("query_id").type), pa.array(times, pa.int64()), pa.array(neighbours, pa.int64())], ["query_id", "t_q", "neighbour_id"])
 
 
 def recent_neighbours(queries: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,27 +265,36 @@ def recent_neighbours(queries: DataFrame, links: DataFrame) -> DataFrame:
     shaped = carried.unionByName(timed.withColumn("kind", F.lit(0)), True).unionByName(marks.withColumn("kind", F.lit(-1)), True)
     kinds = {f.name: f.dataType.simpleString() for f in shaped.schema}
     # only spans that a query falls into are walked through
-    return shaped.join(asked, _KEYS, "left_semi").groupBy(*_KEYS).applyInPandas(_picked, f"query_id {kinds['query_id']}, t_q long, neighbour_id long")
+    walked = shaped.join(asked, _KEYS, "left_semi").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "at", "kind")
+    return walked.select(*_KEYS, "at", "kind", "neighbour_id", "query_id", "carried").mapInArrow(_picked, f"query_id {kinds['query_id']}, t_q long, neighbour_id long")
 
 
 def neighbour_features(queries: DataFrame, links: DataFrame, neighbour_history: DataFrame, same: int) -> DataFrame:
     """As `features.neighbour_features`, for `links` of `entity_id, t, row_key, neighbour_id`; null neighbours don't count.
 
-    Different neighbours are events that are the first of their pair, the top
-    one's count the highest number of an event in its pair: running sums and
-    maxima. The last neighbours' ids, with their query's time, are marks among
-    the neighbours' own events, so no neighbour's history meets a query.
+    Links are counted per pair and query time first, so what is summed up along
+    an entity's query times has a row for each of them: different neighbours are
+    pairs that begin there, the top one's count is the highest of a pair. The
+    last neighbours' ids, with their query's time, are marks among the
+    neighbours' own events, so no neighbour's history meets a query.
     """
-    known = links.filter("neighbour_id is not null")
-    numbered = pair_ordinals(known.withColumn("neighbour_id", F.col("neighbour_id").cast("long")))
-    marks = queries.select("entity_id", F.col("t_q").alias("mark_t"), "query_id")
+    known = links.filter("neighbour_id is not null").withColumn("neighbour_id", F.col("neighbour_id").cast("long"))
+    marks = queries.select("entity_id", F.col("t_q").cast("long").alias("mark_t"), "query_id")
+    pairs = written(pair_counts(known, marks), "neighbour-pairs")
     latest = F.struct("t", (-F.col("neighbour_id")).alias("nb"), "nth")
-    own = running(numbered, marks, {"different": F.when(F.col("nth") == 1, 1).otherwise(0).cast("long")}, {"top": F.col("nth"), "latest": latest}).filter("own is not null")
-    mine = own.select(F.col("own.query_id").alias("query_id"), F.log1p("different").alias("nb_distinct"), F.try_divide(F.col("top").cast("double"), F.col("n")).alias("nb_top_share"), F.log1p(F.col("latest.nth")).alias("nb_with_last"))
-
-    picked = recent_neighbours(queries, numbered)
+    began = F.when(F.col("nth") == F.col("c"), 1).otherwise(0).cast("long")
+    each = pairs.groupBy("entity_id", "until").agg(F.sum("c").alias("links"), F.sum(began).alias("different"), F.max("nth").alias("top"), F.max(latest).alias("latest"))
+    # what lies before a mark counts as a second before it
+    added = each.withColumn("t", F.col("until") - 1)
+    own = running(added, marks, {c: F.col(c) for c in ("links", "different")}, {c: F.col(c) for c in ("top", "latest")}).filter("own is not null")
+    mine = own.select(F.col("own.query_id").alias("query_id"), F.log1p("different").alias("nb_distinct"), F.try_divide(F.col("top").cast("double"), F.col("links")).alias("nb_top_share"), F.log1p(F.col("latest.nth")).alias("nb_with_last"))
+
+    # no other pair can be among the last ones at this mark or a later one
+    place = F.row_number().over(W.partitionBy("entity_id", "until").orderBy(F.desc("t"), "neighbour_id"))
+    last = pairs.select("entity_id", "neighbour_id", "until", "t").withColumn("place", place).filter(F.col("place") <= NEIGHBOURS)
+    picked = written(recent_neighbours(queries, last), "neighbour-picked")
     theirs_at = picked.select(F.col("neighbour_id").alias("entity_id"), F.col("t_q").alias("mark_t"), "query_id")
-    history = neighbour_history.select(F.col("neighbour_id").cast("long").alias("entity_id"), "t", "table_idx")
+    history = neighbour_history.select(F.col("neighbour_id").cast("long").alias("entity_id"), "t", "table_idx").join(theirs_at.select("entity_id").distinct(), "entity_id", "left_semi")
     seen = running(history, theirs_at, {"alike": F.when(F.col("table_idx") == same, 1).otherwise(0).cast("long")}).filter("own is not null")
     since = F.coalesce((F.col("at") - F.col("last")) / DAY, F.lit(0.0))
     theirs = seen.groupBy(F.col("own.query_id").alias("query_id")).agg(F.avg(F.log1p("n")).alias("nb_events"), F.avg(F.log1p("alike")).alias("nb_alike"), F.avg(F.log1p(since)).alias("nb_since"))
