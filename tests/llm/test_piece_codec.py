@@ -103,3 +103,15 @@ def test_a_vocabulary_that_neighbours_do_not_settle_is_refused(monkeypatch, tmp_
     monkeypatch.setattr(piece_codec, "merge", lambda symbols, ranks: symbols)
     with pytest.raises(ValueError):
         piece_codec.checked(FILE)
+
+
+def test_stretches_are_remembered_over_tasks_in_two_generations(library, monkeypatch):
+    monkeypatch.setattr(piece_codec, "REMEMBERED", 5)
+    own, walked = piece_codec.PieceCoder(FILE), []
+    walk = own.stretch
+    monkeypatch.setattr(own, "stretch", lambda part: walked.append(part) or walk(part))
+    for i in range(40):
+        text = f"qzxv {i}wq {i}vk"
+        assert own.encode(text) == library.encode(text, add_eos=True)
+        assert len(own.known) <= 5 and len(own.older) <= 5
+    assert len(walked) == 81  # the stretch that each text has is walked once, the others come once

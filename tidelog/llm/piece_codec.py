@@ -23,12 +23,13 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import token_counts
-from tidelog.llm.common import in_slices, keyed_text, table
+from tidelog.llm.common import in_slices, keyed_text, lean, table
 from tidelog.llm.merging import merge
 from tidelog.llm.token_counts import MARK
 
-#: So many different stretches, and pairs of pieces, are remembered in each task.
-REMEMBERED = 500_000
+#: So many different stretches, and pairs of pieces, are remembered in a worker, over all its tasks; stretches
+#: twice, as those of the time before are kept until as many others have come.
+REMEMBERED = 600_000
 
 codecs.register_error("one_mark_a_byte", lambda wrong: ("�", wrong.start + 1))
 
@@ -57,7 +58,8 @@ class PieceCoder:
         stop = "" if any("\n" in p for p in self.ids if len(p) > 1) else "\n"
         # no merge crosses a mark that follows another character, nor such a line break: those cut a text
         self.stretches = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + ("|\n+" if stop else ""))
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def compatible(self, left: str, right: str) -> bool:
@@ -109,18 +111,22 @@ class PieceCoder:
             out += [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
         return out
 
+    def recalled(self, part: str) -> tuple[int, ...]:
+        """The ids of a stretch that `known` lacks; short ones are remembered, and those asked for again outlive the others."""
+        ids = self.older.get(part)
+        if ids is None:
+            ids = tuple(self.stretch(part))
+        if len(part) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[part] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text and the end id."""
         out: list[int] = []
         for part in self.stretches.findall(MARK + text.replace(" ", MARK)) if text else []:
-            ids = self.known.get(part)
-            if ids is None:
-                ids = self.stretch(part)
-                if len(part) <= 64:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[part] = ids
-            out += ids
+            out += self.known.get(part) or self.recalled(part)
         return [*out, self.end]
 
     def decode(self, ids: list[int]) -> str:
@@ -140,11 +146,6 @@ class PieceCoder:
         text = "".join(out)
         return (text if first in self.raw else text.removeprefix(MARK)).replace(MARK, " ")
 
-    def forget(self) -> None:
-        """Give back what is remembered; a worker lives on after its task."""
-        self.known.clear()
-        self.pairs.clear()
-
 
 @functools.lru_cache(maxsize=2)
 def checked(model_file: str) -> str:
@@ -192,9 +193,8 @@ def encode_and_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", te
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
             decoded = [codec.decode(i) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
-        codec.forget()
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "id long, ids array<int>, decoded string")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), "id long, ids array<int>, decoded string")
 
 
 def op12_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
