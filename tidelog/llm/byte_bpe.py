@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import in_slices, keyed_text, lean, table
+from tidelog.llm.common import in_slices, in_small_batches, keyed_text, lean, table
 from tidelog.llm.merging import merge
 
 #: So many different matches of the pattern, and pairs of tokens, are remembered in each task.
@@ -150,7 +150,7 @@ def encode_texts(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
         tree.forget()
 
-    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), "id long, ids binary")
+    return in_small_batches(keyed_text(df, id_col, text_col)).mapInArrow(lean(run), "id long, ids binary")
 
 
 def decode_ids(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -162,7 +162,7 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             decoded = [tree.decode(np.frombuffer(p or b"", dtype="<u4").tolist()) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
-    return df.select("id", "ids").mapInArrow(lean(run), "id long, ids binary, decoded binary")
+    return in_small_batches(df.select("id", "ids")).mapInArrow(lean(run), "id long, ids binary, decoded binary")
 
 
 def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +177,7 @@ def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
         tree.forget()
 
-    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), "id long, ids binary, decoded binary")
+    return in_small_batches(keyed_text(df, id_col, text_col)).mapInArrow(lean(run), "id long, ids binary, decoded binary")
 
 
 def digest_round_trip(df: DataFrame) -> DataFrame:

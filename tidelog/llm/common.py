@@ -55,6 +55,22 @@ def in_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> It
     pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
+#: What limits the bytes that Spark hands to a Python task at once; by itself Spark goes by rows, 10,000 of any length.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, in a session that hands its rows to Python tasks in batches of about SLICE_BYTES.
+
+    A batch is held by the executor and by the Python worker. The limit only
+    deals the same rows out differently; one that the session already has stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) is None:
+        conf.set(BATCH_LIMIT, str(SLICE_BYTES))
+    return df
+
+
 @functools.cache
 def _trim() -> Callable[[int], int] | None:
     """The C library's own way to give back free memory, where it has one."""

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import FILTER_BITS, WORD, bitmap, cut, in_slices, keyed_text, lean, split_by_keys, table
+from tidelog.llm.common import FILTER_BITS, WORD, bitmap, cut, in_slices, in_small_batches, keyed_text, lean, split_by_keys, table
 from tidelog.llm.components import components
 
 WORDS = 5
@@ -281,7 +281,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if held:
             yield common()
 
-    return _hashed(df, id_col, text_col).select("id", "text", "text_hash").mapInArrow(lean(run), SETS)
+    return in_small_batches(_hashed(df, id_col, text_col).select("id", "text", "text_hash")).mapInArrow(lean(run), SETS)
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -328,7 +328,7 @@ def prefixes(df: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str =
                         ["key", "apart", "node"],
                     )
 
-    return keyed_text(df, id_col, text_col).select("text").mapInArrow(lean(run), "key long, apart byte, node long")
+    return in_small_batches(keyed_text(df, id_col, text_col).select("text")).mapInArrow(lean(run), "key long, apart byte, node long")
 
 
 def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,7 +348,7 @@ def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_co
                 full = [i for i, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays([_long(digests(sets)[0][full]), pa.array([sets[i].tobytes() for i in full], pa.binary())], ["node", "shingles"])
 
-    return _hashed(df, id_col, text_col).select("text", _row_hash().alias("row_hash")).mapInArrow(lean(run), "node long, shingles binary")
+    return in_small_batches(_hashed(df, id_col, text_col).select("text", _row_hash().alias("row_hash"))).mapInArrow(lean(run), "node long, shingles binary")
 
 
 def _row_hash() -> Column:
@@ -404,7 +404,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     right.append(node)
             yield pa.RecordBatch.from_arrays([_long(left), _long(right)], ["a", "b"])
 
-    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
+    return in_small_batches(dealt).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def tree_pairs(blocks: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import WORD, in_slices, keyed_text, lean, table
+from tidelog.llm.common import WORD, in_slices, in_small_batches, keyed_text, lean, table
 
 #: The most that n-word windows found more than once may cover,
 #: as parts of the characters in words.
@@ -125,7 +125,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = [{"id": i, **measure(t), "text": t if with_text else None} for i, t in both]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), MEASURED)
+    return in_small_batches(keyed_text(df, id_col, text_col)).mapInArrow(lean(run), MEASURED)
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def keep_documents(docs: DataFrame) -> DataFrame:
             for part in in_slices(batch, column):
                 yield part.filter(pa.array([measure(t or "")["kept"] for t in part.column(column).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), fields)
+    return in_small_batches(docs).mapInArrow(lean(run), fields)
 
 
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
