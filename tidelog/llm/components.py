@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by alternating large and small stars; of a forest, by jumps."""
 
 from __future__ import annotations
 
@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang neighbours on the least node around: larger ones, or the rest.
+    """Hang neighbours on the least node around: larger ones, or the rest. An edge may come twice.
 
     The least neighbour is pre-aggregated, one row a node, and joined back, so
     that no node's neighbours have to meet in one task.
     """
     if large:
-        edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = _both_ways(edges)
     else:
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -24,20 +28,44 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """True if the edges are stars around their least nodes: whoever has a smaller neighbour has no other one."""
+    ends = _both_ways(edges).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return not ends.filter("low < a and low < high").agg(F.count("*")).first()[0]
+
+
+def hung(edges: DataFrame) -> DataFrame:
+    """`node, root` for every node of the edges `a, b` that isn't a root; a root is its component's least node.
+
+    Each round is written to the shared folder; rounds end when the edges are
+    stars, after about log(nodes) of them. Only a count reaches the driver.
+    """
+    now = edges.select("a", "b").filter("a <> b")
+    while True:
+        now = cut(_star(_star(now, large=True), large=False).distinct(), "edges")
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """`node, root` for every node of the edges `a, b`: root is its component's least node.
+    """`node, root` for every node of the edges `a, b`, roots included."""
+    found = hung(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """`node, root` for nodes that have one parent each, given as `node, root`, without circles.
 
-    Each round is written to the shared folder; rounds end when the edges stop
-    changing, after about log(nodes) of them. Only two sums reach the driver.
+    A round takes each node to its parent's parent, so that there are about
+    log(depth) of them, each a join of one row a node.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
+    now = parents
     while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-        if mark == before or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = mark
-        now = cut(_star(_star(now, large=True), large=False), "edges")
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        now = cut(now.select("node", "root").join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        if now.filter("moved").isEmpty():
+            return now.select("node", "root")
+        now = now.select("node", "root")

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import FILTER_BITS, WORD, bitmap, cut, in_slices, in_small_batches, keyed_text, lean, split_by_keys, table
-from tidelog.llm.components import components
+from tidelog.llm.components import forest_roots, hung
 
 WORDS = 5
 #: Linked if 4 * intersection >= 3 * union.
@@ -289,7 +289,7 @@ def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prefixes(df: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`key, apart, node`: the first quarter of each set's shingles, rare ones first.
+    """`key, apart, size, node`: the first quarter of each set's shingles, rare ones first, with the set's size.
 
     A key is 48 bits of a shingle's hash, as it only names a block. `apart` is the part of the set's shingles that aren't common, from 0 to 100: the
     text that others were copied from has fewer of its own than its altered copies have.
@@ -301,7 +301,7 @@ def prefixes(df: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str =
         seen: set[int] = set()
         for batch in batches:
             for part in in_slices(batch, 0):
-                keys, nodes, apart, sizes = [], [], [], []
+                keys, nodes, apart, sizes, lengths = [], [], [], [], []
                 sets = shingle(part.column(0).to_pylist())
                 for own, node in zip(sets, digests(sets)[0].tolist(), strict=True):
                     if not len(own) or node in seen:
@@ -321,14 +321,13 @@ def prefixes(df: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str =
                     keys.append((first[:length] >> np.uint64(16)).view(np.int64))
                     nodes.append(node)
                     apart.append(alone)
-                    sizes.append(length)
+                    sizes.append(len(own))
+                    lengths.append(length)
                 if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [_long(np.concatenate(keys)), pa.array(np.repeat(np.array(apart, np.int8), sizes)), _long(np.repeat(np.array(nodes, np.int64), sizes))],
-                        ["key", "apart", "node"],
-                    )
+                    about = zip((apart, sizes, nodes), (np.int8, np.int32, np.int64), strict=True)
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), *(pa.array(np.repeat(np.array(x, kind), lengths)) for x, kind in about)], ["key", "apart", "size", "node"])
 
-    return in_small_batches(keyed_text(df, id_col, text_col).select("text")).mapInArrow(lean(run), "key long, apart byte, node long")
+    return in_small_batches(keyed_text(df, id_col, text_col).select("text")).mapInArrow(lean(run), "key long, apart byte, size int, node long")
 
 
 def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,9 +357,6 @@ def _row_hash() -> Column:
 def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs `a, b, n` whose sizes and points leave a link possible; points are fetched where sizes do."""
     fits = DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b")
-    size = nodes.select("node", "n_shingles")
-    left, right = (size.withColumnsRenamed({"node": x, "n_shingles": f"size_{x}"}) for x in "ab")
-    sized = cut(pairs.join(left, "a").join(right, "b").filter(fits), "jaccard-sized")
     place = nodes.select("node", "point")
     left, right = (place.withColumnsRenamed({"node": x, "point": f"point_{x}"}) for x in "ab")
 
@@ -370,7 +366,7 @@ def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             near = [bound(unpacked(p), unpacked(q)) >= needed(m, n) for m, n, p, q in rows]
             yield batch.select(["a", "b", "n"]).filter(pa.array(near, pa.bool_()))
 
-    held = sized.join(left, "a").join(right, "b").select("a", "b", "n", "size_a", "size_b", "point_a", "point_b")
+    held = pairs.filter(fits).join(left, "a").join(right, "b").select("a", "b", "n", "size_a", "size_b", "point_a", "point_b")
     return held.mapInArrow(lean(run), "a long, b long, n long")
 
 
@@ -382,21 +378,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs `a, b` whose sets are linked.
 
     Pairs are grouped under `a`, in runs of about a thousand so that a node
-    with many partners is spread; its set goes along to each run. A set that
-    comes twice does no harm.
+    with many partners is spread; its set goes along to each run. Rows come in
+    order, so a set that comes twice is passed over and pairs stay distinct.
     """
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("runs"))
     members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.col("b").alias("node"))
     centres = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("node"))
     rows = members.unionByName(centres).join(sets, "node").select("a", "run", "node", "shingles")
-    dealt = rows.repartition("a", "run").sortWithinPartitions("a", "run", F.col("node") != F.col("a"))
+    dealt = rows.repartition("a", "run").sortWithinPartitions("a", "run", F.col("node") != F.col("a"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, np.empty(0, np.uint64)
+        centre, own, last = None, np.empty(0, np.uint64), None
         for batch in batches:
             left, right = [], []
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for (a, number, node), held in zip(keys, batch.column(3), strict=True):
+                if (a, number, node) == last:
+                    continue
+                last = a, number, node
                 if node == a:
                     centre, own = (a, number), np.frombuffer(held.as_py(), np.uint64)
                 elif centre == (a, number) and linked(own, np.frombuffer(held.as_buffer(), np.uint64)):
@@ -404,15 +403,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     right.append(node)
             yield pa.RecordBatch.from_arrays([_long(left), _long(right)], ["a", "b"])
 
-    return in_small_batches(dealt).mapInArrow(lean(run), "a long, b long").distinct()
+    return in_small_batches(dealt).mapInArrow(lean(run), "a long, b long")
 
 
 def tree_pairs(blocks: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
-    """Candidate pairs `a, b` between components, from R-trees per block.
+    """Candidate pairs `a, b` between components, from R-trees per block; a pair may come from several blocks.
 
     All of them, or for each point only the one nearest to the similarity.
 
-    `blocks` has `centre, node, root`; centres themselves were held against
+    `blocks` has `centre, node, size, root`; centres themselves were held against
     their blocks before and aren't in them. Linked sets differ in size by a third at
     most, so a block is cut into bands of sizes, each with the one below it,
     and sub-blocks of one component are left out. In a sub-block the nodes of
@@ -422,8 +421,8 @@ def tree_pairs(blocks: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     with a few nodes beside it takes no more than its own size times those few.
     """
     # bands a little wider than the ratio, so that rounding can't put linked sets two bands apart
-    band = F.floor(F.log("n_shingles") / (F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-6)).cast("int")
-    sized = blocks.join(nodes.select("node", "n_shingles"), "node").withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    band = F.floor(F.log("size") / (F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-6)).cast("int")
+    sized = blocks.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     sized = cut(sized.select("centre", "band", (F.col("own") == F.col("band")).alias("upper"), "node", "root"), "jaccard-bands")
     counts = sized.groupBy("centre", "band", "root").agg(F.count("*").alias("n"), F.max("upper").alias("upper"))
     whole = counts.groupBy("centre", "band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("upper").alias("any_upper"), F.max(F.struct("n", "root")).alias("main"))
@@ -469,7 +468,7 @@ def tree_pairs(blocks: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
         out.update(pairs(*held))
         yield pa.RecordBatch.from_arrays([_long([p[0] for p in out]), _long([p[1] for p in out])], ["a", "b"])
 
-    return met.mapInArrow(lean(run), "a long, b long").distinct()
+    return met.mapInArrow(lean(run), "a long, b long")
 
 
 def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -478,7 +477,7 @@ def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _rooted(frame: DataFrame, rooted: DataFrame, node: str, name: str) -> DataFrame:
-    """The frame with the root of a node column; nodes without links are their own."""
+    """The frame with the root of a node column; nodes that hang on no other are their own."""
     own = rooted.select(F.col("node").alias(node), F.col("root").alias(name))
     return frame.join(own, node, "left").withColumn(name, F.coalesce(name, node))
 
@@ -516,24 +515,25 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # the first node of each block, as the block streams by in order
     running = W.partitionBy("key").orderBy("apart", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    listed = prefixes(df, common, id_col, text_col).withColumn("centre", F.first("node").over(running))
-    starred = cut(listed.filter("centre <> node").groupBy("centre", "node").agg(F.count("*").alias("n")), "jaccard-starred")
-    hopeful = cut(within_bound(starred.withColumnsRenamed({"centre": "a", "node": "b"}), nodes), "jaccard-hopeful")
+    listed = prefixes(df, common, id_col, text_col).withColumns({"centre": F.first("node").over(running), "centre_size": F.first("size").over(running)})
+    shared = listed.filter("centre <> node").groupBy("centre", "node").agg(F.count("*").alias("n"), F.max("centre_size").alias("centre_size"), F.max("size").alias("size"))
+    starred = cut(shared, "jaccard-starred")
+    hopeful = cut(within_bound(starred.withColumnsRenamed({"centre": "a", "node": "b", "centre_size": "size_a", "size": "size_b"}), nodes), "jaccard-hopeful")
     nearest = cut(hopeful.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "jaccard-nearest")
     links = cut(verified(nearest, fetch_sets(df, _of(nodes, nearest), id_col, text_col)), "jaccard-links")
-    rooted = components(links)
+    # a centre comes before its nodes in the order of blocks, so these links are a forest
+    rooted = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     for step in range(NEAREST_ROUNDS + 1):
-        candidates = tree_pairs(_rooted(starred.select("centre", "node"), rooted, "node", "root"), nodes, step < NEAREST_ROUNDS)
+        candidates = tree_pairs(_rooted(starred.select("centre", "node", "size"), rooted, "node", "root"), nodes, step < NEAREST_ROUNDS)
         if step == NEAREST_ROUNDS:
             apart = _rooted(_rooted(hopeful.select("a", "b"), rooted, "a", "root_a"), rooted, "b", "root_b").filter("root_a <> root_b")
-            candidates = candidates.unionByName(apart.select("a", "b")).distinct()
-        candidates = cut(candidates, "jaccard-candidates")
+            candidates = candidates.unionByName(apart.select("a", "b"))
+        candidates = cut(candidates.distinct(), "jaccard-candidates")
         if candidates.isEmpty():
             continue
         more = cut(verified(candidates, fetch_sets(df, _of(nodes, candidates), id_col, text_col)), "jaccard-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            rooted = components(links)
+            rooted = hung(more.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     done = _dealt(sets.select("id", "text_hash", "n_shingles", "node"), rooted, "node")
     return done.select("id", "text_hash", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
 
