@@ -1,8 +1,11 @@
-"""Work that doesn't grow with the rows: passes over all partitions."""
+"""Work that doesn't grow with the rows: passes over all partitions, and what they leave on disk."""
 
 import random
+import time
 
-from tidelog.llm import components, jaccard
+from pyspark.sql import functions as F
+
+from tidelog.llm import common, components, jaccard
 
 
 def counted(monkeypatch, *modules):
@@ -60,3 +63,19 @@ def test_the_join_writes_few_tables(spark, monkeypatch):
     assert {r["id"]: r["component_id"] for r in rows} == {i: i // 5 * 5 for i in range(60)}
     assert "jaccard-sized" not in names  # sizes come with the blocks
     assert names.count("edges") <= 2 and names.count("roots") <= 3
+
+
+def test_cuts_leave_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: set(part for part in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in part)
+    before, setting = files(), spark.conf.get(common.FILE_CLEANUP, None)
+    made = common.cut(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).count(), "few-passes")
+    assert made.count() == 50 and spark.conf.get(common.FILE_CLEANUP, None) == setting
+    spark.range(10).groupBy("id").count().write.format("noop").mode("overwrite").save()
+    assert files() - before  # other queries keep theirs
+    before |= files()
+    common.cut(spark.range(5000).groupBy((F.col("id") % 60).alias("k")).count(), "few-passes")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before

@@ -133,15 +133,28 @@ def split_by_keys(frame: DataFrame, key_hash: Column, hashes: DataFrame) -> tupl
     return both.filter(hit).select(*own), both.filter(~hit).select(*own)
 
 
+#: Lets Spark delete a query's shuffle files when it ends; by itself it waits until the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Later stages start from the written table, so a lost executor costs only
-    its own tasks. The table goes when the driver's session ends.
+    its own tasks. The table goes when the driver's session ends, the files
+    that were shuffled for it at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
