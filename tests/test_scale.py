@@ -1,6 +1,10 @@
 """What must not grow with the input: plans, what a task holds, what is computed twice."""
 
+import os
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import ranges
@@ -149,3 +153,84 @@ def test_tasks_of_history_states_go_with_the_rows(spark, monkeypatch):
     plan = _plan(feature_queries.shop_states(spark, folder))
     assert plan.count("REPARTITION_BY_NUM") >= 4
     assert {n: rows(QUERIES[n](spark, folder)) for n in names} == expected
+
+
+def test_linear_retrieval_shuffles_only_what_is_touched(spark, monkeypatch):
+    dense = spark.range(300).select((F.col("id") % 2).alias("cutoff"), F.col("id").alias("candidate"), F.floor(F.sin(F.col("id") * 7.0) * 9).cast("double").alias("dense"))
+    queries = spark.range(40).select(F.col("id").alias("query_id"), (F.col("id") % 3 % 2).alias("cutoff"))
+    sparse = queries.drop("cutoff").crossJoin(dense.select("candidate")).filter("query_id > 2 and (query_id * 31 + candidate * 17) % 19 < query_id % 9").select("query_id", "candidate", F.floor(F.cos(F.col("candidate") * 3.0 + F.col("query_id")) * 9).cast("double").alias("sparse"))
+    full = queries.join(dense, "cutoff").join(sparse, ["query_id", "candidate"], "left").withColumn("score", F.col("dense") + F.coalesce("sparse", F.lit(0.0)))
+    rows = lambda f: sorted((r["query_id"], r["candidate"], r["score"], r["rank"]) for r in f.collect())
+    expected = rows(ranking.top(full, "query_id", 11, F.desc("score"), "candidate"))
+    found = ranking.retrieve_linear(queries, dense, sparse, 11)
+    above = _plan(found).split("Generate inline")
+    assert rows(found) == expected and len(above) > 1 and "hashpartitioning" not in above[0]
+    # lists that don't go to every task
+    monkeypatch.setattr(ranking, "FEW_LISTED", 0)
+    monkeypatch.setattr(ranking, "LIST_QUERIES", 6)
+    assert rows(ranking.retrieve_linear(queries, dense, sparse, 11)) == expected
+
+
+def test_written_tables_leave_no_files_of_the_way_there(spark):
+    from tidelog.sources import sinks
+
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: set(part for part in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in part)
+    tables = lambda: [path for _, path in sinks._temporary]
+    before, known, setting = files(), len(tables()), spark.conf.get(sinks.FILE_CLEANUP, None)
+
+    def build():
+        step = sinks.written(spark.range(5000).repartition("id"), "step")
+        inner = sinks.settled(lambda: sinks.written(step.repartition("id"), "deeper").filter("id % 2 = 0"), "inner")
+        assert [p.rpartition("/")[2].split("-")[0] for p in tables()[known:]] == ["step", "inner"]
+        return inner.join(step.filter("id < 100"), "id").repartition("id")
+
+    made = sinks.settled(build, "made")
+    assert len(made.collect()) == 50 and len(tables()) == known + 1 and spark.conf.get(sinks.FILE_CLEANUP, None) == setting
+    with pytest.raises(Exception, match="broken"):
+        sinks.settled(lambda: sinks.written(spark.range(5), "step").select(F.raise_error(F.lit("broken")).alias("x")), "made")
+    assert len(tables()) == known + 1 and os.path.exists(tables()[-1].removeprefix("file:"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+
+
+def test_held_out_rows_are_those_of_the_pair_features(spark, monkeypatch):
+    from tidelog.operators import pairs
+    from tidelog.plans import QUERIES, feature_queries as fq, ranking_queries as rq, readout_queries as ro
+    from tidelog.sources import sinks
+
+    folder, start, seen = "/root/testdata/sf0.001", len(sinks._temporary), []
+    monkeypatch.setattr(ro, "held_out_ranking", lambda known, asked, *more: seen.extend([known, asked]) or spark.range(1))
+    QUERIES["l10_held_out"](spark, folder)
+    assert [path.rpartition("/")[2][:-33] for _, path in sinks._temporary[start:]] == ["fit-rows", "candidates", "truth"]
+    names = ["query_id", "candidate", *fq.WEIGHTS]
+    for held, cutoff, k in zip(seen, (ro.CUT - ro.D, ro.CUT), (20, ro.SHORTLIST)):
+        truth = fq._supplier_pairs(spark, folder, cutoff).select("query_id", "candidate").withColumn("label", F.lit(1.0))
+        candidates = rq._linear(spark, folder, cutoff, k).select("query_id", "candidate")
+        timed = (candidates.unionByName(truth.drop("label")) if k == 20 else candidates).distinct().withColumn("t_q", F.lit(cutoff).cast("long"))
+        past = fq.supplier_past(spark, folder, cutoff).withColumnRenamed("part", "candidate").filter("t is not null")
+        wide = pairs.pair_features(timed, fq._activity(spark, folder, cutoff), pairs.pair_history(past, timed), rq._scores(spark, folder, cutoff), fq.WEIGHTS)
+        wide = wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).select(*names, "label")
+        own = [*names, "label"] if "label" in held.columns else names
+        rows = lambda f: sorted(tuple(r) for r in f.select(own).collect())  # noqa: B023, E731
+        expected = rows(wide)
+        assert rows(held) == expected and any(r[names.index("repeat")] for r in expected) and any(r[names.index("cooc")] for r in expected)
+
+
+def test_labelled_features_of_odd_rows(spark):
+    from tidelog.operators import pairs
+
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape)
+    both, day = "query_id long, candidate long", 86400
+    candidates = frame([(1, 5), (1, 5), (1, 6), (2, 99), (2, None)], both)
+    past = frame([(1, 5, 93 * day), (1, 5, 90 * day), (3, 5, 1), (2, None, 1), (None, 99, 1)], f"{both}, t long")
+    activity = frame([(5, 1.0, 2.0, 3.0, 4.0), (6, 0.5, 0.0, -1.0, 0.25)], "entity_id long, total double, recent double, trend double, staleness double")
+    found = pairs.labelled_features(candidates, past, frame([(1, 6, 3), (7, 7, 1)], f"{both}, score long"), frame([(1, 6), (2, None), (8, 8)], both), activity, 100 * day)
+    got = {(r["query_id"], r["candidate"]): r for r in found.collect()}
+    assert got.keys() == {(1, 5), (1, 6), (2, 99), (2, None)} and found.count() == 4
+    assert [got[1, 5][c] for c in ("label", "repeat", "total", "trend", "cooc")] == [0.0, 1, 1.0, 3.0, 0.0]
+    assert abs(got[1, 5]["times"] - np.log1p(2)) < 1e-12 and abs(got[1, 5]["recency"] - np.exp(-1)) < 1e-12
+    assert [got[1, 6][c] for c in ("label", "repeat", "times", "recency", "trend")] == [1.0, 0, 0.0, 0.0, -1.0] and abs(got[1, 6]["cooc"] - np.log(4)) < 1e-12
+    assert all(got[2, c][n] == 0 for c in (99, None) for n in ("label", "repeat", "times", "recency", "total", "trend", "cooc"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.exprs import DAY, count_if
+from tidelog.sources.sinks import written
 
 WEEK = 7 * DAY
 
@@ -55,15 +56,19 @@ def cooccurrence(pairs: DataFrame, topk: int = 32, most_links: int = 500, items:
     """`item, other, weight`: sources that link to both, the topk others of each item, or only of those in `items`.
 
     Sources with over `most_links` links, repeats counted, say nothing of
-    likeness and are left out, which also bounds the self join per source.
+    likeness and are left out, which also bounds the pairs of a source. Links
+    go to their sources once; what is needed of these is written as a pair of
+    short lists, so the links' files are gone before pairs are counted.
     """
-    links = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    sizes = links.groupBy("src").agg(F.sum("n").alias("links")).filter(F.col("links") <= most_links)
-    kept = links.join(sizes, "src").select("src", "dst")
-    asked = kept.select("src", F.col("dst").alias("item"))
+    asked = pairs.select("src", "dst").withColumn("asked", F.lit(True))
     if items is not None:
-        asked = asked.join(items.select("item").distinct(), "item", "left_semi")
-    both = asked.join(kept.select("src", F.col("dst").alias("other")), "src").filter("item <> other")
+        wanted = items.select(F.col("item").alias("dst")).distinct().withColumn("asked", F.lit(True))
+        asked = pairs.select("src", "dst").join(wanted, "dst", "left")
+    links = asked.repartition("src").groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
+    kept = links.withColumn("links", F.sum("n").over(W.partitionBy("src"))).filter(F.col("links") <= most_links)
+    lists = kept.groupBy("src").agg(F.collect_list(F.when(F.col("asked"), F.col("dst"))).alias("items"), F.collect_list("dst").alias("others"))
+    held = written(lists.filter((F.size("items") > 0) & (F.size("others") > 1)).drop("src"), "links")
+    both = held.select(F.explode("items").alias("item"), "others").select("item", F.explode("others").alias("other")).filter("item <> other")
     weights = both.groupBy("item", "other").agg(F.count("*").alias("weight"))
     place = F.row_number().over(W.partitionBy("item").orderBy(F.desc("weight"), "other"))
     return weights.withColumn("place", place).filter(F.col("place") <= topk).drop("place")
@@ -76,8 +81,12 @@ def prior_items(past: DataFrame, most: int = 8) -> DataFrame:
 
 
 def cooc_score(prior: DataFrame, cooc: DataFrame) -> DataFrame:
-    """`query_id, candidate, score`: summed weights from a query's prior items; a repeated item counts again."""
-    return prior.join(cooc, "item").groupBy("query_id", F.col("other").alias("candidate")).agg(F.sum("weight").cast("long").alias("score"))
+    """`query_id, candidate, score`: summed weights from a query's prior items; a repeated item counts again.
+
+    A query's rows come from one task, so that what counts them has little to shuffle.
+    """
+    met = prior.join(cooc, "item").select("query_id", F.col("other").alias("candidate"), "weight").repartition("query_id")
+    return met.groupBy("query_id", "candidate").agg(F.sum("weight").cast("long").alias("score"))
 
 
 def pair_features(pairs: DataFrame, activity: DataFrame, history: DataFrame, scores: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -93,3 +102,35 @@ def pair_features(pairs: DataFrame, activity: DataFrame, history: DataFrame, sco
     for name, weight in weights.items():
         score = score + F.lit(weight) * F.col(name)
     return wide.select("query_id", "t_q", "candidate", *weights, score.alias("linear"))
+
+
+def labelled_features(candidates: DataFrame, past: DataFrame, scores: DataFrame, truth: DataFrame, activity: DataFrame, t_q: int) -> DataFrame:
+    """`query_id, candidate, label` and all features of the distinct `query_id, candidate` pairs, at one time.
+
+    `past` has `query_id, candidate, t` of events before t_q, `scores` a score,
+    `activity` is by `entity_id`, and `truth` has the pairs of label 1. All that
+    is known of a pair goes to its query as narrow rows in one shuffle and is
+    put together there, and a query's rows come from one task.
+    """
+    names = ["total", "recent", "trend", "staleness"]
+    rows = candidates.select("query_id", "candidate").join(activity.select(F.col("entity_id").alias("candidate"), *names), "candidate", "left")
+    none = [F.lit(None).cast("double").alias(n) for n in names]
+    kinds = ("asked", "past", "score", "true")
+    tagged = lambda frame, kind, value, more: frame.select("query_id", "candidate", F.lit(kinds.index(kind)).alias("kind"), value.cast("long").alias("value"), *more)
+    known = tagged(past, "past", F.col("t"), none).unionByName(tagged(scores, "score", F.col("score"), none)).unionByName(tagged(truth, "true", F.lit(1), none))
+    met = tagged(rows, "asked", F.lit(1), names).unionByName(known.filter("query_id is not null and candidate is not null")).repartition("query_id")
+    of = lambda kind: F.when(F.col("kind") == kinds.index(kind), F.col("value"))
+    per = met.groupBy("query_id", "candidate").agg(
+        F.max(of("asked")).alias("asked"), F.count(of("past")).alias("n"), F.max(of("past")).alias("last"), F.max(of("score")).alias("score"), F.max(of("true")).alias("true"), *[F.max(n).alias(n) for n in names]
+    )
+    recency = F.exp(-(F.lit(t_q) - F.col("last")) / (7 * DAY))
+    return per.filter("asked = 1").select(
+        "query_id",
+        "candidate",
+        F.coalesce("true", F.lit(0)).cast("double").alias("label"),
+        *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names],
+        (F.col("n") > 0).cast("int").alias("repeat"),
+        F.log1p("n").alias("times"),
+        F.coalesce(recency, F.lit(0.0)).alias("recency"),
+        F.log1p(F.coalesce("score", F.lit(0))).alias("cooc"),
+    )

@@ -240,7 +240,10 @@ SCORE = "sc AS (SELECT query_id, other AS candidate, CAST(sum(weight) AS BIGINT)
 
 
 def _prior(spark: SparkSession, sf: str, cutoff: int = CUT) -> DataFrame:
-    return pairs.prior_items(supplier_past(spark, sf, cutoff).withColumnRenamed("part", "item").filter("t is not null"))
+    tables = events.before(SHOP, read_database(spark, sf, SHOP), cutoff)
+    shipped = tables["lineitem"].filter(F.col("t") < cutoff).select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("item"), "t", F.expr(SHOP["lineitem"].key).alias("row_key"))
+    # a supplier's last lines first: nothing else of the lines is worth a join
+    return pairs.prior_items(shipped.filter("query_id is not null")).join(tables["supplier"].select(F.col("s_suppkey").alias("query_id")), "query_id", "left_semi")
 
 
 @query(f"WITH {L}, {PRIOR} SELECT * FROM prior")

@@ -169,10 +169,12 @@ def l4_retrieve_skewed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ranking.retrieve_dot(queries, vectors.select(F.col("vec_id").alias("candidate"), "vector"), 10, c_rows=256), 4)
 
 
-def _linear(spark: SparkSession, sf: str, cutoff: int = CUT, k: int = 20) -> DataFrame:
-    activity = fq._activity(spark, sf, cutoff).filter(F.col("cutoff") == cutoff)
+def _linear(spark: SparkSession, sf: str, cutoff: int = CUT, k: int = 20, scores: DataFrame | None = None, activity: DataFrame | None = None) -> DataFrame:
+    """Rankings at the cutoff; scores and activity are worked out here unless they are given, as tables that have been written."""
+    scores = written(_scores(spark, sf, cutoff), "scores") if scores is None else scores
+    activity = (fq._activity(spark, sf, cutoff) if activity is None else activity).filter(F.col("cutoff") == cutoff)
     dense = activity.select("cutoff", F.col("entity_id").alias("candidate"), (0.1 * F.col("total") + 0.3 * F.col("recent") + 0.2 * F.col("trend") + 0.5 * F.col("staleness")).alias("dense"))
-    sparse = _scores(spark, sf, cutoff).select("query_id", "candidate", (0.8 * F.log1p("score") - 0.7).alias("sparse"))
+    sparse = scores.select("query_id", "candidate", (0.8 * F.log1p("score") - 0.7).alias("sparse"))
     queries = _suppliers(spark, sf).withColumn("cutoff", F.lit(cutoff).cast("long"))
     return ranking.retrieve_linear(queries, dense, sparse, k)
 

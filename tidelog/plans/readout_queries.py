@@ -236,25 +236,34 @@ def _listed(spark: SparkSession, rows: list[tuple[str, float]], name: str, value
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias(name), F.lit(float(v)).alias(value)) for n, v in rows])))
 
 
-def _candidate_features(spark: SparkSession, sf: str, candidates: DataFrame, cutoff: int) -> DataFrame:
-    """Features of `query_id, candidate` pairs of suppliers and parts at a cutoff; `label` tells what ships in the horizon after it."""
-    truth = fq._supplier_pairs(spark, sf, cutoff).select("query_id", "candidate").withColumn("label", F.lit(1.0))
-    timed = candidates.select("query_id", "candidate").distinct().withColumn("t_q", F.lit(cutoff).cast("long"))
-    past = fq.supplier_past(spark, sf, cutoff).withColumnRenamed("part", "candidate").filter("t is not null")
-    wide = pairs.pair_features(timed, fq._activity(spark, sf, cutoff), pairs.pair_history(past, timed), rq._scores(spark, sf, cutoff), fq.WEIGHTS)
-    return wide.join(truth, ["query_id", "candidate"], "left").fillna(0, ["label"]).withColumn("key", F.xxhash64("query_id", "candidate"))
+def _candidate_features(spark: SparkSession, sf: str, cutoff: int, k: int, positives: bool = False) -> DataFrame:
+    """Features of suppliers' k highest ranked parts at a cutoff, and of the positives, if asked for.
+
+    `label` tells what ships in the horizon after the cutoff. Scores, activity
+    and rankings are written once each.
+    """
+    scores = written(rq._scores(spark, sf, cutoff), "scores")
+    activity = written(fq._activity(spark, sf, cutoff).filter(F.col("cutoff") == cutoff), "activity")
+    candidates = written(rq._linear(spark, sf, cutoff, k, scores, activity).select("query_id", "candidate"), "ranked")
+    truth = fq._supplier_pairs(spark, sf, cutoff).select("query_id", "candidate")
+    lines = events.before(SHOP, read_database(spark, sf, SHOP), cutoff)["lineitem"]
+    past = lines.filter(F.col("t") < cutoff).select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("candidate"), "t")
+    return pairs.labelled_features(candidates.unionByName(truth) if positives else candidates, past, scores, truth, activity, cutoff)
+
+
+def _keyed(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("key", F.xxhash64("query_id", "candidate"))
 
 
 def _fit_rows(spark: SparkSession, sf: str, cutoff: int) -> DataFrame:
     """Positives and the highest ranked negatives, which a better score has to put below them."""
-    positives = fq._supplier_pairs(spark, sf, cutoff).select("query_id", "candidate")
-    return _candidate_features(spark, sf, positives.unionByName(rq._linear(spark, sf, cutoff).select("query_id", "candidate")), cutoff)
+    return _candidate_features(spark, sf, cutoff, 20, positives=True)
 
 
 @query()
 def l10_refit_combination(spark: SparkSession, sf: str) -> DataFrame:
     """C and raw coefficients of the pair score, from positives and the highest ranked negatives."""
-    best, coefficients = probe.refit_combination(_fit_rows(spark, sf, CUT), list(fq.WEIGHTS), "label", "key")
+    best, coefficients = probe.refit_combination(_keyed(_fit_rows(spark, sf, CUT)), list(fq.WEIGHTS), "label", "key")
     return _listed(spark, [("C", best), *coefficients.items()], "name", "value")
 
 
@@ -282,9 +291,10 @@ def held_out_ranking(known: DataFrame, asked: DataFrame, truth: DataFrame, given
 @query()
 def l10_held_out(spark: SparkSession, sf: str) -> DataFrame:
     """The given and the refitted pair score, refitted a horizon before the cutoff, by their MAP over a shortlist at the cutoff."""
-    known = written(_fit_rows(spark, sf, CUT - D), "fit-rows")
-    asked = written(_candidate_features(spark, sf, rq._linear(spark, sf, CUT, SHORTLIST), CUT), "candidates")
-    return rounded(held_out_ranking(known, asked, fq._supplier_pairs(spark, sf), fq.WEIGHTS))
+    known = sinks.settled(lambda: _fit_rows(spark, sf, CUT - D), "fit-rows")
+    asked = sinks.settled(lambda: _candidate_features(spark, sf, CUT, SHORTLIST).drop("label"), "candidates")
+    truth = written(fq._supplier_pairs(spark, sf).select("query_id", "candidate"), "truth")
+    return rounded(held_out_ranking(_keyed(known), asked, truth, fq.WEIGHTS))
 
 
 @query()

@@ -7,6 +7,9 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 MANIFEST = "_manifest"
 #: Rows of a task of a packed frame.
 PACKED_ROWS = 100_000
+#: Lets Spark delete a query's shuffle files when it ends; by itself it waits until the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,18 +39,58 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def files_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete what they have shuffled when they end."""
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
+
+
 _temporary: list[tuple[SparkSession, str]] = []
+#: The tables written so far by what `settled` is building.
+_steps: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("steps", default=None)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read back, so that what follows starts from there; gone with the session."""
+    """The frame, written to the shared folder and read back, so that what follows starts from there.
+
+    The table goes with the session, the files that were shuffled for it at once.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
     _temporary.append((spark, path))
+    if (steps := _steps.get()) is not None:
+        steps.append((spark, path))
+    with files_go(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `build` makes, written; the tables that were written on the way go at once."""
+    outer, steps = _steps.get(), []
+    token = _steps.set(steps)
+    try:
+        held = written(build(), name)
+        if outer is not None:
+            outer.append(steps[-1])
+        steps.pop()
+    finally:
+        _steps.reset(token)
+        for spark, path in steps:
+            store, at = _store(spark, path)
+            store.delete(at, True)
+            _temporary.remove((spark, path))
+    return held
+
+
 def packed(frame: DataFrame, name: str) -> DataFrame:
     """As `written`, in tasks of PACKED_ROWS rows, for what many short passes read: each task of each pass reports to the driver."""
     held = written(frame, name)
