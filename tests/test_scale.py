@@ -234,3 +234,19 @@ def test_labelled_features_of_odd_rows(spark):
     assert abs(got[1, 5]["times"] - np.log1p(2)) < 1e-12 and abs(got[1, 5]["recency"] - np.exp(-1)) < 1e-12
     assert [got[1, 6][c] for c in ("label", "repeat", "times", "recency", "trend")] == [1.0, 0, 0.0, 0.0, -1.0] and abs(got[1, 6]["cooc"] - np.log(4)) < 1e-12
     assert all(got[2, c][n] == 0 for c in (99, None) for n in ("label", "repeat", "times", "recency", "total", "trend", "cooc"))
+
+
+def test_tasks_of_pairs_go_with_the_rows(spark, monkeypatch):
+    from tidelog.operators import pairs
+
+    links = spark.range(400).select((F.col("id") % 37).alias("src"), (F.col("id") * 7 % 23).alias("dst"))
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    asked = spark.range(60).select((F.col("id") % 9).alias("query_id"), (F.col("id") * 5 % 11).alias("candidate"), F.col("id").alias("t"), F.col("id").alias("score"))
+    activity = spark.range(11).select(F.col("id").alias("entity_id"), *[(F.col("id") * i).cast("double").alias(n) for i, n in enumerate(("total", "recent", "trend", "staleness"))])
+    features = lambda: pairs.labelled_features(asked, asked.filter("t % 4 = 1"), asked.filter("t % 5 = 2"), asked.filter("t % 3 = 0"), activity, 99)
+    weights, expected = rows(pairs.cooccurrence(links, 4)), rows(features())
+    tasks, real = [], pairs._dealt
+    monkeypatch.setattr(pairs, "_dealt", lambda frame, n, key: tasks.append((n, (out := real(frame, n, key)).rdd.getNumPartitions())) or out)
+    monkeypatch.setattr(pairs, "TASK_ROWS", 10)
+    assert rows(pairs.cooccurrence(links, 4)) == weights and rows(features()) == expected
+    assert tasks == [(400, 40), (60 + 15 + 12 + 20, 11)]

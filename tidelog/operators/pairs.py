@@ -10,6 +10,13 @@ from tidelog.functions.exprs import DAY, count_if
 from tidelog.sources.sinks import written
 
 WEEK = 7 * DAY
+#: Rows that a task puts together by query or source.
+TASK_ROWS = 500_000
+
+
+def _dealt(frame: DataFrame, rows: int, key: str) -> DataFrame:
+    """By the key to tasks of TASK_ROWS, whose memory holds them; what their files weigh is a tenth of that, so Spark would take fewer."""
+    return frame.repartition(max(-(-rows // TASK_ROWS), frame.sparkSession.sparkContext.defaultParallelism), key)
 
 
 def candidate_activity(cutoffs: DataFrame, history: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def cooccurrence(pairs: DataFrame, topk: int = 32, most_links: int = 500, items:
     if items is not None:
         wanted = items.select(F.col("item").alias("dst")).distinct().withColumn("asked", F.lit(True))
         asked = pairs.select("src", "dst").join(wanted, "dst", "left")
-    links = asked.repartition("src").groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
+    links = _dealt(asked, pairs.count(), "src").groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
     kept = links.withColumn("links", F.sum("n").over(W.partitionBy("src"))).filter(F.col("links") <= most_links)
     lists = kept.groupBy("src").agg(F.collect_list(F.when(F.col("asked"), F.col("dst"))).alias("items"), F.collect_list("dst").alias("others"))
     held = written(lists.filter((F.size("items") > 0) & (F.size("others") > 1)).drop("src"), "links")
@@ -118,9 +125,10 @@ def labelled_features(candidates: DataFrame, past: DataFrame, scores: DataFrame,
     kinds = ("asked", "past", "score", "true")
     tagged = lambda frame, kind, value, more: frame.select("query_id", "candidate", F.lit(kinds.index(kind)).alias("kind"), value.cast("long").alias("value"), *more)
     known = tagged(past, "past", F.col("t"), none).unionByName(tagged(scores, "score", F.col("score"), none)).unionByName(tagged(truth, "true", F.lit(1), none))
-    met = tagged(rows, "asked", F.lit(1), names).unionByName(known.filter("query_id is not null and candidate is not null")).repartition("query_id")
+    met = tagged(rows, "asked", F.lit(1), names).unionByName(known.filter("query_id is not null and candidate is not null"))
+    n_rows = sum(frame.count() for frame in (candidates, past, scores, truth))
     of = lambda kind: F.when(F.col("kind") == kinds.index(kind), F.col("value"))
-    per = met.groupBy("query_id", "candidate").agg(
+    per = _dealt(met, n_rows, "query_id").groupBy("query_id", "candidate").agg(
         F.max(of("asked")).alias("asked"), F.count(of("past")).alias("n"), F.max(of("past")).alias("last"), F.max(of("score")).alias("score"), F.max(of("true")).alias("true"), *[F.max(n).alias(n) for n in names]
     )
     recency = F.exp(-(F.lit(t_q) - F.col("last")) / (7 * DAY))
